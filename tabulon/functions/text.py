@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabulon.functions.schema import col
 
-# Token and number patterns, keyword and number limits, cell width.
+# White space, token and number patterns, keyword and number limits, cell width.
+WHITE = r"[\s\x1c-\x1f]"
 TOKEN_PATTERN = r"([\p{L}\p{N}_]+)"
 NUMBER_PATTERN = r"(?U)(\b\d+(?:[.,]\d+)?\b)"
 MIN_TOKEN_CHARS = 2
@@ -21,12 +22,12 @@ MISSING_MARK = "—"
 
 def strip(text: Column) -> Column:
     """Without leading and trailing white space, Unicode spaces included."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"(?U)^{WHITE}+|{WHITE}+$", "")
 
 
 def normalize(text: Column) -> Column:
     """Stripped, inner white space collapsed to one blank, lower case."""
-    return F.lower(F.regexp_replace(strip(text), r"(?U)\s+", " "))
+    return F.lower(F.regexp_replace(strip(text), rf"(?U){WHITE}+", " "))
 
 
 def tokens(text: Column) -> Column:
@@ -51,7 +52,7 @@ def numbers(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(r"(?U)(\S+)"), F.lit(1))).cast("long")
+    return F.size(F.regexp_extract_all(text, F.lit(r"(?U)([^\s\x1c-\x1f]+)"), F.lit(1))).cast("long")
 
 
 def occurrences(text: Column, needle: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from tabulon.functions.rounding import half_up
 from tabulon.functions.schema import col, require_numeric
 
 # Bins of a histogram, points of a scatter chart.
@@ -36,8 +37,8 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     )
     return frame.join(F.broadcast(counted), "bin", "left").select(
         "bin",
-        F.round(F.col("low") + F.col("bin") * F.col("width"), 2).alias("bin_low"),
-        F.round(F.col("low") + (F.col("bin") + 1) * F.col("width"), 2).alias("bin_high"),
+        half_up(F.col("low") + F.col("bin") * F.col("width"), 2).alias("bin_low"),
+        half_up(F.col("low") + (F.col("bin") + 1) * F.col("width"), 2).alias("bin_high"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n"),
     )
 

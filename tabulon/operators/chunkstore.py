@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabulon.functions.rounding import half_up
 from tabulon.functions.schema import col, require_columns
 from tabulon.functions.text import normalize, strip, word_count
 from tabulon.operators.chunking import PARAGRAPH_BREAK
@@ -26,7 +27,7 @@ def chunk_stats(chunks: DataFrame, document: str, char_count: str = "char_count"
     return per_document.agg(
         n.cast("long").alias("chunks_total"),
         F.count(F.lit(1)).alias("documents_indexed"),
-        F.round(chars / F.greatest(n, F.lit(1)), 1).alias("avg_chunk_chars"),
+        half_up(chars / F.greatest(n, F.lit(1)), 1).alias("avg_chunk_chars"),
     )
 
 

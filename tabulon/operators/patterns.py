@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from tabulon.functions.rounding import half_up
 from tabulon.functions.schema import col, numeric_columns, require_columns
 from tabulon.operators.ordering import medians
 from tabulon.operators.profile import from_one_row, missing_counts
@@ -46,7 +47,7 @@ def skew(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         ],
     )
     return rows.filter((F.col("n") >= MIN_ROWS) & (F.abs("strength") >= SKEW_AT)).select(
-        "kind", "subject", F.round("strength", 3).alias("strength")
+        "kind", "subject", half_up(F.col("strength"), 3).alias("strength")
     )
 
 
@@ -61,7 +62,7 @@ def strong_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return found.filter((F.abs("corr") >= PAIR_AT) & (n >= MIN_ROWS)).select(
         F.lit("correlation").alias("kind"),
         F.concat("a", F.lit(" ~ "), "b").alias("subject"),
-        F.round("corr", 3).alias("strength"),
+        half_up(F.col("corr"), 3).alias("strength"),
     )
 
 
@@ -85,7 +86,7 @@ def rare_groups(df: DataFrame, key: str) -> DataFrame:
         .select(
             F.lit("rare").alias("kind"),
             F.concat(F.lit(f"{key}="), F.col("group").cast("string")).alias("subject"),
-            F.round(share, 2).alias("strength"),
+            half_up(share, 2).alias("strength"),
         )
     )
 
@@ -101,7 +102,7 @@ def concentrated(df: DataFrame, key: str) -> DataFrame:
         .agg(F.count("group").alias("groups"), index.alias("hhi"))
         .filter((F.col("groups") >= CONCENTRATED_OF) & (F.col("hhi") >= CONCENTRATED_AT))
         .select(
-            F.lit("concentration").alias("kind"), F.lit(key).alias("subject"), F.round("hhi", 3).alias("strength")
+            F.lit("concentration").alias("kind"), F.lit(key).alias("subject"), half_up(F.col("hhi"), 3).alias("strength")
         )
     )
 
@@ -112,7 +113,7 @@ def missing_pattern(df: DataFrame) -> DataFrame:
     return (
         missing_counts(df, df.columns[:MISSING_COLUMNS])
         .filter(pct >= MISSING_PCT)
-        .select(F.lit("missing").alias("kind"), F.col("column").alias("subject"), F.round(pct, 1).alias("strength"))
+        .select(F.lit("missing").alias("kind"), F.col("column").alias("subject"), half_up(pct, 1).alias("strength"))
     )
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from tabulon.functions.rounding import half_up
 from tabulon.functions.schema import (
     col, data_type, is_numeric, is_temporal, kind_of, require_columns,
 )
@@ -18,6 +20,7 @@ ISSUE_SHARE = 0.05
 LOW_COMPLETENESS = 0.95
 HIGH_MISSING_PCT = 10
 CATEGORY_VALUES = 200
+INSIGHTS_SHOWN = 8
 
 
 def from_one_row(one_row: DataFrame, rows: Sequence[Column]) -> DataFrame:
@@ -56,12 +59,21 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int = TOP_VALUES) -> Da
     )
 
 
+def most_common(counts: DataFrame, k: int = MODES_KEPT) -> DataFrame:
+    """Of (column, value, n): the values that reach the column's largest count, at most ``k``."""
+    best = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
+    top = (
+        counts.filter(F.col("value").isNotNull())
+        .withColumn("rank", F.row_number().over(best))
+        .filter(F.col("rank") <= k)
+        .withColumn("most", F.max("n").over(Window.partitionBy("column")))
+    )
+    return top.filter(F.col("n") == F.col("most")).select("column", "value", "n")
+
+
 def modes(df: DataFrame, columns: Sequence[str], k: int = MODES_KEPT) -> DataFrame:
     """The values that are most common, ties kept up to ``k`` of them."""
-    top = top_values(df, columns, k)
-    return top.filter(
-        F.col("n") == F.max("n").over(Window.partitionBy("column"))
-    ).select("column", "value", "n")
+    return most_common(value_counts(df, columns), k)
 
 
 def distinct_values(df: DataFrame, column: str, search: str = "", limit: int = 30) -> DataFrame:
@@ -114,8 +126,8 @@ def quality(df: DataFrame) -> DataFrame:
     """One row: size, completeness and uniqueness of the table."""
     rows, cells = F.col("rows"), F.col("rows") * len(df.columns)
     repeated = duplicate_rows(df).select("duplicate_rows").scalar()
-    complete = F.when(cells > 0, F.round(1 - F.col("missing") / cells, 4)).otherwise(1.0)
-    unique = F.when(rows > 0, F.round(1 - F.col("duplicate_rows") / rows, 4)).otherwise(1.0)
+    complete = F.when(cells > 0, half_up(1 - F.col("missing") / cells, 4)).otherwise(1.0)
+    unique = F.when(rows > 0, half_up(1 - F.col("duplicate_rows") / rows, 4)).otherwise(1.0)
     return (
         missing_counts(df)
         .agg(F.max("rows").alias("rows"), F.sum("missing").alias("missing"))
@@ -133,7 +145,7 @@ def quality_issues(df: DataFrame, share: float = ISSUE_SHARE) -> DataFrame:
     return (
         missing_counts(df)
         .filter((F.col("missing") > 0) & (ratio >= share))
-        .select("column", "missing", F.round(ratio, 4).alias("ratio"))
+        .select("column", "missing", half_up(ratio, 4).alias("ratio"))
     )
 
 
@@ -170,7 +182,7 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
                 F.lit(i).alias("position"), F.lit(f.name).alias("column"),
                 F.lit(kind_of(f.dataType)).alias("kind"), F.lit(f.dataType.simpleString()).alias("dtype"),
                 missing.alias("missing"),
-                F.when(rows > 0, F.round(100 * missing / rows, 2)).otherwise(0.0).alias("missing_pct"),
+                F.when(rows > 0, half_up(100 * missing / rows, 2)).otherwise(0.0).alias("missing_pct"),
                 guess.alias("unique"), F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max"),
                 F.col(f"mean{i}").alias("mean"),
             )
@@ -189,26 +201,28 @@ def profile_insights(df: DataFrame) -> DataFrame:
     """The notable facts of a profile as (position, rule, column, value), at most eight."""
     described = profile(df)
     whole = quality(df)
-    one = [
-        whole.select(F.lit(1).alias("p"), F.lit("rows").alias("rule"), F.lit(None).cast("string").alias("column"),
-                     F.col("rows").cast("double").alias("value")).filter("value > 0"),
-        whole.select(F.lit(2), F.lit("completeness"), F.lit(None).cast("string"), F.col("completeness"))
-        .filter(F.col("completeness") < LOW_COMPLETENESS),
-        whole.select(F.lit(3), F.lit("duplicate_rows"), F.lit(None).cast("string"),
-                     F.col("duplicate_rows").cast("double")).filter(F.col("duplicate_rows") > 0),
-        described.filter((F.col("kind") != "number") & (F.col("unique") <= CATEGORY_VALUES))
-        .orderBy(F.desc("unique"), "position").limit(1)
-        .select(F.lit(4), F.lit("category"), "column", F.col("unique").cast("double")),
-        described.filter(F.col("kind") == "number").agg(F.count(F.lit(1)).alias("n"))
-        .filter("n > 0").select(F.lit(5), F.lit("numeric_columns"), F.lit(None).cast("string"), F.col("n").cast("double")),
-        described.filter(F.col("kind") == "datetime").orderBy("position").limit(1)
-        .filter(F.col("min").isNotNull())
-        .select(F.lit(6), F.lit("date_span_days"), "column",
-                F.datediff(F.to_date("max"), F.to_date("min")).cast("double")),
-        described.filter(F.col("missing_pct") >= HIGH_MISSING_PCT).orderBy("position").limit(2)
-        .select(F.lit(7), F.lit("missing_pct"), "column", F.col("missing_pct")),
+    rows, complete, repeated = F.col("rows"), F.col("completeness"), F.col("duplicate_rows")
+    numbers = described.filter(F.col("kind") == "number").agg(F.count(F.lit(1)).alias("n"))
+    categories = described.filter((F.col("kind") != "number") & (F.col("unique") <= CATEGORY_VALUES))
+    dated = described.filter(F.col("kind") == "datetime").orderBy("position").limit(1)
+    holes = described.filter(F.col("missing_pct") >= HIGH_MISSING_PCT).orderBy("position").limit(2)
+    days = F.datediff(F.to_date("max"), F.to_date("min"))
+    facts = [
+        (whole.filter(rows > 0), "rows", None, rows),
+        (whole.filter(complete < LOW_COMPLETENESS), "completeness", None, complete),
+        (whole.filter(repeated > 0), "duplicate_rows", None, repeated),
+        (categories.orderBy(F.desc("unique"), "position").limit(1), "category", "column", F.col("unique")),
+        (numbers.filter("n > 0"), "numeric_columns", None, F.col("n")),
+        (dated.filter(F.col("min").isNotNull()), "date_span_days", "column", days),
+        (holes, "missing_pct", "column", F.col("missing_pct")),
+    ]
+    parts = [
+        source.select(
+            F.lit(place).alias("place"), F.lit(rule).alias("rule"),
+            (F.lit(None).cast("string") if column is None else F.col(column)).alias("column"),
+            value.cast("double").alias("value"),
+        )
+        for place, (source, rule, column, value) in enumerate(facts)
     ]
-    out = one[0]
-    for part in one[1:]:
-        out = out.union(part)
-    return out.orderBy("p", "column").limit(8).select("rule", "column", "value")
+    out = reduce(DataFrame.unionByName, parts)
+    return out.orderBy("place", "column").limit(INSIGHTS_SHOWN).select("rule", "column", "value")

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tabulon.errors import InvalidRequest
+from tabulon.functions.rounding import half_up
 from tabulon.functions.schema import (
     col, is_numeric, is_temporal, numeric_columns, require_columns, require_numeric,
 )
@@ -49,7 +50,7 @@ def grouped_table(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], to
     return (
         groups.orderBy(*_by_size(keys))
         .limit(2 * clamp(top_n, 3, 50))
-        .withColumn("share_pct", F.round(100.0 * F.col("count") / total, 2))
+        .withColumn("share_pct", half_up(100.0 * F.col("count") / total, 2))
     )
 
 
@@ -94,7 +95,7 @@ def leaders(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataF
     )
     three = (
         rows.orderBy(*_by_size(keys)).limit(TOP_SHARE_OF)
-        .agg(F.sum("count").cast("double").alias("value"), F.round(F.sum("share_pct"), 1).alias("share"))
+        .agg(F.sum("count").cast("double").alias("value"), half_up(F.sum("share_pct"), 1).alias("share"))
         .filter(F.col("share") >= TOP_SHARE_PCT)
         .select(F.lit("top_three_share").alias("fact"), F.lit("").alias("label"), "value", "share")
     )
@@ -214,7 +215,7 @@ def context_summary(
     parts.append(
         described.filter((F.col("count") > 0) & (F.col("missing") / F.col("count") >= 0.1))
         .orderBy("position").limit(2)
-        .select(F.lit("insight"), "column", F.to_json(F.struct(F.round(100 * F.col("missing") / F.col("count"), 1).alias("missing_pct"))))
+        .select(F.lit("insight"), "column", F.to_json(F.struct(half_up(100 * F.col("missing") / F.col("count"), 1).alias("missing_pct"))))
     )
     out = parts[0]
     for part in parts[1:]:

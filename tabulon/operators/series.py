@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabulon.errors import InvalidRequest
+from tabulon.functions.rounding import half_up
 from tabulon.functions.schema import col, numeric_columns, require_columns, require_numeric
 from tabulon.functions.temporal import as_datetime, in_period, parse_boundary, period_text
 from tabulon.operators.explore import aggregate_column
@@ -22,7 +23,7 @@ PARETO_MARK = 80
 
 def change_pct(now: Column, before: Column) -> Column:
     """Change in percent; null without a value before, or a zero one."""
-    return F.round(100.0 * F.try_divide(now - before, F.nullif(before, F.lit(0))), 2)
+    return half_up(100.0 * F.try_divide(now - before, F.nullif(before, F.lit(0))), 2)
 
 
 def timeseries(
@@ -72,8 +73,8 @@ def compare_periods(
         for side, inside in (("a", in_a), ("b", in_b)):
             value = F.when(inside, col(m).cast("double"))
             aggregates += [
-                F.round(F.coalesce(F.sum(value), F.lit(0.0)), 4).alias(f"sum_{side}{i}"),
-                F.round(F.coalesce(F.avg(value), F.lit(0.0)), 4).alias(f"mean_{side}{i}"),
+                half_up(F.coalesce(F.sum(value), F.lit(0.0)), 4).alias(f"sum_{side}{i}"),
+                half_up(F.coalesce(F.avg(value), F.lit(0.0)), 4).alias(f"mean_{side}{i}"),
                 F.count(value).cast("double").alias(f"count_{side}{i}"),
             ]
     structs = []
@@ -84,7 +85,7 @@ def compare_periods(
             structs.append(
                 F.struct(
                     F.lit(m).alias("column"), F.lit(stat).alias("stat"), a.alias("period_a"),
-                    b.alias("period_b"), F.round(b - a, 4).alias("delta"), pct.alias("delta_pct"),
+                    b.alias("period_b"), half_up(b - a, 4).alias("delta"), pct.alias("delta_pct"),
                 )
             )
     # Both periods lie between the outer bounds, so other rows need not be read.
@@ -107,8 +108,8 @@ def _forecast_rows(facts: DataFrame, keys: Sequence[str], periods: int) -> DataF
         *map(col, keys),
         "last_date",
         "step",
-        F.round(F.col("recent") + F.col("drift") * F.col("step"), 4).alias("yhat"),
-        F.round("mean", 4).alias("baseline_mean"),
+        half_up(F.col("recent") + F.col("drift") * F.col("step"), 4).alias("yhat"),
+        half_up(F.col("mean"), 4).alias("baseline_mean"),
     )
 
 
@@ -188,8 +189,8 @@ def pareto(df: DataFrame, keys: Sequence[str], metric: str, agg: str = "sum", to
         *map(col, keys),
         F.col("value"),
         F.row_number().over(order).alias("rank"),
-        F.round("share", 2).alias("share_pct"),
-        F.round(F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("cum_share_pct"),
+        half_up(F.col("share"), 2).alias("share_pct"),
+        half_up(F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("cum_share_pct"),
     )
 
 
@@ -205,7 +206,7 @@ def pareto_summary(df: DataFrame, keys: Sequence[str], metric: str, agg: str = "
     return groups.agg(
         F.count(F.lit(1)).alias("groups"),
         total.alias("total"),
-        F.when(total > 0, F.round(squares / (total * total), 4)).otherwise(0.0).alias("hhi"),
+        F.when(total > 0, half_up(squares / (total * total), 4)).otherwise(0.0).alias("hhi"),
     ).withColumn("groups_to_80", at_mark.cast("long"))
 
 

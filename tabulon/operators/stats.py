@@ -6,14 +6,15 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabulon.errors import InvalidRequest
+from tabulon.functions.rounding import half_up
 from tabulon.functions.schema import (
     col, data_type, is_numeric, numeric_columns, require_columns, require_numeric,
 )
 from tabulon.operators.ordering import Target, medians, order_statistics, quantiles, with_average_ranks
-from tabulon.operators.profile import MODES_KEPT, TOP_VALUES, from_one_row, value_counts
+from tabulon.operators.profile import MODES_KEPT, from_one_row, most_common, value_counts
 
 PAIRS_PER_PASS = 300
 
@@ -90,17 +91,6 @@ def statistics(
     )
 
 
-def most_common(counts: DataFrame, k: int = TOP_VALUES) -> DataFrame:
-    """Of (column, value, n): the values that reach the column's largest count, at most ``k``."""
-    best = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    top = (
-        counts.filter(F.col("value").isNotNull())
-        .withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= k)
-    )
-    return top.filter(F.col("n") == F.max("n").over(Window.partitionBy("column"))).select("column", "value", "n")
-
-
 def kpis(df: DataFrame, definitions: dict[str, str | dict]) -> DataFrame:
     """One row per KPI: aggregate and value, or why there is none. An unknown aggregate is a sum."""
     known = ("sum", "mean", "min", "max", "count")
@@ -177,7 +167,7 @@ def correlation_matrix(df: DataFrame, method: str = "pearson", columns: Sequence
     if method == "spearman":
         work = with_average_ranks(work, names)
     upper = _pairs(work, [(a, b) for i, a in enumerate(names) for b in names[i:]])
-    upper = upper.withColumn("corr", F.round("corr", 6))
+    upper = upper.withColumn("corr", half_up(F.col("corr"), 6))
     both_ways = F.when(
         F.col("a") == F.col("b"), F.array(F.struct("a", "b", "corr"))
     ).otherwise(
@@ -196,7 +186,7 @@ def top_correlations(
     found = _pairs(df, [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]])
     return (
         found.filter(F.abs("corr") >= at_least)
-        .withColumn("corr", F.round("corr", 4))
+        .withColumn("corr", half_up(F.col("corr"), 4))
         .orderBy(F.abs("corr").desc(), "a", "b")
         .limit(limit)
     )

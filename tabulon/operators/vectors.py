@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tabulon.functions.rounding import half_up
 from tabulon.functions.schema import col, require_columns
 from tabulon.functions.text import tokens
 from tabulon.operators.lexical import bm25
@@ -130,7 +131,7 @@ def vector_topk(
         for rows in query_blocks(queries, query_id, query_vector, size)
     ]
     hits = merge_hits(reduce(DataFrame.unionByName, parts), k)
-    return hits.withColumn("score", F.round(F.greatest("score", F.lit(0.0)), SCORE_DIGITS))
+    return hits.withColumn("score", half_up(F.greatest("score", F.lit(0.0)), SCORE_DIGITS))
 
 
 def fuse_ranks(vector_hits: DataFrame, keyword_hits: DataFrame, k: int = 8, alpha: float = VECTOR_SHARE) -> DataFrame:
@@ -143,7 +144,7 @@ def fuse_ranks(vector_hits: DataFrame, keyword_hits: DataFrame, k: int = 8, alph
         "query_id", "id", "vector_rank", "keyword_rank",
         F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"),
         F.coalesce("keyword_score", F.lit(0.0)).alias("keyword_score"),
-        F.round(part_v + part_w, 6).alias("score"),
+        half_up(part_v + part_w, 6).alias("score"),
     )
     return merge_hits(both, k)
 
