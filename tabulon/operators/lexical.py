@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tabulon.functions.rounding import half_up_array
 from tabulon.functions.schema import col, require_columns
 from tabulon.functions.text import occurrences, tokens
 from tabulon.operators.topk import SCORES_PER_STEP, BestHits, merge_hits, query_blocks
@@ -155,7 +156,7 @@ def _search_block(documents: DataFrame, block: _Block, query_type: T.DataType, k
                     for row, text in enumerate(part[field].to_pylist()):
                         if text:
                             scores[row, list(find(text))] += bonus
-                scores = np.round(scores, SCORE_DIGITS)
+                scores = half_up_array(scores, SCORE_DIGITS)
                 best.add(scores, scores > 0, part["id"])
         yield from best.batches(pa.array(block.ids, arrow_query_type))
 

@@ -279,13 +279,13 @@ def pattern_corr(spark, sf):
 
 @query(
     "pattern_rare",
-    """WITH g AS (SELECT source, count(*) AS n FROM documents GROUP BY 1)
-    SELECT 'rare' AS kind, 'source=' || source AS subject, round(100 * n / (SELECT sum(n) FROM g), 2) AS strength
-    FROM (SELECT * FROM g ORDER BY n, source LIMIT 3) t
+    """WITH g AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
+    SELECT 'rare' AS kind, 'o_custkey=' || o_custkey AS subject, round(100 * n / (SELECT sum(n) FROM g), 2) AS strength
+    FROM (SELECT * FROM g ORDER BY n, o_custkey LIMIT 3) t
     WHERE (SELECT count(*) FROM g) >= 5 AND 100 * n / (SELECT sum(n) FROM g) <= 2.0""",
 )
 def pattern_rare(spark, sf):
-    return rare_groups(table(spark, sf, "documents"), "source")
+    return rare_groups(table(spark, sf, "orders"), "o_custkey")
 
 
 @query(

@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabulon.functions.rounding import GUARD_DIGITS
 from tabulon.session import ensure_checkpoint_dir
 
 # The SQL dialect rounds after a multiplication, which may move a half; decimals do not.
@@ -24,8 +25,8 @@ def exact_rounding(sql: str) -> str:
             depth += {"(": 1, ")": -1}.get(sql[at], 0)
             comma = at if sql[at] == "," and depth == 1 else comma
             at += 1
-        inner, digits = sql[found.end() : comma], sql[comma + 1 : at - 1].strip()
-        call = f"CAST(round(CAST({inner} AS DECIMAL(38, 8)), {digits}) AS DOUBLE)"
+        inner, digits = sql[found.end() : comma], int(sql[comma + 1 : at - 1])
+        call = f"CAST(round(CAST({inner} AS DECIMAL(38, {digits + GUARD_DIGITS})), {digits}) AS DOUBLE)"
         sql = sql[:start] + call + sql[at:]
     return sql
 
