@@ -10,10 +10,13 @@ from tabulon.functions.schema import col
 
 # White space, token and number patterns, keyword and number limits, cell width.
 WHITE = r"[\s\x1c-\x1f]"
-TOKEN_PATTERN = r"([\p{L}\p{N}_]+)"
-NUMBER_PATTERN = r"(?U)(\b\d+(?:[.,]\d+)?\b)"
-MIN_TOKEN_CHARS = 2
-MIN_KEYWORD_CHARS = 4
+WHITE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}+"
+KEYWORD_PATTERN = r"[\p{L}\p{N}_]{4,}+"
+NUMBER_PATTERN = r"(?=\p{Nd})(?<![\p{L}\p{N}_])\p{Nd}+(?:[.,]\p{Nd}+)?(?![\p{L}\p{N}_])"
 MAX_KEYWORDS = 20
 MAX_NUMBERS = 25
 CELL_WIDTH = 80
@@ -22,7 +25,7 @@ MISSING_MARK = "—"
 
 def strip(text: Column) -> Column:
     """Without leading and trailing white space, Unicode spaces included."""
-    return F.regexp_replace(text, rf"(?U)^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(text, F.lit(WHITE_CHARS))
 
 
 def normalize(text: Column) -> Column:
@@ -30,29 +33,28 @@ def normalize(text: Column) -> Column:
     return F.lower(F.regexp_replace(strip(text), rf"(?U){WHITE}+", " "))
 
 
+def _found(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case word tokens of two or more characters, in text order."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_PATTERN), F.lit(1))
-    return F.filter(found, lambda t: F.length(t) >= MIN_TOKEN_CHARS)
+    return _found(F.lower(text), TOKEN_PATTERN)
 
 
 def keywords(text: Column) -> Column:
     """First distinct words of more than three characters that are not plain digits."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_PATTERN), F.lit(1))
-    wanted = F.filter(
-        found, lambda t: (F.length(t) >= MIN_KEYWORD_CHARS) & ~t.rlike(r"^\p{Nd}+$")
-    )
+    wanted = F.filter(_found(F.lower(text), KEYWORD_PATTERN), lambda t: ~t.rlike(r"^\p{Nd}+$"))
     return F.slice(F.array_distinct(wanted), 1, MAX_KEYWORDS)
 
 
 def numbers(text: Column) -> Column:
     """First numbers, with at most one decimal part."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER_PATTERN), F.lit(1))
-    return F.slice(found, 1, MAX_NUMBERS)
+    return F.slice(_found(text, NUMBER_PATTERN), 1, MAX_NUMBERS)
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(r"(?U)([^\s\x1c-\x1f]+)"), F.lit(1))).cast("long")
+    return F.size(_found(text, r"(?U)[^\s\x1c-\x1f]+")).cast("long")
 
 
 def occurrences(text: Column, needle: Column) -> Column:

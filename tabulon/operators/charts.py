@@ -18,27 +18,21 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     """Equal-width bins from minimum to maximum, the last one closed, empty ones included."""
     require_numeric(df, [column])
     values = df.filter(col(column).isNotNull()).select(col(column).cast("double").alias("v"))
-    edges = values.agg(F.min("v").alias("low"), F.max("v").alias("high")).select(
-        "low", F.when(F.col("low") == F.col("high"), F.col("low") + 1.0).otherwise(F.col("high")).alias("high")
-    )
-    limits = edges.select(
-        F.struct("low", ((F.col("high") - F.col("low")) / bins).alias("width")).alias("e")
-    ).scalar()
+    low, high = F.min("v"), F.max("v")
+    span = F.when(low == high, F.lit(1.0)).otherwise(high - low)
+    edges = values.agg(F.struct(low.alias("low"), (span / bins).alias("width")).alias("e")).scalar()
+    low, width = edges["low"], edges["width"]
     counted = (
-        values.select(
-            F.least(F.floor((F.col("v") - limits["low"]) / limits["width"]), F.lit(bins - 1)).cast("int").alias("bin")
-        )
+        values.select(F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1)).cast("int").alias("bin"))
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    frame = edges.filter(F.col("low").isNotNull()).select(
-        "low", ((F.col("high") - F.col("low")) / bins).alias("width"),
-        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),
-    )
-    return frame.join(F.broadcast(counted), "bin", "left").select(
+    frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    # At most ``bins`` rows are counted.
+    return frame.join(F.broadcast(counted), "bin", "left").filter(low.isNotNull()).select(
         "bin",
-        half_up(F.col("low") + F.col("bin") * F.col("width"), 2).alias("bin_low"),
-        half_up(F.col("low") + (F.col("bin") + 1) * F.col("width"), 2).alias("bin_high"),
+        half_up(low + F.col("bin") * width, 2).alias("bin_low"),
+        half_up(low + (F.col("bin") + 1) * width, 2).alias("bin_high"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n"),
     )
 

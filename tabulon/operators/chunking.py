@@ -23,6 +23,7 @@ HEADING = r"^(#{1,6})\s+(.+)$"
 PAGE_LINE = r"(?iu)^\[(?:Страница|Page)\s+(\d+)\]"
 ROW_LINE = r"(?iu)^(?:Строка|Row)\s+(\d+):"
 CAPITAL = r"[A-ZА-ЯЁ]"
+MARKS = ("section_title", "section_level", "page_number", "row_number")
 
 
 def _windows(paragraph: Column, size: int, overlap: int) -> Column:
@@ -73,23 +74,28 @@ def chunk_documents(
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
     keep: Sequence[str] = (),
+    context: bool = False,
 ) -> DataFrame:
-    """One row per chunk: chunk_id, document id, chunk_index, text, char_count, word_count.
+    """One row per chunk: chunk_id, document id, chunk_index, text, char_count, word_count and,
+    with ``context``, the metadata of ``chunk_context``.
 
     Each text is cut in the task that reads it; nothing is shuffled.
     """
     require_columns(documents, [id_column, text_column, *keep])
+    bodies = chunk_bodies(col(text_column), size, overlap)
     cut = documents.select(
-        col(id_column), *map(col, keep), F.posexplode(chunk_bodies(col(text_column), size, overlap))
+        col(id_column), *map(col, keep), F.posexplode(_with_marks(bodies) if context else bodies)
     )
+    body = F.col("col.text") if context else F.col("col")
     return cut.select(
         F.concat_ws("-", col(id_column).cast("string"), F.col("pos").cast("string")).alias("chunk_id"),
         col(id_column),
         *map(col, keep),
         F.col("pos").cast("long").alias("chunk_index"),
-        F.col("col").alias("text"),
-        F.length("col").cast("long").alias("char_count"),
-        word_count(F.col("col")).alias("word_count"),
+        body.alias("text"),
+        F.length(body).cast("long").alias("char_count"),
+        word_count(body).alias("word_count"),
+        *([_metadata(body, {m: F.col("col").getField(m) for m in MARKS}).alias("metadata")] if context else []),
     )
 
 
@@ -97,47 +103,60 @@ def _group(text: Column, pattern: str, group: int) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
-def chunk_context(chunks: DataFrame, id_column: str, index: str = "chunk_index", text: str = "text") -> DataFrame:
-    """Chunks with a ``metadata`` struct: numbers and keywords of the chunk, and the section,
-    page and row markers last seen in its document."""
-    require_columns(chunks, [id_column, index, text])
-    line = strip(F.substring_index(col(text), "\n", 1))
+def _marks(text: Column) -> dict[str, Column]:
+    """What the first line of a chunk says about section, page and row; null when nothing."""
+    line = strip(F.substring_index(text, "\n", 1))
     shouted = (line != "") & (F.length(line) < HEADING_CHARS) & (line == F.upper(line)) & line.rlike(CAPITAL)
-    marked = chunks.withColumns(
-        {
-            "__title": F.coalesce(strip(_group(line, HEADING, 2)), F.when(shouted, line)),
-            "__level": F.length(_group(line, HEADING, 1)).cast("long"),
-            "__page": _group(line, PAGE_LINE, 1).cast("long"),
-            "__row": _group(line, ROW_LINE, 1).cast("long"),
-        }
+    return {
+        "section_title": F.coalesce(strip(_group(line, HEADING, 2)), F.when(shouted, line)),
+        "section_level": F.length(_group(line, HEADING, 1)).cast("long"),
+        "page_number": _group(line, PAGE_LINE, 1).cast("long"),
+        "row_number": _group(line, ROW_LINE, 1).cast("long"),
+    }
+
+
+def _with_marks(bodies: Column) -> Column:
+    """Chunk bodies with the marks last seen in the same document, in one walk over the array."""
+    nothing = F.array().cast("array<struct<text:string,section_title:string,section_level:long,page_number:long,row_number:long>>")
+
+    def walk(done: Column, body: Column) -> Column:
+        before = F.try_element_at(done, F.lit(-1))
+        seen = [F.coalesce(mark, before[m]).alias(m) for m, mark in _marks(body).items()]
+        return F.concat(done, F.array(F.struct(body.alias("text"), *seen)))
+
+    return F.aggregate(bodies, nothing, walk)
+
+
+def _metadata(text: Column, seen: dict[str, Column]) -> Column:
+    return F.struct(
+        *[c.alias(m) for m, c in seen.items()], numbers(text).alias("numbers"), keywords(text).alias("keywords")
     )
-    marks = ["__title", "__level", "__page", "__row"]
-    filled = forward_fill(marked, [index], [id_column], marks)
-    return filled.withColumn(
-        "metadata",
-        F.struct(
-            F.col("__title").alias("section_title"), F.col("__level").alias("section_level"),
-            F.col("__page").alias("page_number"), F.col("__row").alias("row_number"),
-            numbers(col(text)).alias("numbers"), keywords(col(text)).alias("keywords"),
-        ),
-    ).drop(*marks)
+
+
+def chunk_context(chunks: DataFrame, id_column: str, index: str = "chunk_index", text: str = "text") -> DataFrame:
+    """A stored chunk table with a ``metadata`` struct: numbers and keywords of the chunk, and the
+    section, page and row marks last seen in its document. A document may hold most of the chunks."""
+    require_columns(chunks, [id_column, index, text])
+    marked = chunks.withColumns({f"__{m}": c for m, c in _marks(col(text)).items()})
+    filled = forward_fill(marked, [index], [id_column], [f"__{m}" for m in MARKS])
+    seen = {m: F.col(f"__{m}") for m in MARKS}
+    return filled.withColumn("metadata", _metadata(col(text), seen)).drop(*[f"__{m}" for m in MARKS])
 
 
 def size_flags(
     documents: DataFrame,
-    chunks: DataFrame,
     id_column: str,
     text_column: str,
     max_bytes: int = MAX_TEXT_BYTES,
     max_chunks: int = MAX_CHUNKS,
+    size: int = CHUNK_SIZE,
+    overlap: int = CHUNK_OVERLAP,
 ) -> DataFrame:
     """Per document its bytes and chunks, and whether they pass the limits; no text is cut."""
-    counted = chunks.groupBy(col(id_column)).agg(F.count(F.lit(1)).alias("chunks"))
-    size = F.octet_length(col(text_column)).cast("long")
-    n = F.coalesce("chunks", F.lit(0)).cast("long")
-    return documents.select(col(id_column), size.alias("text_bytes")).join(counted, id_column, "left").select(
-        col(id_column), "text_bytes", n.alias("chunks"),
-        (F.col("text_bytes") > max_bytes).alias("too_many_bytes"), (n > max_chunks).alias("too_many_chunks"),
+    held = F.octet_length(col(text_column)).cast("long")
+    pieces = F.size(chunk_bodies(col(text_column), size, overlap)).cast("long")
+    return documents.select(col(id_column), held.alias("text_bytes"), pieces.alias("chunks")).withColumns(
+        {"too_many_bytes": F.col("text_bytes") > max_bytes, "too_many_chunks": F.col("chunks") > max_chunks}
     )
 
 

@@ -11,11 +11,13 @@ from tabulon.functions.rounding import half_up
 from tabulon.functions.schema import col, require_columns
 from tabulon.functions.text import normalize, strip, word_count
 from tabulon.operators.chunking import PARAGRAPH_BREAK
+from tabulon.session import ensure_checkpoint_dir
 
 # Preview and comparison widths, the length from which containment counts.
 PREVIEW_CHARS = 240
 COMPARED_CHARS = 240
 CONTAINED_FROM = 51
+BROADCAST_HITS = 200_000
 
 
 def chunk_stats(chunks: DataFrame, document: str, char_count: str = "char_count") -> DataFrame:
@@ -80,7 +82,15 @@ def retrieved_context(
     title: str | None = None,
     preview_chars: int = PREVIEW_CHARS,
 ) -> DataFrame:
-    """Per query the text of its ranked hits as numbered blocks; a query has at most k of them."""
+    """Per query the text of its ranked hits as numbered blocks; a query has at most k of them.
+
+    The hits are computed once and counted; when they are few, they travel to the texts, so the
+    texts are not shuffled.
+    """
+    ensure_checkpoint_dir(hits.sparkSession)
+    hits = hits.select("query_id", "id", "rank").checkpoint()
+    if hits.count() <= BROADCAST_HITS:
+        hits = F.broadcast(hits)
     head = F.lit("") if title is None else F.coalesce(col(title).cast("string"), F.lit(""))
     looked_up = chunks.select(col(id_column).alias("id"), head.alias("title"), col(text).alias("body"))
     block = F.concat(
@@ -88,7 +98,7 @@ def retrieved_context(
         F.lit("\n"), F.substring("body", 1, preview_chars),
     )
     gathered = F.array_sort(F.collect_list(F.struct("rank", block.alias("block"))))
-    return hits.join(looked_up, "id").groupBy("query_id").agg(
+    return looked_up.join(hits, "id").groupBy("query_id").agg(
         F.count(F.lit(1)).alias("sources"),
         F.array_join(F.transform(gathered, lambda b: b["block"]), "\n\n").alias("context"),
     )

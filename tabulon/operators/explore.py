@@ -92,6 +92,11 @@ def page(df: DataFrame, offset: int, limit: int, order: Sequence[Column]) -> Dat
     return df.orderBy(*order).offset(max(0, offset)).limit(limit)
 
 
+def head_sample(df: DataFrame, rows: int = 20) -> DataFrame:
+    """A look at a table, 5 to 200 rows."""
+    return df.limit(clamp(rows, 5, 200))
+
+
 def sortable(df: DataFrame) -> list[str]:
     """Columns usable as tie-breaks, which maps are not."""
     return [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]

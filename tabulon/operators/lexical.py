@@ -75,6 +75,7 @@ def _measure(documents: DataFrame, block: _Block) -> None:
     Only query tokens are counted, and before the shuffle, so frequent words cost one row per task.
     """
     spark = documents.sparkSession
+    # Bounded: the tokens of one query block.
     known = spark.createDataFrame([(t,) for t in [*block.vocabulary, ALL_DOCUMENTS]], "token string")
     seen = documents.select(
         F.size("tokens").alias("length"),

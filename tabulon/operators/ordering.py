@@ -153,23 +153,19 @@ def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
 def _pick(df: DataFrame, brackets: list[_Bracket]) -> dict[int, Any]:
     """Sort the distinct values inside each bracket and read the one at the rank."""
     found: dict[int, Any] = {}
-    by_column: dict[str, list[tuple[int, _Bracket]]] = {}
+    by_type: dict[str, list[tuple[int, _Bracket]]] = {}
     for i, b in enumerate(brackets):
-        by_column.setdefault(b.column, []).append((i, b))
-    tables = []
-    for name, group in by_column.items():
-        which = F.array_compact(F.array(*[F.when(b.covers(), F.lit(i)) for i, b in group]))
-        skip = F.create_map(*[F.lit(x) for i, b in group for x in (i, b.rank - b.below)])
-        values = df.select(F.explode(which).alias("i"), col(name).alias("v")).groupBy("i", "v").count()
+        by_type.setdefault(data_type(df, b.column).simpleString(), []).append((i, b))
+    for group in by_type.values():
+        cells = [
+            F.when(b.covers(), F.struct(F.lit(i).alias("i"), col(b.column).alias("v"))) for i, b in group
+        ]
+        skip = F.create_map(*[F.lit(x) for i, b in group for x in (i, b.rank - b.below)])[F.col("i")]
+        values = df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("i", "v").count()
         upto = F.sum("count").over(Window.partitionBy("i").orderBy("v"))
-        tables.append(
-            values.withColumn("upto", upto)
-            .filter((F.col("upto") > skip[F.col("i")]) & (F.col("upto") - F.col("count") <= skip[F.col("i")]))
-            .select("i", F.struct("v").alias("s"))
-        )
-    for table in tables:
-        for row in table.select("i", "s").collect():
-            found[id(brackets[row["i"]])] = row["s"]["v"]
+        at_rank = (F.col("upto") > skip) & (F.col("upto") - F.col("count") <= skip)
+        for row in values.withColumn("upto", upto).filter(at_rank).select("i", "v").collect():
+            found[id(brackets[row["i"]])] = row["v"]
     return found
 
 
@@ -339,7 +335,7 @@ def forward_fill(
     bucket = fresh_name(df, "bucket")
     work = df.withColumn(bucket, range_bucket(df, order_by))
     keys = [*partition_by, bucket]
-    place = F.struct(*map(col, order_by))
+    place = col(order_by[0]) if len(order_by) == 1 else F.struct(*map(col, order_by))
     ends = work.groupBy(*map(col, keys)).agg(
         *[F.max_by(col(c), F.when(col(c).isNotNull(), place)).alias(f"__end{i}") for i, c in enumerate(fill)]
     )

@@ -7,17 +7,17 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabulon.functions.schema import col
 
 # A block of queries is sent to every task; more queries are answered block by block.
 BLOCK_QUERIES = 2_000
-BLOCK_BYTES = 32 * 1024 * 1024
+BLOCK_BYTES = 8 * 1024 * 1024
 SCORES_PER_STEP = 2_000_000
 
 
-def query_blocks(queries: DataFrame, id_column: str, payload: str, bytes_each) -> list[list[Any]]:
+def query_blocks(queries: DataFrame, id_column: str, payload: str, bytes_each: Column) -> Iterator[list[Any]]:
     """The queries in blocks small enough to broadcast; each block is read on its own, so the
     driver never holds more than one."""
     size = queries.agg(

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.functions.rounding import GUARD_DIGITS
+from tabulon.sources.readers import spread
 from tabulon.session import ensure_checkpoint_dir
 
 # The SQL dialect rounds after a multiplication, which may move a half; decimals do not.
@@ -61,6 +62,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of texts, which take long per row."""
+    return spread(table(spark, folder, name))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder all executors share."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tabulon-{name}-{uuid.uuid4().hex}"

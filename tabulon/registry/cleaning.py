@@ -11,7 +11,7 @@ from tabulon.operators.cleaning import (
 )
 from tabulon.operators.ordering import forward_fill, row_numbers
 from tabulon.operators.profile import duplicate_rows, profile, profile_insights, quality, quality_issues
-from tabulon.registry.base import query, table
+from tabulon.registry.base import query, table, texts
 
 HOLED = """(SELECT event_id, user_id, nullif(event_type, 'error') AS event_type,
     CASE WHEN value >= 5 THEN value END AS value,
@@ -225,7 +225,7 @@ def profile_insights_(spark, sf):
     lower(lang) AS lang FROM documents""",
 )
 def normalize_strings_(spark, sf):
-    return normalize_strings(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    return normalize_strings(texts(spark, sf, "documents").select("doc_id", "text", "lang"))
 
 
 def _fence(column: str, source: str) -> str:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tabulon.operators.chunkstore import retrieved_context
 from tabulon.operators.lexical import bm25
 from tabulon.operators.vectors import embed, hybrid_search, vector_topk
-from tabulon.registry.base import query, table
+from tabulon.registry.base import query, table, texts
 
 WORDS = "list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) > 1)"
 
@@ -40,7 +40,7 @@ def _search(spark, documents, sf, k=8, **options):
 
 @query("bm25", f"WITH {bm25_ctes('documents')} SELECT * FROM {ranked_sql('scored', 8)} x")
 def bm25_(spark, sf):
-    return _search(spark, table(spark, sf, "documents"), sf)
+    return _search(spark, texts(spark, sf, "documents"), sf)
 
 
 @query(
@@ -48,7 +48,7 @@ def bm25_(spark, sf):
     f"""WITH {bm25_ctes("(SELECT * FROM documents WHERE lang = 'en') e")} SELECT * FROM {ranked_sql('scored', 8)} x""",
 )
 def bm25_filtered(spark, sf):
-    return _search(spark, table(spark, sf, "documents").filter("lang = 'en'"), sf)
+    return _search(spark, texts(spark, sf, "documents").filter("lang = 'en'"), sf)
 
 
 @query(
@@ -58,7 +58,7 @@ def bm25_filtered(spark, sf):
     SELECT * FROM {ranked_sql('scored', 5)} x""",
 )
 def bm25_titles(spark, sf):
-    pages = table(spark, sf, "pages")
+    pages = texts(spark, sf, "pages")
     documents, nation = table(spark, sf, "documents"), table(spark, sf, "nation")
     sources = documents.join(nation, F.concat(F.lit("src"), "n_nationkey") == F.col("source"))
     asked = sources.select(F.col("n_nationkey").alias("item_id"), F.col("source").alias("text")).distinct().union(
@@ -95,7 +95,7 @@ def vector_topk_(spark, sf):
 
 @query("embed_hash")
 def embed_hash(spark, sf):
-    return embed(table(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
+    return embed(texts(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
 
 
 HELD = "(SELECT d.doc_id, d.text, e.embedding FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"
@@ -118,7 +118,7 @@ ASKED = "(SELECT b.item_id, b.text, e.embedding FROM benchmark b JOIN embeddings
 )
 def hybrid_rrf(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    documents = table(spark, sf, "documents").join(vectors, F.col("doc_id") == F.col("vec_id"))
+    documents = texts(spark, sf, "documents").join(vectors, F.col("doc_id") == F.col("vec_id"))
     asked = table(spark, sf, "benchmark").join(vectors, F.col("item_id") == F.col("vec_id"))
     return hybrid_search(documents, asked, "doc_id", "text", "embedding", "item_id", "text", "embedding")
 
@@ -130,5 +130,5 @@ def hybrid_rrf(spark, sf):
       chr(10) || chr(10) ORDER BY rank) AS context FROM k JOIN documents ON doc_id = id GROUP BY 1""",
 )
 def rag_context(spark, sf):
-    documents = table(spark, sf, "documents")
+    documents = texts(spark, sf, "documents")
     return retrieved_context(_search(spark, documents, sf, 3), documents, "doc_id", "text", "source")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabulon.functions.schema import columns_meta
 from tabulon.operators.cleaning import CleaningPlan, clean_table
 from tabulon.operators.explore import run_plan
+from tabulon.operators.profile import missing_counts
 from tabulon.operators.report import build_report
 from tabulon.plans.specs import Plan, QuerySpec
 from tabulon.registry.base import query, scratch_path, table
@@ -54,11 +55,18 @@ def scan_parquet(spark, sf):
 
 @query(
     "columns_meta",
-    """SELECT * FROM (VALUES (0, 'o_orderkey', 'number'), (1, 'o_custkey', 'number'), (2, 'o_orderstatus', 'string'),
-    (3, 'o_totalprice', 'number'), (4, 'o_orderdate', 'datetime'), (5, 'o_orderpriority', 'string')) t(position, name, kind)""",
+    """SELECT * FROM (SELECT 0 AS position, 'o_orderkey' AS name, 'number' AS kind, count(*) - count(o_orderkey) AS missing FROM orders
+    UNION ALL SELECT 1, 'o_custkey', 'number', count(*) - count(o_custkey) FROM orders
+    UNION ALL SELECT 2, 'o_orderstatus', 'string', count(*) FILTER (o_orderstatus = 'P') FROM orders
+    UNION ALL SELECT 3, 'o_totalprice', 'number', count(*) - count(o_totalprice) FROM orders
+    UNION ALL SELECT 4, 'o_orderdate', 'datetime', count(*) - count(o_orderdate) FROM orders
+    UNION ALL SELECT 5, 'o_orderpriority', 'string', count(*) - count(o_orderpriority) FROM orders) m""",
 )
 def columns_meta_(spark, sf):
-    return columns_meta(table(spark, sf, "orders")).drop("dtype")
+    orders = table(spark, sf, "orders").withColumn("o_orderstatus", F.expr("nullif(o_orderstatus, 'P')"))
+    described = columns_meta(orders).drop("dtype")
+    missing = missing_counts(orders).select(F.col("column").alias("name"), "missing")
+    return described.join(missing, "name")
 
 
 @query(

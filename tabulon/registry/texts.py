@@ -10,7 +10,7 @@ from tabulon.operators.chunkstore import (
     chunk_stats, cut_repeats, delete_rows, linked_documents, reconcile, replace_documents, update_chunks,
 )
 from tabulon.operators.lexical import list_chunks
-from tabulon.registry.base import query, table
+from tabulon.registry.base import query, scratch_path, table, texts
 
 # White space as Unicode and text tools know it; the SQL dialect's own class knows ASCII only.
 SPACES = r"\s\x{000B}\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -34,7 +34,14 @@ CHUNKS = chunk_sql("documents")
 
 
 def chunks_of(spark, sf):
-    return chunk_documents(table(spark, sf, "documents"), "doc_id", "text")
+    return chunk_documents(texts(spark, sf, "documents"), "doc_id", "text")
+
+
+def stored_chunks(spark, sf):
+    """The chunks as a stored table, the way an index keeps them."""
+    path = scratch_path(spark, "chunks")
+    chunks_of(spark, sf).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @query("chunk_text", f"SELECT * FROM {CHUNKS} c")
@@ -65,18 +72,18 @@ SELECT doc_id, unnest(done) AS text, generate_subscripts(done, 1) - 1 AS chunk_i
 
 @query("chunk_paragraphs", PACKED)
 def chunk_paragraphs(spark, sf):
-    spaced = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    spaced = texts(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return chunk_documents(spaced, "doc_id", "text").select("doc_id", "text", "chunk_index")
 
 
 @query("chunk_context")
 def chunk_context_(spark, sf):
-    return chunk_context(chunks_of(spark, sf), "doc_id")
+    return chunk_context(stored_chunks(spark, sf), "doc_id")
 
 
 @query("chunk_metadata")
 def chunk_metadata(spark, sf):
-    described = chunk_context(chunks_of(spark, sf), "doc_id")
+    described = chunk_documents(texts(spark, sf, "documents"), "doc_id", "text", context=True)
     flat = flat_metadata(described, "metadata")
     return described.select("chunk_id", F.to_json(flat).alias("metadata"))
 
@@ -126,7 +133,7 @@ def rows_to_documents(spark, sf):
     (SELECT doc_id, count(*) AS n FROM {CHUNKS} c GROUP BY 1) k USING (doc_id)""",
 )
 def chunk_cap(spark, sf):
-    return size_flags(table(spark, sf, "documents"), chunks_of(spark, sf), "doc_id", "text", 10_000, 10)
+    return size_flags(texts(spark, sf, "documents"), "doc_id", "text", 10_000, 10)
 
 
 @query(
@@ -138,9 +145,8 @@ def chunk_stats_(spark, sf):
     return chunk_stats(chunks_of(spark, sf), "doc_id")
 
 
-def _changed(spark, sf):
+def _changed(chunks):
     """The last chunk of every document, marked as new."""
-    chunks = chunks_of(spark, sf)
     last = chunks.groupBy("doc_id").agg(F.max_by(F.struct("chunk_id", "text"), "chunk_index").alias("c"))
     return last.select("c.chunk_id", F.concat(F.lit("new "), "c.text").alias("text"))
 
@@ -153,7 +159,8 @@ def _changed(spark, sf):
       FROM {CHUNKS} c) u""",
 )
 def chunk_upsert(spark, sf):
-    return update_chunks(chunks_of(spark, sf), _changed(spark, sf))
+    chunks = stored_chunks(spark, sf)
+    return update_chunks(chunks, _changed(chunks))
 
 
 @query(
@@ -162,7 +169,8 @@ def chunk_upsert(spark, sf):
     SELECT *, max(chunk_index) OVER (PARTITION BY doc_id) AS top FROM {CHUNKS} c) t WHERE chunk_index < top""",
 )
 def chunk_delete(spark, sf):
-    kept = delete_rows(chunks_of(spark, sf), _changed(spark, sf), "chunk_id")
+    chunks = stored_chunks(spark, sf)
+    kept = delete_rows(chunks, _changed(chunks), "chunk_id")
     return kept.select("chunk_id", "doc_id", "chunk_index", "char_count")
 
 
@@ -171,7 +179,7 @@ def chunk_delete(spark, sf):
     f"""SELECT chunk_id, doc_id, char_count FROM {CHUNKS} c WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
 )
 def chunk_delete_documents(spark, sf):
-    kept = delete_rows(chunks_of(spark, sf), table(spark, sf, "labels"), "doc_id")
+    kept = delete_rows(stored_chunks(spark, sf), table(spark, sf, "labels"), "doc_id")
     return kept.select("chunk_id", "doc_id", "char_count")
 
 
@@ -182,8 +190,8 @@ def chunk_delete_documents(spark, sf):
     UNION ALL SELECT * FROM {chunk_sql("(SELECT doc_id, 'Titre: ' || text AS text FROM documents WHERE lang = 'fr') f")} n""",
 )
 def reindex_swap(spark, sf):
-    changed = table(spark, sf, "documents").filter("lang = 'fr'").withColumn("text", F.concat(F.lit("Titre: "), "text"))
-    return replace_documents(chunks_of(spark, sf), chunk_documents(changed, "doc_id", "text"), "doc_id")
+    changed = texts(spark, sf, "documents").filter("lang = 'fr'").withColumn("text", F.concat(F.lit("Titre: "), "text"))
+    return replace_documents(stored_chunks(spark, sf), chunk_documents(changed, "doc_id", "text"), "doc_id")
 
 
 @query(
@@ -203,7 +211,7 @@ def index_reconcile(spark, sf):
     WHERE source IN (SELECT source FROM documents WHERE lang = 'de') GROUP BY 1, 2""",
 )
 def linked_documents_(spark, sf):
-    documents = table(spark, sf, "documents")
+    documents = texts(spark, sf, "documents")
     chunks = chunk_documents(documents, "doc_id", "text", keep=["source"])
     tables = documents.filter("lang = 'de'").select(F.col("source").alias("table_id"))
     return linked_documents(tables, chunks, "table_id", "source", "doc_id")
@@ -220,7 +228,7 @@ LISTED = """(SELECT chunk_id, CAST(2 * ((length(h) - length(replace(h, 'the of',
     FROM {LISTED.format(chunks=CHUNKS)} l WHERE score > 0 ORDER BY score DESC, chunk_id LIMIT 100 OFFSET 20""",
 )
 def chunk_keyword_list(spark, sf):
-    return list_chunks(chunks_of(spark, sf), "The of", "chunk_id", 100, 20).select("chunk_id", "score", "total")
+    return list_chunks(stored_chunks(spark, sf), "The of", "chunk_id", 100, 20).select("chunk_id", "score", "total")
 
 
 REPEATS = f"""WITH p AS (
@@ -240,5 +248,5 @@ FROM n LEFT JOIN h ON h.doc_id = n.doc_id GROUP BY n.doc_id"""
 @query("dedupe_paragraphs", REPEATS)
 def dedupe_paragraphs(spark, sf):
     """Every line is a paragraph here, since the texts have no blank lines."""
-    documents = table(spark, sf, "documents").select("doc_id", "text")
+    documents = texts(spark, sf, "documents").select("doc_id", "text")
     return cut_repeats(documents, "text", r"\n", "\n").filter("paragraphs > 0")

@@ -56,6 +56,16 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than the cluster has cores, dealt out over all of them.
+
+    Meant for work that is heavy per row, such as cutting texts: one row group is one task, so a
+    small file would keep one core busy. A large table has partitions enough and is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
     """Read by the suffix of the path."""
     readers = {".csv": read_csv, ".tsv": read_tsv, ".json": read_json, ".parquet": read_parquet}
@@ -78,8 +88,8 @@ def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
 def content_duplicates(df: DataFrame, id_column: str, content: str) -> DataFrame:
     """Every record with the first record of the same content.
 
-    The first ids come from an aggregate, so copies of one content are merged before the
-    shuffle; contents that occur once never reach the join's small side.
+    The first ids come from an aggregate, which merges the copies of one content before the
+    shuffle, and join back on the hash, where adaptive execution can split a heavy content.
     """
     require_columns(df, [id_column, content])
     hashed = df.select(col(id_column), F.sha2(col(content).cast("string"), 256).alias("content_hash"))

@@ -13,7 +13,7 @@ from tabulon.errors import EmptyInput
 from tabulon.functions.schema import col, require_columns
 from tabulon.operators.explore import observed_counts
 from tabulon.operators.report import long_form
-from tabulon.plans.specs import Plan, QuerySpec
+from tabulon.plans.specs import PLAN_LIMIT, Plan, QuerySpec
 
 
 def _observed(df: DataFrame) -> tuple[DataFrame, Observation]:
@@ -54,11 +54,15 @@ def save_derived(
     rows_before: int | None = None,
     mode: str = "errorifexists",
 ) -> dict[str, Any]:
-    """Write a derived table and, beside it, where it came from. An empty table is refused."""
+    """Write a derived table and, beside it, where it came from.
+
+    The rows are counted while they are written. An empty table is refused: it gets no lineage,
+    and without that a folder is no saved table.
+    """
     counted, seen = _observed(df)
-    if df.isEmpty():
-        raise EmptyInput("the derived table has no rows")
     counted.write.mode(mode).parquet(f"{path}/data")
+    if not seen.get["rows"]:
+        raise EmptyInput("the derived table has no rows")
     lineage = {
         "type": kind, "sources": list(sources), "steps": list(steps),
         "rows_before": rows_before, "rows_after": seen.get["rows"],
@@ -80,14 +84,13 @@ def log_query(
 ) -> None:
     """Append one row about an executed plan: question, plan, row count, columns, first rows."""
     plan_json = json.dumps(plan, default=vars, ensure_ascii=False)
-    preview = (
-        result.limit(preview_rows)
-        .agg(F.collect_list(F.to_json(F.struct(*map(col, result.columns)))).alias("p"))
-        .scalar()
-    )
-    result.agg(F.count(F.lit(1)).alias("row_count")).select(
+    shown = F.collect_list(F.to_json(F.struct(*map(col, result.columns))))
+    # A plan returns at most 200 rows, so they fit one list.
+    result.limit(PLAN_LIMIT).agg(
+        F.count(F.lit(1)).alias("row_count"), F.slice(shown, 1, preview_rows).alias("sample_rows")
+    ).select(
         F.lit(asked_at).alias("asked_at"), F.lit(question).alias("question"), F.lit(plan_json).alias("plan"),
-        "row_count", F.array(*map(F.lit, result.columns)).alias("columns"), preview.alias("sample_rows"),
+        "row_count", F.array(*map(F.lit, result.columns)).alias("columns"), "sample_rows",
     ).write.mode("append").json(log_path)
 
 
