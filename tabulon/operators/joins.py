@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.errors import EmptyInput, InvalidRequest
 from tabulon.functions.schema import col, require_columns
@@ -31,6 +31,10 @@ def _distinct_keys(df: DataFrame, keys: Sequence[str], stem: str) -> DataFrame:
     return df.select(*[col(k).alias(f"{stem}{i}") for i, k in enumerate(keys)]).distinct()
 
 
+def _has_keys(keys: Sequence[str]) -> Column:
+    return reduce(and_, [col(k).isNotNull() for k in keys])
+
+
 def _keep_by_key(
     df: DataFrame, other: DataFrame, on: Sequence[str], other_on: Sequence[str], how: str
 ) -> DataFrame:
@@ -47,9 +51,10 @@ def join_tables(
 ) -> DataFrame:
     """Join with left columns first, then right ones; names both sides have get a mark.
 
-    Outer joins are an inner join plus the unmatched rows. Adaptive execution can split a
-    heavy key on either side of an inner join, but only on one side of an outer join and on
-    none of a full one; both parts read the same shuffled tables.
+    Outer joins are put together from an inner join, the unmatched rows and the rows without a
+    key. Adaptive execution can split a heavy key on either side of an inner join, but only on
+    one side of an outer join and on none of a full one. The parts share the shuffled tables,
+    and rows without a key are not shuffled at all.
     """
     right_on = list(right_on or left_on)
     left_on = list(left_on)
@@ -67,30 +72,25 @@ def join_tables(
             renamed[c] = f"{c}{OVERLAP_MARK}" if c in left.columns else c
     keys = {r: f"__right_key_{i}" for i, r in enumerate(right_on)}
     marked = right.select(*[col(c).alias(keys.get(c, renamed[c])) for c in right.columns])
-    same = reduce(and_, [col(l) == F.col(keys[r]) for l, r in zip(left_on, right_on)])
-    matched = left.join(marked, same, "inner")
-
-    right_rest = [c for c in right.columns if c not in right_on]
-    full_keys = [F.col(keys[r]).alias(renamed[r]) for r in right_on] if how == "full" else []
-    if how == "right":
-        left_out = [col(c) for c in left.columns if c not in left_on]
-        right_out = [F.col(keys.get(c, renamed[c])).alias(renamed[c]) for c in right.columns]
-        result = matched.select(*left_out, *right_out)
-    else:
-        ordered = [
-            F.col(keys[c]).alias(renamed[c]) if c in keys else col(renamed[c])
-            for c in right.columns
-            if how == "full" or c in right_rest
-        ]
-        result = matched.select(*map(col, left.columns), *ordered)
+    marked_on = [keys[r] for r in right_on]
+
+    left_part = [col(c) for c in left.columns if how != "right" or c not in left_on]
+    right_part = [
+        col(keys.get(c, renamed[c])).alias(renamed[c]) for c in right.columns if how != "left" or c not in right_on
+    ]
+    if how == "inner":
+        right_part = [col(renamed[c]) for c in right.columns if c not in right_on]
+
+    keyed_left, keyed_right = left.filter(_has_keys(left_on)), marked.filter(_has_keys(marked_on))
+    same = reduce(and_, [col(l) == col(r) for l, r in zip(left_on, marked_on)])
+    parts = [keyed_left.join(keyed_right, same, "inner").select(*left_part, *right_part)]
     if how in ("left", "full"):
-        alone = _keep_by_key(left, right, left_on, right_on, "left_anti")
-        result = result.unionByName(alone, allowMissingColumns=True)
+        alone = _keep_by_key(keyed_left, keyed_right, left_on, marked_on, "left_anti")
+        parts += [alone.select(*left_part), left.filter(~_has_keys(left_on)).select(*left_part)]
     if how in ("right", "full"):
-        alone = _keep_by_key(right, left, right_on, left_on, "left_anti")
-        alone = alone.select(*[col(c).alias(renamed[c]) for c in right.columns])
-        result = result.unionByName(alone, allowMissingColumns=True)
-    return result
+        alone = _keep_by_key(keyed_right, keyed_left, marked_on, left_on, "left_anti")
+        parts += [alone.select(*right_part), marked.filter(~_has_keys(marked_on)).select(*right_part)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def join_preview(

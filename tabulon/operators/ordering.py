@@ -79,27 +79,32 @@ def order_statistics(df: DataFrame, targets: Sequence[Target]) -> list[Any]:
         return []
     columns = sorted({t.column for t in targets})
     margin = 2.0 / ACCURACY
+    around: dict[str, list[float]] = {c: [] for c in columns}
+    for t in targets:
+        around[t.column] += [max(0.0, t.fraction - margin), min(1.0, t.fraction + margin)]
     first = df.agg(
-        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.min(col(c)).alias(f"min{i}") for i, c in enumerate(columns)],
-        *[F.max(col(c)).alias(f"max{i}") for i, c in enumerate(columns)],
         *[
-            F.percentile_approx(
-                col(t.column),
-                [max(0.0, t.fraction - margin), min(1.0, t.fraction + margin)],
-                ACCURACY,
-            ).alias(f"t{j}")
-            for j, t in enumerate(targets)
-        ],
+            made.alias(f"{stem}{i}")
+            for i, c in enumerate(columns)
+            for stem, made in (
+                ("n", F.count(col(c))),
+                ("min", F.min(col(c))),
+                ("max", F.max(col(c))),
+                ("sketch", F.percentile_approx(col(c), around[c], ACCURACY)),
+            )
+        ]
     ).first()
     brackets: list[_Bracket | None] = []
-    for j, t in enumerate(targets):
+    taken = dict.fromkeys(columns, 0)
+    for t in targets:
         i = columns.index(t.column)
         n = first[f"n{i}"]
         if n == 0:
             brackets.append(None)
             continue
-        low, high = first[f"t{j}"]
+        at = taken[t.column]
+        low, high = first[f"sketch{i}"][at : at + 2]
+        taken[t.column] = at + 2
         low = first[f"min{i}"] if t.fraction <= margin else low
         high = first[f"max{i}"] if t.fraction >= 1 - margin else high
         brackets.append(_Bracket(t.column, min(max(t.rank(n), 0), n - 1), low, high))
@@ -184,13 +189,24 @@ def quantiles(df: DataFrame, wanted: dict[str, Sequence[float]], exact: bool = T
     return out
 
 
+def _middle(low: Any, high: Any) -> float | None:
+    return None if low is None else (float(low) + float(high)) / 2
+
+
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     """Interpolated medians of many columns."""
     values = order_statistics(df, [t for c in columns for t in Target.medians(c)])
-    return {
-        c: None if values[2 * i] is None else (float(values[2 * i]) + float(values[2 * i + 1])) / 2
-        for i, c in enumerate(columns)
-    }
+    return {c: _middle(values[2 * i], values[2 * i + 1]) for i, c in enumerate(columns)}
+
+
+def quartiles(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
+    """(nearest lower quartile, interpolated median, nearest upper quartile) of many columns."""
+    values = order_statistics(
+        df,
+        [t for c in columns for t in (Target.nearest(c, 0.25), *Target.medians(c), Target.nearest(c, 0.75))],
+    )
+    groups = {c: values[4 * i : 4 * i + 4] for i, c in enumerate(columns)}
+    return {c: (q1, _middle(low, high), q3) for c, (q1, low, high, q3) in groups.items()}
 
 
 # --- value-range buckets ----------------------------------------------------------------

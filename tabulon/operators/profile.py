@@ -156,22 +156,20 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """
     fields = df.schema.fields
 
-    def as_number(f):
-        return col(f.name).cast("double") if is_numeric(f.dataType) else F.lit(None).cast("double")
-
-    def as_bound(f):
-        return col(f.name) if is_numeric(f.dataType) or is_temporal(f.dataType) else F.lit(None).cast("string")
-
     aggregates = [F.count(F.lit(1)).alias("rows")]
+    ranged = [i for i, f in enumerate(fields) if is_numeric(f.dataType) or is_temporal(f.dataType)]
     for i, f in enumerate(fields):
-        aggregates += [
-            F.count(col(f.name)).alias(f"present{i}"),
-            F.min(as_bound(f)).cast("string").alias(f"min{i}"),
-            F.max(as_bound(f)).cast("string").alias(f"max{i}"),
-            F.avg(as_number(f)).alias(f"mean{i}"),
-        ]
+        aggregates.append(F.count(col(f.name)).alias(f"present{i}"))
+        if i in ranged:
+            aggregates += [F.min(col(f.name)).alias(f"min{i}"), F.max(col(f.name)).alias(f"max{i}")]
+        if is_numeric(f.dataType):
+            aggregates.append(F.avg(col(f.name).cast("double")).alias(f"mean{i}"))
         if not exact:
             aggregates.append(F.approx_count_distinct(col(f.name)).alias(f"unique{i}"))
+
+    def made(stem: str, i: int, held: bool, dtype: str) -> Column:
+        return (F.col(f"{stem}{i}") if held else F.lit(None)).cast(dtype)
+
     rows = F.col("rows")
     structs = []
     for i, f in enumerate(fields):
@@ -183,8 +181,9 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
                 F.lit(kind_of(f.dataType)).alias("kind"), F.lit(f.dataType.simpleString()).alias("dtype"),
                 missing.alias("missing"),
                 F.when(rows > 0, half_up(100 * missing / rows, 2)).otherwise(0.0).alias("missing_pct"),
-                guess.alias("unique"), F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max"),
-                F.col(f"mean{i}").alias("mean"),
+                guess.alias("unique"), made("min", i, i in ranged, "string").alias("min"),
+                made("max", i, i in ranged, "string").alias("max"),
+                made("mean", i, is_numeric(f.dataType), "double").alias("mean"),
             )
         )
     described = from_one_row(df.agg(*aggregates), structs)

@@ -13,7 +13,7 @@ from tabulon.functions.rounding import half_up
 from tabulon.functions.schema import (
     col, data_type, is_numeric, numeric_columns, require_columns, require_numeric,
 )
-from tabulon.operators.ordering import Target, medians, order_statistics, quantiles, with_average_ranks
+from tabulon.operators.ordering import Target, order_statistics, quantiles, quartiles, with_average_ranks
 from tabulon.operators.profile import MODES_KEPT, from_one_row, most_common, value_counts
 
 PAIRS_PER_PASS = 300
@@ -31,13 +31,12 @@ def statistics(
     require_columns(df, columns)
     numbers = [c for c in columns if is_numeric(data_type(df, c))]
     others = [c for c in columns if c not in numbers]
-    quarters = quantiles(df, {c: (0.25, 0.75) for c in numbers}, exact) if numbers else {}
     if not numbers:
-        middle = {}
+        quarters = {}
     elif exact:
-        middle = medians(df, numbers)
+        quarters = quartiles(df, numbers)
     else:
-        middle = {c: v[0] for c, v in quantiles(df, {c: (0.5,) for c in numbers}, False).items()}
+        quarters = quantiles(df, {c: (0.25, 0.5, 0.75) for c in numbers}, exact=False)
 
     aggregates = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
@@ -52,14 +51,14 @@ def statistics(
     structs = []
     for i, c in enumerate(columns):
         number = c in numbers
-        q25, q75 = quarters.get(c, (None, None))
+        q25, middle, q75 = quarters.get(c, (None, None, None))
         structs.append(
             F.struct(
                 F.lit(i).alias("position"), F.lit(c).alias("column"),
                 F.lit(data_type(df, c).simpleString()).alias("dtype"),
                 F.col("rows").alias("count"), (F.col("rows") - F.col(f"present{i}")).alias("missing"),
                 (F.col(f"mean{i}") if number else nothing).alias("mean"),
-                F.lit(middle.get(c)).cast("double").alias("median"),
+                F.lit(None if middle is None else float(middle)).cast("double").alias("median"),
                 (F.col(f"std{i}") if number else nothing).alias("std"),
                 (F.col(f"min{i}") if number else nothing).alias("min"),
                 (F.col(f"max{i}") if number else nothing).alias("max"),
