@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabulon.functions.schema import col
@@ -68,36 +69,18 @@ def truncate_cell(text: Column, width: int = CELL_WIDTH) -> Column:
     return F.when(F.length(text) > width, cut).otherwise(text)
 
 
-def four_digits(value: Column) -> Column:
-    """A number with four significant digits and no trailing zeros, as ``%.4g`` prints it."""
-    plain = F.format_string("%.3e", value.cast("double"))
-    mantissa = F.substring_index(plain, "e", 1)
-    exponent = F.substring_index(plain, "e", -1).cast("int")
-    digits = F.least(F.greatest(F.lit(3) - exponent, F.lit(0)), F.lit(8))
-    fixed = F.element_at(
-        F.array(*[F.format_string(f"%.{n}f", plain.cast("double")) for n in range(9)]), digits + 1
-    )
-    shortened = F.when(
-        fixed.contains("."), F.regexp_replace(fixed, r"\.?0+$", "")
-    ).otherwise(fixed)
-    scientific = F.concat(
-        F.regexp_replace(mantissa, r"\.?0+$", ""),
-        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
-    )
-    ordinary = value.cast("double").isNotNull() & ~F.isnan(value.cast("double")) & (
-        F.abs(value.cast("double")) != float("inf")
-    )
-    return F.when(
-        ordinary, F.when((exponent < -4) | (exponent >= 4), scientific).otherwise(shortened)
-    ).otherwise(F.lower(value.cast("string")))
+@F.pandas_udf(T.StringType())
+def four_digits(values: pd.Series) -> pd.Series:
+    """A number with four significant digits. No built-in expression prints these, and Java's
+    formats round the shortest decimal form of a number instead of the number itself."""
+    return values.map("{:.4g}".format)
 
 
 def cell_text(df: DataFrame, name: str) -> Column:
     """A cell as text: null as a dash, fractions with four significant digits."""
     dtype = df.schema[name].dataType
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        shown = four_digits(col(name))
+        shown = four_digits(col(name).cast("double"))
     elif isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
         shown = F.to_json(col(name))
     else:

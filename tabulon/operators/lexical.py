@@ -113,7 +113,8 @@ def _token_scores(lists: pa.ListArray, block: _Block, vocabulary: pa.Array) -> n
     first = np.repeat(block.starts[word] - np.concatenate([[0], np.cumsum(fan)[:-1]]), fan) if len(fan) else fan
     query = block.postings[first + np.arange(fan.sum())]
     cell = np.repeat(document, fan) * queries + query
-    return np.bincount(cell, np.repeat(weight, fan), len(lists) * queries).reshape(len(lists), queries)
+    sums = np.bincount(cell, np.repeat(weight, fan), len(lists) * queries)
+    return sums.astype(np.float64).reshape(len(lists), queries)
 
 
 def _phrase_finder(phrases: dict[str, list[int]]):

@@ -19,7 +19,14 @@ FORBIDDEN_FUNCTIONS = ("reflect", "java_method", "try_reflect", "input_file_name
 NAME = re.compile(r"[A-Za-z_]\w*\Z")
 
 _QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|--[^\n]*|/\*.*?\*/", re.S)
-_SOURCE = re.compile(r"\b(?:from|join)\s+(?:lateral\s+)?(`[^`]*`|[\w.]+)", re.I)
+_ARGUMENT_FROM = re.compile(r"\b(extract|trim|substring|overlay)\s*\(([^()]*?)\bfrom\b", re.I)
+_TABLE = r"(?:`[^`]*`|[\w.]+)"
+_CLAUSE = (
+    "inner|left|right|full|cross|semi|anti|outer|natural|join|on|using|where|group|having|order|sort|limit|offset|"
+    "union|except|intersect|minus|lateral|window|tablesample|pivot|unpivot|qualify"
+)
+_NAMED = rf"{_TABLE}(?:\s+(?:as\s+)?(?!(?:{_CLAUSE})\b)\w+)?"
+_SOURCES = re.compile(rf"\b(?:from|join)\s+(?:lateral\s+)?({_NAMED}(?:\s*,\s*{_NAMED})*)", re.I)
 _CTE = re.compile(r"(?:\bwith|,)\s+(?:recursive\s+)?(\w+)\s*(?:\([^()]*\)\s*)?as\s*\(", re.I)
 
 
@@ -31,6 +38,13 @@ def check_select(text: str, names: list[str]) -> str:
         raise InvalidRequest("only SELECT statements are allowed")
     if ";" in bare:
         raise InvalidRequest("one statement at a time")
+    depth = 0
+    for mark in re.findall(r"[()]", bare):
+        depth += 1 if mark == "(" else -1
+        if depth < 0:
+            break
+    if depth:
+        raise InvalidRequest("brackets do not match")
     word = re.search(rf"\b({'|'.join(FORBIDDEN_WORDS)})\b", re.sub(r"`[^`]*`", " ", bare), re.I)
     if word:
         raise InvalidRequest(f"'{word.group(1)}' is not allowed in a query")
@@ -38,9 +52,11 @@ def check_select(text: str, names: list[str]) -> str:
     if function:
         raise InvalidRequest(f"function '{function.group(1)}' is not allowed")
     allowed = {n.lower() for n in names} | {n.lower() for n in _CTE.findall(bare)}
-    for found in _SOURCE.findall(bare):
-        if found.strip("`").lower() not in allowed and not found.startswith("("):
-            raise InvalidRequest(f"unknown table '{found}'")
+    for listed in _SOURCES.findall(_ARGUMENT_FROM.sub(r"\1(\2,", bare)):
+        for source in listed.split(","):
+            name = source.split()[0].strip("`")
+            if name.lower() not in allowed:
+                raise InvalidRequest(f"unknown table '{name}'")
     return body
 
 
