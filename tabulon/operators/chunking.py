@@ -19,9 +19,9 @@ MAX_CHUNKS = 200
 ROWS_PER_DOCUMENT = 5000
 HEADING_CHARS = 120
 PARAGRAPH_BREAK = r"(?U)\n\s*\n"
-HEADING = r"^(#{1,6})\s+(.+)$"
-PAGE_LINE = r"(?iu)^\[(?:Страница|Page)\s+(\d+)\]"
-ROW_LINE = r"(?iu)^(?:Строка|Row)\s+(\d+):"
+HEADING = r"(?sU)^(#{1,6})\s+(.+)$"
+PAGE_LINE = r"(?iU)^\[(?:Страница|Page)\s+(\d+)\]"
+ROW_LINE = r"(?iU)^(?:Строка|Row)\s+(\d+):"
 CAPITAL = r"[A-ZА-ЯЁ]"
 MARKS = ("section_title", "section_level", "page_number", "row_number")
 

@@ -169,13 +169,14 @@ def cut_repeats(df: DataFrame, text: str, paragraph_break: str = PARAGRAPH_BREAK
         for part in parts:
             yield part.map(lambda p: _kept_passages(list(p))).astype("int32")
 
-    lines = F.split(strip(col(text)), r"\r\n|\r|\n")
-    repeat = _first_repeat(F.transform(lines, _heading_key))
-    body = F.when(repeat.isNull(), strip(col(text))).otherwise(
-        strip(F.array_join(F.slice(lines, 1, F.coalesce(repeat, F.lit(0))), "\n"))
-    )
-    staged = df.withColumn(
-        "__parts", F.filter(F.transform(F.split(body, paragraph_break), strip), lambda p: p != "")
+    lines = F.split(col("__body"), r"\r\n|\r|\n")
+    repeat = F.when(col("__body").contains("#"), _first_repeat(F.transform(lines, _heading_key)))
+    head = strip(F.array_join(F.slice(lines, 1, F.coalesce(col("__repeat"), F.lit(0))), "\n"))
+    body = F.when(col("__repeat").isNull(), col("__body")).otherwise(head)
+    staged = (
+        df.withColumn("__body", strip(col(text)))
+        .withColumn("__repeat", repeat)
+        .withColumn("__parts", F.filter(F.transform(F.split(body, paragraph_break), strip), lambda p: p != ""))
     )
     compared = F.transform(F.col("__parts"), lambda p: F.substring(normalize(p), 1, COMPARED_CHARS))
     counted = staged.withColumn("__kept", kept(compared))
@@ -185,4 +186,4 @@ def cut_repeats(df: DataFrame, text: str, paragraph_break: str = PARAGRAPH_BREAK
             "kept_paragraphs": F.col("__kept").cast("long"),
             text: F.array_join(F.slice("__parts", 1, F.col("__kept")), joiner),
         }
-    ).drop("__parts", "__kept")
+    ).drop("__body", "__repeat", "__parts", "__kept")

@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +98,7 @@ def _measure(documents: DataFrame, block: _Block) -> None:
     block.idf = np.array([math.log(1 + (n - f + 0.5) / (f + 0.5)) for f in frequency])
 
 
-def _token_scores(lists: pa.ListArray, block: _Block, vocabulary: pa.Array) -> np.ndarray:
+def _token_scores(lists: pa.ListArray, block: _Block | SimpleNamespace, vocabulary: pa.Array) -> np.ndarray:
     """BM25 sums of a few documents against all queries of the block."""
     queries, words = len(block.ids), len(block.vocabulary)
     place = pc.index_in(lists.flatten(), value_set=vocabulary)
@@ -141,11 +142,11 @@ def _search_block(documents: DataFrame, block: _Block, query_type: T.DataType, k
     if not block.ids:
         return documents.sparkSession.createDataFrame([], schema)
     _measure(documents, block)
-    shared = documents.sparkSession.sparkContext.broadcast(block)
+    shared = documents.sparkSession.sparkContext.broadcast(vars(block))
     arrow_query_type = to_arrow_type(query_type)
 
     def best_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
+        block = SimpleNamespace(**shared.value)
         vocabulary = pa.array(block.vocabulary, pa.string())
         find = _phrase_finder(block.phrases)
         best = BestHits(k, len(block.ids))

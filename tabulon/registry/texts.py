@@ -49,9 +49,13 @@ def chunk_text(spark, sf):
     return chunks_of(spark, sf)
 
 
-PACKED = f"""WITH RECURSIVE p AS (
+def packed_sql(prefix: str = "") -> str:
+    """Every line as a paragraph, packed up to 900 characters; a long one cut into windows.
+    Every line but the first starts with ``prefix``."""
+    line = strip_sql(f"CASE WHEN i > 1 THEN '{prefix}' ELSE '' END || line")
+    return f"""WITH RECURSIVE p AS (
   SELECT doc_id, para, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM (
-    SELECT doc_id, i, {strip_sql("line")} AS para FROM (
+    SELECT doc_id, i, {line} AS para FROM (
       SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
       FROM documents) a) b WHERE para <> ''),
 r AS (
@@ -70,10 +74,30 @@ f AS (SELECT doc_id, CASE WHEN buf <> '' THEN list_append(done, buf) ELSE done E
 SELECT doc_id, unnest(done) AS text, generate_subscripts(done, 1) - 1 AS chunk_index FROM f"""
 
 
-@query("chunk_paragraphs", PACKED)
+def _spaced(spark, sf, prefix=""):
+    """The documents with every line as a paragraph of its own."""
+    spaced = F.replace("text", F.lit("\n"), F.lit("\n\n" + prefix))
+    return texts(spark, sf, "documents").select("doc_id", spaced.alias("text"))
+
+
+@query("chunk_paragraphs", packed_sql())
 def chunk_paragraphs(spark, sf):
-    spaced = texts(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
-    return chunk_documents(spaced, "doc_id", "text").select("doc_id", "text", "chunk_index")
+    return chunk_documents(_spaced(spark, sf), "doc_id", "text").select("doc_id", "text", "chunk_index")
+
+
+SECTIONS = f"""WITH k AS ({packed_sql("## ")}), first AS (SELECT *, {strip_sql("string_split(text, chr(10))[1]")} AS line FROM k),
+m AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}}[{SPACES}]+.') THEN {strip_sql(f"regexp_replace(line, '^#{{1,6}}[{SPACES}]+', '')")}
+    WHEN length(line) < 120 AND line = upper(line) AND regexp_matches(line, '[A-ZА-ЯЁ]') THEN line END AS title,
+  CASE WHEN regexp_matches(line, '^#{{1,6}}[{SPACES}]+.') THEN length(regexp_extract(line, '^#+')) END AS level FROM first)
+SELECT doc_id, chunk_index, last_value(title IGNORE NULLS) OVER w AS section_title, last_value(level IGNORE NULLS) OVER w AS section_level
+FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+@query("chunk_sections", SECTIONS)
+def chunk_sections(spark, sf):
+    """Lines as headings: chunks cut from a long line carry its title on."""
+    described = chunk_documents(_spaced(spark, sf, "## "), "doc_id", "text", context=True)
+    return described.select("doc_id", "chunk_index", "metadata.section_title", "metadata.section_level")
 
 
 @query("chunk_context")
