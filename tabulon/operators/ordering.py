@@ -212,80 +212,82 @@ def quartiles(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
 # --- value-range buckets ----------------------------------------------------------------
 
 
-def _constant_array(values: Sequence[Any], dtype: str) -> Column:
-    """A typed array constant from one text literal, however many values there are."""
-    if not values:
-        return F.array().cast(f"array<{dtype}>")
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{dtype}>")
-
-
-def _bucket(value: Column, splits: Sequence[Any], dtype: str) -> Column:
-    """How many splits are at or below the value, by halving; null goes before all."""
-    if not splits:
-        return F.when(value.isNull(), -1).otherwise(0)
-    bounds = _constant_array(splits, dtype)
-
-    def step(state: Column, _: Column) -> Column:
-        low, high = state["low"], state["high"]
-        middle = F.shiftright(low + high, 1)
-        right = F.get(bounds, middle) <= value
-        return F.struct(
-            F.when((low < high) & right, middle + 1).otherwise(low).alias("low"),
-            F.when((low < high) & ~right, middle).otherwise(high).alias("high"),
-        )
-
-    rounds = math.ceil(math.log2(len(splits) + 1)) + 1
-    start = F.struct(F.lit(0).alias("low"), F.lit(len(splits)).alias("high"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: s["low"])
-    return F.when(value.isNull(), -1).otherwise(found)
-
-
-def _orderable(df: DataFrame, name: str) -> tuple[Column, str]:
-    """The column in a type whose text form does not depend on a time zone."""
+def _orderable(df: DataFrame, name: str) -> Column:
+    """The column as a double that grows with it; close values may fall together."""
     dtype = data_type(df, name)
-    if not (is_numeric(dtype) or is_temporal(dtype)):
-        raise InvalidRequest(f"order column '{name}' must hold numbers or dates")
+    if is_numeric(dtype):
+        return col(name).cast("double")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(col(name)).cast("double")
     if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(col(name)), "bigint"
-    return col(name), dtype.simpleString()
+        return F.unix_micros(col(name)).cast("double")
+    if isinstance(dtype, T.TimestampNTZType):
+        since = col(name) - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return since.cast("interval second").cast("decimal(20,6)").cast("double")
+    raise InvalidRequest(f"order column '{name}' must hold numbers or dates")
 
 
-def _splits(df: DataFrame, columns: Sequence[str]) -> tuple[list[list[Any]], int]:
-    """Roughly equal-count split points per column, fixed once so that every pass agrees."""
-    values = [_orderable(df, c)[0] for c in columns]
+def _splits(df: DataFrame, columns: Sequence[str]) -> list[list[float]]:
+    """Roughly equal-count split points per column, repeated where one value is heavy. They are
+    read once and then constants, so every pass cuts the same buckets."""
+    values = [_orderable(df, c) for c in columns]
     rows = df.count()
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(min(MAX_BUCKETS, rows // ROWS_PER_BUCKET), min(partitions, 1 + rows // SMALL_BUCKET))
     if buckets == 1:
-        return [[] for _ in columns], 1
+        return [[] for _ in columns]
     at = [i / buckets for i in range(1, buckets)]
     row = df.agg(
         *[F.percentile_approx(v, at, max(ACCURACY, 2 * buckets)).alias(f"c{i}") for i, v in enumerate(values)]
     ).first()
-    return [list(row[f"c{i}"] or []) for i in range(len(columns))], buckets
+    return [[v for v in row[f"c{i}"] or [] if not math.isnan(v)] for i in range(len(columns))]
+
+
+def _with_place(df: DataFrame, name: str, value: Column, bounds: Sequence[float]) -> DataFrame:
+    """Add how many of the sorted bounds are at or below the value; null goes before all.
+
+    The halving search is written out, one column per step, so that it runs as generated code.
+    """
+    if not bounds:
+        return df.withColumn(name, F.when(value.isNull(), -1).otherwise(0))
+    known = F.split(F.lit(",".join(map(repr, bounds))), ",").cast("array<double>")
+    out = df.withColumn(name, F.lit(0))
+    for bit in reversed(range(len(bounds).bit_length())):
+        step = 1 << bit
+        below = F.coalesce(F.get(known, col(name) + (step - 1)) <= value, F.lit(False))
+        out = out.withColumn(name, col(name) + F.when(below, step).otherwise(0))
+    return out.withColumn(name, F.when(value.isNull(), -1).otherwise(col(name)))
+
+
+def _single_values(df: DataFrame, name: str, value: Column, heavy: list[float]) -> list[float]:
+    """Those of the heavy doubles that stand for one value of the column and not for close ones."""
+    if not heavy or isinstance(data_type(df, name), (T.DoubleType, T.FloatType, T.IntegerType, T.DateType)):
+        return heavy
+    inside = [F.when(value == v, col(name)) for v in heavy]
+    row = df.agg(*[(F.min(c) == F.max(c)).alias(f"c{i}") for i, c in enumerate(inside)]).first()
+    return [v for i, v in enumerate(heavy) if row[f"c{i}"]]
 
 
-def range_bucket(df: DataFrame, order: Sequence[str]) -> Column:
-    """A bucket number that grows with the first order column.
+def with_range_bucket(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
+    """Add a bucket number that grows with the first order column.
 
     A value that fills several buckets by itself is cut again by the second order column.
     """
+    _orderable(df, order[0])
     chosen = [c for c in order[:2] if is_numeric(data_type(df, c)) or is_temporal(data_type(df, c))]
-    if not chosen or chosen[0] != order[0]:
-        raise InvalidRequest("the first order column must hold numbers or dates")
-    splits, _ = _splits(df, chosen)
-    main = splits[0]
-    value, dtype = _orderable(df, order[0])
-    number = _bucket(value, sorted(set(main)), dtype)
-    heavy = sorted({v for v in main if main.count(v) > 1})
+    splits = _splits(df, chosen)
+    bounds = sorted(set(splits[0]))
+    value = _orderable(df, order[0])
+    out = _with_place(df, name, value, bounds)
+    heavy = _single_values(df, order[0], value, [v for v in bounds if splits[0].count(v) > 1])
     if not heavy or len(chosen) == 1:
-        return number.cast("long")
+        return out.withColumn(name, col(name).cast("long"))
     finer = sorted(set(splits[1]))
-    inner = _bucket(_orderable(df, order[1])[0], finer, _orderable(df, order[1])[1])
-    is_heavy = F.array_contains(_constant_array(heavy, dtype), value)
+    inner = fresh_name(out, "inner")
+    out = _with_place(out, inner, _orderable(df, order[1]), finer)
     width = len(finer) + 3
-    place = F.when(is_heavy, inner + 1).otherwise(width - 1)
-    return number.cast("long") * width + place
+    place = F.when(value.isin(heavy), col(inner) + 1).otherwise(width - 1)
+    return out.withColumn(name, col(name).cast("long") * width + place).drop(inner)
 
 
 # --- average ranks ----------------------------------------------------------------------
@@ -297,16 +299,12 @@ def average_ranks(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]
     Values are counted before they are ranked, so a heavy value is one row.
     """
     require_columns(df, columns)
-    splits, _ = _splits(df, columns)
     ranks = {}
-    for c, cut in zip(columns, splits):
-        dtype = _orderable(df, c)[1]
-        counts = (
-            df.filter(col(c).isNotNull())
-            .groupBy(col(c).alias("value"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("bucket", _bucket(F.col("value"), sorted(set(cut)), dtype))
+    for c, cut in zip(columns, _splits(df, columns)):
+        counted = (
+            df.filter(col(c).isNotNull()).groupBy(col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
         )
+        counts = _with_place(counted, "bucket", _orderable(counted, "value"), sorted(set(cut)))
         upto = F.sum("n").over(Window.partitionBy("bucket").orderBy("value"))
         sizes = counts.groupBy("bucket").agg(F.sum("n").alias("size"))
         before = F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -349,7 +347,7 @@ def forward_fill(
     fill = [c for c in (columns or df.columns) if c not in order_by and c not in partition_by]
     require_columns(df, fill)
     bucket = fresh_name(df, "bucket")
-    work = df.withColumn(bucket, range_bucket(df, order_by))
+    work = with_range_bucket(df, bucket, order_by)
     keys = [*partition_by, bucket]
     place = col(order_by[0]) if len(order_by) == 1 else F.struct(*map(col, order_by))
     ends = work.groupBy(*map(col, keys)).agg(
@@ -387,7 +385,7 @@ def row_numbers(df: DataFrame, order_by: Sequence[str], name: str = "row_number"
     """1-based row numbers in the given order, counted per bucket and shifted by what lies before."""
     require_columns(df, order_by)
     bucket = fresh_name(df, "bucket")
-    work = df.withColumn(bucket, range_bucket(df, order_by))
+    work = with_range_bucket(df, bucket, order_by)
     sizes = work.groupBy(bucket).agg(F.count(F.lit(1)).alias("__size"))
     before = F.sum("__size").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select(bucket, F.coalesce(before, F.lit(0)).alias("__before"))

@@ -137,3 +137,24 @@ def test_row_numbers(spark, monkeypatch, small):
     out = row_numbers(spark.createDataFrame(pairs, "a long, b long"), ["a", "b"], "n")
     assert [r[:2] for r in sorted(rows(out), key=lambda r: r[2])] == sorted(pairs)
     assert sorted(r[2] for r in rows(out)) == list(range(1, 201))
+
+
+def test_close_values_are_not_taken_for_one(spark, monkeypatch):
+    """Whole numbers beyond double precision fall together and must still be ordered."""
+    monkeypatch.setattr(ordering, "SMALL_BUCKET", 10)
+    base = 2**60
+    pairs = [(base + i, -i) for i in range(100)] + [(5, i) for i in range(100)]
+    out = row_numbers(spark.createDataFrame(pairs, "a long, b long").repartition(3), ["a", "b"], "n")
+    assert [r[:2] for r in sorted(rows(out), key=lambda r: r[2])] == sorted(pairs)
+
+
+def test_instants_are_ordered_in_any_time_zone(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "SMALL_BUCKET", 5)
+    start = datetime(2024, 3, 10, 1, 0)
+    times = [start + timedelta(minutes=5 * i, microseconds=i) for i in range(60)]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([(t, i) for i, t in enumerate(times)], "t timestamp_ntz, i long").repartition(4)
+        assert sorted(rows(row_numbers(df, ["t"], "n"), "i", "n")) == [(i, i + 1) for i in range(60)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
