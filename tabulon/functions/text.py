@@ -16,7 +16,7 @@ WHITE_CHARS = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}+"
-KEYWORD_PATTERN = r"[\p{L}\p{N}_]{4,}+"
+KEYWORD_PATTERN = r"(?=\p{Nd}*+[\p{L}\p{N}_&&[^\p{Nd}]])[\p{L}\p{N}_]{4,}+"
 NUMBER_PATTERN = r"(?=\p{Nd})(?<![\p{L}\p{N}_])\p{Nd}+(?:[.,]\p{Nd}+)?(?![\p{L}\p{N}_])"
 MAX_KEYWORDS = 20
 MAX_NUMBERS = 25
@@ -45,8 +45,7 @@ def tokens(text: Column) -> Column:
 
 def keywords(text: Column) -> Column:
     """First distinct words of more than three characters that are not plain digits."""
-    wanted = F.filter(_found(F.lower(text), KEYWORD_PATTERN), lambda t: ~t.rlike(r"^\p{Nd}+$"))
-    return F.slice(F.array_distinct(wanted), 1, MAX_KEYWORDS)
+    return F.slice(F.array_distinct(_found(F.lower(text), KEYWORD_PATTERN)), 1, MAX_KEYWORDS)
 
 
 def numbers(text: Column) -> Column:
@@ -55,7 +54,7 @@ def numbers(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(_found(text, r"(?U)[^\s\x1c-\x1f]+")).cast("long")
+    return F.size(_found(text, r"(?U)[^\s\x1c-\x1f]++")).cast("long")
 
 
 def occurrences(text: Column, needle: Column) -> Column:

@@ -17,6 +17,7 @@ from tabulon.session import ensure_checkpoint_dir
 PREVIEW_CHARS = 240
 COMPARED_CHARS = 240
 CONTAINED_FROM = 51
+FEW_PASSAGES = 200
 BROADCAST_HITS = 200_000
 
 
@@ -134,20 +135,34 @@ def _first_repeat(keys: Column) -> Column:
 
 
 def _kept_passages(passages: list[str]) -> int:
-    """How many passages come before the first that repeats an earlier one.
+    """How many passages come before the first that repeats an earlier one: equal, or one
+    contains the other and that has ``CONTAINED_FROM`` or more characters."""
+    if len(passages) > FEW_PASSAGES:
+        return _kept_of_many(passages)
+    long: list[str] = []
+    seen: set[str] = set()
+    for n, passage in enumerate(passages):
+        if passage in seen:
+            return n
+        if len(passage) >= CONTAINED_FROM:
+            if any(passage in other or other in passage for other in long):
+                return n
+            long.append(passage)
+        if passage:
+            seen.add(passage)
+    return len(passages)
 
-    Passages of ``CONTAINED_FROM`` or more characters also repeat when one contains the other;
-    such pairs share the opening of the contained one, which an index of openings finds.
-    """
+
+def _kept_of_many(passages: list[str]) -> int:
+    """The same for long texts, without comparing all pairs: a contained passage has its opening
+    somewhere in the other one, so an index of openings and of inner pieces finds the candidates."""
     seen: set[str] = set()
     openings: dict[str, list[str]] = {}
     inner: dict[str, list[str]] = {}
     for n, passage in enumerate(passages):
-        if not passage:
-            continue
-        pieces = [passage[i : i + CONTAINED_FROM] for i in range(len(passage) - CONTAINED_FROM + 1)]
         if passage in seen:
             return n
+        pieces = [passage[i : i + CONTAINED_FROM] for i in range(len(passage) - CONTAINED_FROM + 1)]
         if pieces:
             if any(passage in longer for longer in inner.get(pieces[0], ())):
                 return n
@@ -156,7 +171,8 @@ def _kept_passages(passages: list[str]) -> int:
             openings.setdefault(pieces[0], []).append(passage)
             for piece in set(pieces):
                 inner.setdefault(piece, []).append(passage)
-        seen.add(passage)
+        if passage:
+            seen.add(passage)
     return len(passages)
 
 

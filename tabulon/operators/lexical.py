@@ -166,40 +166,57 @@ def _search_block(documents: DataFrame, block: _Block, query_type: T.DataType, k
     return documents.select("id", "tokens", "searchable", "title").mapInArrow(best_of_partition, schema)
 
 
-def bm25(
+def index_documents(
     documents: DataFrame,
-    queries: DataFrame,
     id_column: str,
     text_column: str,
-    query_id: str,
-    query_text: str,
-    k: int = 8,
     titles: Sequence[str] = (),
     extra: Sequence[str] = (),
 ) -> DataFrame:
-    """(query_id, id, score, rank): the ``k`` best documents of every query.
-
-    Scores are summed in the task that reads a document and each task keeps its ``k`` best per
-    query, so the shuffle carries neither tokens nor (query, document) pairs.
-    """
+    """(id, tokens, searchable, title): what a search reads. Written once as a table, it saves
+    every later search the tokenising."""
     require_columns(documents, [id_column, text_column, *titles, *extra])
-    require_columns(queries, [query_id, query_text])
     searchable = joined_fields(documents, [*titles, text_column, *extra])
     title = F.lower(joined_fields(documents, titles)) if titles else F.lit("")
-    prepared = documents.select(
+    return documents.select(
         col(id_column).alias("id"), tokens(searchable).alias("tokens"),
         F.lower(searchable).alias("searchable"), title.alias("title"),
     )
+
+
+def search_index(index: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int = 8) -> DataFrame:
+    """(query_id, id, score, rank): the ``k`` best documents of every query.
+
+    Scores are summed in the task that reads a document and each task keeps its ``k`` best per
+    query, so the shuffle carries neither tokens nor (query, document) pairs.
+    """
+    require_columns(queries, [query_id, query_text])
     asked = queries.select(col(query_id), tokens(col(query_text)).alias("__tokens"), col(query_text))
     query_type = queries.schema[query_id].dataType
     size = F.octet_length(col(query_text))
     parts = [
-        _search_block(prepared, _Block.of(rows), query_type, k)
+        _search_block(index, _Block.of(rows), query_type, k)
         for rows in query_blocks(asked, query_id, "__tokens", size)
     ]
     return merge_hits(reduce(DataFrame.unionByName, parts), k)
 
 
+def bm25(
+    documents: DataFrame,
+    queries: DataFrame,
+    id_column: str,
+    text_column: str,
+    query_id: str,
+    query_text: str,
+    k: int = 8,
+    titles: Sequence[str] = (),
+    extra: Sequence[str] = (),
+) -> DataFrame:
+    """``search_index`` over documents that are not indexed yet."""
+    index = index_documents(documents, id_column, text_column, titles, extra)
+    return search_index(index, queries, query_id, query_text, k)
+
+
 def chunk_scores(
     chunks: DataFrame,
     query: str,
