@@ -160,20 +160,28 @@ def _pick(df: DataFrame, brackets: list[_Bracket]) -> dict[int, Any]:
     found: dict[int, Any] = {}
     by_type: dict[str, list[tuple[int, _Bracket]]] = {}
     for i, b in enumerate(brackets):
-        by_type.setdefault(data_type(df, b.column).simpleString(), []).append((i, b))
-    for group in by_type.values():
+        by_type.setdefault(_common_type(df, b), []).append((i, b))
+    for dtype, group in by_type.items():
         cells = [
-            F.when(b.covers(), F.struct(F.lit(i).alias("i"), col(b.column).alias("v"))) for i, b in group
+            F.when(b.covers(), F.struct(F.lit(i).alias("i"), col(b.column).cast(dtype).alias("v"))) for i, b in group
         ]
         skip = F.create_map(*[F.lit(x) for i, b in group for x in (i, b.rank - b.below)])[F.col("i")]
         values = df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("i", "v").count()
         upto = F.sum("count").over(Window.partitionBy("i").orderBy("v"))
         at_rank = (F.col("upto") > skip) & (F.col("upto") - F.col("count") <= skip)
         for row in values.withColumn("upto", upto).filter(at_rank).select("i", "v").collect():
-            found[id(brackets[row["i"]])] = row["v"]
+            bracket = brackets[row["i"]]
+            found[id(bracket)] = type(bracket.low)(row["v"])
     return found
 
 
+def _common_type(df: DataFrame, bracket: _Bracket) -> str:
+    """Columns whose values a double holds exactly share one job."""
+    dtype = data_type(df, bracket.column)
+    exact = isinstance(dtype, T.IntegralType) and max(abs(bracket.low), abs(bracket.high)) <= 2**53
+    return "double" if exact or isinstance(dtype, (T.DoubleType, T.FloatType)) else dtype.simpleString()
+
+
 def quantiles(df: DataFrame, wanted: dict[str, Sequence[float]], exact: bool = True) -> dict[str, list[Any]]:
     """Nearest-rank quantiles of many columns; ``exact=False`` takes one pass of sketches."""
     if not exact:

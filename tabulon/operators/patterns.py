@@ -25,12 +25,15 @@ def _empty(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], "kind string, subject string, strength double")
 
 
-def skew(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Columns whose mean lies far from the median, in deviations."""
+def skew(
+    df: DataFrame, columns: Sequence[str] | None = None, middle: dict[str, float | None] | None = None
+) -> DataFrame:
+    """Columns whose mean lies far from the median, in deviations. Known medians may be given."""
     names = list(columns or numeric_columns(df))[:SKEW_COLUMNS]
     if not names:
         return _empty(df)
-    middle = medians(df, names)
+    if middle is None:
+        middle = medians(df, names)
     one = df.agg(
         *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)],
         *[F.avg(col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(names)],
@@ -118,10 +121,14 @@ def missing_pattern(df: DataFrame) -> DataFrame:
 
 
 def patterns(
-    df: DataFrame, key: str | None, metrics: Sequence[str] | None = None, limit: int = PATTERNS_SHOWN
+    df: DataFrame,
+    key: str | None,
+    metrics: Sequence[str] | None = None,
+    limit: int = PATTERNS_SHOWN,
+    middle: dict[str, float | None] | None = None,
 ) -> DataFrame:
     """All patterns, the strongest first."""
-    found = skew(df, metrics).unionByName(strong_pairs(df)).unionByName(missing_pattern(df))
+    found = skew(df, metrics, middle).unionByName(strong_pairs(df)).unionByName(missing_pattern(df))
     if key:
         found = found.unionByName(rare_groups(df, key)).unionByName(concentrated(df, key))
     return found.orderBy(F.abs("strength").desc(), "kind", "subject").limit(limit)

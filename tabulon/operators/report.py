@@ -15,6 +15,7 @@ from tabulon.functions.text import truncate_cell
 from tabulon.operators.charts import histogram, scatter_points
 from tabulon.operators.explore import grouped, sortable
 from tabulon.operators.filters import apply_filters
+from tabulon.operators.ordering import quartiles
 from tabulon.operators.patterns import patterns
 from tabulon.operators.profile import value_text
 from tabulon.operators.stats import correlation_matrix, statistics, top_anomalies, top_correlations
@@ -155,12 +156,14 @@ def build_report(
     counted = df.agg(n).select(F.lit("source_rows").alias("fact"), F.col("n").alias("value")).union(
         work.agg(n).select(F.lit("filtered_rows"), F.col("n"))
     )
+    quarters = quartiles(work, numeric_columns(work))
+    middle = {c: values[1] for c, values in quarters.items()}
     tables = {
         "overview": df.sparkSession.createDataFrame(facts, "fact string, value string").union(counted),
-        "statistics": statistics(work).drop("most_common"),
+        "statistics": statistics(work, quarters=quarters).drop("most_common"),
         "groups": grouped_table(work, keys, names, top_n),
         "leaders": leaders(work, keys, names),
-        "patterns": patterns(work, keys[0] if keys else None, names or None),
+        "patterns": patterns(work, keys[0] if keys else None, names or None, middle=middle),
     }
     if names:
         tables["top_groups"] = top_tables(work, keys, names, top_n)

@@ -23,16 +23,20 @@ PAIRS_PER_PASS = 300
 
 
 def statistics(
-    df: DataFrame, columns: Sequence[str] | None = None, modes_kept: int = MODES_KEPT, exact: bool = True
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    modes_kept: int = MODES_KEPT,
+    exact: bool = True,
+    quarters: dict[str, tuple] | None = None,
 ) -> DataFrame:
     """One row per column. Numbers: mean, median, deviation, range, quartiles; text: distinct
-    values and modes; the rest: distinct values."""
+    values and modes; the rest: distinct values. Quartiles that are known need not be found again."""
     columns = list(columns or df.columns)
     require_columns(df, columns)
     numbers = [c for c in columns if is_numeric(data_type(df, c))]
     others = [c for c in columns if c not in numbers]
-    if not numbers:
-        quarters = {}
+    if quarters is not None or not numbers:
+        quarters = quarters or {}
     elif exact:
         quarters = quartiles(df, numbers)
     else:
