@@ -61,9 +61,13 @@ def delete_rows(chunks: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return chunks.join(gone.select(col(key)).distinct(), key, "left_anti")
 
 
-def replace_documents(chunks: DataFrame, fresh: DataFrame, document: str) -> DataFrame:
-    """The fresh chunks in place of all older chunks of their documents."""
-    return delete_rows(chunks, fresh, document).unionByName(fresh.select(*map(col, chunks.columns)))
+def replace_documents(
+    chunks: DataFrame, fresh: DataFrame, document: str, replaced: DataFrame | None = None
+) -> DataFrame:
+    """The fresh chunks in place of all older chunks of the replaced documents, which are by
+    default those with fresh chunks."""
+    gone = fresh if replaced is None else replaced
+    return delete_rows(chunks, gone, document).unionByName(fresh.select(*map(col, chunks.columns)))
 
 
 def reconcile(chunks: DataFrame, vectors: DataFrame, id_column: str) -> DataFrame:

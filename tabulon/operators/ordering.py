@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabulon.errors import InvalidRequest
 from tabulon.functions.schema import (
-    col, data_type, fresh_name, is_numeric, is_temporal, require_columns,
+    col, data_type, fresh_name, is_numeric, kind_of, require_columns,
 )
 
 ACCURACY = 10_000
@@ -235,18 +235,21 @@ def _orderable(df: DataFrame, name: str) -> Column:
     raise InvalidRequest(f"order column '{name}' must hold numbers or dates")
 
 
-def _splits(df: DataFrame, columns: Sequence[str]) -> list[list[float]]:
-    """Roughly equal-count split points per column, repeated where one value is heavy. They are
-    read once and then constants, so every pass cuts the same buckets."""
-    values = [_orderable(df, c) for c in columns]
+def _bucket_count(df: DataFrame) -> int:
     rows = df.count()
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(min(MAX_BUCKETS, rows // ROWS_PER_BUCKET), min(partitions, 1 + rows // SMALL_BUCKET))
+    return max(min(MAX_BUCKETS, rows // ROWS_PER_BUCKET), min(partitions, 1 + rows // SMALL_BUCKET))
+
+
+def _splits(df: DataFrame, columns: Sequence[str], buckets: int) -> list[list[float]]:
+    """Roughly equal-count split points per column, repeated where one value is heavy. They are
+    read once and then constants, so every pass cuts the same buckets."""
     if buckets == 1:
         return [[] for _ in columns]
     at = [i / buckets for i in range(1, buckets)]
+    accuracy = max(ACCURACY, 2 * buckets)
     row = df.agg(
-        *[F.percentile_approx(v, at, max(ACCURACY, 2 * buckets)).alias(f"c{i}") for i, v in enumerate(values)]
+        *[F.percentile_approx(_orderable(df, c), at, accuracy).alias(f"c{i}") for i, c in enumerate(columns)]
     ).first()
     return [[v for v in row[f"c{i}"] or [] if not math.isnan(v)] for i in range(len(columns))]
 
@@ -281,18 +284,22 @@ def with_range_bucket(df: DataFrame, name: str, order: Sequence[str]) -> DataFra
 
     A value that fills several buckets by itself is cut again by the second order column.
     """
-    _orderable(df, order[0])
-    chosen = [c for c in order[:2] if is_numeric(data_type(df, c)) or is_temporal(data_type(df, c))]
-    splits = _splits(df, chosen)
-    bounds = sorted(set(splits[0]))
     value = _orderable(df, order[0])
+    buckets = _bucket_count(df)
+    splits = _splits(df, order[:1], buckets)[0]
+    bounds = sorted(set(splits))
     out = _with_place(df, name, value, bounds)
-    heavy = _single_values(df, order[0], value, [v for v in bounds if splits[0].count(v) > 1])
-    if not heavy or len(chosen) == 1:
+    heavy = [v for v in bounds if splits.count(v) > 1]
+    second = next((c for c in order[1:2] if kind_of(data_type(df, c)) in ("number", "datetime")), None)
+    if second:
+        heavy = _single_values(df, order[0], value, heavy)
+    if not heavy or not second:
         return out.withColumn(name, col(name).cast("long"))
-    finer = sorted(set(splits[1]))
+    # All heavy values together get about as many pieces again as there are buckets.
+    pieces = max(2, min(buckets, MAX_BUCKETS // len(heavy)))
+    finer = sorted(set(_splits(df.filter(value.isin(heavy)), [second], pieces)[0]))
     inner = fresh_name(out, "inner")
-    out = _with_place(out, inner, _orderable(df, order[1]), finer)
+    out = _with_place(out, inner, _orderable(df, second), finer)
     width = len(finer) + 3
     place = F.when(value.isin(heavy), col(inner) + 1).otherwise(width - 1)
     return out.withColumn(name, col(name).cast("long") * width + place).drop(inner)
@@ -308,7 +315,7 @@ def average_ranks(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]
     """
     require_columns(df, columns)
     ranks = {}
-    for c, cut in zip(columns, _splits(df, columns)):
+    for c, cut in zip(columns, _splits(df, columns, _bucket_count(df))):
         counted = (
             df.filter(col(c).isNotNull()).groupBy(col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
         )

@@ -21,6 +21,7 @@ LOW_COMPLETENESS = 0.95
 HIGH_MISSING_PCT = 10
 CATEGORY_VALUES = 200
 INSIGHTS_SHOWN = 8
+LONG_TEXT = 64
 
 
 def from_one_row(one_row: DataFrame, rows: Sequence[Column]) -> DataFrame:
@@ -37,6 +38,21 @@ def value_text(df: DataFrame, name: str) -> Column:
     return col(name).cast("string")
 
 
+def compact_value(df: DataFrame, name: str) -> Column:
+    """A value to compare by: a long text stands as its SHA-256 hash, so texts are not shuffled."""
+    if not isinstance(data_type(df, name), T.StringType):
+        return col(name)
+    hashed = F.concat(F.lit("\x00"), F.sha2(col(name), 256))
+    return F.when(F.length(col(name)) <= LONG_TEXT, col(name)).otherwise(hashed)
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, unique): distinct values of all columns in one shuffle, null counted as one."""
+    require_columns(df, columns)
+    compact = df.select(*[compact_value(df, c).alias(c) for c in columns])
+    return value_counts(compact, columns).groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
+
+
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, n) for all columns in one shuffle, counted before it."""
     require_columns(df, columns)
@@ -95,7 +111,7 @@ def distinct_values(df: DataFrame, column: str, search: str = "", limit: int = 3
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: rows and rows that repeat an earlier one."""
-    whole = df.groupBy(*map(col, df.columns)).agg(F.count(F.lit(1)).alias("n"))
+    whole = df.groupBy(*[compact_value(df, c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
     return whole.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"),
@@ -189,7 +205,7 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     described = from_one_row(df.agg(*aggregates), structs)
     if not exact:
         return described
-    distinct = value_counts(df, df.columns).groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
+    distinct = distinct_counts(df, df.columns)
     return described.drop("unique").join(F.broadcast(distinct), "column", "left").select(
         "position", "column", "kind", "dtype", "missing", "missing_pct",
         F.coalesce("unique", F.lit(0)).cast("long").alias("unique"), "min", "max", "mean",

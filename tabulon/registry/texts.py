@@ -215,7 +215,7 @@ def chunk_delete_documents(spark, sf):
 )
 def reindex_swap(spark, sf):
     changed = texts(spark, sf, "documents").filter("lang = 'fr'").withColumn("text", F.concat(F.lit("Titre: "), "text"))
-    return replace_documents(stored_chunks(spark, sf), chunk_documents(changed, "doc_id", "text"), "doc_id")
+    return replace_documents(stored_chunks(spark, sf), chunk_documents(changed, "doc_id", "text"), "doc_id", changed)
 
 
 @query(

@@ -81,3 +81,10 @@ def test_columns_meta(mixed):
 def test_missing_counts_need_known_columns(mixed):
     with pytest.raises(InvalidRequest):
         missing_counts(mixed, ["nope"])
+
+
+def test_long_texts_are_told_apart(spark):
+    long = "x" * 100
+    df = spark.createDataFrame([(long,), (long,), (long + "y",), ("x",), (None,)], "t string")
+    assert profile(df).first()["unique"] == 4
+    assert rows(duplicate_rows(df)) == [(5, 1)]
