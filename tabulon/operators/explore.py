@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.errors import InvalidRequest
 from tabulon.functions.schema import col, data_type, is_numeric, require_columns
-from tabulon.operators.filters import apply_filters, plan_predicate
+from tabulon.operators.filters import all_filters, apply_filters, plan_predicate
 from tabulon.plans.specs import AGGREGATES, PLAN_LIMIT, AggSpec, Plan, QuerySpec, clamp
 
 # Names that mean "all rows", and the size at which a grouping is called large.
@@ -144,13 +144,19 @@ def run_plan(df: DataFrame, plan: Plan | dict | str) -> DataFrame:
     return work.limit(clamp(plan.limit, 1, PLAN_LIMIT))
 
 
-def observed_counts(df: DataFrame, spec: QuerySpec) -> tuple[DataFrame, Observation, Observation]:
-    """The full result plus source and filtered row counts taken while it is computed."""
-    source, kept = Observation("source"), Observation("filtered")
-    n = F.count(F.lit(1)).alias("rows")
-    filtered = apply_filters(df.observe(source, n), spec.filters).observe(kept, n)
-    rest = QuerySpec(**{**vars(spec), "filters": []})
-    return run_query(filtered, rest), source, kept
+def query_counts(df: DataFrame, spec: QuerySpec) -> DataFrame:
+    """One row: rows of the source, rows the filters keep, and rows of the unpaged result.
+
+    Counted by aggregates, which stay right when lost tasks run again; observed metrics may not.
+    """
+    counted = df.agg(
+        F.count(F.lit(1)).alias("source_rows"),
+        F.coalesce(F.count_if(all_filters(df, spec.filters)), F.lit(0)).alias("filtered_rows"),
+    )
+    if spec.mode == "raw":
+        return counted.withColumn("total_rows", F.col("filtered_rows"))
+    total = result_rows(df, spec).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return counted.withColumn("total_rows", total)
 
 
 def result_limits(result: DataFrame, mode: str, limit: int, warn_at: int = LARGE_GROUPING) -> DataFrame:

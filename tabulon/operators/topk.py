@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabulon.functions.schema import col
+from tabulon.session import ensure_checkpoint_dir
 
 # A block of queries is sent to every task; more queries are answered block by block.
 BLOCK_QUERIES = 2_000
@@ -18,18 +19,17 @@ SCORES_PER_STEP = 2_000_000
 
 
 def query_blocks(queries: DataFrame, id_column: str, payload: str, bytes_each: Column) -> Iterator[list[Any]]:
-    """The queries in blocks small enough to broadcast; each block is read on its own, so the
-    driver never holds more than one."""
-    size = queries.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(bytes_each), F.lit(0)).alias("bytes")
-    ).first()
+    """The queries in blocks small enough to broadcast. They are computed once and kept in the
+    checkpoint folder; each block is read on its own, so the driver never holds more than one."""
+    ensure_checkpoint_dir(queries.sparkSession)
+    wanted = queries.select(
+        col(id_column).alias("id"), col(payload).alias("payload"), bytes_each.alias("bytes")
+    ).checkpoint()
+    size = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
     blocks = max(1, -(-size["n"] // BLOCK_QUERIES), -(-int(size["bytes"]) // BLOCK_BYTES))
-    wanted = queries.select(col(id_column).alias("id"), col(payload).alias("payload"))
-    if blocks == 1:
-        yield wanted.orderBy("id").collect()
-        return
     for i in range(blocks):
-        yield wanted.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).orderBy("id").collect()
+        part = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)
+        yield part.orderBy("id").collect()
 
 
 class BestHits:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tabulon.functions.rounding import rounded
-from tabulon.operators.explore import chart_series, grouped, run_plan, run_query
+from tabulon.operators.explore import chart_series, grouped, query_counts, run_plan, run_query
 from tabulon.operators.profile import distinct_values, modes, top_values
 from tabulon.operators.stats import kpis
 from tabulon.plans.specs import EXPLORE_LIMIT, QuerySpec
@@ -156,6 +156,17 @@ def explore_grouped(spark, sf):
     return rounded(run_query(table(spark, sf, "lineitem"), EXPLORE, EXPLORE_LIMIT))
 
 
+@query(
+    "explore_counts",
+    """SELECT count(*) AS source_rows,
+    count(*) FILTER (l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31') AS filtered_rows,
+    (SELECT count(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem
+      WHERE l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31') g) AS total_rows FROM lineitem""",
+)
+def explore_counts(spark, sf):
+    return query_counts(table(spark, sf, "lineitem"), EXPLORE)
+
+
 @query(
     "explore_raw",
     """SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderpriority = '2-HIGH'

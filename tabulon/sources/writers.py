@@ -7,20 +7,15 @@ from collections.abc import Sequence
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tabulon.errors import EmptyInput
 from tabulon.functions.schema import col, require_columns
-from tabulon.operators.explore import observed_counts
+from tabulon.operators.explore import query_counts, run_query
 from tabulon.operators.report import long_form
 from tabulon.plans.specs import PLAN_LIMIT, Plan, QuerySpec
 
 
-def _observed(df: DataFrame) -> tuple[DataFrame, Observation]:
-    seen = Observation()
-    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
-
-
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """All rows with a header; null becomes an empty cell."""
     df.write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
@@ -28,17 +23,10 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def write_query_json(df: DataFrame, spec: QuerySpec, path: str, mode: str = "errorifexists") -> dict[str, Any]:
     """The full result of a query as JSON lines, with one row about it beside them."""
-    result, source, kept = observed_counts(df, spec)
-    result, total = _observed(result)
+    result = run_query(df, spec)
     result.write.mode(mode).option("ignoreNullFields", False).json(f"{path}/rows")
-    meta = {
-        "mode": spec.mode,
-        "source_rows": source.get["rows"],
-        "filtered_rows": kept.get["rows"],
-        "total_rows": total.get["rows"],
-        "group_by": list(spec.group_by),
-        "columns": result.columns,
-    }
+    counts = query_counts(df, spec).first()
+    meta = {"mode": spec.mode, **counts.asDict(), "group_by": list(spec.group_by), "columns": result.columns}
     df.sparkSession.createDataFrame([(json.dumps(meta, ensure_ascii=False),)], "value string").coalesce(
         1
     ).write.mode(mode).text(f"{path}/meta")
@@ -56,18 +44,18 @@ def save_derived(
 ) -> dict[str, Any]:
     """Write a derived table and, beside it, where it came from.
 
-    The rows are counted while they are written. An empty table is refused: it gets no lineage,
-    and without that a folder is no saved table.
+    The rows are counted in the written files, whose footers hold the number. An empty table is
+    refused: it gets no lineage, and without that a folder is no saved table.
     """
-    counted, seen = _observed(df)
-    counted.write.mode(mode).parquet(f"{path}/data")
-    if not seen.get["rows"]:
+    df.write.mode(mode).parquet(f"{path}/data")
+    written = df.sparkSession.read.schema(df.schema).parquet(f"{path}/data").count()
+    if not written:
         raise EmptyInput("the derived table has no rows")
     lineage = {
         "type": kind, "sources": list(sources), "steps": list(steps),
-        "rows_before": rows_before, "rows_after": seen.get["rows"],
+        "rows_before": rows_before, "rows_after": written,
     }
-    rows = [(kind, list(sources), list(steps), rows_before, lineage["rows_after"])]
+    rows = [(kind, list(sources), list(steps), rows_before, written)]
     schema = "type string, sources array<string>, steps array<string>, rows_before long, rows_after long"
     df.sparkSession.createDataFrame(rows, schema).coalesce(1).write.mode(mode).json(f"{path}/lineage")
     return lineage

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from tabulon.errors import InvalidRequest
 from tabulon.operators.explore import (
-    chart_series, grouped, head_sample, observed_counts, page, result_limits, run_plan, run_query, sort_rows,
+    chart_series, grouped, head_sample, page, query_counts, result_limits, run_plan, run_query, sort_rows,
 )
 from tabulon.plans.specs import EXPLORE_LIMIT, Plan, QuerySpec
 
@@ -85,11 +85,11 @@ def test_offset_pages_do_not_overlap(spark):
         page(df, 0, 10, [])
 
 
-def test_counts_are_observed_in_one_run(sales):
+def test_counts_of_a_query(sales):
     spec = QuerySpec(mode="grouped", filters=[{"column": "amount", "op": "gt", "value": 100}], group_by=["region"])
-    out, source, kept = observed_counts(sales, spec)
-    assert rows(out) == [("East", 1), ("West", 2)]
-    assert (source.get["rows"], kept.get["rows"]) == (4, 3)
+    assert rows(query_counts(sales, spec)) == [(4, 3, 2)]
+    assert rows(query_counts(sales, QuerySpec(filters=spec.filters, limit=1))) == [(4, 3, 3)]
+    assert rows(query_counts(sales.limit(0), QuerySpec())) == [(0, 0, 0)]
 
 
 def test_result_limits(spark):
