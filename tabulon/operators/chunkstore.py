@@ -15,6 +15,7 @@ from tabulon.session import ensure_checkpoint_dir
 
 # Preview and comparison widths, the length from which containment counts.
 PREVIEW_CHARS = 240
+BRIEF_CHARS = 1200
 COMPARED_CHARS = 240
 CONTAINED_FROM = 51
 FEW_PASSAGES = 200
@@ -79,33 +80,61 @@ def reconcile(chunks: DataFrame, vectors: DataFrame, id_column: str) -> DataFram
     return both.select(col(id_column), status.alias("status")).filter(F.col("status").isNotNull())
 
 
-def retrieved_context(
-    hits: DataFrame,
-    chunks: DataFrame,
-    id_column: str,
-    text: str = "text",
-    title: str | None = None,
-    preview_chars: int = PREVIEW_CHARS,
+def _hits_with_text(
+    hits: DataFrame, chunks: DataFrame, id_column: str, text: str, title: str | None
 ) -> DataFrame:
-    """Per query the text of its ranked hits as numbered blocks; a query has at most k of them.
+    """(query_id, rank, id, score, title, body); a chunk without title shows its id.
 
     The hits are computed once and counted; when they are few, they travel to the texts, so the
     texts are not shuffled.
     """
     ensure_checkpoint_dir(hits.sparkSession)
-    hits = hits.select("query_id", "id", "rank").checkpoint()
-    if hits.count() <= BROADCAST_HITS:
-        hits = F.broadcast(hits)
-    head = F.lit("") if title is None else F.coalesce(col(title).cast("string"), F.lit(""))
-    looked_up = chunks.select(col(id_column).alias("id"), head.alias("title"), col(text).alias("body"))
-    block = F.concat(
-        F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("title"),
-        F.lit("\n"), F.substring("body", 1, preview_chars),
-    )
+    few = hits.select("query_id", "id", "rank", "score").checkpoint()
+    if few.count() <= BROADCAST_HITS:
+        few = F.broadcast(few)
+    shown = col(id_column).cast("string")
+    if title is not None:
+        shown = F.coalesce(F.nullif(col(title).cast("string"), F.lit("")), shown)
+    texts = chunks.select(col(id_column).alias("id"), shown.alias("title"), F.coalesce(col(text), F.lit("")).alias("body"))
+    return texts.join(few, "id")
+
+
+def _joined_blocks(found: DataFrame, block: Column, joiner: str) -> DataFrame:
+    """The blocks of each query in rank order; a query has at most k of them."""
     gathered = F.array_sort(F.collect_list(F.struct("rank", block.alias("block"))))
-    return looked_up.join(hits, "id").groupBy("query_id").agg(
+    return found.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("sources"),
-        F.array_join(F.transform(gathered, lambda b: b["block"]), "\n\n").alias("context"),
+        F.array_join(F.transform(gathered, lambda b: b["block"]), joiner).alias("context"),
+    )
+
+
+def retrieved_context(
+    hits: DataFrame, chunks: DataFrame, id_column: str, text: str = "text", title: str | None = None
+) -> DataFrame:
+    """Per query the whole texts of its ranked hits, as numbered blocks with a line between them."""
+    found = _hits_with_text(hits, chunks, id_column, text, title)
+    block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] ("), "title", F.lit(")\n"), "body")
+    return _joined_blocks(found, block, "\n\n---\n\n")
+
+
+def brief_context(
+    hits: DataFrame, chunks: DataFrame, id_column: str, text: str = "text", title: str | None = None
+) -> DataFrame:
+    """The short form that goes beside a table summary: the opening of each hit."""
+    found = _hits_with_text(hits, chunks, id_column, text, title)
+    opening = F.substring("body", 1, BRIEF_CHARS)
+    block = F.concat(F.lit("[K"), F.col("rank").cast("string"), F.lit("] "), "title", F.lit("\n"), opening)
+    return _joined_blocks(found, block, "\n\n")
+
+
+def hit_sources(
+    hits: DataFrame, chunks: DataFrame, id_column: str, text: str = "text", title: str | None = None
+) -> DataFrame:
+    """One row per hit: rank, chunk, title, score and a preview."""
+    found = _hits_with_text(hits, chunks, id_column, text, title)
+    return found.select(
+        "query_id", "rank", F.col("id").alias("chunk_id"), "title", "score",
+        F.substring("body", 1, PREVIEW_CHARS).alias("preview"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tabulon.operators.chunkstore import retrieved_context
+from tabulon.operators.chunkstore import brief_context, hit_sources, retrieved_context
 from tabulon.operators.lexical import bm25, index_documents, search_index
 from tabulon.operators.vectors import embed, hybrid_search, vector_topk
 from tabulon.registry.base import query, scratch_path, table, texts
@@ -130,12 +130,37 @@ def hybrid_rrf(spark, sf):
     return hybrid_search(documents, asked, "doc_id", "text", "embedding", "item_id", "text", "embedding")
 
 
+def _context_sql(select: str) -> str:
+    return f"""WITH {bm25_ctes('documents')}, k AS (SELECT * FROM {ranked_sql('scored', 3)} x) {select}"""
+
+
+def _hits(spark, sf):
+    documents = texts(spark, sf, "documents")
+    return _search(spark, documents, sf, 3), documents
+
+
 @query(
     "rag_context",
-    f"""WITH {bm25_ctes('documents')}, k AS (SELECT * FROM {ranked_sql('scored', 3)} x)
-    SELECT query_id, count(*) AS sources, string_agg('[' || rank || '] ' || source || chr(10) || substring(text, 1, 240),
-      chr(10) || chr(10) ORDER BY rank) AS context FROM k JOIN documents ON doc_id = id GROUP BY 1""",
+    _context_sql("""SELECT query_id, count(*) AS sources, string_agg('[' || rank || '] (' || source || ')' || chr(10) || text,
+      chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM k JOIN documents ON doc_id = id GROUP BY 1"""),
 )
 def rag_context(spark, sf):
-    documents = texts(spark, sf, "documents")
-    return retrieved_context(_search(spark, documents, sf, 3), documents, "doc_id", "text", "source")
+    return retrieved_context(*_hits(spark, sf), "doc_id", "text", "source")
+
+
+@query(
+    "rag_brief_context",
+    _context_sql("""SELECT query_id, count(*) AS sources, string_agg('[K' || rank || '] ' || doc_id || chr(10) || substring(text, 1, 1200),
+      chr(10) || chr(10) ORDER BY rank) AS context FROM k JOIN documents ON doc_id = id GROUP BY 1"""),
+)
+def rag_brief_context(spark, sf):
+    return brief_context(*_hits(spark, sf), "doc_id")
+
+
+@query(
+    "rag_sources",
+    _context_sql("""SELECT query_id, rank, id AS chunk_id, source AS title, score, substring(text, 1, 240) AS preview
+      FROM k JOIN documents ON doc_id = id"""),
+)
+def rag_sources(spark, sf):
+    return hit_sources(*_hits(spark, sf), "doc_id", "text", "source")

@@ -12,7 +12,7 @@ from tabulon.operators.chunking import (
     cap_chunks, chunk_context, chunk_documents, lines_to_documents, rows_to_lines, size_flags,
 )
 from tabulon.operators.chunkstore import (
-    _kept_of_many, _kept_passages, chunk_stats, cut_repeats, delete_rows, linked_documents, merge_metadata, reconcile,
+    _kept_of_many, _kept_passages, brief_context, chunk_stats, cut_repeats, delete_rows, hit_sources, linked_documents, merge_metadata, reconcile,
     replace_documents, retrieved_context, update_chunks,
 )
 from tabulon.operators.lexical import list_chunks
@@ -182,8 +182,12 @@ def test_chunk_list_scores(spark, chunks):
 
 
 def test_context_is_ordered_by_rank(spark, chunks):
-    hits = spark.createDataFrame([(1, "old-2", 1), (1, "old-1", 2)], "query_id long, id string, rank int")
-    assert rows(retrieved_context(hits, chunks, "chunk_id")) == [(1, 2, "[1] \nBeta\n\n[2] \nalpha beta")]
+    hits = spark.createDataFrame([(1, "old-2", 1, 0.5), (1, "old-1", 2, 0.4)], "query_id long, id string, rank int, score double")
+    assert rows(retrieved_context(hits, chunks, "chunk_id")) == [(1, 2, "[1] (old-2)\nBeta\n\n---\n\n[2] (old-1)\nalpha beta")]
+    titled = chunks.withColumn("title", F.when(F.col("chunk_index") == 1, "T").otherwise("")).withColumn("text", F.repeat("text", 400))
+    brief = brief_context(hits, titled, "chunk_id", title="title").first()["context"]
+    assert brief == "[K1] T\n" + ("Beta" * 300) + "\n\n[K2] old-1\n" + ("alpha beta" * 120)
+    assert rows(hit_sources(hits, chunks, "chunk_id"), "rank", "title", "score", "preview") == [(1, "old-2", 0.5, "Beta"), (2, "old-1", 0.4, "alpha beta")]
 
 
 def slow_kept(passages):
