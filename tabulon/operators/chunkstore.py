@@ -11,7 +11,7 @@ from tabulon.functions.rounding import half_up
 from tabulon.functions.schema import col, require_columns
 from tabulon.functions.text import normalize, strip, word_count
 from tabulon.operators.chunking import PARAGRAPH_BREAK
-from tabulon.session import ensure_checkpoint_dir
+from tabulon.session import computed_once
 
 # Preview and comparison widths, the length from which containment counts.
 PREVIEW_CHARS = 240
@@ -88,8 +88,7 @@ def _hits_with_text(
     The hits are computed once and counted; when they are few, they travel to the texts, so the
     texts are not shuffled.
     """
-    ensure_checkpoint_dir(hits.sparkSession)
-    few = hits.select("query_id", "id", "rank", "score").checkpoint()
+    few = computed_once(hits.select("query_id", "id", "rank", "score"))
     if few.count() <= BROADCAST_HITS:
         few = F.broadcast(few)
     shown = col(id_column).cast("string")

@@ -59,10 +59,8 @@ def strong_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     names = list(columns or numeric_columns(df))[:PAIR_COLUMNS]
     if len(names) < 2:
         return _empty(df)
-    work = complete_rows(df, names)
-    n = work.agg(F.count(F.lit(1)).alias("n")).scalar()
-    found = _pairs(work, [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]])
-    return found.filter((F.abs("corr") >= PAIR_AT) & (n >= MIN_ROWS)).select(
+    found = _pairs(complete_rows(df, names), [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]])
+    return found.filter((F.abs("corr") >= PAIR_AT) & (F.col("rows") >= MIN_ROWS)).select(
         F.lit("correlation").alias("kind"),
         F.concat("a", F.lit(" ~ "), "b").alias("subject"),
         half_up(F.col("corr"), 3).alias("strength"),

@@ -12,6 +12,7 @@ from tabulon.functions.schema import (
     col, data_type, is_numeric, is_temporal, kind_of, require_columns,
 )
 from tabulon.plans.specs import clamp
+from tabulon.session import computed_once
 
 # How many common values are kept, and the shares that count as a problem.
 TOP_VALUES = 5
@@ -66,24 +67,20 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int = TOP_VALUES) -> DataFrame:
     """The most common non-null values of each column."""
-    best = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    return (
-        value_counts(df, columns)
-        .filter(F.col("value").isNotNull())
-        .withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= k)
-    )
+    return _best_values(value_counts(df, columns), k)
+
+
+def _best_values(counts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most common values per column. Null ranks last and goes after the ranking: a
+    filter before it would count the values a second time where the counts are used elsewhere."""
+    best = Window.partitionBy("column").orderBy(F.col("value").isNull(), F.desc("n"), F.asc("value"))
+    ranked = counts.withColumn("rank", F.row_number().over(best))
+    return ranked.filter((F.col("rank") <= k) & F.col("value").isNotNull())
 
 
 def most_common(counts: DataFrame, k: int = MODES_KEPT) -> DataFrame:
     """Of (column, value, n): the values that reach the column's largest count, at most ``k``."""
-    best = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    top = (
-        counts.filter(F.col("value").isNotNull())
-        .withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= k)
-        .withColumn("most", F.max("n").over(Window.partitionBy("column")))
-    )
+    top = _best_values(counts, k).withColumn("most", F.max("n").over(Window.partitionBy("column")))
     return top.filter(F.col("n") == F.col("most")).select("column", "value", "n")
 
 
@@ -214,8 +211,7 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
 
 def profile_insights(df: DataFrame) -> DataFrame:
     """The notable facts of a profile as (position, rule, column, value), at most eight."""
-    described = profile(df)
-    whole = quality(df)
+    described, whole = computed_once(profile(df)), computed_once(quality(df))
     rows, complete, repeated = F.col("rows"), F.col("completeness"), F.col("duplicate_rows")
     numbers = described.filter(F.col("kind") == "number").agg(F.count(F.lit(1)).alias("n"))
     categories = described.filter((F.col("kind") != "number") & (F.col("unique") <= CATEGORY_VALUES))

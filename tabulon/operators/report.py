@@ -17,9 +17,10 @@ from tabulon.operators.explore import grouped, sortable
 from tabulon.operators.filters import apply_filters
 from tabulon.operators.ordering import quartiles
 from tabulon.operators.patterns import patterns
-from tabulon.operators.profile import value_text
+from tabulon.operators.profile import from_one_row, value_text
 from tabulon.operators.stats import correlation_matrix, statistics, top_anomalies, top_correlations
 from tabulon.plans.specs import AggSpec, FilterSpec, clamp
+from tabulon.session import computed_once
 
 # Report kinds, default sizes, shares that count as concentrated.
 REPORT_KINDS = ("summary", "executive", "full")
@@ -46,10 +47,10 @@ def _by_size(keys: Sequence[str]) -> list:
 
 def grouped_table(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], top_n: int = 10) -> DataFrame:
     """The largest groups by rows, twice ``top_n`` of them, with their share of all rows."""
-    groups = group_facts(df, keys, metrics)
-    total = groups.agg(F.sum("count").alias("t")).scalar()
+    total = df.agg(F.count(F.lit(1)).alias("t")).scalar()
     return (
-        groups.orderBy(*_by_size(keys))
+        group_facts(df, keys, metrics)
+        .orderBy(*_by_size(keys))
         .limit(2 * clamp(top_n, 3, 50))
         .withColumn("share_pct", half_up(100.0 * F.col("count") / total, 2))
     )
@@ -89,18 +90,25 @@ def _label(keys: Sequence[str]):
 def leaders(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """(fact, label, value, share): the largest group, a dominating top three, and the leader of
     each metric."""
-    rows = grouped_table(df, keys, [], 3)
-    first = rows.orderBy(*_by_size(keys)).limit(1).select(
-        F.lit("largest_group").alias("fact"), _label(keys).alias("label"),
-        F.col("count").cast("double").alias("value"), F.col("share_pct").alias("share"),
-    )
-    three = (
-        rows.orderBy(*_by_size(keys)).limit(TOP_SHARE_OF)
-        .agg(F.sum("count").cast("double").alias("value"), half_up(F.sum("share_pct"), 1).alias("share"))
-        .filter(F.col("share") >= TOP_SHARE_PCT)
-        .select(F.lit("top_three_share").alias("fact"), F.lit("").alias("label"), "value", "share")
-    )
-    out = first.unionByName(three)
+    top = grouped_table(df, keys, [], 3).orderBy(*_by_size(keys)).limit(TOP_SHARE_OF)
+    # Three rows at most reach this window.
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*_by_size(keys))))
+    first = F.col("rank") == 1
+    facts = ranked.agg(
+        F.count(F.lit(1)).alias("groups"),
+        F.max(F.when(first, _label(keys))).alias("label"),
+        F.max(F.when(first, F.col("count"))).cast("double").alias("most"),
+        F.max(F.when(first, F.col("share_pct"))).alias("most_share"),
+        F.sum("count").cast("double").alias("three"),
+        half_up(F.sum("share_pct"), 1).alias("three_share"),
+    ).filter("groups > 0")
+    out = from_one_row(
+        facts,
+        [
+            F.struct(F.lit("largest_group").alias("fact"), "label", F.col("most").alias("value"), F.col("most_share").alias("share")),
+            F.struct(F.lit("top_three_share").alias("fact"), F.lit("").alias("label"), F.col("three").alias("value"), F.col("three_share").alias("share")),
+        ],
+    ).filter((F.col("fact") == "largest_group") | (F.col("share") >= TOP_SHARE_PCT))
     if metrics:
         best = top_tables(df, keys, metrics, 3).filter(F.col("rank") == 1).select(
             F.concat(F.lit("top_"), "metric").alias("fact"), _label(keys).alias("label"),
@@ -197,7 +205,7 @@ def context_summary(
     """(section, item, payload): statistics of every column, a few sample rows, the first groups
     and the strongest correlations as JSON, all taken over all rows."""
     work = apply_filters(df, filters)
-    described = statistics(work, modes_kept=SUMMARY_MODES)
+    described = computed_once(statistics(work, modes_kept=SUMMARY_MODES))
     parts = [
         described.select(
             F.lit("column_stats").alias("section"), F.col("column").alias("item"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tabulon.errors import InvalidRequest
 from tabulon.functions.rounding import half_up
 from tabulon.functions.schema import col, numeric_columns, require_columns, require_numeric
-from tabulon.functions.temporal import as_datetime, in_period, parse_boundary, period_text
+from tabulon.functions.temporal import as_datetime, in_period, parse_boundary, period_start
 from tabulon.operators.explore import aggregate_column
 from tabulon.operators.profile import from_one_row
 from tabulon.plans.specs import clamp
@@ -39,7 +39,7 @@ def timeseries(
     if agg not in SERIES_AGGREGATES:
         raise InvalidRequest(f"agg must be one of {', '.join(SERIES_AGGREGATES)}")
     names = require_numeric(df, metrics)
-    period = period_text(as_datetime(df, date_column), granularity)
+    period = period_start(as_datetime(df, date_column), granularity)
     grouped = (
         df.groupBy(period.alias("period"))
         .agg(*[aggregate_column(m, agg).alias(m) for m in names])
@@ -50,7 +50,7 @@ def timeseries(
     # At most 2000 rows reach this window.
     order = Window.orderBy("period")
     return grouped.select(
-        "period",
+        F.date_format("period", "yyyy-MM-dd").alias("period"),
         *map(col, names),
         *[change_pct(col(m), F.lag(col(m)).over(order)).alias(f"{m}__delta_pct") for m in names],
     )

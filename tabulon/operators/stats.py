@@ -76,18 +76,12 @@ def statistics(
             "most_common", F.lit(None).cast("array<string>")
         )
     counts = value_counts(df, others)
-    unique = counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
-    facts = unique
+    # Reading ``n`` here lets both uses of the counts share one shuffle.
+    unique = counts.groupBy("column").agg(F.count_if(F.col("n") > 0).alias("unique"))
     texts = [c for c in others if isinstance(data_type(df, c), T.StringType)]
-    if texts:
-        common = (
-            most_common(counts.filter(F.col("column").isin(texts)), modes_kept)
-            .groupBy("column")
-            .agg(F.array_sort(F.collect_list("value")).alias("most_common"))
-        )
-        facts = unique.join(common, "column", "left")
-    else:
-        facts = unique.withColumn("most_common", F.lit(None).cast("array<string>"))
+    shown = F.when(F.col("column").isin(texts), F.array_sort(F.collect_list("value"))) if texts else F.lit(None)
+    common = most_common(counts, modes_kept).groupBy("column").agg(shown.cast("array<string>").alias("most_common"))
+    facts = unique.join(common, "column", "left")
     return described.join(F.broadcast(facts), "column", "left").select(
         "position", "column", "dtype", "count", "missing", "mean", "median", "std", "min", "max",
         "q25", "q75", "unique", "most_common",
@@ -140,16 +134,19 @@ def _correlation(a: Column, b: Column) -> Column:
 
 
 def _pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """(a, b, corr) for each pair; many pairs share one pass, very many take several."""
+    """(a, b, corr, rows) for each pair; many pairs share one pass, very many take several."""
     parts = []
     for at in range(0, len(pairs), PAIRS_PER_PASS):
         some = pairs[at : at + PAIRS_PER_PASS]
-        one = df.agg(*[_correlation(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(some)])
+        one = df.agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[_correlation(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(some)],
+        )
         parts.append(
             from_one_row(
                 one,
                 [
-                    F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("corr"))
+                    F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("corr"), "rows")
                     for i, (a, b) in enumerate(some)
                 ],
             )
@@ -189,6 +186,7 @@ def top_correlations(
     found = _pairs(df, [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]])
     return (
         found.filter(F.abs("corr") >= at_least)
+        .drop("rows")
         .withColumn("corr", half_up(F.col("corr"), 4))
         .orderBy(F.abs("corr").desc(), "a", "b")
         .limit(limit)

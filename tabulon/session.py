@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.errors import InvalidRequest
 
@@ -39,3 +39,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="tabulon-checkpoint-")
     context.setCheckpointDir(named)
     return named
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """The rows of a small result that is read several times, kept in the checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
