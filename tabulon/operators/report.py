@@ -105,8 +105,14 @@ def leaders(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataF
     out = from_one_row(
         facts,
         [
-            F.struct(F.lit("largest_group").alias("fact"), "label", F.col("most").alias("value"), F.col("most_share").alias("share")),
-            F.struct(F.lit("top_three_share").alias("fact"), F.lit("").alias("label"), F.col("three").alias("value"), F.col("three_share").alias("share")),
+            F.struct(
+                F.lit("largest_group").alias("fact"), "label", F.col("most").alias("value"),
+                F.col("most_share").alias("share"),
+            ),
+            F.struct(
+                F.lit("top_three_share").alias("fact"), F.lit("").alias("label"), F.col("three").alias("value"),
+                F.col("three_share").alias("share"),
+            ),
         ],
     ).filter((F.col("fact") == "largest_group") | (F.col("share") >= TOP_SHARE_PCT))
     if metrics:

@@ -85,24 +85,33 @@ def chunk_paragraphs(spark, sf):
     return chunk_documents(_spaced(spark, sf), "doc_id", "text").select("doc_id", "text", "chunk_index")
 
 
-SECTIONS = f"""WITH k AS ({packed_sql("## ")}), first AS (SELECT *, {strip_sql("string_split(text, chr(10))[1]")} AS line FROM k),
-m AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}}[{SPACES}]+.') THEN {strip_sql(f"regexp_replace(line, '^#{{1,6}}[{SPACES}]+', '')")}
+def sections_sql(chunks: str) -> str:
+    """Section title and level of every chunk, carried on within its document."""
+    mark = f"^#{{1,6}}[{SPACES}]+"
+    return f"""WITH k AS ({chunks}), first AS (SELECT *, {strip_sql("string_split(text, chr(10))[1]")} AS line FROM k),
+m AS (SELECT *, CASE WHEN regexp_matches(line, '{mark}.') THEN {strip_sql(f"regexp_replace(line, '{mark}', '')")}
     WHEN length(line) < 120 AND line = upper(line) AND regexp_matches(line, '[A-ZА-ЯЁ]') THEN line END AS title,
-  CASE WHEN regexp_matches(line, '^#{{1,6}}[{SPACES}]+.') THEN length(regexp_extract(line, '^#+')) END AS level FROM first)
+  CASE WHEN regexp_matches(line, '{mark}.') THEN length(regexp_extract(line, '^#+')) END AS level FROM first)
 SELECT doc_id, chunk_index, last_value(title IGNORE NULLS) OVER w AS section_title, last_value(level IGNORE NULLS) OVER w AS section_level
 FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
 
-@query("chunk_sections", SECTIONS)
+def _sections(described):
+    return described.select("doc_id", "chunk_index", "metadata.section_title", "metadata.section_level")
+
+
+@query("chunk_sections", sections_sql(packed_sql("## ")))
 def chunk_sections(spark, sf):
     """Lines as headings: chunks cut from a long line carry its title on."""
-    described = chunk_documents(_spaced(spark, sf, "## "), "doc_id", "text", context=True)
-    return described.select("doc_id", "chunk_index", "metadata.section_title", "metadata.section_level")
+    return _sections(chunk_documents(_spaced(spark, sf, "## "), "doc_id", "text", context=True))
 
 
-@query("chunk_context")
+@query("chunk_context", sections_sql(packed_sql("# ")))
 def chunk_context_(spark, sf):
-    return chunk_context(stored_chunks(spark, sf), "doc_id")
+    """The same for a stored chunk table."""
+    path = scratch_path(spark, "headed")
+    chunk_documents(_spaced(spark, sf, "# "), "doc_id", "text").write.parquet(path)
+    return _sections(chunk_context(spark.read.parquet(path), "doc_id"))
 
 
 @query("chunk_metadata")

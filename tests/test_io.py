@@ -2,7 +2,6 @@ import json
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import rows
 from tabulon.errors import EmptyInput, InvalidRequest
