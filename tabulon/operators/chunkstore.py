@@ -11,6 +11,7 @@ from tabulon.functions.rounding import half_up
 from tabulon.functions.schema import col, require_columns
 from tabulon.functions.text import normalize, strip, word_count
 from tabulon.operators.chunking import PARAGRAPH_BREAK
+from tabulon.operators.joins import lookup_keys
 from tabulon.session import computed_once
 
 # Preview and comparison widths, the length from which containment counts.
@@ -59,7 +60,7 @@ def merge_metadata(old: Column, new: Column) -> Column:
 
 def delete_rows(chunks: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Chunks whose key does not occur in ``gone``: by chunk id or by document."""
-    return chunks.join(gone.select(col(key)).distinct(), key, "left_anti")
+    return chunks.join(lookup_keys(gone, [key], [key]), key, "left_anti")
 
 
 def replace_documents(
@@ -142,7 +143,7 @@ def linked_documents(tables: DataFrame, chunks: DataFrame, table_id: str, source
     per_document = chunks.filter(col(source).isNotNull()).groupBy(col(source), col(document)).agg(
         F.count(F.lit(1)).alias("chunk_count")
     )
-    ids = tables.select(col(table_id).alias("__table")).distinct()
+    ids = lookup_keys(tables, [table_id], ["__table"])
     return per_document.join(ids, col(source) == F.col("__table"), "left_semi")
 
 

@@ -15,6 +15,7 @@ from tabulon.functions.schema import col, require_columns
 KINDS = ("inner", "left", "right", "full", "semi", "anti")
 OVERLAP_MARK = "__right"
 FULL_KEY_MARK = "_r"
+COPIES = 16
 
 
 def _check(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str], how: str):
@@ -26,9 +27,14 @@ def _check(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on:
     require_columns(right, right_on, "right join key")
 
 
-def _distinct_keys(df: DataFrame, keys: Sequence[str], stem: str) -> DataFrame:
-    """Each key once, so that no key of the looked-up side is heavy."""
-    return df.select(*[col(k).alias(f"{stem}{i}") for i, k in enumerate(keys)]).distinct()
+def lookup_keys(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """The keys of a looked-up side, each a few times at most, so that none is heavy.
+
+    Fully distinct keys would already lie as the join wants them, and a join that does not
+    shuffle a side itself cannot split a heavy key of the other one.
+    """
+    copy = F.pmod(F.spark_partition_id(), F.lit(COPIES)).alias("__copy")
+    return df.select(*[col(k).alias(n) for k, n in zip(keys, names)], copy).distinct().drop("__copy")
 
 
 def _has_keys(keys: Sequence[str]) -> Column:
@@ -38,7 +44,7 @@ def _has_keys(keys: Sequence[str]) -> Column:
 def _keep_by_key(
     df: DataFrame, other: DataFrame, on: Sequence[str], other_on: Sequence[str], how: str
 ) -> DataFrame:
-    keys = _distinct_keys(other, other_on, "__key_")
+    keys = lookup_keys(other, other_on, [f"__key_{i}" for i in range(len(on))])
     return df.join(keys, reduce(and_, [col(k) == F.col(f"__key_{i}") for i, k in enumerate(on)]), how)
 
 

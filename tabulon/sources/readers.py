@@ -89,14 +89,16 @@ def content_duplicates(df: DataFrame, id_column: str, content: str) -> DataFrame
     """Every record with the first record of the same content.
 
     The first ids come from an aggregate, which merges the copies of one content before the
-    shuffle, and join back on the hash, where adaptive execution can split a heavy content.
+    shuffle. They join back on another form of the hash: a side that lies as the join wants it
+    is not shuffled again, and then adaptive execution cannot split a content with many copies.
     """
     require_columns(df, [id_column, content])
     hashed = df.select(col(id_column), F.sha2(col(content).cast("string"), 256).alias("content_hash"))
     firsts = hashed.groupBy("content_hash").agg(
         F.min(col(id_column)).alias("first_id"), F.count(F.lit(1)).alias("copies")
     )
-    return hashed.join(firsts, "content_hash").select(
+    backwards = F.reverse("content_hash").alias("__hash")
+    return hashed.select("*", backwards).join(firsts.select(backwards, "first_id", "copies"), "__hash").select(
         col(id_column), "content_hash", "first_id", "copies",
         (col(id_column) != F.col("first_id")).alias("is_duplicate"),
     )
