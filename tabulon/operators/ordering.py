@@ -282,27 +282,34 @@ def _single_values(df: DataFrame, name: str, value: Column, heavy: list[float])
 def with_range_bucket(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
     """Add a bucket number that grows with the first order column.
 
-    A value that fills several buckets by itself is cut again by the second order column.
+    A value that fills several buckets by itself is cut again by the second order column, if that
+    holds numbers or dates, or by a hash of the row, if there is no second one: then its rows have
+    no order among themselves.
     """
     value = _orderable(df, order[0])
     buckets = _bucket_count(df)
     splits = _splits(df, order[:1], buckets)[0]
     bounds = sorted(set(splits))
     out = _with_place(df, name, value, bounds)
-    heavy = [v for v in bounds if splits.count(v) > 1]
-    second = next((c for c in order[1:2] if kind_of(data_type(df, c)) in ("number", "datetime")), None)
-    if second:
-        heavy = _single_values(df, order[0], value, heavy)
-    if not heavy or not second:
+    heavy = _single_values(df, order[0], value, [v for v in bounds if splits.count(v) > 1])
+    tie = fresh_name(out, "tie")
+    if len(order) == 1:
+        hashed = [c for c in df.columns if "map<" not in data_type(df, c).simpleString()]
+        tie_value = F.xxhash64(*map(col, hashed)).cast("double")
+    elif kind_of(data_type(df, order[1])) in ("number", "datetime"):
+        tie_value = _orderable(df, order[1])
+    else:
+        heavy = []
+    if not heavy:
         return out.withColumn(name, col(name).cast("long"))
     # All heavy values together get about as many pieces again as there are buckets.
     pieces = max(2, min(buckets, MAX_BUCKETS // len(heavy)))
-    finer = sorted(set(_splits(df.filter(value.isin(heavy)), [second], pieces)[0]))
-    inner = fresh_name(out, "inner")
-    out = _with_place(out, inner, _orderable(df, second), finer)
+    ties = df.filter(value.isin(heavy)).select(tie_value.alias(tie))
+    finer = sorted(set(_splits(ties, [tie], pieces)[0]))
+    out = _with_place(out, tie, tie_value, finer)
     width = len(finer) + 3
-    place = F.when(value.isin(heavy), col(inner) + 1).otherwise(width - 1)
-    return out.withColumn(name, col(name).cast("long") * width + place).drop(inner)
+    place = F.when(value.isin(heavy), col(tie) + 1).otherwise(width - 1)
+    return out.withColumn(name, col(name).cast("long") * width + place).drop(tie)
 
 
 # --- average ranks ----------------------------------------------------------------------

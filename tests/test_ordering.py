@@ -158,3 +158,14 @@ def test_instants_are_ordered_in_any_time_zone(spark, monkeypatch):
         assert sorted(rows(row_numbers(df, ["t"], "n"), "i", "n")) == [(i, i + 1) for i in range(60)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_equal_order_values_are_dealt_out(spark, monkeypatch):
+    """With one order column and a heavy value the rows of that value may come in any order."""
+    monkeypatch.setattr(ordering, "SMALL_BUCKET", 10)
+    values = [7] * 150 + list(range(50))
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "a long, b long").repartition(3)
+    out = sorted(rows(row_numbers(df, ["a"], "n")), key=lambda r: r[2])
+    assert [r[0] for r in out] == sorted(values) and [r[2] for r in out] == list(range(1, 201))
+    placed = ordering.with_range_bucket(df, "bucket", ["a"]).filter("a = 7")
+    assert placed.select("bucket").distinct().count() > 1
