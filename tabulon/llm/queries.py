@@ -1,7 +1,7 @@
 """All queries of this subpackage, and the pipeline."""
 
 import corpus_pipeline
-from tabulon.llm import op3, op5, op6, op8  # noqa: F401
+from tabulon.llm import op2, op3, op5, op6, op7, op8  # noqa: F401
 from tabulon.llm.base import ORACLES, QUERIES
 
 QUERIES["pipeline"] = corpus_pipeline.run
