@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -20,40 +22,68 @@ from tabulon.session import computed_once
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 500_000
+CACHED_WORDS = 400_000
 CACHED_CHARS = 100
 
 
-def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Ids of whole texts as little-endian 32-bit numbers.
+# How the tokenizer splits a word, and the characters for which its normal form is plain lower case.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_PLAIN = regex.compile(r"[\x21-\x7E\xA1-\u012F\u0131-\u024F]*")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary: itself if it can be printed, else the next free one."""
+    printed = {b for b in range(256) if 33 <= b < 127 or b > 160 and b != 173}
+    free = iter(range(256, 512))
+    return {b: chr(b if b in printed else next(free)) for b in range(256)}
+
+
+def encoder(path: str) -> Callable[[str], bytes]:
+    """Ids of a whole text as little-endian 32-bit numbers.
 
     The tokenizer drops white space and never joins text across a blank or line feed, so each stretch between them
-    is encoded by itself; short stretches are remembered.
+    is encoded by itself and remembered. A new stretch of Latin letters and marks is split as the tokenizer does and
+    its pieces go to the tokenizer's model; any other one goes to the tokenizer whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {"": b""}
-
-    def ids(text: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(text, add_special_tokens=False)]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            parts = text.replace("\n", " ").split(" ")
-            rare = {}
-            if missing := list({p for p in parts if p not in known}):
-                found = dict(zip(missing, ids(missing)))
-                if len(known) + len(found) > CACHED_WORDS:
-                    known.clear()
-                    known[""] = b""
-                    found |= dict(zip(again := list(set(parts) - found.keys()), ids(again)))
-                rare = found
-                known.update((k, v) for k, v in found.items() if len(k) <= CACHED_CHARS)
-            look = known.__getitem__ if all(len(k) <= CACHED_CHARS for k in rare) else lambda p: rare[p] if p in rare else known[p]
-            out.append(b"".join(map(look, parts)))
+    model = tokenizer.model
+    letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+    known: dict[str, bytes] = {}
+    pieces: dict[str, bytes] = {}
+
+    def piece(part: str) -> bytes:
+        found = pieces.get(part)
+        if found is None:
+            text = part if part.isascii() else part.encode().decode("latin-1").translate(letters)
+            found = array("I", [token.id for token in model.tokenize(text)]).tobytes()
+            if len(part) <= CACHED_CHARS:
+                pieces[part] = found
+        return found
+
+    def stretch(part: str) -> bytes:
+        plain = part.isascii() or _PLAIN.fullmatch(part)
+        if plain and part.isalpha():
+            return piece(part.lower())
+        if plain and part[-1] in ".,:;!?" and part[:-1].isalpha():
+            return piece(part[:-1].lower()) + piece(part[-1])
+        if "<|" in part or not _PLAIN.fullmatch(part):
+            return array("I", tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        return b"".join([piece(x) for x in _SPLIT.findall(part.lower())])
+
+    def encode(text: str) -> bytes:
+        for memory in (known, pieces):
+            if len(memory) > CACHED_WORDS:
+                memory.clear()
+        parts = [p for p in text.replace("\n", " ").split(" ") if p]
+        new = {p: stretch(p) for p in set(parts) if p not in known}
+        known.update(new)
+        out = b"".join(map(known.__getitem__, parts))
+        for part in new:
+            if len(part) > CACHED_CHARS:
+                del known[part]
         return out
 
     return encode
@@ -68,7 +98,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, doc_id: str,
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column("t")):
-                ids = encode([text.as_py() or ""])[0] + end
+                ids = encode(text.as_py() or "") + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     row.append(i)
