@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tabulon.llm.arrays import SPACE, between, flat, mix, run_hashes, running, signed, slices, spans, word_hashes
-from tabulon.llm.streams import among, keys_seen_before, keys_shared, told_keys
+from tabulon.llm.streams import ROWS, among, ask_earlier, ask_shared, told_earlier, told_keys, told_shared
 
 WINDOW = 13
 ROUNDS = 14  # a round makes three symbols of four; after two, blocks are cut by what a window holds
@@ -132,10 +132,11 @@ class Words:
         return inside[self.windows]
 
 
-def _rows(key: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+def _in_batch(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without what stands twice in a row."""
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-    return pa.RecordBatch.from_arrays([signed(key[new]), pa.array(owner[new])], names=["key", "owner"])
+    return key[new], owner[new]
 
 
 def remove_repeats(
@@ -159,24 +160,36 @@ def remove_repeats(
         F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
     )
 
-    def long_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            words, owner = Words(part.column("text"), window), part.column("owner").to_numpy()
-            starts, ends = words.long_symbols(rounds)
-            yield _rows(words.content(starts, ends), owner[words.doc[starts]])
+    def asking(emit, ask):
+        """A pass over the texts; what each batch emits is settled there as far as possible."""
 
-    def block_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            words, owner = Words(part.column("text"), window), part.column("owner").to_numpy()
-            open_ = ~words.settled(part.column("long"), rounds)
-            yield _rows(words.owners()[open_], owner[words.doc[words.windows[open_]]])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = []
+                for part in slices(iter([batch]), "text"):
+                    words = Words(part.column("text"), window)
+                    key, row = emit(words, part)
+                    found.append(_in_batch(key, part.column("owner").to_numpy()[row]))
+                if found:
+                    yield ask(*(np.concatenate(x) for x in zip(*found)))
 
-    def window_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            words, owner = Words(part.column("text"), window), part.column("owner").to_numpy()
-            row = words.doc[words.windows]
-            open_ = among(words.owners(), row, *told_keys(part.column("blocks"))) & ~words.settled(part.column("long"), rounds)
-            yield _rows(words.window_hashes()[open_], owner[row[open_]])
+        return run
+
+    def long_names(words: Words, part: pa.RecordBatch):
+        starts, ends = words.long_symbols(rounds)
+        return words.content(starts, ends), words.doc[starts]
+
+    def block_names(words: Words, part: pa.RecordBatch):
+        left = ~words.settled(part.column("long"), rounds)
+        return words.owners()[left], words.doc[words.windows[left]]
+
+    def window_names(words: Words, part: pa.RecordBatch):
+        row = words.doc[words.windows]
+        left = among(words.owners(), row, *told_keys(part.column("blocks"))) & ~words.settled(part.column("long"), rounds)
+        return words.window_hashes()[left], row[left]
+
+    def shared_with(key: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+        return ask_shared(key, owner, owner, np.zeros(len(key), np.int32))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -197,10 +210,14 @@ def remove_repeats(
                 names=["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    names = "key long, owner long"
-    long = keys_seen_before(given.select("owner", "text").mapInArrow(long_names, names), "long")
+    def by_owner(told: DataFrame, name: str) -> DataFrame:
+        """The keys told to each owner: as many as it asked about at most."""
+        return told.groupBy("owner").agg(F.collect_list("key").alias(name))
+
+    long = by_owner(told_earlier(given.select("owner", "text").mapInArrow(asking(long_names, ask_earlier), ROWS)), "long")
     with_long = given.join(long, "owner", "left")
-    blocks = keys_shared(with_long.mapInArrow(block_names, names), "blocks")
-    windows = keys_seen_before(with_long.join(blocks, "owner", "left").mapInArrow(window_names, names), "windows")
+    blocks = by_owner(told_shared(with_long.mapInArrow(asking(block_names, shared_with), ROWS)), "blocks")
+    with_blocks = with_long.join(blocks, "owner", "left")
+    windows = by_owner(told_earlier(with_blocks.mapInArrow(asking(window_names, ask_earlier), ROWS)), "windows")
     kind = given.schema["doc_id"].dataType.simpleString()
     return with_long.join(windows, "owner", "left").mapInArrow(kept, f"doc_id {kind}, n_words long, n_removed long, kept string")
