@@ -1,16 +1,78 @@
-"""A corpus made ready for training, stage by stage."""
+"""A corpus made ready for training, stage by stage.
+
+Each stage takes the documents that its predecessor kept and returns documents with the same columns; the last one
+returns the pieces of packed sequences. Between stages the rows are written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from tabulon.llm.base import table
+from tabulon.llm.decontamination import decontaminate
+from tabulon.llm.ngram_join import similar_documents
+from tabulon.llm.packing import pack
+from tabulon.llm.secrets import redact_documents
+from tabulon.llm.toxicity import learn, score_documents
+from tabulon.registry.base import scratch_path
+
+TOXIC = 0.5
+TOKENIZER = "word_bpe_49k.json"
+_PLACE = "place among the rows of one id"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score stays below ``TOXIC``; the lexicon is learned from the labelled ones among them."""
+    scored = score_documents(docs, learn(docs, table(spark, sf_dir, "labels")), whole_rows=True)
+    return scored.where(F.col("score") < TOXIC).select("row.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of similar ones. Of rows with one id the first text stays;
+    rows without an id stay."""
+    found = similar_documents(docs)
+    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    named = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").select(*docs.columns, first.alias(_PLACE))
+    return named.where(F.col(_PLACE) == 1).select(*docs.columns).unionAll(docs.where(F.col("doc_id").isNull()))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), whole_rows=True)
+    return found.where(F.col("n_hit") == 0).select("row.*")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret; ``n_chars`` follows the text."""
+    clean = redact_documents(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their places in sequences of 4096 tokens."""
+    return pack(docs, public_tokenizers.path(TOKENIZER))
+
 
-STAGES = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_join", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("packing", pack_sequences),
+]
+# A learned score, sets of n-grams and a tokenizer are beyond SQL; the tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to the documents, one after the other."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = scratch_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tabulon.errors import InvalidRequest
+from tabulon.llm.rows import over_texts, with_result
 
 WINDOW = 10
 # The items are sent to every task, so their size is checked; a larger set is refused, not cut.
@@ -88,12 +89,13 @@ def scan(text: str | None, automaton: ahocorasick.Automaton | None) -> tuple[int
 
 def decontaminate(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text",
-    item_id: str = "item_id", item_text: str = "text", max_item_bytes: int = MAX_ITEM_BYTES,
+    item_id: str = "item_id", item_text: str = "text", max_item_bytes: int = MAX_ITEM_BYTES, whole_rows: bool = False,
 ) -> DataFrame:
     """Words of each document that stand inside an occurrence of a window of a test item.
 
     One row per input row: ``doc_id``, ``n_words``, ``n_hit``, ``n_items``, ``item_ids`` (sorted as strings) and
-    ``spans`` (start and end of each hit stretch in the original text, in code points, end exclusive). Words are runs
+    ``spans`` (start and end of each hit stretch in the original text, in code points, end exclusive); with ``whole_rows``
+    also ``row``, all columns of the input. Words are runs
     of ASCII letters, digits and all other non-ASCII code points, A-Z lower-cased. A window is ``window`` consecutive
     words of an item; an item with fewer words is one window, one without words has none. Null or empty texts have
     no words; repeated rows are scanned each; no items: nothing is hit. Other columns are not looked at.
@@ -111,22 +113,15 @@ def decontaminate(
         automaton = automaton_of(wanted.value, window)
         for batch in batches:
             found = [scan(t, automaton) for t in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("d"),
-                    pa.array([x[0] for x in found], pa.int64()),
-                    pa.array([x[1] for x in found], pa.int64()),
-                    pa.array([len(x[2]) for x in found], pa.int64()),
-                    pa.array([sorted(x[2]) for x in found], pa.list_(pa.string())),
-                    pa.array([[{"start": a, "end": b} for a, b in x[3]] for x in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "item_ids", "spans"],
-            )
-
-    source = docs.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t"))
-    kind = source.schema["d"].dataType.simpleString()
-    return source.mapInArrow(
-        run,
-        f"doc_id {kind}, n_words long, n_hit long, n_items long, item_ids array<string>, "
-        "spans array<struct<start: long, end: long>>",
-    )
+            span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+            arrays = [
+                pa.array([x[0] for x in found], pa.int64()),
+                pa.array([x[1] for x in found], pa.int64()),
+                pa.array([len(x[2]) for x in found], pa.int64()),
+                pa.array([sorted(x[2]) for x in found], pa.list_(pa.string())),
+                pa.array([[{"start": a, "end": b} for a, b in x[3]] for x in found], pa.list_(span)),
+            ]
+            yield with_result(batch, arrays, ["n_words", "n_hit", "n_items", "item_ids", "spans"])
+
+    results = "n_words long, n_hit long, n_items long, item_ids array<string>, spans array<struct<start: long, end: long>>"
+    return over_texts(docs, run, results, doc_id, text, whole_rows)

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tabulon.llm.rows import over_texts, with_result
 from tabulon.session import computed_once
 
 # At most so many labelled rows are learned from (those with the smallest hash of the id), and so many entries are kept.
@@ -185,8 +186,10 @@ def learn(
     return Lexicon(draft.weights, draft.exceptions, slope, bias)
 
 
-def score_documents(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and ``score`` (0 to 1) of every row.
+def score_documents(
+    docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str = "text", whole_rows: bool = False
+) -> DataFrame:
+    """``doc_id`` and ``score`` (0 to 1) of every row; with ``whole_rows`` also ``row``, all its columns.
 
     Only the text decides. Null or empty texts have no entries and get the score of a text without any; texts are
     read whole and independently, without a shuffle; repeated rows are scored each; other columns are not looked at.
@@ -196,8 +199,7 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.score(t) for t in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(found, pa.float64())], names=["doc_id", "score"])
+            found = pa.array([scorer.score(t) for t in batch.column("t").to_pylist()], pa.float64())
+            yield with_result(batch, [found], ["score"])
 
-    source = docs.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t"))
-    return source.mapInArrow(run, f"doc_id {source.schema['d'].dataType.simpleString()}, score double")
+    return over_texts(docs, run, "score double", doc_id, text, whole_rows)
