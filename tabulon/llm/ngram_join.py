@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.llm.arrays import LOWER, SPACE, flat, mix, run_hashes, signed, slices, spans, unsigned, word_hashes
 from tabulon.llm.components import components
@@ -17,6 +17,10 @@ PERCENT = 80
 # Grams that at least this share of the documents hold come last in the global order; the list of them is sent to
 # every task, so it has a fixed length. It decides about speed only: any order gives the same links.
 FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 1 / 1000, 8, 1 << 20
+# A set's first grams reach so far beyond the shortest possible number: by a part of its size.
+SPARE = 10
+# Up to so many sets of a gram are counted to put rare grams first.
+COUNTED = 1000
 # Grams that one task holds at a time; larger groups of candidates are compared block by block.
 BLOCK_GRAMS = 2_000_000
 _FIRST = np.uint64(1 << 63)
@@ -72,15 +76,18 @@ def _ordered(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _prefix(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """How many first grams of a set are looked at, and how many of them a partner shares at least.
+def _prefix(size: np.ndarray, percent: int) -> np.ndarray:
+    """How many first grams of a set are looked at.
 
     Linked sets x and y share at least o = ceil(percent/100 * max(|x|, |y|)) grams, so the first |x| - o + l of x and
-    the first |y| - o + l of y share l. With l = |x| / 20, and partners of at least percent/100 * |x|, at least
-    percent/100 * |x| / 20 of the grams looked at are shared.
+    the first |y| - o + l of y share l. With l = |x| / SPARE, and partners of at least percent/100 * |x|, at least
+    percent/100 * |x| / SPARE (``_need``) of the grams looked at are shared with the partner.
     """
-    most = size - -(-size * percent // 100) + -(-size // 20)
-    return np.minimum(size, most), np.maximum(1, size * percent // 2000)
+    return np.minimum(size, size - -(-size * percent // 100) + -(-size // SPARE))
+
+
+def _need(n: Column, percent: int) -> Column:
+    return F.greatest(F.lit(1), F.floor(n * percent / (100 * SPARE))).cast("int")
 
 
 def _described(docs: DataFrame, width: int) -> DataFrame:
@@ -123,30 +130,38 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, name, n), sorted, whose key belongs to several names; each once."""
-    last = (np.zeros(0, np.int64),) * 3
-    alike = False  # whether the row held back has the key of one before it
+    """Rows (key, name, n), sorted: those whose key belongs to several names, each once, with their number.
+
+    The number stops at ``COUNTED``, so that no more rows of a key are held back; it puts rare keys first later on.
+    """
+    held = [np.zeros(0, np.int64)] * 3
+    full = None  # a key that has reached the number, whose rows are passed on as they come
 
-    def told(key, name, n, keep):
-        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(name[keep]), pa.array(n[keep])], names=["key", "name", "n"])
+    def told(columns, counts):
+        keep = counts > 1
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (*columns, counts)], names=["key", "name", "n", "held"])
 
     for batch in batches:
-        key, name, n = (np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate(last))
+        columns = [np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate(held)]
+        key, name = columns[:2]
+        if not len(key):
+            continue
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-        key, name, n = key[fresh], name[fresh], n[fresh]
-        same = key[1:] == key[:-1]
-        keep = np.zeros(len(key), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        if len(key):
-            keep[0] |= alike
-            last = key[-1:], name[-1:], n[-1:]
-            alike = bool(keep[-1])
-            keep[-1] = False
-            yield told(key, name, n, keep)
-    if len(last[0]):
-        yield told(*last, np.array([alike]))
+        columns = [c[fresh] for c in columns]
+        key = columns[0]
+        edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        sizes = np.diff(edges)
+        counts = np.minimum(sizes, COUNTED)
+        if full is not None and key[0] == full:
+            counts[0] = COUNTED
+        full = int(key[-1]) if counts[-1] == COUNTED else None
+        wait = edges[-2] if full is None else len(key) - 1  # the last row shows whether a name goes on
+        counts = np.repeat(counts, sizes)
+        yield told([c[:wait] for c in columns], counts[:wait])
+        held = [c[wait:] for c in columns]
+    if len(held[0]):
+        yield told(held, np.full(len(held[0]), COUNTED if full is not None else len(held[0])))
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,8 +358,9 @@ def similar_documents(
 
     1. Equal sets are one class from here on, whatever their number.
     2. Classes emit the first grams of their set in a global order. Those no other class has are dropped, then classes
-       that share too few. Classes left that share a gram are drawn together into groups, of which each link lies in
-       one; a gram that many classes share costs a star of links, not their pairs.
+       that share too few. Partners share a known number of the rest, so all but one of these may be left out: the
+       most frequent. Classes left that share a gram are drawn together into groups, of which each link lies in one;
+       a gram that many classes share costs a star of links, not their pairs.
     3. Each group's sets meet in one prefix tree. A group larger than ``block_grams`` is compared block with block.
     4. Links that join everything linked are kept (not one for every pair), and components are found in Spark rounds.
     """
@@ -357,7 +373,7 @@ def similar_documents(
             grams, edges = gram_sets(part.column("text"), width)
             sizes, names = np.diff(edges), set_names(grams, edges)
             first = _distinct(names, sizes)
-            most, _ = _prefix(sizes, percent)
+            most = _prefix(sizes, percent)
             keys = _ordered(grams, frequent.value)
             out = []
             for i in first.tolist():
@@ -370,11 +386,12 @@ def similar_documents(
             )
 
     rows = given.select("text").mapInArrow(prefixes, "key long, name long, n long")
-    rows = rows.repartition("key").sortWithinPartitions("key", "name").mapInArrow(_shared, "key long, name long, n long")
-    need = F.greatest(F.lit(1), F.floor(F.col("n") * percent / 2000))
-    rows = rows.groupBy("name", "n").agg(F.collect_list("key").alias("keys")).where(F.size("keys") >= need)
+    rows = rows.repartition("key").sortWithinPartitions("key", "name").mapInArrow(_shared, "key long, name long, n long, held long")
+    rows = rows.groupBy("name", "n").agg(F.array_sort(F.collect_list(F.struct("held", "key"))).alias("keys"))
+    need = _need(F.col("n"), percent)
+    rarest = F.slice("keys", F.lit(1), F.size("keys") - need + 1)
     stars = (
-        rows.select("name", F.explode("keys").alias("key")).select("key", "name")
+        rows.where(F.size("keys") >= need).select("name", F.explode(rarest).alias("one")).select("one.key", "name")
         .repartition("key").sortWithinPartitions("key", "name").mapInArrow(_stars, "a long, b long")
     )
     groups = components(stars)
