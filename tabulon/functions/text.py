@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabulon.functions.schema import col
 
-# White space, token and number patterns, keyword and number limits, cell width.
+# White space, token and number patterns, cell width.
 WHITE = r"[\s\x1c-\x1f]"
 WHITE_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
@@ -18,8 +18,6 @@ WHITE_CHARS = (
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}+"
 KEYWORD_PATTERN = r"(?=\p{Nd}*+[\p{L}\p{N}_&&[^\p{Nd}]])[\p{L}\p{N}_]{4,}+"
 NUMBER_PATTERN = r"(?=\p{Nd})(?<![\p{L}\p{N}_])\p{Nd}+(?:[.,]\p{Nd}+)?(?![\p{L}\p{N}_])"
-MAX_KEYWORDS = 20
-MAX_NUMBERS = 25
 CELL_WIDTH = 80
 MISSING_MARK = "—"
 
@@ -43,14 +41,18 @@ def tokens(text: Column) -> Column:
     return _found(F.lower(text), TOKEN_PATTERN)
 
 
-def keywords(text: Column) -> Column:
-    """First distinct words of more than three characters that are not plain digits."""
-    return F.slice(F.array_distinct(_found(F.lower(text), KEYWORD_PATTERN)), 1, MAX_KEYWORDS)
+def _first(found: Column, most: int | None) -> Column:
+    return found if most is None else F.slice(found, 1, most)
 
 
-def numbers(text: Column) -> Column:
-    """First numbers, with at most one decimal part."""
-    return F.slice(_found(text, NUMBER_PATTERN), 1, MAX_NUMBERS)
+def keywords(text: Column, most: int | None = None) -> Column:
+    """Distinct words of more than three characters that are not plain digits: all, or the first ``most``."""
+    return _first(F.array_distinct(_found(F.lower(text), KEYWORD_PATTERN)), most)
+
+
+def numbers(text: Column, most: int | None = None) -> Column:
+    """Numbers, with at most one decimal part: all, or the first ``most``."""
+    return _first(_found(text, NUMBER_PATTERN), most)
 
 
 def word_count(text: Column) -> Column:

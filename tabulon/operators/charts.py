@@ -9,15 +9,17 @@ from pyspark.sql import DataFrame, functions as F
 from tabulon.functions.rounding import half_up
 from tabulon.functions.schema import col, require_numeric
 
-# Bins of a histogram, points of a scatter chart.
+# Fixed value: bins of a histogram.
 BINS = 12
-SCATTER_POINTS = 400
 
 
 def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
-    """Equal-width bins from minimum to maximum, the last one closed, empty ones included."""
+    """Equal-width bins from minimum to maximum, the last one closed, empty ones included. Null, NaN
+    and infinite values have no place on the axis and are left out."""
     require_numeric(df, [column])
-    values = df.filter(col(column).isNotNull()).select(col(column).cast("double").alias("v"))
+    number = col(column).cast("double")
+    placed = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
+    values = df.filter(placed).select(number.alias("v"))
     low, high = F.min("v"), F.max("v")
     span = F.when(low == high, F.lit(1.0)).otherwise(high - low)
     edges = values.agg(F.struct(low.alias("low"), (span / bins).alias("width")).alias("e")).scalar()
@@ -38,13 +40,13 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
 
 
 def scatter_points(
-    df: DataFrame, x: str, y: str, order_by: Sequence[str], points: int = SCATTER_POINTS
+    df: DataFrame, x: str, y: str, points: int | None = None, sample_by: Sequence[str] = (), seed: int = 0
 ) -> DataFrame:
-    """The first points, in the given order, that have both values."""
+    """All points that have both values, or a sample of ``points`` of them: those whose hash of
+    ``sample_by`` (by default the two values) and the seed is smallest."""
     require_numeric(df, [x, y])
-    return (
-        df.filter(col(x).isNotNull() & col(y).isNotNull())
-        .orderBy(*[col(c).asc_nulls_last() for c in order_by])
-        .limit(points)
-        .select(col(x).cast("double").alias("x"), col(y).cast("double").alias("y"))
-    )
+    both = df.filter(col(x).isNotNull() & col(y).isNotNull())
+    if points is not None:
+        by = [col(c) for c in (sample_by or [x, y])]
+        both = both.orderBy(F.xxhash64(F.lit(seed), *by), *by).limit(points)
+    return both.select(col(x).cast("double").alias("x"), col(y).cast("double").alias("y"))

@@ -11,16 +11,12 @@ from tabulon.functions.rounding import half_up
 from tabulon.functions.schema import col, require_columns
 from tabulon.functions.text import normalize, strip, word_count
 from tabulon.operators.chunking import PARAGRAPH_BREAK
-from tabulon.operators.joins import lookup_keys
-from tabulon.session import computed_once
+from tabulon.operators.joins import lookup_keys, unique_keys
 
-# Preview and comparison widths, the length from which containment counts.
+# Preview widths, the length from which containment counts.
 PREVIEW_CHARS = 240
 BRIEF_CHARS = 1200
-COMPARED_CHARS = 240
 CONTAINED_FROM = 51
-FEW_PASSAGES = 200
-BROADCAST_HITS = 200_000
 
 
 def chunk_stats(chunks: DataFrame, document: str, char_count: str = "char_count") -> DataFrame:
@@ -36,15 +32,25 @@ def chunk_stats(chunks: DataFrame, document: str, char_count: str = "char_count"
     )
 
 
-def update_chunks(chunks: DataFrame, changes: DataFrame, id_column: str = "chunk_id", text: str = "text") -> DataFrame:
-    """Chunks with new texts and recounted sizes where ``changes`` (id, text) names them."""
-    new = changes.select(col(id_column), col(text).alias("__text"))
+def update_chunks(
+    chunks: DataFrame, changes: DataFrame, id_column: str = "chunk_id", text: str = "text", metadata: str | None = None
+) -> DataFrame:
+    """Chunks with new texts and recounted sizes where ``changes`` (id, text) names them. With
+    ``metadata``, a string map in both tables, the entries of the changes are merged in. An id that
+    occurs twice among the changes is an error when the rows are computed."""
+    given = [col(id_column), col(text).alias("__text")]
+    if metadata is not None:
+        given.append(col(metadata).alias("__metadata"))
+    new = unique_keys(changes, [id_column]).select(*given)
     body = F.coalesce(F.col("__text"), col(text))
     fresh = {
         text: body,
         "char_count": F.length(body).cast("long"),
         "word_count": word_count(body),
     }
+    if metadata is not None:
+        merged = merge_metadata(col(metadata), col("__metadata"))
+        fresh[metadata] = F.when(col("__metadata").isNull(), col(metadata)).otherwise(merged)
     joined = chunks.join(new, id_column, "left")
     return joined.select(*[fresh[c].alias(c) if c in fresh else col(c) for c in chunks.columns])
 
@@ -86,12 +92,9 @@ def _hits_with_text(
 ) -> DataFrame:
     """(query_id, rank, id, score, title, body); a chunk without title shows its id.
 
-    The hits are computed once and counted; when they are few, they travel to the texts, so the
-    texts are not shuffled.
+    The planner decides from the size of the hits whether they travel to the texts.
     """
-    few = computed_once(hits.select("query_id", "id", "rank", "score"))
-    if few.count() <= BROADCAST_HITS:
-        few = F.broadcast(few)
+    few = hits.select("query_id", "id", "rank", "score")
     shown = col(id_column).cast("string")
     if title is not None:
         shown = F.coalesce(F.nullif(col(title).cast("string"), F.lit("")), shown)
@@ -150,12 +153,14 @@ def linked_documents(tables: DataFrame, chunks: DataFrame, table_id: str, source
 # --- repeated passages ------------------------------------------------------------------
 
 
+# Fixed value: marks, number and title of a heading line.
+HEADING = r"(?U)^\s*#+\s*(?:\d+\.\s*)?(.*)$"
+
+
 def _heading_key(line: Column) -> Column:
-    """A heading without marks, number and closing dots; empty for other lines."""
-    title = F.regexp_replace(strip(line), r"(?U)^#+\s*", "")
-    title = F.regexp_replace(F.regexp_replace(title, r"(?U)^\d+\.\s*", ""), r"\*+", "")
-    key = F.regexp_replace(normalize(title), r"^\.+|\.+$", "")
-    return F.when(line.rlike(r"(?U)^\s*#"), key).otherwise("")
+    """What a heading is compared by: its title without number, stars and outer dots; empty for other lines."""
+    title = F.translate(F.regexp_extract(line, HEADING, 1), "*", "")
+    return F.btrim(normalize(title), F.lit("."))
 
 
 def _first_repeat(keys: Column) -> Column:
@@ -169,33 +174,16 @@ def _first_repeat(keys: Column) -> Column:
 
 def _kept_passages(passages: list[str]) -> int:
     """How many passages come before the first that repeats an earlier one: equal, or one
-    contains the other and that has ``CONTAINED_FROM`` or more characters."""
-    if len(passages) > FEW_PASSAGES:
-        return _kept_of_many(passages)
-    long: list[str] = []
-    seen: set[str] = set()
-    for n, passage in enumerate(passages):
-        if passage in seen:
-            return n
-        if len(passage) >= CONTAINED_FROM:
-            if any(passage in other or other in passage for other in long):
-                return n
-            long.append(passage)
-        if passage:
-            seen.add(passage)
-    return len(passages)
-
-
-def _kept_of_many(passages: list[str]) -> int:
-    """The same for long texts, without comparing all pairs: a contained passage has its opening
-    somewhere in the other one, so an index of openings and of inner pieces finds the candidates."""
+    contains the other and that has ``CONTAINED_FROM`` or more characters. A contained passage
+    has its opening somewhere in the other one, so an index of openings and of inner pieces
+    finds the candidates without comparing all pairs."""
     seen: set[str] = set()
-    openings: dict[str, list[str]] = {}
-    inner: dict[str, list[str]] = {}
+    openings: dict[int, list[str]] = {}
+    inner: dict[int, list[str]] = {}
     for n, passage in enumerate(passages):
         if passage in seen:
             return n
-        pieces = [passage[i : i + CONTAINED_FROM] for i in range(len(passage) - CONTAINED_FROM + 1)]
+        pieces = [hash(passage[i : i + CONTAINED_FROM]) for i in range(len(passage) - CONTAINED_FROM + 1)]
         if pieces:
             if any(passage in longer for longer in inner.get(pieces[0], ())):
                 return n
@@ -209,8 +197,11 @@ def _kept_of_many(passages: list[str]) -> int:
     return len(passages)
 
 
-def cut_repeats(df: DataFrame, text: str, paragraph_break: str = PARAGRAPH_BREAK, joiner: str = "\n\n") -> DataFrame:
-    """Texts up to the first repeated heading or paragraph, with the paragraphs before and after."""
+def cut_repeats(
+    df: DataFrame, text: str, paragraph_break: str = PARAGRAPH_BREAK, joiner: str = "\n\n", compared_chars: int | None = None
+) -> DataFrame:
+    """Texts up to the first repeated heading or paragraph, with the paragraphs before and after.
+    Paragraphs are compared whole, or by their first ``compared_chars`` characters."""
     require_columns(df, [text])
 
     @F.pandas_udf("int")
@@ -227,7 +218,8 @@ def cut_repeats(df: DataFrame, text: str, paragraph_break: str = PARAGRAPH_BREAK
         .withColumn("__repeat", repeat)
         .withColumn("__parts", F.filter(F.transform(F.split(body, paragraph_break), strip), lambda p: p != ""))
     )
-    compared = F.transform(F.col("__parts"), lambda p: F.substring(normalize(p), 1, COMPARED_CHARS))
+    shown = (lambda p: normalize(p)) if compared_chars is None else (lambda p: F.substring(normalize(p), 1, compared_chars))
+    compared = F.transform(F.col("__parts"), shown)
     counted = staged.withColumn("__kept", kept(compared))
     return counted.withColumns(
         {

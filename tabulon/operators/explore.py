@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabulon.errors import InvalidRequest
 from tabulon.functions.schema import col, data_type, is_numeric, require_columns
 from tabulon.operators.filters import all_filters, apply_filters, plan_predicate
-from tabulon.plans.specs import AGGREGATES, PLAN_LIMIT, AggSpec, Plan, QuerySpec, clamp
+from tabulon.plans.specs import AGGREGATES, AggSpec, Plan, QuerySpec
 
 # Names that mean "all rows", and the size at which a grouping is called large.
 ALL_ROWS = ("*", "_all_")
@@ -93,8 +93,8 @@ def page(df: DataFrame, offset: int, limit: int, order: Sequence[Column]) -> Dat
 
 
 def head_sample(df: DataFrame, rows: int = 20) -> DataFrame:
-    """A look at a table, 5 to 200 rows."""
-    return df.limit(clamp(rows, 5, 200))
+    """A look at a table: any ``rows`` rows of it."""
+    return df.limit(rows)
 
 
 def sortable(df: DataFrame) -> list[str]:
@@ -111,9 +111,14 @@ def result_rows(df: DataFrame, spec: QuerySpec) -> DataFrame:
 
 
 def run_query(df: DataFrame, spec: QuerySpec, max_limit: int | None = None) -> DataFrame:
-    """Run a query specification; ties in the sort are settled by the other columns."""
+    """Run a query specification; ties in the sort are settled by the other columns.
+
+    A limit is honoured as it is; an entry point with a largest page refuses larger ones.
+    """
+    limit = spec.limit
+    if limit is not None and (limit < 0 or max_limit is not None and limit > max_limit):
+        raise InvalidRequest(f"limit {limit} is out of range" + ("" if max_limit is None else f", at most {max_limit}"))
     out = result_rows(df, spec)
-    limit = spec.limit if spec.limit is None or max_limit is None else clamp(spec.limit, 1, max_limit)
     paged = limit is not None or spec.offset > 0
     if spec.sort_by in out.columns:
         out = sort_rows(out, spec.sort_by, spec.sort_dir, ties=sortable(out) if paged else ())
@@ -125,7 +130,7 @@ def run_query(df: DataFrame, spec: QuerySpec, max_limit: int | None = None) -> D
 
 
 def run_plan(df: DataFrame, plan: Plan | dict | str) -> DataFrame:
-    """Filters, then group or columns, then sort with nulls first, then at most 200 rows."""
+    """Filters, then group or columns, then sort with nulls first, then the plan's limit."""
     plan = Plan.of(plan)
     work = df
     for spec in plan.filters:
@@ -141,7 +146,7 @@ def run_plan(df: DataFrame, plan: Plan | dict | str) -> DataFrame:
     else:
         work = select_columns(work, plan.columns)
     work = sort_rows(work, plan.sort_by, plan.sort_dir, nulls_last=False, ties=sortable(work))
-    return work.limit(clamp(plan.limit, 1, PLAN_LIMIT))
+    return work.limit(plan.limit)
 
 
 def query_counts(df: DataFrame, spec: QuerySpec) -> DataFrame:
@@ -189,6 +194,6 @@ def chart_series(
     number = F.lit(None) if value_column is None else col(value_column).try_cast("double")
     return (
         result.orderBy(*order)
-        .limit(clamp(top_n, 3, 100))
+        .limit(top_n)
         .select(shown.alias("label"), F.coalesce(number, F.lit(0.0)).alias("value"))
     )

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabulon.errors import EmptyInput, InvalidRequest
 from tabulon.functions.schema import col, require_columns
@@ -136,8 +136,8 @@ def join_preview(
 
 
 def join_sample(joined: DataFrame, rows: int = 200) -> DataFrame:
-    """A look at the joined rows, at most 200 of them."""
-    return joined.limit(max(1, min(rows, 200)))
+    """A look at the joined rows: any ``rows`` of them."""
+    return joined.limit(rows)
 
 
 def require_rows(joined: DataFrame) -> DataFrame:
@@ -145,3 +145,11 @@ def require_rows(joined: DataFrame) -> DataFrame:
     if joined.isEmpty():
         raise EmptyInput("the join has no rows")
     return joined
+
+
+def unique_keys(source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same rows; computing them fails if two have the same key."""
+    again = F.count(F.lit(1)).over(Window.partitionBy(*map(col, keys)))
+    checked = source.withColumn("__times", again)
+    fine = F.when(F.col("__times") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("a key occurs twice in the source")).cast("boolean"))
+    return checked.filter(fine).select(*map(col, source.columns))

@@ -12,13 +12,11 @@ from tabulon.operators.ordering import medians
 from tabulon.operators.profile import from_one_row, missing_counts
 from tabulon.operators.stats import _pairs, complete_rows
 
-# How many columns are looked at, and from where on a pattern is reported.
-SKEW_COLUMNS, SKEW_AT, MIN_ROWS = 8, 0.35, 10
-PAIR_COLUMNS, PAIR_AT = 12, 0.55
+# From where on a pattern is reported.
+SKEW_AT, MIN_ROWS, PAIR_AT = 0.35, 10, 0.55
 RARE_GROUPS, RARE_OF, RARE_PCT = 3, 5, 2.0
 CONCENTRATED_OF, CONCENTRATED_AT = 2, 0.18
-MISSING_COLUMNS, MISSING_PCT = 20, 10.0
-PATTERNS_SHOWN = 20
+MISSING_PCT = 10.0
 
 
 def _empty(df: DataFrame) -> DataFrame:
@@ -29,7 +27,7 @@ def skew(
     df: DataFrame, columns: Sequence[str] | None = None, middle: dict[str, float | None] | None = None
 ) -> DataFrame:
     """Columns whose mean lies far from the median, in deviations. Known medians may be given."""
-    names = list(columns or numeric_columns(df))[:SKEW_COLUMNS]
+    names = list(columns or numeric_columns(df))
     if not names:
         return _empty(df)
     if middle is None:
@@ -56,7 +54,7 @@ def skew(
 
 def strong_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Strongly correlated pairs over rows complete in all looked-at columns."""
-    names = list(columns or numeric_columns(df))[:PAIR_COLUMNS]
+    names = list(columns or numeric_columns(df))
     if len(names) < 2:
         return _empty(df)
     found = _pairs(complete_rows(df, names), [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]])
@@ -112,7 +110,7 @@ def missing_pattern(df: DataFrame) -> DataFrame:
     """Columns with many missing cells."""
     pct = F.try_divide(100.0 * F.col("missing"), F.col("rows"))
     return (
-        missing_counts(df, df.columns[:MISSING_COLUMNS])
+        missing_counts(df, df.columns)
         .filter(pct >= MISSING_PCT)
         .select(F.lit("missing").alias("kind"), F.col("column").alias("subject"), half_up(pct, 1).alias("strength"))
     )
@@ -122,11 +120,12 @@ def patterns(
     df: DataFrame,
     key: str | None,
     metrics: Sequence[str] | None = None,
-    limit: int = PATTERNS_SHOWN,
+    limit: int | None = None,
     middle: dict[str, float | None] | None = None,
 ) -> DataFrame:
-    """All patterns, the strongest first."""
+    """All patterns of all columns, the strongest first."""
     found = skew(df, metrics, middle).unionByName(strong_pairs(df)).unionByName(missing_pattern(df))
     if key:
         found = found.unionByName(rare_groups(df, key)).unionByName(concentrated(df, key))
-    return found.orderBy(F.abs("strength").desc(), "kind", "subject").limit(limit)
+    found = found.orderBy(F.abs("strength").desc(), "kind", "subject")
+    return found if limit is None else found.limit(limit)

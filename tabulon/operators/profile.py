@@ -11,18 +11,14 @@ from tabulon.functions.rounding import half_up
 from tabulon.functions.schema import (
     col, data_type, is_numeric, is_temporal, kind_of, require_columns,
 )
-from tabulon.plans.specs import clamp
 from tabulon.session import computed_once
 
 # How many common values are kept, and the shares that count as a problem.
 TOP_VALUES = 5
-MODES_KEPT = 5
 ISSUE_SHARE = 0.05
 LOW_COMPLETENESS = 0.95
 HIGH_MISSING_PCT = 10
 CATEGORY_VALUES = 200
-INSIGHTS_SHOWN = 8
-LONG_TEXT = 64
 
 
 def from_one_row(one_row: DataFrame, rows: Sequence[Column]) -> DataFrame:
@@ -40,11 +36,10 @@ def value_text(df: DataFrame, name: str) -> Column:
 
 
 def compact_value(df: DataFrame, name: str) -> Column:
-    """A value to compare by: a long text stands as its SHA-256 hash, so texts are not shuffled."""
+    """A value to compare by: a text stands as its SHA-256 hash, so texts are not shuffled."""
     if not isinstance(data_type(df, name), T.StringType):
         return col(name)
-    hashed = F.concat(F.lit("\x00"), F.sha2(col(name), 256))
-    return F.when(F.length(col(name)) <= LONG_TEXT, col(name)).otherwise(hashed)
+    return F.sha2(col(name), 256)
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -78,31 +73,36 @@ def _best_values(counts: DataFrame, k: int) -> DataFrame:
     return ranked.filter((F.col("rank") <= k) & F.col("value").isNotNull())
 
 
-def most_common(counts: DataFrame, k: int = MODES_KEPT) -> DataFrame:
-    """Of (column, value, n): the values that reach the column's largest count, at most ``k``."""
-    top = _best_values(counts, k).withColumn("most", F.max("n").over(Window.partitionBy("column")))
-    return top.filter(F.col("n") == F.col("most")).select("column", "value", "n")
+def most_common(counts: DataFrame, k: int | None = None) -> DataFrame:
+    """Of (column, value, n): all values that reach the column's largest count, or ``k`` of them."""
+    if k is not None:
+        top = _best_values(counts, k).withColumn("most", F.max("n").over(Window.partitionBy("column")))
+        return top.filter(F.col("n") == F.col("most")).select("column", "value", "n")
+    # One row per column is looked up.
+    most = counts.groupBy("column").agg(F.max(F.when(F.col("value").isNotNull(), F.col("n"))).alias("n"))
+    found = counts.join(F.broadcast(most), ["column", "n"]).select("column", "value", "n")
+    return found.filter(F.col("value").isNotNull())
 
 
-def modes(df: DataFrame, columns: Sequence[str], k: int = MODES_KEPT) -> DataFrame:
-    """The values that are most common, ties kept up to ``k`` of them."""
+def modes(df: DataFrame, columns: Sequence[str], k: int | None = None) -> DataFrame:
+    """The values that are most common, all ties or ``k`` of them."""
     return most_common(value_counts(df, columns), k)
 
 
-def distinct_values(df: DataFrame, column: str, search: str = "", limit: int = 30) -> DataFrame:
+def distinct_values(df: DataFrame, column: str, search: str = "", limit: int | None = None) -> DataFrame:
     """Sorted distinct values, optionally only those a case-insensitive pattern finds, each with
     the number of distinct values and whether the list is cut."""
     require_columns(df, [column])
-    limit = clamp(limit, 1, 100)
     found = df.filter(col(column).isNotNull()).select(col(column).alias("value"))
     if search:
         found = found.filter(F.col("value").cast("string").rlike("(?i)" + search))
     found = found.distinct()
     total = found.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return found.orderBy("value").limit(limit).select(
+    shown = found.orderBy("value") if limit is None else found.orderBy("value").limit(limit)
+    return shown.select(
         F.col("value").cast("string").alias("value"),
         total.alias("total_unique"),
-        (total > limit).alias("truncated"),
+        F.lit(False).alias("truncated") if limit is None else (total > limit).alias("truncated"),
     )
 
 
@@ -210,13 +210,13 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def profile_insights(df: DataFrame) -> DataFrame:
-    """The notable facts of a profile as (position, rule, column, value), at most eight."""
+    """The notable facts of a profile as (rule, column, value)."""
     described, whole = computed_once(profile(df)), computed_once(quality(df))
     rows, complete, repeated = F.col("rows"), F.col("completeness"), F.col("duplicate_rows")
     numbers = described.filter(F.col("kind") == "number").agg(F.count(F.lit(1)).alias("n"))
     categories = described.filter((F.col("kind") != "number") & (F.col("unique") <= CATEGORY_VALUES))
     dated = described.filter(F.col("kind") == "datetime").orderBy("position").limit(1)
-    holes = described.filter(F.col("missing_pct") >= HIGH_MISSING_PCT).orderBy("position").limit(2)
+    holes = described.filter(F.col("missing_pct") >= HIGH_MISSING_PCT)
     days = F.datediff(F.to_date("max"), F.to_date("min"))
     facts = [
         (whole.filter(rows > 0), "rows", None, rows),
@@ -236,4 +236,4 @@ def profile_insights(df: DataFrame) -> DataFrame:
         for place, (source, rule, column, value) in enumerate(facts)
     ]
     out = reduce(DataFrame.unionByName, parts)
-    return out.orderBy("place", "column").limit(INSIGHTS_SHOWN).select("rule", "column", "value")
+    return out.orderBy("place", "column").select("rule", "column", "value")

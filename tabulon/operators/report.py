@@ -19,12 +19,12 @@ from tabulon.operators.ordering import quartiles
 from tabulon.operators.patterns import patterns
 from tabulon.operators.profile import from_one_row, value_text
 from tabulon.operators.stats import correlation_matrix, statistics, top_anomalies, top_correlations
-from tabulon.plans.specs import AggSpec, FilterSpec, clamp
+from tabulon.plans.specs import AggSpec, FilterSpec
 from tabulon.session import computed_once
 
 # Report kinds, default sizes, shares that count as concentrated.
 REPORT_KINDS = ("summary", "executive", "full")
-DEFAULT_METRICS, ANOMALY_METRICS, REPORT_CONTAMINATION = 6, 5, 0.05
+REPORT_CONTAMINATION = 0.05
 TOP_SHARE_OF, TOP_SHARE_PCT = 3, 50
 SUMMARY_ROWS, SUMMARY_GROUPS, SUMMARY_MODES = 6, 12, 3
 
@@ -51,7 +51,7 @@ def grouped_table(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], to
     return (
         group_facts(df, keys, metrics)
         .orderBy(*_by_size(keys))
-        .limit(2 * clamp(top_n, 3, 50))
+        .limit(2 * top_n)
         .withColumn("share_pct", half_up(100.0 * F.col("count") / total, 2))
     )
 
@@ -78,7 +78,7 @@ def top_tables(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], top_n
     best = Window.partitionBy("metric").orderBy(F.desc("sum"), *[col(k).asc_nulls_last() for k in keys])
     return (
         long.withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= clamp(top_n, 3, 50))
+        .filter(F.col("rank") <= top_n)
         .select("metric", "rank", *map(col, keys), "count", "sum", "mean")
     )
 
@@ -148,8 +148,9 @@ def build_report(
     top_n: int = 10,
     filters: Iterable[FilterSpec | dict] = (),
     order_by: Sequence[str] = (),
+    scatter: int | None = None,
 ) -> dict[str, DataFrame]:
-    """The tables of a report by name. They share one filtered input; persist it beforehand when
+    """The tables of a report by name; ``scatter`` points are sampled by ``order_by``, or all shown. They share one filtered input; persist it beforehand when
     it is read from a slow source, and write the tables with ``sources.writers.write_tables``."""
     if kind not in REPORT_KINDS:
         raise InvalidRequest(f"report kind must be one of {', '.join(REPORT_KINDS)}")
@@ -159,13 +160,13 @@ def build_report(
     require_columns(work, keys, "group_by column")
     names = [m for m in metrics if m not in keys]
     if not metrics:
-        names = [c for c in numeric_columns(work) if c not in keys][:DEFAULT_METRICS]
+        names = [c for c in numeric_columns(work) if c not in keys]
     elif names:
         names = require_numeric(work, names)
     n = F.count(F.lit(1)).cast("string").alias("n")
     facts = [
         ("columns", str(len(df.columns))), ("report", kind), ("filters", describe_filters(filters)),
-        ("group_by", ", ".join(keys)), ("metrics", ", ".join(names)), ("top_n", str(clamp(top_n, 3, 50))),
+        ("group_by", ", ".join(keys)), ("metrics", ", ".join(names)), ("top_n", str(top_n)),
     ]
     counted = df.agg(n).select(F.lit("source_rows").alias("fact"), F.col("n").alias("value")).union(
         work.agg(n).select(F.lit("filtered_rows"), F.col("n"))
@@ -183,11 +184,11 @@ def build_report(
         tables["top_groups"] = top_tables(work, keys, names, top_n)
         tables["histogram"] = histogram(work, names[0])
     if len(names) >= 2:
-        tables["scatter"] = scatter_points(work, names[0], names[1], order_by or sortable(work))
+        tables["scatter"] = scatter_points(work, names[0], names[1], scatter, order_by)
     if kind in ("executive", "full"):
         tables["correlations"] = correlation_matrix(work)
     if kind == "full" and names:
-        tables["anomalies"] = top_anomalies(work, names[:ANOMALY_METRICS], REPORT_CONTAMINATION)
+        tables["anomalies"] = top_anomalies(work, names, REPORT_CONTAMINATION)
     return tables
 
 
@@ -231,7 +232,6 @@ def context_summary(
         parts.append(best.select(F.lit("correlation"), F.concat("a", F.lit(" ~ "), "b"), F.to_json(F.struct("corr"))))
     parts.append(
         described.filter((F.col("count") > 0) & (F.col("missing") / F.col("count") >= 0.1))
-        .orderBy("position").limit(2)
         .select(F.lit("insight"), "column", F.to_json(F.struct(half_up(100 * F.col("missing") / F.col("count"), 1).alias("missing_pct"))))
     )
     out = parts[0]

@@ -12,7 +12,7 @@ from tabulon.functions.schema import col, numeric_columns, require_columns, requ
 from tabulon.functions.temporal import as_datetime, in_period, parse_boundary, period_start
 from tabulon.operators.explore import aggregate_column
 from tabulon.operators.profile import from_one_row
-from tabulon.plans.specs import clamp
+from tabulon.session import computed_once
 
 # Aggregates on offer, rows in the recent mean, row limits.
 SERIES_AGGREGATES = ("sum", "mean", "min", "max", "count")
@@ -32,10 +32,10 @@ def timeseries(
     metrics: Sequence[str],
     granularity: str = "day",
     agg: str = "sum",
-    limit: int = 500,
+    limit: int | None = None,
 ) -> DataFrame:
     """Aggregates per day, Monday week or month, the earliest first, with the change in percent
-    from one period to the next."""
+    from one period to the next: all periods, or the first ``limit`` of them."""
     if agg not in SERIES_AGGREGATES:
         raise InvalidRequest(f"agg must be one of {', '.join(SERIES_AGGREGATES)}")
     names = require_numeric(df, metrics)
@@ -44,10 +44,10 @@ def timeseries(
         df.groupBy(period.alias("period"))
         .agg(*[aggregate_column(m, agg).alias(m) for m in names])
         .filter(F.col("period").isNotNull())
-        .orderBy("period")
-        .limit(clamp(limit, 10, 2000))
     )
-    # At most 2000 rows reach this window.
+    if limit is not None:
+        grouped = grouped.orderBy("period").limit(limit)
+    # One row per period reaches this window.
     order = Window.orderBy("period")
     return grouped.select(
         F.date_format("period", "yyyy-MM-dd").alias("period"),
@@ -180,10 +180,10 @@ def pareto(df: DataFrame, keys: Sequence[str], metric: str, agg: str = "sum", to
     total = groups.agg(F.sum("value").alias("t")).scalar()
     ranked = (
         groups.orderBy(F.desc("value"), *[col(k).asc_nulls_last() for k in keys])
-        .limit(clamp(top_n, 5, 100))
+        .limit(top_n)
         .withColumn("share", F.coalesce(F.try_divide(100.0 * F.col("value"), F.nullif(total, F.lit(0))), F.lit(0.0)))
     )
-    # At most 100 rows reach this window.
+    # The listed rows reach this window.
     order = Window.orderBy(F.desc("value"), *[col(k).asc_nulls_last() for k in keys])
     return ranked.select(
         *map(col, keys),
@@ -194,20 +194,37 @@ def pareto(df: DataFrame, keys: Sequence[str], metric: str, agg: str = "sum", to
     )
 
 
-def pareto_summary(df: DataFrame, keys: Sequence[str], metric: str, agg: str = "sum", top_n: int = 20) -> DataFrame:
-    """One row: groups, total, concentration index over all groups, and how many of the listed
-    groups reach 80 % (null when the list does not reach it)."""
+def _groups_to_mark(groups: DataFrame, keys: Sequence[str]) -> Column:
+    """How many of the largest groups reach the mark. All groups are sorted by ranges; each range is
+    summed by itself and starts from the sums of the ranges before it."""
+    down = [F.desc("value"), *[col(k).asc_nulls_last() for k in keys]]
+    ranged = computed_once(groups.repartitionByRange(*down).withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("part").orderBy(*down)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("part").agg(F.sum("value").alias("sum"), F.count(F.lit(1)).alias("n")).select(
+        "part", F.coalesce(F.sum("sum").over(before), F.lit(0.0)).alias("sum_before"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"),
+    )
+    total = F.nullif(groups.agg(F.sum("value").alias("t")).scalar(), F.lit(0))
+    reached = F.col("sum_before") + F.sum("value").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.join(F.broadcast(parts), "part").select(
+        (F.col("n_before") + F.row_number().over(inside)).alias("rank"),
+        half_up(F.try_divide(100.0 * reached, total), 2).alias("share"),
+    )
+    return placed.filter(F.col("share") >= PARETO_MARK).agg(F.min("rank").alias("r")).scalar()
+
+
+def pareto_summary(df: DataFrame, keys: Sequence[str], metric: str, agg: str = "sum") -> DataFrame:
+    """One row: groups, total, concentration index, and how many of the largest groups reach 80 %
+    (null where the total is 0)."""
     groups = pareto_groups(df, keys, metric, agg)
-    at_mark = (
-        pareto(df, keys, metric, agg, top_n).filter(F.col("cum_share_pct") >= PARETO_MARK).agg(F.min("rank").alias("r"))
-    ).scalar()
     squares = F.sum(F.col("value") * F.col("value"))
     total = F.coalesce(F.sum("value"), F.lit(0.0))
     return groups.agg(
         F.count(F.lit(1)).alias("groups"),
         total.alias("total"),
         F.when(total > 0, half_up(squares / (total * total), 4)).otherwise(0.0).alias("hhi"),
-    ).withColumn("groups_to_80", at_mark.cast("long"))
+    ).withColumn("groups_to_80", _groups_to_mark(groups, keys).cast("long"))
 
 
 def concentration(df: DataFrame, key: str) -> DataFrame:

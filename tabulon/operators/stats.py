@@ -14,7 +14,7 @@ from tabulon.functions.schema import (
     col, data_type, is_numeric, numeric_columns, require_columns, require_numeric,
 )
 from tabulon.operators.ordering import Target, order_statistics, quantiles, quartiles, with_average_ranks
-from tabulon.operators.profile import MODES_KEPT, from_one_row, most_common, value_counts
+from tabulon.operators.profile import from_one_row, most_common, value_counts
 
 PAIRS_PER_PASS = 300
 
@@ -25,7 +25,7 @@ PAIRS_PER_PASS = 300
 def statistics(
     df: DataFrame,
     columns: Sequence[str] | None = None,
-    modes_kept: int = MODES_KEPT,
+    modes_kept: int | None = 5,
     exact: bool = True,
     quarters: dict[str, tuple] | None = None,
 ) -> DataFrame:

@@ -40,7 +40,8 @@ class BestHits:
         self.hits: pa.Table | None = None
 
     def add(self, scores: np.ndarray, possible: np.ndarray, ids: pa.Array) -> None:
-        """Take in a (rows x queries) score matrix; ``possible`` marks scores that may win."""
+        """Take in a (rows x queries) score matrix; ``possible`` marks scores that may win; NaN never does."""
+        possible = possible & ~np.isnan(scores)
         masked = np.where(possible, scores, -np.inf)
         if len(masked) >= self.k:
             kth = np.partition(masked, len(masked) - self.k, axis=0)[len(masked) - self.k]

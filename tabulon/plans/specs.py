@@ -16,15 +16,9 @@ FILTER_OPS = (
 PLAN_OPS = ("eq", "ne", "gt", "gte", "lt", "lte", "contains", "in")
 AGGREGATES = ("sum", "mean", "min", "max", "count", "n_unique")
 EXPLORE_LIMIT = 2000
-QUERY_LIMIT = 1000
-SQL_LIMIT = 2000
 PLAN_LIMIT = 200
 
 
-def clamp(value: int, low: int, high: int) -> int:
-    return max(low, min(int(value), high))
-
-
 @dataclass(frozen=True)
 class FilterSpec:
     column: str

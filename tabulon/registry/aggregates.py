@@ -170,15 +170,15 @@ def explore_counts(spark, sf):
 @query(
     "explore_raw",
     """SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderpriority = '2-HIGH'
-    ORDER BY o_totalprice DESC, o_orderkey LIMIT 2000""",
+    ORDER BY o_totalprice DESC, o_orderkey""",
 )
 def explore_raw(spark, sf):
     spec = QuerySpec(
         filters=[{"column": "o_orderpriority", "value": "2-HIGH"}],
         columns=["o_orderkey", "o_custkey", "o_totalprice"],
-        sort_by="o_totalprice", sort_dir="desc", limit=100_000,
+        sort_by="o_totalprice", sort_dir="desc",
     )
-    return run_query(table(spark, sf, "orders"), spec, EXPLORE_LIMIT)
+    return run_query(table(spark, sf, "orders"), spec)
 
 
 @query(
@@ -224,7 +224,7 @@ def top_values_(spark, sf):
       max(n) OVER (PARTITION BY "column") AS top FROM (
       SELECT 'c_name' AS "column", c_name AS value, count(*) AS n FROM customer GROUP BY 2 UNION ALL
       SELECT 'c_mktsegment', c_mktsegment, count(*) FROM customer GROUP BY 2) c) r
-    WHERE rn <= 5 AND n = top""",
+    WHERE n = top AND value IS NOT NULL""",
 )
 def modes_(spark, sf):
     return modes(table(spark, sf, "customer"), ["c_name", "c_mktsegment"])

@@ -158,7 +158,7 @@ def forecast_by_key_(spark, sf):
 
 def _series_sql(unit: str, agg: str) -> str:
     return f"""WITH g AS (SELECT strftime(date_trunc('{unit}', o_orderdate), '%Y-%m-%d') AS period,
-      {agg}(o_totalprice) AS o_totalprice FROM orders GROUP BY 1 ORDER BY 1 LIMIT 500)
+      {agg}(o_totalprice) AS o_totalprice FROM orders GROUP BY 1)
     SELECT period, round(o_totalprice, 2) AS o_totalprice,
     round(100 * (o_totalprice - lag(o_totalprice) OVER (ORDER BY period)) / nullif(lag(o_totalprice) OVER (ORDER BY period), 0), 2)
     AS o_totalprice__delta_pct FROM g"""
@@ -201,7 +201,7 @@ def pareto_(spark, sf):
     (SELECT min(rank) FROM r WHERE c >= 80 AND rank <= 30) AS groups_to_80 FROM g, s""",
 )
 def hhi(spark, sf):
-    return rounded(pareto_summary(table(spark, sf, "part"), ["p_brand"], "p_size", "count", 30))
+    return rounded(pareto_summary(table(spark, sf, "part"), ["p_brand"], "p_size", "count"))
 
 
 @query(
@@ -239,12 +239,10 @@ def histogram_(spark, sf):
 
 @query(
     "scatter",
-    """SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem
-    ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice LIMIT 400""",
+    "SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem",
 )
 def scatter(spark, sf):
-    order = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"]
-    return scatter_points(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", order)
+    return scatter_points(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
 
 
 def _skewed(column: str, source: str) -> str:
@@ -325,7 +323,7 @@ def pattern_missing(spark, sf):
     UNION ALL SELECT 'rare', 'event_type=' || event_type, round(100 * n / t, 2) FROM (
       SELECT event_type, count(*) AS n, sum(count(*)) OVER () AS t, count(*) OVER () AS c FROM events GROUP BY 1
       ORDER BY n, event_type LIMIT 3) r WHERE c >= 5 AND 100 * n / t <= 2.0) p
-    ORDER BY abs(strength) DESC, kind, subject LIMIT 20""",
+    ORDER BY abs(strength) DESC, kind, subject""",
 )
 def patterns_(spark, sf):
     events = table(spark, sf, "events").select("value", "user_id", "event_type")

@@ -9,7 +9,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.functions.rounding import GUARD_DIGITS
-from tabulon.sources.readers import spread
 from tabulon.session import ensure_checkpoint_dir
 
 # The SQL dialect rounds after a multiplication, which may move a half; decimals do not.
@@ -63,8 +62,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of texts, which take long per row."""
-    return spread(table(spark, folder, name))
+    """A table of texts. How many tasks a scan has is up to ``spark.sql.files.*`` settings."""
+    return table(spark, folder, name)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -11,7 +11,7 @@ from tabulon.operators.profile import missing_counts
 from tabulon.operators.report import build_report
 from tabulon.plans.specs import Plan, QuerySpec
 from tabulon.registry.base import query, scratch_path, table
-from tabulon.sources.readers import content_duplicates, drop_content_duplicates, read_table
+from tabulon.sources.readers import content_duplicates, drop_content_duplicates, read_csv, read_json, read_table
 from tabulon.sources.writers import (
     log_query, save_derived, upsert, upsert_counts, write_csv, write_query_json, write_tables,
 )
@@ -48,6 +48,16 @@ def scan_json(spark, sf):
     return read_table(spark, path)
 
 
+@query("scan_json_array", ORDERS_SQL)
+def scan_json_array(spark, sf):
+    """The same rows as one JSON array, in a file of its own for each priority."""
+    path = scratch_path(spark, "orders")
+    line = F.to_json(F.struct(*[F.col(c) for c in _orders(spark, sf).columns]))
+    listed = _orders(spark, sf).groupBy("o_orderpriority").agg(F.concat(F.lit("["), F.array_join(F.collect_list(line), ","), F.lit("]")).alias("value"))
+    listed.select("value", F.col("o_orderpriority").alias("part")).write.partitionBy("part").text(path)
+    return read_json(spark, path).select(*_orders(spark, sf).columns)
+
+
 @query("scan_parquet", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
 def scan_parquet(spark, sf):
     return read_table(spark, f"{sf}/part.parquet")
@@ -78,6 +88,56 @@ def content_duplicates_(spark, sf):
     return content_duplicates(table(spark, sf, "documents"), "doc_id", "text")
 
 
+FEW_TEXTS = "(SELECT doc_id, lang, CASE WHEN lang = 'de' THEN NULL ELSE text END AS text FROM documents)"
+
+
+def _few_texts(spark, sf):
+    text = F.when(F.col("lang") != "de", F.col("text")).alias("text")
+    return table(spark, sf, "documents").select("doc_id", "lang", text)
+
+
+@query(
+    "content_duplicates_null",
+    f"""SELECT doc_id, sha256(text) AS content_hash, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER w END AS first_id,
+    CASE WHEN text IS NULL THEN 1 ELSE count(*) OVER w END AS copies,
+    text IS NOT NULL AND doc_id <> min(doc_id) OVER w AS is_duplicate FROM {FEW_TEXTS} t WINDOW w AS (PARTITION BY text)""",
+)
+def content_duplicates_null(spark, sf):
+    return content_duplicates(_few_texts(spark, sf), "doc_id", "text")
+
+
+@query(
+    "drop_content_duplicates_null",
+    f"""SELECT doc_id, lang, text FROM {FEW_TEXTS} t
+    WHERE text IS NULL OR doc_id IN (SELECT min(doc_id) FROM {FEW_TEXTS} u GROUP BY text)""",
+)
+def drop_content_duplicates_null(spark, sf):
+    return drop_content_duplicates(_few_texts(spark, sf), "doc_id", "text")
+
+
+TEXTS_SQL = """SELECT doc_id, concat('"', text, '", ', lang) AS text, lang, n_chars FROM documents"""
+
+
+@query("sink_csv_text", TEXTS_SQL)
+def sink_csv_text(spark, sf):
+    """Texts with quotes, commas and line breaks, written and read back."""
+    path = scratch_path(spark, "documents") + ".csv"
+    text = F.concat(F.lit('"'), "text", F.lit('", '), "lang").alias("text")
+    write_csv(table(spark, sf, "documents").select("doc_id", text, "lang", "n_chars"), path)
+    return read_table(spark, path, schema="doc_id long, text string, lang string, n_chars long")
+
+
+@query("scan_csv_text", "SELECT doc_id, text, n_chars FROM documents")
+def scan_csv_text(spark, sf):
+    """Lines in standard quoting, made without the CSV writer."""
+    path = scratch_path(spark, "documents") + ".csv"
+    quoted = F.concat(F.lit('"'), F.replace(F.col("text"), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", "doc_id", quoted, "n_chars").alias("value")
+    table(spark, sf, "documents").select(line).write.text(path)
+    schema = "doc_id long, text string, n_chars long"
+    return read_csv(spark, path, schema=schema, header=False)
+
+
 @query(
     "drop_content_duplicates",
     "SELECT doc_id, lang, text FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)",

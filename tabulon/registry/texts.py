@@ -269,7 +269,7 @@ REPEATS = f"""WITH p AS (
     SELECT doc_id, i, {strip_sql("line")} AS para FROM (
       SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
       FROM documents) a) b WHERE para <> ''),
-n AS (SELECT doc_id, pos, para, substring(lower(regexp_replace(para, '[{SPACES}]+', ' ', 'g')), 1, 240) AS norm FROM p),
+n AS (SELECT doc_id, pos, para, lower(regexp_replace(para, '[{SPACES}]+', ' ', 'g')) AS norm FROM p),
 h AS (SELECT b.doc_id, min(b.pos) AS pos FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.pos < b.pos
   WHERE a.norm = b.norm OR (length(a.norm) <= length(b.norm) AND length(a.norm) > 50 AND contains(b.norm, a.norm))
     OR (length(b.norm) < length(a.norm) AND length(b.norm) > 50 AND contains(a.norm, b.norm)) GROUP BY 1)

@@ -17,15 +17,20 @@ def read_csv(
     sep: str = ",",
     schema: T.StructType | str | None = None,
     dates_as_strings: bool = True,
+    multi_line: bool = True,
+    header: bool = True,
 ) -> DataFrame:
-    """A table with a header line. A cell that does not fit its column becomes null.
+    """A table with a header line, or without where a schema is given. A cell that does not fit its column becomes null.
+
+    A quote inside a quoted cell is doubled, and a quoted cell may hold line breaks. Then a file is
+    one task; ``multi_line=False`` is for files without such cells, which are split.
 
     Without a schema the types are inferred, which reads the file once more; dates stay text
     unless asked for, and every date operator accepts both.
     """
     reader = (
-        spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
-        .option("multiLine", False).option("preferDate", not dates_as_strings)
+        spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
+        .option("multiLine", multi_line).option("quote", '"').option("escape", '"').option("preferDate", not dates_as_strings)
     )
     if schema is not None:
         return reader.schema(schema).csv(path)
@@ -43,11 +48,15 @@ def read_tsv(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def read_json(
-    spark: SparkSession, path: str, json_mode: str = "lines", schema: T.StructType | str | None = None
+    spark: SparkSession, path: str, json_mode: str = "either", schema: T.StructType | str | None = None
 ) -> DataFrame:
-    """``lines`` has one object per line and can be split; ``array`` is one JSON array per file."""
-    if json_mode not in ("lines", "array"):
-        raise InvalidRequest("json_mode must be lines or array")
+    """``lines`` has one object per line and can be split; ``array`` is one JSON array per file;
+    ``either`` looks at the first character of the first file that has one."""
+    if json_mode not in ("lines", "array", "either"):
+        raise InvalidRequest("json_mode must be lines, array or either")
+    if json_mode == "either":
+        first = spark.read.text(path).select(F.ltrim("value").alias("line")).filter("line <> ''").first()
+        json_mode = "array" if first is not None and first["line"].startswith("[") else "lines"
     reader = spark.read.option("multiLine", json_mode == "array")
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
@@ -56,16 +65,6 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan with fewer partitions than the cluster has cores, dealt out over all of them.
-
-    Meant for work that is heavy per row, such as cutting texts: one row group is one task, so a
-    small file would keep one core busy. A large table has partitions enough and is left alone.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
     """Read by the suffix of the path."""
     readers = {".csv": read_csv, ".tsv": read_tsv, ".json": read_json, ".parquet": read_parquet}
@@ -86,7 +85,7 @@ def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
 
 
 def content_duplicates(df: DataFrame, id_column: str, content: str) -> DataFrame:
-    """Every record with the first record of the same content.
+    """Every record with the first record of the same content; null content is a copy of nothing.
 
     The first ids come from an aggregate, which merges the copies of one content before the
     shuffle. They join back on another form of the hash: a side that lies as the join wants it
@@ -98,14 +97,18 @@ def content_duplicates(df: DataFrame, id_column: str, content: str) -> DataFrame
         F.min(col(id_column)).alias("first_id"), F.count(F.lit(1)).alias("copies")
     )
     backwards = F.reverse("content_hash").alias("__hash")
-    return hashed.select("*", backwards).join(firsts.select(backwards, "first_id", "copies"), "__hash").select(
-        col(id_column), "content_hash", "first_id", "copies",
-        (col(id_column) != F.col("first_id")).alias("is_duplicate"),
+    named = firsts.filter(F.col("content_hash").isNotNull()).select(backwards, "first_id", "copies")
+    return hashed.select("*", backwards).join(named, "__hash", "left").select(
+        col(id_column), "content_hash", F.coalesce("first_id", col(id_column)).alias("first_id"),
+        F.coalesce("copies", F.lit(1)).alias("copies"),
+        F.coalesce(col(id_column) != F.col("first_id"), F.lit(False)).alias("is_duplicate"),
     )
 
 
 def drop_content_duplicates(df: DataFrame, id_column: str, content: str) -> DataFrame:
-    """Only the first record of each content."""
+    """Only the first record of each content, and all records without content."""
     require_columns(df, [id_column, content])
-    firsts = df.groupBy(F.sha2(col(content).cast("string"), 256)).agg(F.min(col(id_column)).alias("__first"))
-    return df.join(firsts.select("__first"), col(id_column) == F.col("__first"), "left_semi")
+    held = df.filter(col(content).isNotNull())
+    firsts = held.groupBy(F.sha2(col(content).cast("string"), 256)).agg(F.min(col(id_column)).alias("__first"))
+    kept = held.join(firsts.select("__first"), col(id_column) == F.col("__first"), "left_semi")
+    return kept.unionAll(df.filter(col(content).isNull()))

@@ -12,13 +12,18 @@ from pyspark.sql import DataFrame, functions as F
 from tabulon.errors import EmptyInput
 from tabulon.functions.schema import col, require_columns
 from tabulon.operators.explore import query_counts, run_query
+from tabulon.operators.joins import unique_keys
 from tabulon.operators.report import long_form
-from tabulon.plans.specs import PLAN_LIMIT, Plan, QuerySpec
+from tabulon.plans.specs import Plan, QuerySpec
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """All rows with a header; null becomes an empty cell."""
-    df.write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    """All rows with a header; null becomes an empty cell. Quotes are doubled; a cell with a quote, a
+    comma or a line break is quoted."""
+    plain = df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+    plain.option("nullValue", "").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False
+    ).csv(path)
 
 
 def write_query_json(df: DataFrame, spec: QuerySpec, path: str, mode: str = "errorifexists") -> dict[str, Any]:
@@ -45,12 +50,12 @@ def save_derived(
     """Write a derived table and, beside it, where it came from.
 
     The rows are counted in the written files, whose footers hold the number. An empty table is
-    refused: it gets no lineage, and without that a folder is no saved table.
+    refused before anything is written.
     """
+    if df.isEmpty():
+        raise EmptyInput("the derived table has no rows")
     df.write.mode(mode).parquet(f"{path}/data")
     written = df.sparkSession.read.schema(df.schema).parquet(f"{path}/data").count()
-    if not written:
-        raise EmptyInput("the derived table has no rows")
     lineage = {
         "type": kind, "sources": list(sources), "steps": list(steps),
         "rows_before": rows_before, "rows_after": written,
@@ -72,21 +77,19 @@ def log_query(
 ) -> None:
     """Append one row about an executed plan: question, plan, row count, columns, first rows."""
     plan_json = json.dumps(plan, default=vars, ensure_ascii=False)
-    shown = F.collect_list(F.to_json(F.struct(*map(col, result.columns))))
-    # A plan returns at most 200 rows, so they fit one list.
-    result.limit(PLAN_LIMIT).agg(
-        F.count(F.lit(1)).alias("row_count"), F.slice(shown, 1, preview_rows).alias("sample_rows")
-    ).select(
+    shown = result.limit(preview_rows).agg(F.collect_list(F.to_json(F.struct(*map(col, result.columns)))).alias("s"))
+    result.agg(F.count(F.lit(1)).alias("row_count")).withColumn("sample_rows", shown.scalar()).select(
         F.lit(asked_at).alias("asked_at"), F.lit(question).alias("question"), F.lit(plan_json).alias("plan"),
         "row_count", F.array(*map(F.lit, result.columns)).alias("columns"), "sample_rows",
     ).write.mode("append").json(log_path)
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The target with rows of equal key replaced by the source's, and new rows added. Every
-    source key must be unique, as in a table of records."""
+    """The target with rows of equal key replaced by the source's, and new rows added. A source key
+    that occurs twice is an error when the rows are computed."""
     require_columns(target, keys, "key")
     require_columns(source, keys, "key")
+    source = unique_keys(source, keys)
     kept = target.join(source.select(*map(col, keys)), list(keys), "left_anti")
     return kept.unionByName(source.select(*map(col, target.columns)))
 

@@ -9,7 +9,7 @@ from tabulon.operators.explore import run_plan
 from tabulon.operators.report import build_report
 from tabulon.plans.specs import Plan, QuerySpec
 from tabulon.sources.readers import (
-    content_duplicates, drop_content_duplicates, file_hashes, read_csv, read_json, read_table, spread,
+    content_duplicates, drop_content_duplicates, file_hashes, read_csv, read_json, read_table,
 )
 from tabulon.sources.writers import (
     log_query, save_derived, upsert, upsert_counts, write_csv, write_query_json, write_tables,
@@ -42,24 +42,33 @@ def test_suffix_decides(spark, tmp_path):
 
 
 def test_csv_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([("a,b", None), (None, 2), ('say "x"', 3)], "s string, i long")
+    cells = ["a,b", None, 'say "x"', '"', 'a "b", c', "two\nlines", '"x"\n,', " kept ", "back\\slash", '\\"']
+    df = spark.createDataFrame(list(zip(cells, range(len(cells)))), "s string, i long")
     path = str(tmp_path / "out.csv")
     write_csv(df, path)
     assert rows(read_csv(spark, path, schema="s string, i long")) == rows(df)
 
 
-def test_spread_deals_out_small_scans(spark):
-    scan = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    assert spread(scan).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(100, numPartitions=20)
-    assert spread(wide) is wide
+def test_standard_quoting_is_read(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('a,b\n"say ""hi"" now",1\n"a ""b"", c",2\n"two\nlines",3\nplain,4\n')
+    assert rows(read_csv(spark, str(path))) == sorted([('say "hi" now', 1), ('a "b", c', 2), ("two\nlines", 3), ("plain", 4)])
+
+
+def test_json_in_either_form(spark, tmp_path):
+    (tmp_path / "a.json").write_text('\n  [{"a": 1},\n {"a": 2}]')
+    (tmp_path / "l.json").write_text('{"a": 1}\n{"a": 2}\n')
+    for name in ("a.json", "l.json"):
+        assert rows(read_json(spark, str(tmp_path / name))) == [(1,), (2,)]
 
 
 def test_equal_content(spark, tmp_path):
-    df = spark.createDataFrame([(3, "x"), (1, "x"), (2, "y"), (4, None)], "id long, t string")
-    out = content_duplicates(df.filter("t IS NOT NULL"), "id", "t")
-    assert rows(out, "id", "first_id", "copies", "is_duplicate") == [(1, 1, 2, False), (2, 2, 1, False), (3, 1, 2, True)]
-    assert rows(drop_content_duplicates(df, "id", "t"), "id") == [(1,), (2,), (4,)]
+    df = spark.createDataFrame([(3, "x"), (1, "x"), (2, "y"), (4, None), (5, None)], "id long, t string")
+    out = content_duplicates(df, "id", "t")
+    assert rows(out, "id", "first_id", "copies", "is_duplicate") == [
+        (1, 1, 2, False), (2, 2, 1, False), (3, 1, 2, True), (4, 4, 1, False), (5, 5, 1, False),
+    ]
+    assert rows(drop_content_duplicates(df, "id", "t"), "id") == [(1,), (2,), (4,), (5,)]
     for name in ("a", "b", "c"):
         (tmp_path / f"{name}.bin").write_bytes(b"same" if name != "c" else b"other")
     hashes = file_hashes(spark, str(tmp_path))
@@ -83,7 +92,7 @@ def test_derived_table_keeps_its_origin(spark, sales, tmp_path):
     assert spark.read.parquet(f"{path}/data").count() == 4
     with pytest.raises(EmptyInput):
         save_derived(sales.limit(0), str(tmp_path / "e"), "etl", [])
-    assert not (tmp_path / "e" / "lineage").exists()
+    assert not (tmp_path / "e").exists()
 
 
 def test_report_and_log(spark, sales, tmp_path):
@@ -106,3 +115,5 @@ def test_upsert(spark):
     assert rows(upsert_counts(target, source, ["id"])) == [(1, 1)]
     with pytest.raises(InvalidRequest):
         upsert(target, source, ["nope"])
+    with pytest.raises(Exception, match="twice"):
+        upsert(target, source.unionAll(source), ["id"]).collect()

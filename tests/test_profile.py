@@ -59,9 +59,10 @@ def test_common_values(mixed):
     assert rows(modes(mixed, ["s", "d"])) == [("d", "2024-01-01", 2), ("s", "x", 2)]
 
 
-def test_tied_modes_are_kept_up_to_five(spark):
+def test_all_tied_modes_are_kept(spark):
     df = spark.createDataFrame([(v,) for v in "hgfedcba"], "v string")
-    assert [r[1] for r in rows(modes(df, ["v"]))] == list("abcde")
+    assert [r[1] for r in rows(modes(df, ["v"]))] == list("abcdefgh")
+    assert [r[1] for r in rows(modes(df, ["v"], 5))] == list("abcde")
 
 
 def test_column_values(sales):

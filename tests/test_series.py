@@ -38,10 +38,11 @@ def test_months_and_bad_dates(spark):
     assert [tuple(r) for r in out] == [("2024-01-01", 0, None), ("2024-02-01", 5, None)]
 
 
-def test_earliest_periods_stay_within_the_limit(spark):
+def test_all_periods_or_the_earliest(spark):
     df = spark.range(40).selectExpr("date_add(DATE'2024-01-01', CAST(id AS INT)) AS d", "id AS v")
+    assert timeseries(df, "d", ["v"]).count() == 40
     out = timeseries(df, "d", ["v"], limit=3).collect()
-    assert len(out) == 10 and out[0]["period"] == "2024-01-01"
+    assert [r["period"] for r in out] == ["2024-01-01", "2024-01-02", "2024-01-03"]
 
 
 def test_series_refusals(dated):
@@ -122,6 +123,12 @@ def test_pareto_of_zeros_and_nulls(spark):
         pareto(df, [], "v")
 
 
+def test_groups_to_the_mark_come_from_all_groups(spark):
+    df = spark.range(500).selectExpr("id AS g", "1.0D AS v")
+    assert pareto_summary(df, ["g"], "v").first()["groups_to_80"] == 400
+    assert pareto(df, ["g"], "v", top_n=150).count() == 150
+
+
 def test_concentration_of_row_counts(sales):
     assert rows(concentration(sales, "region")) == [(2, 0.5)]
 
@@ -133,8 +140,13 @@ def test_histogram_closes_the_last_bin_and_keeps_empty_ones(spark):
     flat = spark.createDataFrame([(5.0,), (5.0,)], "v double")
     assert [tuple(r) for r in histogram(flat, "v").orderBy("bin").limit(1).collect()] == [(0, 5.0, 5.08, 2)]
     assert histogram(df.filter("v > 99"), "v").count() == 0
+    odd = spark.createDataFrame([(0.0,), (12.0,), (float("nan"),), (float("inf"),)], "v double")
+    assert [r["n"] for r in histogram(odd, "v").orderBy("bin").collect()] == [1] + [0] * 10 + [1]
 
 
 def test_scatter_skips_holes(spark):
     df = spark.createDataFrame([(1, 1.0, None), (2, 2.0, 5.0), (3, 3.0, 6.0)], "i long, x double, y double")
-    assert [tuple(r) for r in scatter_points(df, "x", "y", ["i"], 1).collect()] == [(2.0, 5.0)]
+    assert rows(scatter_points(df, "x", "y")) == [(2.0, 5.0), (3.0, 6.0)]
+    many = spark.range(1000).selectExpr("id AS x", "id AS y")
+    sample = rows(scatter_points(many, "x", "y", 100))
+    assert len(sample) == 100 and max(sample)[0] > 500 and sample == rows(scatter_points(many.repartition(3), "x", "y", 100))

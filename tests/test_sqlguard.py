@@ -21,7 +21,7 @@ def test_with_and_joins(spark, sales):
     "SELECT reflect('java.lang.System', 'exit', 0)", "SELECT java_method('a', 'b')",
     "SELECT * FROM parquet.`/etc`", "SELECT * FROM other", "SELECT * FROM s, `other`", "SELECT * FROM s JOIN secret ON true",
 ])
-def test_refused(text):
+def test_refused(spark, text):
     with pytest.raises(InvalidRequest):
         check_select(text, ["s"])
 
@@ -32,7 +32,7 @@ def test_words_inside_literals_are_fine(spark, sales):
 
 
 @pytest.mark.parametrize("text", ["SELECT 1) UNION ALL (SELECT 2", "SELECT 1), (SELECT 2", "SELECT (1"])
-def test_text_cannot_leave_the_subquery(text):
+def test_text_cannot_leave_the_subquery(spark, text):
     with pytest.raises(InvalidRequest):
         check_select(text, ["s"])
 
@@ -47,10 +47,30 @@ def test_listed_tables_and_from_in_functions(spark, sales):
         check_select("SELECT * FROM s a, secret b", ["s"])
 
 
-def test_limit_is_clamped_and_views_do_not_stay(spark):
+@pytest.mark.parametrize("text", [
+    "SELECT * FROM s JOIN t ON s.name = t.name, secret", "SELECT name FROM s UNION ALL TABLE secret", "SELECT `reflect`('a', 'b')",
+    "FROM s, (SELECT 1) y, secret", "SELECT * FROM s AS x(a, b), secret", "SELECT * FROM (secret)", "SELECT * FROM s TABLESAMPLE (10 ROWS), secret",
+    "SELECT * FROM IDENTIFIER('secret')", "SELECT (SELECT max(a) FROM secret)", "SELECT 1 WHERE 1 IN (SELECT a FROM secret)",
+    "SELECT * FROM (WITH secret AS (SELECT 1) SELECT * FROM secret) a, secret", "SELECT * FROM s, LATERAL (SELECT * FROM secret)",
+    "SELECT * FROM s LATERAL VIEW `java_method`('a', 'b') e", "SELECT TRANSFORM(name) USING 'cat' FROM s", "SELECT * FROM sql_keywords()",
+    "SELECT builtin.reflect('a', 'b')", "FROM secret |> SELECT *", "SELECT * FROM s ORDER BY (SELECT a FROM secret)",
+])
+def test_no_way_around_the_guard(spark, text):
+    with pytest.raises(InvalidRequest):
+        check_select(text, ["s", "t"])
+
+
+def test_columns_may_be_called_anything(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], "load int, add int, `set` int, use int")
+    assert run_select(spark, "SELECT load + add + `set` + use AS drop FROM s", {"s": df}).first()["drop"] == 10
+
+
+def test_limit_is_honoured_and_views_do_not_stay(spark):
     big = spark.range(5000)
-    assert run_select(spark, "SELECT * FROM big", {"big": big}, 99_999).count() == 2000
-    assert run_select(spark, "SELECT * FROM big", {"big": big}, 0).count() == 1
+    assert run_select(spark, "SELECT * FROM big", {"big": big}).count() == 5000
+    assert run_select(spark, "SELECT * FROM big", {"big": big}, 3000).count() == 3000
+    with pytest.raises(InvalidRequest):
+        run_select(spark, "SELECT * FROM big", {"big": big}, -1)
     assert "big" not in [t.name for t in spark.catalog.listTables()]
 
 

@@ -12,7 +12,7 @@ from tabulon.operators.chunking import (
     cap_chunks, chunk_context, chunk_documents, lines_to_documents, rows_to_lines, size_flags,
 )
 from tabulon.operators.chunkstore import (
-    _kept_of_many, _kept_passages, brief_context, chunk_stats, cut_repeats, delete_rows, hit_sources, linked_documents, merge_metadata, reconcile,
+    _kept_passages, brief_context, chunk_stats, cut_repeats, delete_rows, hit_sources, linked_documents, merge_metadata, reconcile,
     replace_documents, retrieved_context, update_chunks,
 )
 from tabulon.operators.lexical import list_chunks
@@ -210,7 +210,7 @@ def test_repeats_against_all_pairs():
             start = random.randrange(0, 200)
             piece = base[start : start + random.choice([3, 50, 51, 52, 90, 200])]
             passages.append(piece if random.random() < 0.5 else piece + random.choice("xyz") * random.randrange(1, 60))
-        assert _kept_passages(passages) == _kept_of_many(passages) == slow_kept(passages)
+        assert _kept_passages(passages) == slow_kept(passages)
 
 
 def test_repeated_sections_are_cut(spark):
