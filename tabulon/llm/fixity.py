@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tabulon.session import computed_once
 
 BITS = 4  # a node has 2 ** BITS children at most
-_NO_ID = -(1 << 63)
 
 
 def warc_record(url: Column, payload: Column) -> Column:
@@ -25,9 +24,9 @@ def warc_record(url: Column, payload: Column) -> Column:
     )
 
 
-def leaves(records: DataFrame, record_id: str, record: Column) -> DataFrame:
+def leaves(records: DataFrame, record_id: str, record: Column, no_id: int) -> DataFrame:
     """``key, hash, bytes``: one row per id. Repeated records are counted before anything is gathered."""
-    key = F.coalesce(F.col(f"`{record_id}`").cast("long"), F.lit(_NO_ID))
+    key = F.coalesce(F.col(f"`{record_id}`").cast("long"), F.lit(no_id))
     each = records.select(key.alias("key"), F.sha2(record, 256).alias("hash"), F.octet_length(record).cast("long").alias("bytes"))
     counted = each.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
     several = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hash", "n"))), lambda x: F.concat_ws(":", x["hash"], x["n"])), ",")
@@ -37,9 +36,9 @@ def leaves(records: DataFrame, record_id: str, record: Column) -> DataFrame:
     )
 
 
-def tree(records: DataFrame, record_id: str, record: Column, levels: int) -> list[DataFrame]:
+def tree(records: DataFrame, record_id: str, record: Column, levels: int, no_id: int) -> list[DataFrame]:
     """The nodes of each level, from the leaves to the root; each level is kept in the checkpoint folder."""
-    made = [computed_once(leaves(records, record_id, record))]
+    made = [computed_once(leaves(records, record_id, record, no_id))]
     for level in range(levels):
         last = level == levels - 1
         up = F.lit(0).cast("long") if last else F.shiftright("key", BITS)
@@ -49,14 +48,13 @@ def tree(records: DataFrame, record_id: str, record: Column, levels: int) -> lis
     return made
 
 
-def levels_for(*copies: DataFrame, record_id: str) -> int:
-    """Levels above the leaves until one node covers all ids."""
-    widest = 0
-    for copy in copies:
-        key = F.coalesce(F.col(f"`{record_id}`").cast("long"), F.lit(_NO_ID))
-        low, high = copy.agg(F.min(key), F.max(key)).first()
-        widest = max([widest, *(abs(x + (x < 0)).bit_length() for x in (low, high) if x is not None)])
-    return -(-widest // BITS) + 1
+def key_range(*copies: DataFrame, record_id: str) -> tuple[int, int]:
+    """Levels above the leaves until one node covers all ids, and the key of records without one, before all others."""
+    key = F.col(f"`{record_id}`").cast("long")
+    found = [x for copy in copies for x in copy.agg(F.min(key), F.max(key)).first() if x is not None]
+    no_id = min(found, default=0) - 1
+    widest = max(abs(x + (x < 0)).bit_length() for x in (no_id, *found))
+    return -(-widest // BITS) + 1, no_id
 
 
 def audit(
@@ -72,8 +70,8 @@ def audit(
     """
     kind = original.schema[record_id].dataType
     record = warc_record(F.col(f"`{url}`"), F.col(f"`{payload}`"))
-    levels = levels_for(original, replica, record_id=record_id)
-    one, two = (tree(copy, record_id, record, levels) for copy in (original, replica))
+    levels, no_id = key_range(original, replica, record_id=record_id)
+    one, two = (tree(copy, record_id, record, levels, no_id) for copy in (original, replica))
     suspects = None
     for level in range(levels, -1, -1):
         a = one[level].select("key", F.col("hash").alias("hash_a"), F.col("bytes").alias("bytes_a"))
@@ -92,7 +90,7 @@ def audit(
         suspects = differ.select(F.col("key").alias("parent"), "at")
     status = F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash_a").isNull(), "added").otherwise("changed")
     return differ.select(
-        F.when(F.col("key") != _NO_ID, F.col("key")).cast(kind).alias(record_id), status.alias("status"),
+        F.when(F.col("key") != no_id, F.col("key")).cast(kind).alias(record_id), status.alias("status"),
         F.col("at").alias("offset"), F.col("bytes_a").alias("length"),
         F.col("hash_a").alias("sha256"), F.col("hash_b").alias("replica_sha256"),
     )

@@ -41,7 +41,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def _looks_random(value: str) -> bool:
     """Mixed letters and digits: a word or a number alone is no secret."""
     digits = sum(c.isdigit() for c in value)
-    return 3 <= digits < len(value) and len(set(value)) >= 10 and any(c.isupper() for c in value) and any(c.islower() for c in value)
+    return 1 <= digits < len(value) and len(set(value)) >= 10 and any(c.isupper() for c in value) and any(c.islower() for c in value)
 
 
 def _scopes(text: str) -> list[int]:

@@ -138,7 +138,7 @@ def test_likeness_falls_with_edits():
 
 
 def test_folding_undoes_look_alikes_and_digits():
-    assert folded("An 1d10t, IDIОT and id!ot; 4 of 10 st0p") == " an idiot idiot and idiot 4 of 10 stop "
+    assert folded("An id10t, IDIОT and id!ot; 4 of 10 st0p") == " an idiot idiot and idiot 4 of 10 stop "
     assert folded(None) == folded("") == "  "
 
 
