@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tabulon.errors import InvalidRequest
 from tabulon.functions.rounding import half_up
 from tabulon.functions.schema import col, require_columns
 from tabulon.functions.text import tokens
@@ -65,9 +66,9 @@ def embed(
     return df.withColumn(name, made)
 
 
-def _matrix(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """List rows as a matrix and the positions of the rows that have a vector."""
-    present = np.flatnonzero(pc.is_valid(lists).to_numpy(zero_copy_only=False))
+def _matrix(lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """List rows as a matrix and the positions of the rows that have a vector of this length."""
+    present = np.flatnonzero(pc.equal(pc.list_value_length(lists), width).fill_null(False).to_numpy(zero_copy_only=False))
     held = lists.take(pa.array(present))
     flat = held.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(present), -1) if len(present) else np.zeros((0, 0)), present
@@ -88,6 +89,8 @@ def _search_block(vectors: DataFrame, rows: list, query_type: T.DataType, k: int
     rows = [r for r in rows if r["payload"] is not None]
     if not rows:
         return vectors.sparkSession.createDataFrame([], schema)
+    if len({len(r["payload"]) for r in rows}) > 1:
+        raise InvalidRequest("the query vectors differ in length")
     asked = _unit(np.array([r["payload"] for r in rows], dtype=np.float64))
     shared = vectors.sparkSession.sparkContext.broadcast((asked, [r["id"] for r in rows]))
     arrow_query_type = to_arrow_type(query_type)
@@ -99,7 +102,7 @@ def _search_block(vectors: DataFrame, rows: list, query_type: T.DataType, k: int
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                matrix, present = _matrix(part["vector"])
+                matrix, present = _matrix(part["vector"], asked.shape[1])
                 if len(present):
                     near = np.round(_unit(matrix) @ asked.T, RANK_DIGITS)
                     best.add(near, np.ones_like(near, dtype=bool), part["id"].take(pa.array(present)))
@@ -120,7 +123,8 @@ def vector_topk(
     """(query_id, id, score, rank): the ``k`` nearest vectors of every query by cosine.
 
     Queries travel to the data in bounded blocks; each task multiplies its rows with a block and
-    keeps the ``k`` best, so only those are shuffled. Scores below zero show as zero.
+    keeps the ``k`` best, so only those are shuffled. Scores below zero show as zero. Rows without
+    a vector, with one of another length or with NaN in it are never hits.
     """
     require_columns(vectors, [id_column, vector_column])
     require_columns(queries, [query_id, query_vector])
@@ -163,7 +167,8 @@ def hybrid_search(
     titles: Sequence[str] = (),
     extra: Sequence[str] = (),
 ) -> DataFrame:
-    """Cosine and BM25 candidates of every query, fused by rank."""
+    """Cosine and BM25 candidates of every query, fused by rank. A document without a vector is
+    found by its words alone; to search some documents only, give those."""
     candidates = max(CANDIDATES_PER_HIT * k, MIN_CANDIDATES)
     near = vector_topk(documents, queries, id_column, vector_column, query_id, query_vector, candidates)
     lexical = bm25(documents, queries, id_column, text_column, query_id, query_text, candidates, titles, extra)

@@ -100,34 +100,61 @@ def vector_topk_(spark, sf):
     return vector_topk(vectors, centroids(vectors), "vec_id", "embedding", "label", "centre", 10)
 
 
+@query(
+    "vector_filtered",
+    f"""SELECT query_id, id, round(greatest(near, 0), 4) AS score, CAST(rank AS INT) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY near DESC, id) AS rank FROM (
+      SELECT label_q AS query_id, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], centre), 9) AS near
+      FROM embeddings CROSS JOIN (SELECT label AS label_q, centre FROM {CENTROIDS} c) q WHERE vec_id % 7 <> 3) s) r WHERE rank <= 10""",
+)
+def vector_filtered(spark, sf):
+    """Some vectors only, the others null or with NaN in them."""
+    vectors = table(spark, sf, "embeddings")
+    broken = F.when(F.col("vec_id") % 2 == 0, F.transform("embedding", lambda x: F.lit(float("nan")).cast("float")))
+    kept = F.when(F.col("vec_id") % 7 == 3, broken).otherwise(F.col("embedding")).alias("embedding")
+    return vector_topk(vectors.select("vec_id", kept), centroids(vectors), "vec_id", "embedding", "label", "centre", 10)
+
+
 @query("embed_hash")
 def embed_hash(spark, sf):
     return embed(texts(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
 
 
-HELD = "(SELECT d.doc_id, d.text, e.embedding FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"
+HELD = "(SELECT d.doc_id, d.text, e.embedding FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id{where})"
 ASKED = "(SELECT b.item_id, b.text, e.embedding FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id)"
 
 
-@query(
-    "hybrid_rrf",
-    f"""WITH {bm25_ctes(HELD + ' h', ASKED + ' a')},
+def _hybrid_sql(where: str = "") -> str:
+    held = HELD.format(where=where)
+    return f"""WITH {bm25_ctes(held + ' h', ASKED + ' a')},
     k AS (SELECT * FROM {ranked_sql('scored', 32)} x),
     v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY near DESC, id) AS rank FROM (
       SELECT item_id AS query_id, doc_id AS id, round(list_cosine_similarity(h.embedding::DOUBLE[], a.embedding::DOUBLE[]), 9) AS near
-      FROM {HELD} h CROSS JOIN {ASKED} a) s) r WHERE rank <= 32),
+      FROM {held} h CROSS JOIN {ASKED} a WHERE h.embedding IS NOT NULL) s) r WHERE rank <= 32),
     m AS (SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.id, k.id) AS id, CAST(v.rank AS INT) AS vector_rank,
       CAST(k.rank AS INT) AS keyword_rank, coalesce(round(greatest(near, 0), 4), 0) AS vector_score, coalesce(k.score, 0) AS keyword_score,
       round(coalesce(0.65 / (60 + v.rank), 0) + coalesce(0.35 / (60 + k.rank), 0), 6) AS score
       FROM v FULL JOIN k ON v.query_id = k.query_id AND v.id = k.id)
     SELECT query_id, id, vector_rank, keyword_rank, vector_score, keyword_score, score, CAST(rank AS INT) AS rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM m) f WHERE rank <= 8""",
-)
-def hybrid_rrf(spark, sf):
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM m) f WHERE rank <= 8"""
+
+
+def _hybrid(spark, sf, documents):
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    documents = texts(spark, sf, "documents").join(vectors, F.col("doc_id") == F.col("vec_id"))
+    held = documents.join(vectors, F.col("doc_id") == F.col("vec_id"), "left")
     asked = table(spark, sf, "benchmark").join(vectors, F.col("item_id") == F.col("vec_id"))
-    return hybrid_search(documents, asked, "doc_id", "text", "embedding", "item_id", "text", "embedding")
+    return hybrid_search(held, asked, "doc_id", "text", "embedding", "item_id", "text", "embedding")
+
+
+@query("hybrid_rrf", _hybrid_sql())
+def hybrid_rrf(spark, sf):
+    """All documents, also those without a vector."""
+    return _hybrid(spark, sf, texts(spark, sf, "documents"))
+
+
+@query("hybrid_filtered", _hybrid_sql(" WHERE d.lang = 'en'"))
+def hybrid_filtered(spark, sf):
+    return _hybrid(spark, sf, texts(spark, sf, "documents").filter("lang = 'en'"))
 
 
 def _context_sql(select: str) -> str:

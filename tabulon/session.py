@@ -11,10 +11,14 @@ from tabulon.errors import InvalidRequest
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
-def local_session(cores: str = "*", partitions: int = 8, app: str = "tabulon") -> SparkSession:
+def local_session(
+    cores: str = "*", partitions: int = 8, app: str = "tabulon", folder: str = "/tmp/tabulon-checkpoints"
+) -> SparkSession:
     """A session for tests and benchmarks on one machine; a cluster brings its own session."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
+        .config(CHECKPOINT_SETTING, folder)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -27,14 +31,15 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "tabulon") -
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; only a local session may fall back to a fresh one."""
+    """Use the shared folder that the session names. Where it names none, a session on one machine
+    gets a folder of its own, and any other is refused."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get(CHECKPOINT_SETTING, None)
     if not named:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local[") and context.master != "local":
             raise InvalidRequest(f"set {CHECKPOINT_SETTING} to a folder all executors share")
         named = tempfile.mkdtemp(prefix="tabulon-checkpoint-")
     context.setCheckpointDir(named)
