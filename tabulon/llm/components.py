@@ -7,23 +7,32 @@ from pyspark.sql import DataFrame, functions as F
 from tabulon.session import computed_once
 
 
+# In so many rounds the smallest node wins, which settles stars around it; later ones draw lots, which settles chains.
+ROUNDS_BY_NODE = 3
+
+
 def components(links: DataFrame) -> DataFrame:
-    """``node, component`` (the smallest node reachable) for every node of ``links`` (``a``, ``b``).
+    """``node, component`` for every node of ``links`` (``a``, ``b``): nodes that links join have the same component,
+    which is one of them.
 
-    Each round points every node to its smallest neighbour and follows these pointers to their ends, doubling the way
-    with each join; links are then drawn between the ends, and those inside one end vanish. Only nodes smaller than
-    all their neighbours are left, half of the nodes at most. The neighbours of a node are only ever aggregated, so a
-    node may have any number of them.
+    Each round points every node to the first of itself and its neighbours, in an order of that round, and from there
+    one step further, and draws the links between the nodes pointed to; links inside one such node vanish. In an order
+    drawn by lot, a constant share of the nodes is expected to go in each round. The neighbours of a node are only
+    ever aggregated, so a node may have any number of them.
     """
     left = computed_once(_drawn(links))
     steps: list[DataFrame] = []
     while not left.isEmpty():
+        def place(node: str):
+            lot = F.lit(0).cast("long") if len(steps) < ROUNDS_BY_NODE else F.xxhash64(node, F.lit(len(steps)))
+            return F.struct(lot.alias("lot"), F.col(node).alias("node"))
+
         both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy("a").agg(F.min("b").alias("b"))
-        step = computed_once(_further(near.select(F.col("a").alias("node"), F.least("a", "b").alias("to"))))
-        while not step.where(F.col("to") != F.col("way")).isEmpty():
-            step = computed_once(_further(_further(step)))
-        steps.append(step.select("node", "to"))
+        near = both.groupBy("a").agg(F.min(place("b")).alias("first"))
+        near = near.select(F.col("a").alias("node"), F.least("first", place("a"))["node"].alias("to"))
+        far = near.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        step = computed_once(near.join(far, "to").select("node", F.col("further").alias("to")))
+        steps.append(step)
         one, two = (step.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b"))
         moved = left.join(one, "a").join(two, "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
         left = computed_once(_drawn(moved))
@@ -36,11 +45,5 @@ def components(links: DataFrame) -> DataFrame:
     return computed_once(found)
 
 
-def _further(step: DataFrame) -> DataFrame:
-    """Pointers of pointers: ``node, to`` and, as ``way``, where ``to`` pointed from."""
-    onward = step.select(F.col("node").alias("way"), F.col("to").alias("further"))
-    return step.select("node", F.col("to").alias("way")).join(onward, "way").select("node", F.col("further").alias("to"), "way")
-
-
 def _drawn(links: DataFrame) -> DataFrame:
     return links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
