@@ -27,12 +27,20 @@ MARKS = ("section_title", "section_level", "page_number", "row_number")
 
 
 def _windows(paragraph: Column, size: int, overlap: int) -> Column:
-    """A long paragraph as windows of ``size`` characters, each ``overlap`` into the last."""
+    """A long paragraph as windows of ``size`` characters, each ``overlap`` into the last.
+
+    One pass cuts the paragraph into pieces as long as a window's step, and a window is put together
+    from the pieces it begins with: taking each window out of the paragraph would walk to it from
+    the paragraph's beginning.
+    """
     step = size - overlap
     count = F.ceil(F.greatest(F.length(paragraph) - size, F.lit(0)) / step).cast("int")
-    cut = F.transform(
-        F.sequence(F.lit(0), count), lambda i: strip(F.substring(paragraph, i * step + 1, F.lit(size)))
-    )
+    pieces = F.regexp_extract_all(paragraph, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    whole = pieces
+    for further in range(1, -(-size // step)):
+        rest = F.slice(pieces, F.lit(further + 1), F.greatest(F.size(pieces), F.lit(1)))
+        whole = F.zip_with(whole, rest, lambda head, tail: F.concat_ws("", head, tail))
+    cut = F.transform(F.slice(whole, F.lit(1), count + 1), lambda piece: strip(F.substring(piece, 1, size)))
     return F.filter(cut, lambda piece: piece != "")
 
 
