@@ -123,7 +123,7 @@ def chunk_metadata(spark, sf):
 
 @query(
     "chunk_keywords",
-    f"""SELECT chunk_id, coalesce(array_to_string(list(t ORDER BY pos)[1:20], ' '), '') AS keywords FROM {CHUNKS} c LEFT JOIN (
+    f"""SELECT chunk_id, coalesce(array_to_string(list(t ORDER BY pos), ' '), '') AS keywords FROM {CHUNKS} c LEFT JOIN (
       SELECT chunk_id AS cid, t, min(pos) AS pos FROM (
         SELECT chunk_id, unnest(w) AS t, generate_subscripts(w, 1) AS pos FROM (
           SELECT chunk_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM {CHUNKS} c2) a) b

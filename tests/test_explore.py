@@ -27,9 +27,9 @@ def test_wrong_specs(sales):
 
 
 def test_plan_group_sorts_by_alias(spark):
-    df = spark.createDataFrame([("East", 100), ("East", 50), ("West", 200), ("West", 300)], "region string, amount long")
-    out = run_plan(df, {"group_by": ["region"], "aggregations": [{"column": "amount", "agg": "sum", "alias": "total"}], "sort_by": "total"})
-    assert [tuple(r) for r in out.collect()] == [("West", 500), ("East", 150)]
+    df = spark.createDataFrame([("ash", 3.5), ("oak", 1.0), ("elm", 9.0), ("oak", 4.0), ("elm", -2.0)], "tree string, height double")
+    plan = {"group_by": ["tree"], "aggregations": [{"column": "height", "agg": "max", "alias": "tallest"}], "sort_by": "tallest"}
+    assert [tuple(r) for r in run_plan(df, plan).collect()] == [("elm", 9.0), ("oak", 4.0), ("ash", 3.5)]
 
 
 def test_plan_without_group_has_one_row(sales):
