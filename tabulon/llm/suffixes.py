@@ -7,7 +7,7 @@ anchors, so strings with different anchors need not meet. Strings that share an
 1. Spark rounds settle whole blocks: one that stands elsewhere too is repeated, one whose anchor no other block has is
    not. What is left are blocks at the ends of repeats.
 2. Those meet by anchor, with one copy of each settled block of the anchor. Groups are laid one after the other into
-   texts of about a megabyte, and intervals of their suffixes are extended backwards, breadth first. This derives
+   texts of about 128 KB, and intervals of their suffixes are extended backwards, breadth first. This derives
    common prefixes by increasing length and stops at ``least``: suffixes not yet told apart begin equal strings.
 """
 
@@ -25,7 +25,7 @@ from tabulon.llm.streams import ROWS, among, ask_shared, told_keys, told_shared
 LEAST = 200
 ANCHOR = 40
 SLICE = 1 << 20
-TEXT_BYTES = 1 << 20  # of blocks in one transform
+TEXT_BYTES = 1 << 17  # of blocks in one transform, whose tables should stay near the processor
 GROUP_BYTES = 4 << 20  # of one anchor; more are cut up and their strings compared across cuts by hash
 _LOW = np.uint64(0xFFFFFFFF)
 
