@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -22,7 +23,7 @@ _WEAK_ID = re.compile(r"(?:client|account|user|app|key|access)[_-]?(?:id|name|ke
 _WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])", re.A)
 _WEAK_ENDPOINT = re.compile(r"(?:https?|wss|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._:@/-]{4,}|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com", re.A)
 
-# A scope is a stretch of lines without a blank line between them, cut where it grows longer than this.
+# Parts meet inside a stretch of lines without a blank line, where at most so many characters lie between them.
 SCOPE_CHARS = 2_000
 _BREAK = re.compile(r"\n[ \t\r]*\n")
 
@@ -44,23 +45,27 @@ def _looks_random(value: str) -> bool:
     return 1 <= digits < len(value) and len(set(value)) >= 10 and any(c.isupper() for c in value) and any(c.islower() for c in value)
 
 
-def _scopes(text: str) -> list[int]:
-    """Where each scope begins."""
-    starts, last = [0], 0
-    for edge in [m.end() for m in _BREAK.finditer(text)] + [len(text)]:
-        while edge - last > SCOPE_CHARS:
-            last += SCOPE_CHARS
-            starts.append(last)
-        if edge < len(text):
-            starts.append(edge)
-            last = edge
-    return starts
+class _Meeting:
+    """Whether a span has one of given spans near it: no blank line and at most ``SCOPE_CHARS`` characters between."""
+
+    def __init__(self, spans: list[tuple[int, int]], edges: list[int], length: int) -> None:
+        spans = sorted(spans)
+        self.begins, self.edges, self.length = [a for a, _ in spans], edges, length
+        self.reach = list(accumulate((b for _, b in spans), max))
+
+    def __call__(self, a: int, b: int) -> bool:
+        scope = bisect_right(self.edges, a)
+        first = self.edges[scope - 1] if scope else 0
+        last = self.edges[scope] if scope < len(self.edges) else self.length
+        before = bisect_left(self.begins, min(b + SCOPE_CHARS + 1, last))
+        return before > 0 and self.reach[before - 1] >= max(a - SCOPE_CHARS, first + 1)
 
 
 def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Weak parts whose scope also holds a part that completes them.
+    """Weak parts near which a part stands that completes them.
 
-    An identifier or an endpoint needs a secret in the same scope, a secret needs an identifier or an endpoint.
+    An identifier or an endpoint needs a secret near it, a secret needs an identifier or an endpoint. Near means
+    anywhere in the text with no blank line and at most ``SCOPE_CHARS`` characters between the two.
     Strong identifiers (``access``) and strong secrets (``assign``, ``hex``) complete weak parts and are not listed
     again; a weak part that overlaps a base span is left out.
     """
@@ -80,14 +85,11 @@ def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
     weak += [(*m.span(), "linked_endpoint") for m in _WEAK_ENDPOINT.finditer(text) if free(*m.span())]
     if not weak:
         return []
-    scopes = _scopes(text)
-
-    def scope(start: int) -> int:
-        return bisect_right(scopes, start)
-
-    names = {scope(a) for a, _, k in base if k == "access"} | {scope(a) for a, _, k in weak if k != "linked_secret"}
-    secrets = {scope(a) for a, _, k in base if k != "access"} | {scope(a) for a, _, k in weak if k == "linked_secret"}
-    return [x for x in weak if scope(x[0]) in (names if x[2] == "linked_secret" else secrets)]
+    edges = [m.end() for m in _BREAK.finditer(text)]
+    names = [(a, b) for a, b, k in base if k == "access"] + [(a, b) for a, b, k in weak if k != "linked_secret"]
+    secrets = [(a, b) for a, b, k in base if k != "access"] + [(a, b) for a, b, k in weak if k == "linked_secret"]
+    by_name, by_secret = (_Meeting(spans, edges, len(text)) for spans in (names, secrets))
+    return [x for x in weak if (by_name if x[2] == "linked_secret" else by_secret)(x[0], x[1])]
 
 
 def scan(text: str | None) -> list[tuple[int, int, str]]:
@@ -104,8 +106,8 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """``doc_id`` and ``spans`` (start, end, kind; code points, end exclusive) of every row.
 
     Base spans are always listed. Parts of credentials that prove nothing alone (names and ids, random-looking words,
-    addresses) are joined by the scope they stand in, a stretch of lines without a blank line of at most
-    ``SCOPE_CHARS`` characters, and listed where complementary parts meet. Null or empty text: no spans. Repeated
+    addresses) are joined by their distance and listed where a complementary part stands in the same stretch of lines
+    without a blank line, at most ``SCOPE_CHARS`` characters away. Null or empty text: no spans. Repeated
     rows are scanned each; other columns are not looked at. Texts are independent of each other, so there is no
     shuffle, and a text is read whole.
     """
