@@ -20,7 +20,7 @@ MIN_VALUE, MIN_ACCESS = 12, 18
 
 # Weak parts: too common to report alone.
 _WEAK_ID = re.compile(r"(?:client|account|user|app|key|access)[_-]?(?:id|name|key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{4,})", re.I | re.A)
-_WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])", re.A)
+_WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])", re.A)
 _WEAK_ENDPOINT = re.compile(r"(?:https?|wss|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._:@/-]{4,}|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com", re.A)
 
 # Parts meet inside a stretch of lines without a blank line, where at most so many characters lie between them.
