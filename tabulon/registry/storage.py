@@ -20,6 +20,10 @@ ORDERS_SQL = """SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority,
     strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders"""
 
 
+# Rows of one JSON array, and so of one file that is read as a whole.
+ARRAY_ROWS = 10_000
+
+
 def _orders(spark, sf):
     return table(spark, sf, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority",
@@ -50,11 +54,13 @@ def scan_json(spark, sf):
 
 @query("scan_json_array", ORDERS_SQL)
 def scan_json_array(spark, sf):
-    """The same rows as one JSON array, in a file of its own for each priority."""
+    """The same rows as JSON arrays of bounded length, each in a file of its own."""
     path = scratch_path(spark, "orders")
-    line = F.to_json(F.struct(*[F.col(c) for c in _orders(spark, sf).columns]))
-    listed = _orders(spark, sf).groupBy("o_orderpriority").agg(F.concat(F.lit("["), F.array_join(F.collect_list(line), ","), F.lit("]")).alias("value"))
-    listed.select("value", F.col("o_orderpriority").alias("part")).write.partitionBy("part").text(path)
+    line = F.to_json(F.struct(*[F.col(c) for c in _orders(spark, sf).columns])).alias("line")
+    # Ids count the rows of each task, so that no array holds more than ARRAY_ROWS, whatever the rows hold.
+    numbered = _orders(spark, sf).select(line, F.floor(F.monotonically_increasing_id() / ARRAY_ROWS).alias("part"))
+    listed = numbered.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("line"), ","), F.lit("]")).alias("value"))
+    listed.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return read_json(spark, path).select(*_orders(spark, sf).columns)
 
 
