@@ -7,7 +7,7 @@ returns the pieces of packed sequences. Between stages the rows are written as P
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabulon.llm.base import table
 from tabulon.llm.decontamination import decontaminate
@@ -16,10 +16,11 @@ from tabulon.llm.packing import pack
 from tabulon.llm.secrets import redact_documents
 from tabulon.llm.toxicity import learn, score_documents
 from tabulon.registry.base import scratch_path
+from tabulon.session import computed_once
 
 TOXIC = 0.5
 TOKENIZER = "word_bpe_49k.json"
-_PLACE = "place among the rows of one id"
+_KEY, _GONE, _COPIES = "key of the row", "another row of its group stays", "equal rows"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +30,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of similar ones. Of rows with one id the first text stays;
-    rows without an id stay."""
-    found = similar_documents(docs)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").select(*docs.columns, first.alias(_PLACE))
-    return named.where(F.col(_PLACE) == 1).select(*docs.columns).unionAll(docs.where(F.col("doc_id").isNull()))
+    """One row of each group of similar documents: the one with the smallest id, if any has one, and of those the one
+    whose columns hash lowest. Rows without words belong to no group and stay, however often they are repeated.
+
+    Rows are told apart by id and two 64-bit hashes of all columns, not by id, which may be null or repeated. Equal
+    rows share this key, so a key that stays and has copies is settled by itself.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashes = [F.xxhash64(F.lit(seed), *columns).alias(f"hash{seed}") for seed in (0, 1)]
+    keyed = docs.withColumn(_KEY, F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), *hashes))
+    found = similar_documents(keyed, doc_id=_KEY)
+    marks = found.where(F.col("n_shingles") > 0).groupBy(F.col("doc_id").alias(_KEY)).agg(
+        (F.max("component_id") != F.col("doc_id")).alias(_GONE), (F.count(F.lit(1)) > 1).alias(_COPIES)
+    )
+    marks = computed_once(marks.where(F.col(_GONE) | F.col(_COPIES)))
+    alone = keyed.join(marks.select(_KEY), _KEY, "left_anti")
+    copies = keyed.join(marks.where(~F.col(_GONE)).select(_KEY), _KEY, "left_semi").dropDuplicates([_KEY])
+    return alone.unionByName(copies).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
