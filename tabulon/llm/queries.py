@@ -1,11 +1,6 @@
-"""All queries of this subpackage, and the pipeline."""
+"""All queries of this subpackage."""
 
-import corpus_pipeline
 from tabulon.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10  # noqa: F401
 from tabulon.llm.base import ORACLES, QUERIES
 
-QUERIES["pipeline"] = corpus_pipeline.run
-if corpus_pipeline.ORACLE_SQL is not None:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
-
 __all__ = ["ORACLES", "QUERIES"]

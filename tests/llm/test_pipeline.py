@@ -28,6 +28,24 @@ def test_stages_keep_columns_and_clean_documents(spark):
         assert r["text"] == redacted(texts[r["doc_id"]], scan(texts[r["doc_id"]])) and r["n_chars"] == len(r["text"])
 
 
+def one_of_each_group(rows):
+    """Brute force: rows with words are linked by the likeness of their shingles; the smallest id stays."""
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [shingles(r["text"]) for r in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                group = [group[i] if g == group[j] else g for g in group]
+    first = {}
+    for i in sorted(range(len(rows)), key=lambda i: (rows[i]["doc_id"] is None, rows[i]["doc_id"])):
+        first.setdefault(group[i], i)
+    return [r for i, r in enumerate(rows) if not sets[i] or first[group[i]] == i]
+
+
 def test_stages_on_empty_and_odd_tables(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     odd = spark.createDataFrame(
@@ -36,7 +54,8 @@ def test_stages_on_empty_and_odd_tables(spark):
     )
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, FOLDER).count() == 0
-    assert corpus_pipeline.drop_near_copies(spark, odd, FOLDER).count() == 3
+    kept = corpus_pipeline.drop_near_copies(spark, odd, FOLDER).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, one_of_each_group(odd.collect())))
     assert corpus_pipeline.drop_contaminated(spark, odd, FOLDER).count() == 5
     assert corpus_pipeline.drop_toxic(spark, odd, FOLDER).count() == 5
 
