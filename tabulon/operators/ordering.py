@@ -1,29 +1,31 @@
 """Order-dependent results without sorting a whole table in one task.
 
-Exact quantiles narrow a bracket around the wanted rank; ranks and forward fill cut the value
-range into buckets, solve each bucket on its own, and carry a few rows from bucket to bucket.
+Exact quantiles narrow a bracket around the wanted rank. Ranks, row numbers and forward fill deal the rows into ranges of
+the whole order tuple, kept sorted as they were dealt, solve each range by itself and carry one row from range to range.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabulon.errors import InvalidRequest
-from tabulon.functions.schema import (
-    col, data_type, fresh_name, is_numeric, kind_of, require_columns,
-)
+from tabulon.functions.schema import col, data_type, fresh_name, require_columns
+from tabulon.session import computed_once
 
 ACCURACY = 10_000
 BRACKET_ROWS = 1_000_000
 MAX_ROUNDS = 8
 ROWS_PER_BUCKET = 1_000_000
 SMALL_BUCKET = 1_000
-MAX_BUCKETS = 4096
+#: A table with a row per range is broadcast up to this size; beyond it the planner joins it as it sees fit.
+BROADCAST_BYTES = 64 << 20
 
 
 # --- exact order statistics -------------------------------------------------------------
@@ -217,104 +219,76 @@ def quartiles(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
     return {c: (q1, _middle(low, high), q3) for c, (q1, low, high, q3) in groups.items()}
 
 
-# --- value-range buckets ----------------------------------------------------------------
-
-
-def _orderable(df: DataFrame, name: str) -> Column:
-    """The column as a double that grows with it; close values may fall together."""
-    dtype = data_type(df, name)
-    if is_numeric(dtype):
-        return col(name).cast("double")
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(col(name)).cast("double")
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(col(name)).cast("double")
-    if isinstance(dtype, T.TimestampNTZType):
-        since = col(name) - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        return since.cast("interval second").cast("decimal(20,6)").cast("double")
-    raise InvalidRequest(f"order column '{name}' must hold numbers or dates")
+# --- ranges of the order ----------------------------------------------------------------
 
 
 def _bucket_count(df: DataFrame) -> int:
     rows = df.count()
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(min(MAX_BUCKETS, rows // ROWS_PER_BUCKET), min(partitions, 1 + rows // SMALL_BUCKET))
-
-
-def _splits(df: DataFrame, columns: Sequence[str], buckets: int) -> list[list[float]]:
-    """Roughly equal-count split points per column, repeated where one value is heavy. They are
-    read once and then constants, so every pass cuts the same buckets."""
-    if buckets == 1:
-        return [[] for _ in columns]
-    at = [i / buckets for i in range(1, buckets)]
-    accuracy = max(ACCURACY, 2 * buckets)
-    row = df.agg(
-        *[F.percentile_approx(_orderable(df, c), at, accuracy).alias(f"c{i}") for i, c in enumerate(columns)]
-    ).first()
-    return [[v for v in row[f"c{i}"] or [] if not math.isnan(v)] for i in range(len(columns))]
+    return max(rows // ROWS_PER_BUCKET, min(partitions, 1 + rows // SMALL_BUCKET))
 
 
-def _with_place(df: DataFrame, name: str, value: Column, bounds: Sequence[float]) -> DataFrame:
-    """Add how many of the sorted bounds are at or below the value; null goes before all.
+def _nested(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.ArrayType, T.StructType, T.MapType))
 
-    The halving search is written out, one column per step, so that it runs as generated code.
+
+def _in_ranges(df: DataFrame, order: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """The rows dealt into ranges of the whole order tuple and sorted inside them, nulls first and NaN last.
+
+    Spark samples the tuples for split points. Equal tuples are told apart by a hash of the row and equal rows by
+    their number, so any number of them is cut like others.
     """
-    if not bounds:
-        return df.withColumn(name, F.when(value.isNull(), -1).otherwise(0))
-    known = F.split(F.lit(",".join(map(repr, bounds))), ",").cast("array<double>")
-    out = df.withColumn(name, F.lit(0))
-    for bit in reversed(range(len(bounds).bit_length())):
-        step = 1 << bit
-        below = F.coalesce(F.get(known, col(name) + (step - 1)) <= value, F.lit(False))
-        out = out.withColumn(name, col(name) + F.when(below, step).otherwise(0))
-    return out.withColumn(name, F.when(value.isNull(), -1).otherwise(col(name)))
-
-
-def _single_values(df: DataFrame, name: str, value: Column, heavy: list[float]) -> list[float]:
-    """Those of the heavy doubles that stand for one value of the column and not for close ones."""
-    if not heavy or isinstance(data_type(df, name), (T.DoubleType, T.FloatType, T.IntegerType, T.DateType)):
-        return heavy
-    inside = [F.when(value == v, col(name)) for v in heavy]
-    row = df.agg(*[(F.min(c) == F.max(c)).alias(f"c{i}") for i, c in enumerate(inside)]).first()
-    return [v for i, v in enumerate(heavy) if row[f"c{i}"]]
-
-
-def with_range_bucket(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
-    """Add a bucket number that grows with the first order column.
-
-    A value that fills several buckets by itself is cut again by the second order column, if that
-    holds numbers or dates, or by a hash of the row, if there is no second one: then its rows have
-    no order among themselves.
+    for c in order:
+        if "map<" in data_type(df, c).simpleString():
+            raise InvalidRequest(f"order column '{c}' holds maps, which have no order")
+    tie, row = fresh_name(df, "tie"), fresh_name(df, "row")
+    hashed = [col(c) for c in df.columns if "map<" not in data_type(df, c).simpleString()]
+    by = [*[col(c).asc_nulls_first() for c in order], F.col(tie), F.col(row)]
+    work = df.withColumn(tie, F.xxhash64(*hashed)).withColumn(row, F.monotonically_increasing_id())
+    return work.repartitionByRange(buckets or _bucket_count(df), *by).sortWithinPartitions(*by).drop(tie, row)
+
+
+def with_range_bucket(df: DataFrame, name: str, order: Sequence[str], place: str | None = None) -> DataFrame:
+    """Add a bucket number that grows with the order and, where asked for, the place of each row in its bucket.
+
+    The result is kept in the checkpoint folder: the same rows lie in the same buckets in every pass over it, also
+    when an executor is lost.
     """
-    value = _orderable(df, order[0])
-    buckets = _bucket_count(df)
-    splits = _splits(df, order[:1], buckets)[0]
-    bounds = sorted(set(splits))
-    out = _with_place(df, name, value, bounds)
-    heavy = _single_values(df, order[0], value, [v for v in bounds if splits.count(v) > 1])
-    tie = fresh_name(out, "tie")
-    if len(order) == 1:
-        hashed = [c for c in df.columns if "map<" not in data_type(df, c).simpleString()]
-        tie_value = F.xxhash64(*map(col, hashed)).cast("double")
-    elif kind_of(data_type(df, order[1])) in ("number", "datetime"):
-        tie_value = _orderable(df, order[1])
-    else:
-        heavy = []
-    if not heavy:
-        return out.withColumn(name, col(name).cast("long"))
-    # All heavy values together get about as many pieces again as there are buckets.
-    pieces = max(2, min(buckets, MAX_BUCKETS // len(heavy)))
-    ties = df.filter(value.isin(heavy)).select(tie_value.alias(tie))
-    finer = sorted(set(_splits(ties, [tie], pieces)[0]))
-    out = _with_place(out, tie, tie_value, finer)
-    width = len(finer) + 3
-    place = F.when(value.isin(heavy), col(tie) + 1).otherwise(width - 1)
-    return out.withColumn(name, col(name).cast("long") * width + place).drop(tie)
+    out = _in_ranges(df, order).withColumn(name, F.spark_partition_id().cast("long"))
+    if place is not None:
+        out = out.withColumn(place, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    return computed_once(out)
+
+
+def _counted_before(sizes: DataFrame, bucket: str, size: str, name: str) -> DataFrame:
+    """(bucket, name): rows before each bucket, counted inside groups of buckets and over the groups."""
+    group = F.shiftright(bucket, 8)
+    inside = Window.partitionBy("__group").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    outside = Window.orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
+    grouped = sizes.withColumn("__group", group)
+    groups = grouped.groupBy("__group").agg(F.sum(size).alias("__size"))
+    groups = groups.select("__group", F.coalesce(F.sum("__size").over(outside), F.lit(0)).alias("__before"))
+    found = grouped.withColumn("__inside", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(groups, "__group")
+    return found.select(bucket, (F.col("__before") + F.col("__inside")).alias(name))
 
 
 # --- average ranks ----------------------------------------------------------------------
 
 
+def _running_total(df: DataFrame, counts: str, name: str) -> DataFrame:
+    """Add the sum of the counts up to each row of its task, in the order the rows lie in."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            upto = total + np.cumsum(batch.column(counts).to_numpy())
+            total = int(upto[-1]) if len(upto) else total
+            yield batch.append_column(name, pa.array(upto, pa.int64()))
+
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+    return df.mapInArrow(add, schema)
+
+
 def average_ranks(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
     """Per column a table of value and average rank; equal values share their mean rank.
 
@@ -322,19 +296,17 @@ def average_ranks(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]
     """
     require_columns(df, columns)
     ranks = {}
-    for c, cut in zip(columns, _splits(df, columns, _bucket_count(df))):
+    for c in columns:
         counted = (
             df.filter(col(c).isNotNull()).groupBy(col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
         )
-        counts = _with_place(counted, "bucket", _orderable(counted, "value"), sorted(set(cut)))
-        upto = F.sum("n").over(Window.partitionBy("bucket").orderBy("value"))
-        sizes = counts.groupBy("bucket").agg(F.sum("n").alias("size"))
-        before = F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-        offsets = sizes.select("bucket", F.coalesce(before, F.lit(0)).alias("before"))
-        ranks[c] = (
-            counts.withColumn("upto", upto)
-            .join(F.broadcast(offsets), "bucket")
-            .select("value", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
+        summed = _running_total(_in_ranges(computed_once(counted), ["value"]), "n", "upto")
+        counts = computed_once(summed.withColumn("bucket", F.spark_partition_id().cast("long")))
+        sizes = counts.groupBy("bucket").agg(F.max("upto").alias("size"))
+        # One row per range.
+        offsets = F.broadcast(_counted_before(sizes, "bucket", "size", "before"))
+        ranks[c] = counts.join(offsets, "bucket").select(
+            "value", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias("rank")
         )
     return ranks
 
@@ -352,6 +324,46 @@ def with_average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # --- forward fill -----------------------------------------------------------------------
 
 
+def _runs(keys: Sequence[pa.Array], n: int) -> np.ndarray:
+    """Where a row has another key than the one before; null and NaN equal themselves."""
+    begins = np.zeros(n, bool)
+    begins[0] = True
+    for key in keys:
+        codes = key.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        begins[1:] |= codes[1:] != codes[:-1]
+    return begins
+
+
+def _filled(keys: Sequence[str], fill: Sequence[str], head: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Fill the rows of one task, and mark those of its first key, which rows of other tasks may precede."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.Table | None = None
+        first = True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            both = (table if last is None else pa.concat_tables([last, table])).combine_chunks()
+            n = both.num_rows
+            begins = _runs([both[k].chunk(0) for k in keys], n)
+            at = np.arange(n)
+            start = np.maximum.accumulate(np.where(begins, at, 0))
+            for c in fill:
+                held = both[c].chunk(0).is_valid().to_numpy(zero_copy_only=False)
+                source = np.maximum.accumulate(np.where(held, at, -1))
+                taken = both[c].take(pa.array(np.where(source >= start, source, -1), mask=source < start))
+                both = both.set_column(both.schema.get_field_index(c), both.schema.field(c), taken)
+            inside = (start == 0) & first
+            first = bool(inside[-1])
+            skip = 0 if last is None else 1
+            last = both.slice(n - 1, 1)
+            out = both.slice(skip).append_column(head, pa.array(inside[skip:]))
+            yield from out.combine_chunks().to_batches()
+
+    return run
+
+
 def forward_fill(
     df: DataFrame,
     order_by: Sequence[str],
@@ -360,60 +372,81 @@ def forward_fill(
 ) -> DataFrame:
     """Fill nulls with the last value before them in the given order.
 
-    Rows are filled within (key, bucket); what an earlier bucket ends with is carried in, one
-    row per key and bucket. So neither the whole table nor a heavy key lies in one task.
+    Rows are dealt into ranges of (key, order) and filled where they lie; what a range ends with is carried on, one row
+    per range. So neither the whole table nor a heavy key lies in one task, and the rows are shuffled once.
     """
     require_columns(df, [*order_by, *partition_by])
     if not order_by:
         raise InvalidRequest("forward fill needs an order")
     fill = [c for c in (columns or df.columns) if c not in order_by and c not in partition_by]
     require_columns(df, fill)
-    bucket = fresh_name(df, "bucket")
-    work = with_range_bucket(df, bucket, order_by)
-    keys = [*partition_by, bucket]
-    place = col(order_by[0]) if len(order_by) == 1 else F.struct(*map(col, order_by))
-    ends = work.groupBy(*map(col, keys)).agg(
-        *[F.max_by(col(c), F.when(col(c).isNotNull(), place)).alias(f"__end{i}") for i, c in enumerate(fill)]
+    work, keys = df, []
+    for c in partition_by:
+        # Equal keys must look alike: no negative zero, and nested ones as text.
+        dtype, key = data_type(df, c), fresh_name(work, "key")
+        alike = F.to_json(F.struct(col(c))) if _nested(dtype) else col(c) + 0 if isinstance(dtype, (T.FloatType, T.DoubleType)) else col(c)
+        work, keys = work.withColumn(key, alike), [*keys, key]
+    head, bucket, place = (fresh_name(work, n) for n in ("head", "bucket", "place"))
+    ranges = _in_ranges(work, [*keys, *order_by])
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in ranges.schema], T.StructField(head, T.BooleanType())])
+    filled = ranges.mapInArrow(_filled(keys, fill, head), schema)
+    filled = computed_once(
+        filled.withColumn(bucket, F.spark_partition_id().cast("long")).withColumn(place, F.monotonically_increasing_id())
     )
-    earlier = (
-        Window.partitionBy(*map(col, partition_by)).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    carried = _carried(filled, keys, fill, head, bucket, place)
+    names = {c: f"__carried{i}" for i, c in enumerate(fill)}
+    both = filled.join(carried, bucket, "left")
+    return both.select(*[F.coalesce(col(c), F.when(F.col(head), F.col(names[c]))).alias(c) if c in names else col(c) for c in df.columns])
+
+
+def _carried(filled: DataFrame, keys: Sequence[str], fill: Sequence[str], head: str, bucket: str, place: str) -> DataFrame:
+    """For each range what the ranges before it end with, for the key it begins with."""
+    last = F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(keys)], *[col(c).alias(f"v{i}") for i, c in enumerate(fill)], F.col(head).alias("one"))
+    first = F.struct(F.lit(0).alias("k"), *[col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    ends = filled.groupBy(bucket).agg(F.max_by(last, place).alias("last"), F.min_by(first, place).alias("first"))
+    names, values = [f"k{i}" for i in range(len(keys))], [f"v{i}" for i in range(len(fill))]
+    after = ends.select(bucket, F.lit(1).alias("side"), F.col("last.one").alias("opens"), *[F.col(f"last.{x}") for x in (*names, *values)])
+    before = ends.where(~F.col("last.one")).select(
+        bucket, F.lit(0).alias("side"), F.lit(True).alias("opens"), *[F.col(f"first.{k}") for k in names],
+        *[F.lit(None).cast(data_type(filled, c)).alias(v) for c, v in zip(fill, values)],
     )
-    carried = ends.select(
-        *map(col, keys),
-        *[F.last(f"__end{i}", ignorenulls=True).over(earlier).alias(c) for i, c in enumerate(fill)],
-    )
-    # The carried value enters as a first row of its bucket, so the rows are shuffled once.
-    real = fresh_name(df, "real")
-    inside = (
-        Window.partitionBy(*map(col, keys))
-        .orderBy(col(real), *[col(c).asc_nulls_first() for c in order_by])
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    both = work.withColumn(real, F.lit(True)).unionByName(
-        carried.withColumn(real, F.lit(False)), allowMissingColumns=True
-    )
-    filled = {c: F.last(col(c), ignorenulls=True).over(inside).alias(c) for c in fill}
-    return (
-        both.select(col(real), *[filled.get(c, col(c)) for c in df.columns])
-        .filter(col(real))
-        .drop(real)
+    both = after.unionByName(before).withColumn("__group", F.shiftright(bucket, 8))
+    # Carried inside groups of ranges, and from group to group.
+    earlier = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*names, "__group").orderBy(bucket, "side").rowsBetween(*earlier)
+    whole = Window.partitionBy(*names, "__group").orderBy(bucket, "side").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    outside = Window.partitionBy(*names).orderBy("__group").rowsBetween(*earlier)
+    ranked = both.select(
+        "*", *[F.last(v, ignorenulls=True).over(inside).alias(f"in_{v}") for v in values],
+        *[F.last(v, ignorenulls=True).over(whole).alias(f"all_{v}") for v in values],
+        F.row_number().over(Window.partitionBy(*names, "__group").orderBy(bucket, "side")).alias("nth"),
     )
+    groups = ranked.where("nth = 1").select("__group", *names, *[F.last(f"all_{v}", ignorenulls=True).over(outside).alias(f"out_{v}") for v in values])
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ("__group", *names)]
+    joined = ranked.where("opens").alias("a").join(groups.alias("b"), same)
+    found = computed_once(joined.select(
+        F.col(f"a.{bucket}").alias(bucket), *[F.coalesce(f"a.in_{v}", f"b.out_{v}").alias(f"__carried{i}") for i, v in enumerate(values)]
+    ))
+    return _broadcast_if_small(found)
+
+
+def _broadcast_if_small(df: DataFrame) -> DataFrame:
+    """The table marked for broadcast where its rows, written as text, are small enough."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 # --- row numbers ------------------------------------------------------------------------
 
 
 def row_numbers(df: DataFrame, order_by: Sequence[str], name: str = "row_number") -> DataFrame:
-    """1-based row numbers in the given order, counted per bucket and shifted by what lies before."""
+    """1-based row numbers in the given order, counted per range and shifted by what lies before; one shuffle."""
     require_columns(df, order_by)
-    bucket = fresh_name(df, "bucket")
-    work = with_range_bucket(df, bucket, order_by)
+    bucket, place = fresh_name(df, "bucket"), fresh_name(df, "place")
+    work = with_range_bucket(df, bucket, order_by, place)
     sizes = work.groupBy(bucket).agg(F.count(F.lit(1)).alias("__size"))
-    before = F.sum("__size").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(bucket, F.coalesce(before, F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(bucket).orderBy(*[col(c).asc_nulls_first() for c in order_by])
-    return (
-        work.withColumn(name, F.row_number().over(inside))
-        .join(F.broadcast(offsets), bucket)
-        .select(*map(col, df.columns), (F.col(name) + F.col("__before")).cast("long").alias(name))
+    # One row per range.
+    offsets = F.broadcast(_counted_before(sizes, bucket, "__size", "__before"))
+    return work.join(offsets, bucket).select(
+        *map(col, df.columns), (F.col("__before") + F.col(place) + 1).cast("long").alias(name)
     )

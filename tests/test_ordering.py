@@ -125,8 +125,10 @@ def test_forward_fill_with_null_keys_and_plain_timestamps(spark):
     assert rows(out, "i", "v") == [(1, 5), (2, 5), (3, None)]
     with pytest.raises(InvalidRequest):
         forward_fill(df, [])
+    # Any type that has an order may give it.
+    assert rows(forward_fill(df, ["k", "t"], [], ["v"]), "i", "v") == [(1, 5), (2, 5), (3, 5)]
     with pytest.raises(InvalidRequest):
-        forward_fill(df, ["k"])
+        forward_fill(df.withColumn("m", F.create_map("i", "i")), ["m"])
 
 
 @pytest.mark.parametrize("small", [1, 30, 10**6])
@@ -160,6 +162,89 @@ def test_instants_are_ordered_in_any_time_zone(spark, monkeypatch):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def mixed_order(n):
+    """Rows with null and NaN keys, a heavy first value with texts second, and one heavy pair of both."""
+    rng = random.Random(7)
+    firsts = [None] * 2 + [math.nan] * 2 + [3.5] * 8 + [float(i) for i in range(8)]
+    found = []
+    for i in range(n):
+        a = rng.choice(firsts)
+        b = "same" if a == 3.5 and i % 2 else rng.choice([None, f"t{rng.randrange(n):05d}"])
+        found.append((a, b, i, rng.choice([None, None, None, i]), [i] if i % 5 == 0 else None))
+    return found
+
+
+def order_key(r):
+    a, b = r[0], r[1]
+    return (a is not None, a is not None and math.isnan(a), 0.0 if a is None or math.isnan(a) else a, b is not None, b or "", r[2])
+
+
+def test_every_kind_of_order_value_is_split_evenly(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "SMALL_BUCKET", 500)
+    monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", 2_000)
+    n = 40_000
+    records = mixed_order(n)
+    df = spark.createDataFrame(records, "a double, b string, i long, x long, l array<long>").repartition(6, "i")
+    spread = ordering.with_range_bucket(df, "bucket", ["a", "b"], "place").groupBy("bucket").count()
+    sizes = [r["count"] for r in spread.collect()]
+    assert len(sizes) == 20 and max(sizes) < 2 * n / 20 and min(sizes) > n / 40
+    ordered = sorted(records, key=order_key)
+    got = {r["i"]: r["n"] for r in row_numbers(df, ["a", "b", "i"], "n").select("i", "n").collect()}
+    assert got == {r[2]: at for at, r in enumerate(ordered, 1)}
+    last, wanted = [None, None], {}
+    for r in ordered:
+        last = [v if v is not None else old for v, old in zip(r[3:], last)]
+        wanted[r[2]] = tuple(last)
+    filled = forward_fill(df, ["a", "b", "i"], columns=["x", "l"])
+    assert {r["i"]: (r["x"], r["l"]) for r in filled.select("i", "x", "l").collect()} == wanted
+
+
+def test_keys_of_every_kind_are_carried_over_ranges(spark, monkeypatch):
+    """Null, NaN, negative zero and nested keys; long runs without a value reach over several ranges."""
+    monkeypatch.setattr(ordering, "SMALL_BUCKET", 20)
+    rng = random.Random(8)
+    keys = [None, math.nan, 0.0, -0.0, 1.0]
+    records = [(rng.choice(keys), [rng.choice([1, None])], i, i if rng.random() < 0.02 else None) for i in range(600)]
+    df = spark.createDataFrame(records, "k double, l array<long>, i long, v long").repartition(5)
+    for columns in (["k"], ["l"], ["k", "l"]):
+        last, wanted = {}, {}
+        for k, l, i, v in records:
+            name = str([k + 0.0 if k is not None else None if "k" in columns else 0, l if "l" in columns else 0] if "k" in columns else l)
+            last[name] = v if v is not None else last.get(name)
+            wanted[i] = last[name]
+        got = {r["i"]: r["v"] for r in forward_fill(df, ["i"], columns, ["v"]).collect()}
+        assert got == wanted
+
+
+def test_row_numbers_and_fill_shuffle_the_rows_once(spark, monkeypatch):
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return computed_once(df)
+
+    computed_once = ordering.computed_once
+    monkeypatch.setattr(ordering, "computed_once", kept)
+    df = spark.range(1000).select(F.col("id").alias("i"), F.when(F.col("id") % 9 == 0, F.col("id")).alias("v"))
+    for made in (row_numbers(df, ["i"]), forward_fill(df, ["i"])):
+        assert "BroadcastHashJoin" in made._jdf.queryExecution().executedPlan().toString()
+        assert made.count() == 1000
+    assert sum("rangepartitioning" in p for p in plans) == 2
+
+
+def test_a_large_carry_is_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "SMALL_BUCKET", 10)
+    monkeypatch.setattr(ordering, "BROADCAST_BYTES", 0)
+    df = spark.range(200).select(F.col("id").alias("i"), F.when(F.col("id") % 50 == 0, F.col("id")).alias("v"))
+    assert rows(forward_fill(df, ["i"]), "i", "v") == [(i, i // 50 * 50) for i in range(200)]
+
+
+def test_nothing_to_order(spark):
+    none = spark.range(0).select(F.col("id").alias("i"), F.lit(1).alias("v"))
+    assert row_numbers(none, ["i"]).count() == 0 and forward_fill(none, ["i"]).count() == 0
+    assert average_ranks(none, ["i"])["i"].count() == 0
+
+
 def test_equal_order_values_are_dealt_out(spark, monkeypatch):
     """With one order column and a heavy value the rows of that value may come in any order."""
     monkeypatch.setattr(ordering, "SMALL_BUCKET", 10)
