@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from tabulon.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op12, op13  # noqa: F401
+from tabulon.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op11, op12, op13  # noqa: F401
 from tabulon.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
