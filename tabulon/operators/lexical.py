@@ -1,30 +1,34 @@
-"""BM25 ranking for a batch of queries, and the simple score of a chunk list."""
+"""BM25 ranking for a batch of queries by a postings index, and the simple score of a chunk list."""
 
 from __future__ import annotations
 
-import math
 import re
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
-from functools import reduce
-from types import SimpleNamespace
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tabulon.functions.rounding import half_up_array
 from tabulon.functions.schema import col, require_columns
 from tabulon.functions.text import occurrences, tokens
-from tabulon.operators.topk import SCORES_PER_STEP, BestHits, merge_hits, query_blocks
+from tabulon.operators.topk import merge_hits
+from tabulon.session import computed_once, scratch_path
 
 # BM25 constants and the bonuses for a literal match.
 K1, B = 1.5, 0.75
 PHRASE_BONUS, TITLE_BONUS = 1.5, 2.0
 SCORE_DIGITS = 6
-ALL_DOCUMENTS = "\x00"
+#: Documents of a block, and blocks of a query that are read before any is ruled out.
+BLOCK_DOCUMENTS = 4096
+FIRST_BLOCKS = 4
+MORE_BLOCKS = 8  # times as many in each further round
+BLOCKS_PER_SALT = 256
+#: Candidates are broadcast up to this size; beyond it the planner joins them as it sees fit.
+BROADCAST_BYTES = 64 << 20
 
 
 def joined_fields(df: DataFrame, names: Sequence[str]) -> Column:
@@ -38,132 +42,60 @@ def joined_fields(df: DataFrame, names: Sequence[str]) -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda p: F.coalesce(p, F.lit("")) != ""), " ")
 
 
-@dataclass
-class _Block:
-    """A block of queries as postings: for each token the queries that hold it."""
-
-    ids: list
-    vocabulary: list[str]
-    starts: np.ndarray
-    postings: np.ndarray
-    phrases: dict[str, list[int]]
-    idf: np.ndarray | None = None
-    mean_length: float = 1.0
-
-    @staticmethod
-    def of(rows: list) -> _Block:
-        rows = [r for r in rows if r["payload"]]
-        held: dict[str, list[int]] = {}
-        phrases: dict[str, list[int]] = {}
-        for i, row in enumerate(rows):
-            phrases.setdefault(" ".join(row["payload"]), []).append(i)
-            for token in sorted(set(row["payload"])):
-                held.setdefault(token, []).append(i)
-        vocabulary = sorted(held)
-        counts = [len(held[t]) for t in vocabulary]
-        return _Block(
-            [r["id"] for r in rows],
-            vocabulary,
-            np.concatenate([[0], np.cumsum(counts)]).astype(np.int64),
-            np.array([q for t in vocabulary for q in held[t]], dtype=np.int64),
-            phrases,
-        )
-
-
-def _measure(documents: DataFrame, block: _Block) -> None:
-    """Read the number of documents, their mean length and the frequencies of the query tokens.
-
-    Only query tokens are counted, and before the shuffle, so frequent words cost one row per task.
-    """
-    spark = documents.sparkSession
-    # Bounded: the tokens of one query block.
-    known = spark.createDataFrame([(t,) for t in [*block.vocabulary, ALL_DOCUMENTS]], "token string")
-    seen = documents.select(
-        F.size("tokens").alias("length"),
-        F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(ALL_DOCUMENTS)))).alias("token"),
-    )
-    counted = (
-        seen.join(F.broadcast(known), "token")
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length"))
-        .collect()
-    )
-    found = {r["token"]: r for r in counted}
-    if ALL_DOCUMENTS not in found:
-        block.idf = np.zeros(len(block.vocabulary))
-        return
-    n = found[ALL_DOCUMENTS]["n"]
-    block.mean_length = max(found[ALL_DOCUMENTS]["length"] / n, 1.0)
-    frequency = [found[t]["n"] if t in found else 0 for t in block.vocabulary]
-    block.idf = np.array([math.log(1 + (n - f + 0.5) / (f + 0.5)) for f in frequency])
-
-
-def _token_scores(lists: pa.ListArray, block: _Block | SimpleNamespace, vocabulary: pa.Array) -> np.ndarray:
-    """BM25 sums of a few documents against all queries of the block."""
-    queries, words = len(block.ids), len(block.vocabulary)
-    place = pc.index_in(lists.flatten(), value_set=vocabulary)
-    known = pc.is_valid(place)
-    document = pc.list_parent_indices(lists).filter(known).to_numpy()
-    word = place.filter(known).to_numpy()
-    pair, tf = np.unique(document.astype(np.int64) * words + word, return_counts=True)
-    document, word = pair // words, pair % words
-    lengths = pc.list_value_length(lists).to_numpy()[document]
-    norm = tf + K1 * (1 - B + B * lengths / block.mean_length)
-    weight = block.idf[word] * tf * (K1 + 1) / norm
-    fan = block.starts[word + 1] - block.starts[word]
-    first = np.repeat(block.starts[word] - np.concatenate([[0], np.cumsum(fan)[:-1]]), fan) if len(fan) else fan
-    query = block.postings[first + np.arange(fan.sum())]
-    cell = np.repeat(document, fan) * queries + query
-    sums = np.bincount(cell, np.repeat(weight, fan), len(lists) * queries)
-    return sums.astype(np.float64).reshape(len(lists), queries)
-
-
-def _phrase_finder(phrases: dict[str, list[int]]):
-    """A function from a text to the queries whose phrase it holds."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {q for phrase, held in phrases.items() if phrase in text for q in held}
-    machine = ahocorasick.Automaton()
-    for phrase, held in phrases.items():
-        machine.add_word(phrase, tuple(held))
-    machine.make_automaton()
-    return lambda text: {q for _, held in machine.iter(text) for q in held}
-
-
-def _search_block(documents: DataFrame, block: _Block, query_type: T.DataType, k: int) -> DataFrame:
-    id_type = documents.schema["id"].dataType
-    schema = T.StructType(
-        [
-            T.StructField("query_id", query_type), T.StructField("id", id_type),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-    if not block.ids:
-        return documents.sparkSession.createDataFrame([], schema)
-    _measure(documents, block)
-    shared = documents.sparkSession.sparkContext.broadcast(vars(block))
-    arrow_query_type = to_arrow_type(query_type)
-
-    def best_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = SimpleNamespace(**shared.value)
-        vocabulary = pa.array(block.vocabulary, pa.string())
-        find = _phrase_finder(block.phrases)
-        best = BestHits(k, len(block.ids))
-        step = max(1, SCORES_PER_STEP // len(block.ids))
-        for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                scores = _token_scores(part["tokens"], block, vocabulary)
-                for field, bonus in (("searchable", PHRASE_BONUS), ("title", TITLE_BONUS)):
-                    for row, text in enumerate(part[field].to_pylist()):
-                        if text:
-                            scores[row, list(find(text))] += bonus
-                scores = half_up_array(scores, SCORE_DIGITS)
-                best.add(scores, scores > 0, part["id"])
-        yield from best.batches(pa.array(block.ids, arrow_query_type))
-
-    return documents.select("id", "tokens", "searchable", "title").mapInArrow(best_of_partition, schema)
+# --- the index --------------------------------------------------------------------------
+
+
+def _frontier(token: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Rows that no other row of the same token beats with a higher count in a shorter document. Whatever the mean length
+    of all documents is, the largest weight of a token in a block is that of one of these."""
+    order = np.lexsort((-tf, length, token))
+    wide = int(tf.max()) + 1
+    level = token[order].astype(np.int64) * wide + tf[order]
+    best = np.concatenate([[-1], np.maximum.accumulate(level)[:-1]])
+    return order[level > best]
+
+
+def _lists(starts: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, pa.int32()))
+
+
+def _blocks(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of documents, each with its postings: a token's documents, counts and lengths lie in one row."""
+
+    def rows(count: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(count, f.type)) for f in schema], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_DOCUMENTS):
+                part = whole.slice(at, BLOCK_DOCUMENTS)
+                # In a block documents are numbered by id, so that ties are settled before ids are looked up.
+                part = part.take(pc.sort_indices(part.column("id"), null_placement="at_start"))
+                n, lists = part.num_rows, part.column("tokens")
+                lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                block = pa.array(np.full(n, number), pa.int64())
+                yield rows(
+                    n, block=block, doc=pa.array(np.arange(n), pa.int32()), length=pa.array(lengths, pa.int32()),
+                    **{c: part.column(c) for c in ("id", "searchable", "title")},
+                )
+                words = lists.flatten().dictionary_encode()
+                if len(words):
+                    of = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+                    pair, tf = np.unique(words.indices.to_numpy().astype(np.int64) * n + of, return_counts=True)
+                    token, doc = pair // n, pair % n
+                    tokens_ = np.arange(len(words.dictionary))
+                    starts = np.append(np.searchsorted(token, tokens_), len(token))
+                    top = _frontier(token, tf, lengths[doc])
+                    top_starts = np.append(np.searchsorted(token[top], tokens_), len(top))
+                    yield rows(
+                        len(tokens_), block=pa.array(np.full(len(tokens_), number), pa.int64()), token=words.dictionary,
+                        n=pa.array(np.diff(starts), pa.int32()), docs=_lists(starts, doc), tf=_lists(starts, tf), lengths=_lists(starts, lengths[doc]),
+                        top_tf=_lists(top_starts, tf[top]), top_lengths=_lists(top_starts, lengths[doc][top]),
+                    )
+                number += 1
+
+    return run
 
 
 def index_documents(
@@ -173,32 +105,207 @@ def index_documents(
     titles: Sequence[str] = (),
     extra: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, tokens, searchable, title): what a search reads. Written once as a table, it saves
-    every later search the tokenising."""
+    """What a search reads: postings (rows with a token) and documents (rows without), both by block.
+
+    A block is some thousand documents of one task, so indexing shuffles nothing. A posting holds a token's documents in
+    one block with counts and lengths, and those counts and lengths that may be the largest weight. To be written once
+    as a table; a search reads it several times and needs the same blocks each time.
+    """
     require_columns(documents, [id_column, text_column, *titles, *extra])
     searchable = joined_fields(documents, [*titles, text_column, *extra])
     title = F.lower(joined_fields(documents, titles)) if titles else F.lit("")
-    return documents.select(
+    source = documents.select(
         col(id_column).alias("id"), tokens(searchable).alias("tokens"),
         F.lower(searchable).alias("searchable"), title.alias("title"),
     )
+    ints = T.ArrayType(T.IntegerType())
+    fields = {
+        "block": T.LongType(), "token": T.StringType(), "n": T.IntegerType(), "docs": ints, "tf": ints, "lengths": ints,
+        "top_tf": ints, "top_lengths": ints, "doc": T.IntegerType(), "length": T.IntegerType(), "id": source.schema["id"].dataType,
+        "searchable": T.StringType(), "title": T.StringType(),
+    }
+    schema = T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+    arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
+    return source.mapInArrow(_blocks(arrow), schema)
+
+
+# --- phrases ----------------------------------------------------------------------------
+
+
+def _expanded(vocabulary: DataFrame, parts: DataFrame) -> DataFrame:
+    """(q, side, token): tokens that hold, begin or end with a part of a short query. Parts: ``q``, ``part`` and ``side`` (``in``,
+    ``start``, ``end``). Both meet on two or three characters and are compared in full."""
+    width = F.length("token")
+    inner = F.transform(F.sequence(F.lit(1), width - 1), lambda i: F.struct(F.lit("in").alias("side"), F.substring(F.col("token"), i, F.lit(2)).alias("gram")))
+    longer = F.when(width > 2, F.transform(F.sequence(F.lit(1), width - 2), lambda i: F.struct(F.lit("in").alias("side"), F.substring(F.col("token"), i, F.lit(3)).alias("gram"))))
+    edges = []
+    for k in (2, 3):
+        edges.append(F.when(width >= k, F.struct(F.lit("start").alias("side"), F.substring("token", 1, k).alias("gram"))))
+        edges.append(F.when(width >= k, F.struct(F.lit("end").alias("side"), F.substring(F.col("token"), width - k + 1, F.lit(k)).alias("gram"))))
+    grams = F.array_distinct(F.concat(inner, F.coalesce(longer, F.array().cast("array<struct<side: string, gram: string>>")), F.array_compact(F.array(*edges))))
+    spelled = vocabulary.select("token", F.inline(grams))
+    size = F.least(F.length("part"), F.lit(3))
+    gram = F.when(F.col("side") == "end", F.substring(F.col("part"), F.length("part") - size + 1, size)).otherwise(F.substring(F.col("part"), F.lit(1), size))
+    fits = F.when(F.col("side") == "in", F.contains("token", "part")).when(F.col("side") == "start", F.startswith("token", "part")).otherwise(F.endswith("token", "part"))
+    return parts.withColumn("gram", gram).join(spelled, ["side", "gram"]).where(fits).select("q", "side", "token")
+
+
+def _phrase_hits(index: DataFrame, asked: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(q, block, doc, bonus) where a document holds the tokens of a query, joined by blanks.
+
+    Inner tokens of such a phrase are tokens of the document, its first one ends and its last one begins one. So the
+    documents of one of these, the rarest, are candidates; their texts decide.
+    """
+    postings, n = index.where("token is not null"), F.size("tokens")
+    inner = asked.where(n > 2).select("q", F.explode(F.array_distinct(F.slice("tokens", F.lit(2), n - 2))).alias("token"))
+    counted = inner.join(frequency.select("token", "df"), "token", "left").groupBy("q")
+    rarest = counted.agg(F.min_by("token", "df").alias("token"), F.min(F.coalesce("df", F.lit(0))).alias("least"))
+    wanted = rarest.where("least > 0").select("q", "token")
+    short = asked.where(n <= 2)
+    if not short.isEmpty():
+        vocabulary = postings.groupBy("token").agg(F.sum("n").alias("df"))
+        one = short.where(n == 1).select("q", F.col("tokens")[0].alias("part"), F.lit("in").alias("side"))
+        two = short.where(n == 2).select("q", F.inline(F.array(
+            F.struct(F.col("tokens")[0].alias("part"), F.lit("end").alias("side")), F.struct(F.col("tokens")[1].alias("part"), F.lit("start").alias("side")),
+        )))
+        found = computed_once(_expanded(vocabulary.select("token"), one.unionByName(two)).join(vocabulary, "token"))
+        sides = found.groupBy("q", "side").agg(F.sum("df").alias("df"))
+        sides = sides.groupBy("q").agg(F.min_by("side", "df").alias("side"), F.count(F.lit(1)).alias("sides"))
+        whole = sides.join(short.select("q", n.alias("n")), "q").where(F.col("sides") == F.col("n")).select("q", "side")
+        wanted = wanted.unionByName(found.join(whole, ["q", "side"]).select("q", "token"))
+    near = postings.select("token", "block", "docs").join(wanted, "token")
+    candidates = near.select("q", "block", F.explode("docs").alias("doc")).distinct()
+    candidates = computed_once(candidates.join(asked.select("q", F.array_join("tokens", " ").alias("phrase")), "q"))
+    size = candidates.agg(F.coalesce(F.sum(F.octet_length("phrase") + 32), F.lit(0)).alias("n")).first()["n"]
+    side = F.broadcast(candidates) if size <= BROADCAST_BYTES else candidates
+    texts = index.where("token is null").select("block", "doc", "searchable", "title")
+    bonus = F.lit(PHRASE_BONUS) + F.when(F.contains("title", "phrase"), TITLE_BONUS).otherwise(0.0)
+    return texts.join(side, ["block", "doc"]).where(F.contains("searchable", "phrase")).select("q", "block", "doc", bonus.alias("bonus"))
+
+
+# --- the search -------------------------------------------------------------------------
+
+
+def _block_hits(rows: DataFrame, mean_length: float, k: int) -> DataFrame:
+    """(q, block, doc, score): the ``k`` best documents of every pair of query and block.
+
+    Rows hold a posting (``docs, tf, lengths, idf``) or bonuses (``docs, bonus``). The rows of a pair come to one task, where
+    whole batches are summed at once.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def best(table: pa.Table) -> pa.RecordBatch:
+            q, block = (table[c].to_numpy() for c in ("q", "block"))
+            begins = np.concatenate([[True], (q[1:] != q[:-1]) | (block[1:] != block[:-1])])
+            sizes = pc.list_value_length(table["docs"]).to_numpy()
+            pair = np.repeat(np.cumsum(begins) - 1, sizes)
+
+            def flat(name: str) -> np.ndarray:
+                return pc.list_flatten(table[name]).to_numpy().astype(np.float64)
+
+            tf = flat("tf")
+            idf = np.repeat(table["idf"].to_numpy(), sizes)
+            weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * flat("lengths") / mean_length)) + flat("bonus")
+            cell, same = np.unique(pair * (1 << 32) + pc.list_flatten(table["docs"]).to_numpy(), return_inverse=True)
+            score = half_up_array(np.bincount(same, weight, len(cell)), SCORE_DIGITS)
+            cell, score = cell[score > 0], score[score > 0]
+            pair, doc = cell >> 32, cell & ((1 << 32) - 1)
+            order = np.lexsort((doc, -score, pair))
+            pair = pair[order]
+            order = order[np.arange(len(pair)) - np.searchsorted(pair, pair, "left") < k]
+            of = np.flatnonzero(begins)[cell[order] >> 32]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(q[of]), pa.array(block[of]), pa.array(doc[order], pa.int32()), pa.array(score[order])], names=["q", "block", "doc", "score"]
+            )
 
-def search_index(index: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int = 8) -> DataFrame:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            q, block = (table[c].to_numpy() for c in ("q", "block"))
+            last = int(np.flatnonzero((q == q[-1]) & (block == block[-1]))[0])
+            # Rows of the last pair may go on in the next batch; all before it are whole.
+            if last:
+                yield best(table.slice(0, last).combine_chunks())
+            held = table.slice(last)
+        if held is not None:
+            yield best(held.combine_chunks())
+
+    dealt = rows.repartition("q", "block").sortWithinPartitions("q", "block")
+    return dealt.mapInArrow(run, "q long, block long, doc int, score double")
+
+
+def _scored(pairs: DataFrame, weights: DataFrame, index: DataFrame, phrases: DataFrame, mean_length: float, k: int) -> DataFrame:
+    postings = index.where("token is not null").select("token", "block", "docs", "tf", "lengths")
+    zeros = F.transform("docs", lambda d: F.lit(0.0))
+    held = pairs.select("q", "block").join(weights.select("q", "token", "idf"), "q").join(postings, ["token", "block"])
+    held = held.select("q", "block", "docs", "tf", "lengths", "idf", zeros.alias("bonus"))
+    ones = F.transform("docs", lambda d: F.lit(1))
+    marked = phrases.join(pairs.select("q", "block"), ["q", "block"]).groupBy("q", "block").agg(
+        F.collect_list("doc").alias("docs"), F.collect_list("bonus").alias("bonus")
+    )
+    marked = marked.select("q", "block", "docs", ones.alias("tf"), ones.alias("lengths"), F.lit(0.0).alias("idf"), "bonus")
+    return computed_once(_block_hits(held.unionByName(marked), mean_length, k))
+
+
+def search_index(
+    index: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int = 8, report: Callable[[int, int], None] | None = None
+) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` best documents of every query.
 
-    Scores are summed in the task that reads a document and each task keeps its ``k`` best per
-    query, so the shuffle carries neither tokens nor (query, document) pairs.
+    The tokens of all queries are joined to the postings. From the largest weights of its tokens in a block follows the
+    most that a document there can score. Each query reads its most promising blocks first; of the others, in a few rounds, only
+    those that may still hold one of the ``k`` best, or that hold its phrase. No query passes the driver, and the index is read
+    the same few times for any number of them. ``report`` hears how many (query, block) pairs there are and how many were read.
     """
     require_columns(queries, [query_id, query_text])
-    asked = queries.select(col(query_id), tokens(col(query_text)).alias("__tokens"), col(query_text))
-    query_type = queries.schema[query_id].dataType
-    size = F.octet_length(col(query_text))
-    parts = [
-        _search_block(index, _Block.of(rows), query_type, k)
-        for rows in query_blocks(asked, query_id, "__tokens", size)
-    ]
-    return merge_hits(reduce(DataFrame.unionByName, parts), k)
+    spark = index.sparkSession
+    asked = queries.select(col(query_id).alias("query_id"), tokens(col(query_text)).alias("tokens")).where(F.size("tokens") > 0)
+    asked = computed_once(asked.withColumn("q", F.monotonically_increasing_id()))
+    documents = index.where("token is null")
+    size = documents.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("length").cast("long")).alias("length")).first()
+    if not size["n"]:
+        schema = T.StructType([asked.schema["query_id"], index.schema["id"], T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+        return spark.createDataFrame([], schema)
+    mean_length = max(size["length"] / size["n"], 1.0)
+    each = asked.select("q", F.explode(F.array_distinct("tokens")).alias("token"))
+    part = F.zip_with("top_tf", "top_lengths", lambda t, n: t * (K1 + 1) / (t + K1 * (1 - B + B * n / mean_length)))
+    light = index.where("token is not null").select("token", "block", "n", F.array_max(part).alias("most"))
+    light = computed_once(light.join(each.select("token").distinct(), "token", "left_semi"))
+    df = F.sum(F.col("n").cast("long"))
+    frequency = light.groupBy("token").agg(df.alias("df"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCKS_PER_SALT)).cast("int").alias("salts"))
+    idf = F.log(1 + (F.lit(float(size["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    frequency = computed_once(frequency.withColumn("idf", idf))
+    weights = computed_once(each.join(frequency, "token"))
+    # A token in many blocks is dealt out by block, and the queries that hold it are sent to each part.
+    salted = light.join(frequency.select("token", "salts"), "token").withColumn("salt", F.pmod(F.xxhash64("block"), F.col("salts")).cast("int"))
+    sent = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("q", "token", "salt", "idf")
+    phrases = computed_once(_phrase_hits(index, asked, frequency))
+    bounds = salted.join(sent, ["token", "salt"]).select("q", "block", (F.col("idf") * F.col("most")).alias("bound"), F.lit(False).alias("phrase"))
+    marked = phrases.select("q", "block", F.lit(0.0).alias("bound"), F.lit(True).alias("phrase")).distinct()
+    pairs = bounds.unionByName(marked).groupBy("q", "block").agg(F.sum("bound").alias("bound"), F.max("phrase").alias("phrase"))
+    promising = Window.partitionBy("q").orderBy(F.desc("bound"), "block")
+    pairs = computed_once(pairs.withColumn("nth", F.row_number().over(promising)))
+    best, upto = Window.partitionBy("q").orderBy(F.desc("score")), FIRST_BLOCKS
+    hits = _scored(pairs.where(F.col("nth") <= upto), weights, index, phrases, mean_length, k)
+    seen, left = [pairs.where(F.col("nth") <= upto)], pairs.where(F.col("nth") > upto)
+    while True:
+        floor = hits.withColumn("at", F.row_number().over(best)).where(F.col("at") == k).select("q", F.col("score").alias("floor"))
+        reach = F.col("floor").isNull() | F.col("phrase") | (F.col("bound") >= F.col("floor") - 2 * 10.0**-SCORE_DIGITS)
+        left = computed_once(left.join(floor, "q", "left").where(reach).drop("floor"))
+        if left.isEmpty():
+            break
+        upto *= MORE_BLOCKS
+        seen.append(left.where(F.col("nth") <= upto))
+        hits = hits.unionByName(_scored(seen[-1], weights, index, phrases, mean_length, k))
+        left = left.where(F.col("nth") > upto)
+    if report is not None:
+        report(pairs.count(), sum(s.count() for s in seen))
+    named = hits.join(documents.select("block", "doc", "id"), ["block", "doc"]).join(asked.select("q", "query_id"), "q")
+    return merge_hits(named.select("query_id", "id", "score"), k)
 
 
 def bm25(
@@ -212,9 +319,11 @@ def bm25(
     titles: Sequence[str] = (),
     extra: Sequence[str] = (),
 ) -> DataFrame:
-    """``search_index`` over documents that are not indexed yet."""
-    index = index_documents(documents, id_column, text_column, titles, extra)
-    return search_index(index, queries, query_id, query_text, k)
+    """``search_index`` over documents that are not indexed yet: the index is written once, below the checkpoint folder."""
+    path = scratch_path(documents.sparkSession, "index")
+    index = index_documents(documents, id_column, text_column, titles, extra).withColumn("posting", F.col("token").isNotNull())
+    index.write.partitionBy("posting").parquet(path)
+    return search_index(documents.sparkSession.read.schema(index.schema).parquet(path), queries, query_id, query_text, k)
 
 
 def chunk_scores(

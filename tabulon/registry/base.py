@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.functions.rounding import GUARD_DIGITS
-from tabulon.session import ensure_checkpoint_dir
+from tabulon.session import scratch_path  # noqa: F401
 
 # The SQL dialect rounds after a multiplication, which may move a half; decimals do not.
 _ROUND = re.compile(r"\bround\(")
@@ -64,8 +63,3 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of texts. How many tasks a scan has is up to ``spark.sql.files.*`` settings."""
     return table(spark, folder, name)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors share."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tabulon-{name}-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from tabulon.operators import lexical, topk
@@ -58,10 +59,12 @@ def frames(spark, library):
     )
 
 
-@pytest.mark.parametrize("block,step", [(2000, 2_000_000), (3, 20)])
-def test_bm25_against_every_document(spark, library, monkeypatch, block, step):
-    monkeypatch.setattr(topk, "BLOCK_QUERIES", block)
-    monkeypatch.setattr(lexical, "SCORES_PER_STEP", step)
+@pytest.mark.parametrize("block,first", [(4096, 4), (4, 1)])
+def test_bm25_against_every_document(spark, library, monkeypatch, block, first):
+    monkeypatch.setattr(lexical, "BLOCK_DOCUMENTS", block)
+    monkeypatch.setattr(lexical, "FIRST_BLOCKS", first)
+    monkeypatch.setattr(lexical, "MORE_BLOCKS", 3)
+    monkeypatch.setattr(lexical, "BLOCKS_PER_SALT", block)
     documents, queries = library
     got = {}
     for r in bm25(*frames(spark, library), "id", "text", "q", "text", 5, ["title"]).orderBy("query_id", "rank").collect():
@@ -96,22 +99,54 @@ def test_no_documents_or_queries(spark, library):
     assert bm25(documents, queries.limit(0), "id", "text", "q", "text").count() == 0
 
 
-def test_phrases_are_found_without_the_automaton(monkeypatch):
-    import builtins
-
-    real = builtins.__import__
+@pytest.mark.parametrize("size", [1 << 30, 0])
+def test_phrases_of_every_length(spark, monkeypatch, size):
+    """Phrases inside one word, over two words and over more, at the edges of words and across other signs."""
+    monkeypatch.setattr(lexical, "BROADCAST_BYTES", size)
+    monkeypatch.setattr(lexical, "BLOCK_DOCUMENTS", 2)
+    texts = ["pineapple pie tin", "apple pies", "apple, pie", "apple  pie", "an apple a pie", "xapple piex now", "pie apple", "so pineapple pie tins", "ap", "ÄPFEL äp", "apple pie"]
+    documents = [(i, t.title() if i % 2 else "", "" if i % 2 else t) for i, t in enumerate(texts)]
+    queries = ["apple", "apple pie", "pple", "pineapple pie tin", "ap", "äp", "pie now", "apple pie now here", "le pi", "zz", "zz yy", "apple pie tin", "a pie"]
+    items = spark.createDataFrame(documents, "id long, title string, text string").repartition(3)
+    asked = spark.createDataFrame(list(enumerate(queries)), "q long, text string")
+    got = {}
+    for r in bm25(items, asked, "id", "text", "q", "text", 20, ["title"]).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+    for q, text in enumerate(queries):
+        expected = slow_bm25(documents, text, 20)
+        assert [h[0] for h in got.get(q, [])] == [h[0] for h in expected], text
+        assert [h[1] for h in got.get(q, [])] == pytest.approx([h[1] for h in expected], abs=1.1e-6)
 
-    def refuse(name, *arguments, **options):
-        if name == "ahocorasick":
-            raise ImportError(name)
-        return real(name, *arguments, **options)
 
-    phrases = {"ab c": [0, 2], "b": [1]}
-    quick = lexical._phrase_finder(phrases)
-    monkeypatch.setattr(builtins, "__import__", refuse)
-    plain = lexical._phrase_finder(phrases)
-    for text in ("xab cx", "b", "", "ab", "abc"):
-        assert quick(text) == plain(text)
+def test_one_index_serves_any_number_of_queries(spark, monkeypatch, tmp_path):
+    """Queries by the thousand read the index as often as one does, and most blocks of rare words are never read."""
+    monkeypatch.setattr(lexical, "BLOCK_DOCUMENTS", 20)
+    monkeypatch.setattr(lexical, "FIRST_BLOCKS", 1)
+    rng = random.Random(4)
+    documents = [(i, " ".join(["common"] * rng.randrange(1, 4) + [f"w{rng.randrange(50)}"] * (1 + i % 5 * (i < 200)) + ["x%d" % i])) for i in range(2000)]
+    lexical.index_documents(spark.createDataFrame(documents, "id long, text string").repartition(2), "id", "text").write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+
+    def plans_of(n):
+        plans, heard = [], []
+
+        def kept(df):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return computed_once(df)
+
+        monkeypatch.setattr(lexical, "computed_once", kept)
+        asked = spark.range(n).select(F.col("id").alias("q"), F.concat(F.lit("common w"), F.col("id") % 50, F.lit(" x"), F.col("id") % 2000).alias("text"))
+        found = lexical.search_index(index, asked, "q", "text", 1, report=lambda *seen: heard.append(seen))
+        hits = found.groupBy("query_id").count().collect()
+        assert len(hits) == n and all(h["count"] == 1 for h in hits)
+        return sum(p.count("FileScan") for p in plans), heard[0], found
+
+    computed_once = lexical.computed_once
+    few, _, _ = plans_of(3)
+    many, (pairs, seen), found = plans_of(4100)
+    assert many == few and seen < 0.1 * pairs
+    one = found.where("query_id = 77").first()
+    assert [(one["id"], one["score"])] == [(i, pytest.approx(x, abs=1.1e-6)) for i, x in slow_bm25([(i, "", t) for i, t in documents], "common w27 x77", 1)]
 
 
 @pytest.mark.parametrize("block", [2000, 2])
