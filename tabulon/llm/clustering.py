@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tabulon.errors import InvalidRequest
-from tabulon.registry.base import scratch_path
+from tabulon.session import scratch_path
 from tabulon.session import computed_once
 
 BITS = 7  # of a cell: seven bits cut a dimension into 128 cells
