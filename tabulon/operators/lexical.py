@@ -24,7 +24,7 @@ PHRASE_BONUS, TITLE_BONUS = 1.5, 2.0
 SCORE_DIGITS = 6
 #: Documents of a block, and blocks of a query that are read before any is ruled out.
 BLOCK_DOCUMENTS = 4096
-FIRST_BLOCKS = 4
+FIRST_BLOCKS = 8
 MORE_BLOCKS = 8  # times as many in each further round
 BLOCKS_PER_SALT = 256
 #: Candidates are broadcast up to this size; beyond it the planner joins them as it sees fit.
@@ -189,7 +189,7 @@ def _phrase_hits(index: DataFrame, asked: DataFrame, frequency: DataFrame) -> Da
 def _block_hits(rows: DataFrame, mean_length: float, k: int) -> DataFrame:
     """(q, block, doc, score): the ``k`` best documents of every pair of query and block.
 
-    Rows hold a posting (``docs, tf, lengths, idf``) or bonuses (``docs, bonus``). The rows of a pair come to one task, where
+    Rows hold a posting (``docs, tf, lengths, idf``) or the documents with one bonus (``docs, bonus``). The rows of a pair come to one task, where
     whole batches are summed at once.
     """
 
@@ -207,7 +207,7 @@ def _block_hits(rows: DataFrame, mean_length: float, k: int) -> DataFrame:
 
             tf = flat("tf")
             idf = np.repeat(table["idf"].to_numpy(), sizes)
-            weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * flat("lengths") / mean_length)) + flat("bonus")
+            weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * flat("lengths") / mean_length)) + np.repeat(table["bonus"].to_numpy(), sizes)
             cell, same = np.unique(pair * (1 << 32) + pc.list_flatten(table["docs"]).to_numpy(), return_inverse=True)
             score = half_up_array(np.bincount(same, weight, len(cell)), SCORE_DIGITS)
             cell, score = cell[score > 0], score[score > 0]
@@ -240,13 +240,10 @@ def _block_hits(rows: DataFrame, mean_length: float, k: int) -> DataFrame:
 
 def _scored(pairs: DataFrame, weights: DataFrame, index: DataFrame, phrases: DataFrame, mean_length: float, k: int) -> DataFrame:
     postings = index.where("token is not null").select("token", "block", "docs", "tf", "lengths")
-    zeros = F.transform("docs", lambda d: F.lit(0.0))
     held = pairs.select("q", "block").join(weights.select("q", "token", "idf"), "q").join(postings, ["token", "block"])
-    held = held.select("q", "block", "docs", "tf", "lengths", "idf", zeros.alias("bonus"))
+    held = held.select("q", "block", "docs", "tf", "lengths", "idf", F.lit(0.0).alias("bonus"))
     ones = F.transform("docs", lambda d: F.lit(1))
-    marked = phrases.join(pairs.select("q", "block"), ["q", "block"]).groupBy("q", "block").agg(
-        F.collect_list("doc").alias("docs"), F.collect_list("bonus").alias("bonus")
-    )
+    marked = phrases.join(pairs.select("q", "block"), ["q", "block"]).groupBy("q", "block", "bonus").agg(F.collect_list("doc").alias("docs"))
     marked = marked.select("q", "block", "docs", ones.alias("tf"), ones.alias("lengths"), F.lit(0.0).alias("idf"), "bonus")
     return computed_once(_block_hits(held.unionByName(marked), mean_length, k))
 

@@ -3,34 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tabulon.functions.schema import col
-from tabulon.session import computed_once
-
-# A block of queries is sent to every task; more queries are answered block by block.
-BLOCK_QUERIES = 2_000
-BLOCK_BYTES = 8 * 1024 * 1024
+# Cells of a score matrix that are computed at once.
 SCORES_PER_STEP = 2_000_000
 
 
-def query_blocks(queries: DataFrame, id_column: str, payload: str, bytes_each: Column) -> Iterator[list[Any]]:
-    """The queries in blocks small enough to broadcast. They are computed once and kept in the
-    checkpoint folder; each block is read on its own, so the driver never holds more than one."""
-    wanted = computed_once(
-        queries.select(col(id_column).alias("id"), col(payload).alias("payload"), bytes_each.alias("bytes"))
-    )
-    size = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
-    blocks = max(1, -(-size["n"] // BLOCK_QUERIES), -(-int(size["bytes"]) // BLOCK_BYTES))
-    for i in range(blocks):
-        part = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)
-        yield part.orderBy("id").collect()
-
-
 class BestHits:
     """The ``k`` best rows per query among the batches seen so far, ties by id."""
 

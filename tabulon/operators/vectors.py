@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabulon.errors import InvalidRequest
 from tabulon.functions.rounding import half_up
 from tabulon.functions.schema import col, require_columns
 from tabulon.functions.text import tokens
 from tabulon.operators.lexical import bm25
-from tabulon.operators.topk import SCORES_PER_STEP, BestHits, merge_hits, query_blocks
+from tabulon.operators.topk import SCORES_PER_STEP, BestHits, merge_hits
+from tabulon.session import computed_once, scratch_path
 
 # Digits of ranking and score, fusion constants, the candidate rule.
 RANK_DIGITS, SCORE_DIGITS = 9, 4
 FUSION_CONSTANT, VECTOR_SHARE = 60, 0.65
 CANDIDATES_PER_HIT, MIN_CANDIDATES = 4, 20
 HASH_DIMENSIONS = 64
+#: Cells at most (their pivots are sent to every task), cells a query visits at first, and times as many in each further round.
+MAX_CELLS, FIRST_CELLS, MORE_CELLS = 4096, 8, 8
+VECTORS_PER_CELL = 1_000  # a smaller table has fewer cells
+#: Vectors of one cell, and queries that visit it, that come to one task.
+VECTORS_PER_TASK, QUERIES_PER_TASK = 200_000, 20_000
+ZERO = -1  # the cell of zero vectors
+SLACK = 10.0 ** (1 - RANK_DIGITS)  # more than rounding moves a score
 
 
 def hash_vectors(texts: Sequence[Sequence[str]], dimensions: int = HASH_DIMENSIONS) -> np.ndarray:
@@ -66,12 +72,10 @@ def embed(
     return df.withColumn(name, made)
 
 
-def _matrix(lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """List rows as a matrix and the positions of the rows that have a vector of this length."""
-    present = np.flatnonzero(pc.equal(pc.list_value_length(lists), width).fill_null(False).to_numpy(zero_copy_only=False))
-    held = lists.take(pa.array(present))
-    flat = held.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(present), -1) if len(present) else np.zeros((0, 0)), present
+def _matrix(lists: pa.Array, width: int) -> np.ndarray:
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -79,36 +83,128 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
-def _search_block(vectors: DataFrame, rows: list, query_type: T.DataType, k: int) -> DataFrame:
-    schema = T.StructType(
-        [
-            T.StructField("query_id", query_type), T.StructField("id", vectors.schema["id"].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-    rows = [r for r in rows if r["payload"] is not None]
-    if not rows:
-        return vectors.sparkSession.createDataFrame([], schema)
-    if len({len(r["payload"]) for r in rows}) > 1:
-        raise InvalidRequest("the query vectors differ in length")
-    asked = _unit(np.array([r["payload"] for r in rows], dtype=np.float64))
-    shared = vectors.sparkSession.sparkContext.broadcast((asked, [r["id"] for r in rows]))
-    arrow_query_type = to_arrow_type(query_type)
-
-    def best_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, ids = shared.value
-        best = BestHits(k, len(ids))
-        step = max(1, SCORES_PER_STEP // len(ids))
-        for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                matrix, present = _matrix(part["vector"], asked.shape[1])
-                if len(present):
-                    near = np.round(_unit(matrix) @ asked.T, RANK_DIGITS)
-                    best.add(near, np.ones_like(near, dtype=bool), part["id"].take(pa.array(present)))
-        yield from best.batches(pa.array(ids, arrow_query_type))
-
-    return vectors.mapInArrow(best_of_partition, schema)
+def _angles(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1.0, 1.0))
+
+
+def _bounds(asked: np.ndarray, pivots: np.ndarray, radius: np.ndarray, zero: np.ndarray) -> np.ndarray:
+    """The largest cosine that each query (row) can have with a vector of each cell."""
+    unit = _unit(asked)
+    best = np.cos(np.maximum(_angles(unit @ pivots.T) - radius, 0.0))
+    best[:, zero] = 0.0
+    best[~unit.any(1)] = 0.0
+    return best
+
+
+class _Cells:
+    """Vectors dealt to cells around pivots, and how wide and how full each cell is. Zero vectors have a cell of their own."""
+
+    def __init__(self, held: DataFrame, width: int) -> None:
+        self.width, self.pivots = width, np.zeros((1, width))
+        n = held.count()
+        most = min(MAX_CELLS, math.isqrt(n), -(-n // VECTORS_PER_CELL))
+        if most:
+            # A bounded sample: the vectors with the smallest hashes.
+            rows = held.select("vector").orderBy(F.xxhash64("id", "vector"), "vector").limit(most).collect()
+            self.pivots = np.unique(_unit(np.array([r["vector"] for r in rows], dtype=np.float64)), axis=0)
+        pivots = self.pivots
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    near = _unit(_matrix(batch.column("vector"), width))
+                    cosines = near @ pivots.T
+                    cell = cosines.argmax(1)
+                    angle = _angles(cosines[np.arange(len(cell)), cell])
+                    cell = np.where(near.any(1), cell, ZERO)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cell, pa.int32()), pa.array(angle), batch.column("id"), batch.column("vector")], names=["cell", "angle", "id", "vector"]
+                    )
+
+        path = scratch_path(held.sparkSession, "cells")
+        schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType()), *held.schema.fields])
+        held.mapInArrow(deal, schema).write.parquet(path)
+        self.vectors = held.sparkSession.read.schema(schema).parquet(path)
+        facts = self.vectors.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).orderBy("cell").collect()
+        self.numbers = np.array([r["cell"] for r in facts], dtype=np.int64)
+        self.sizes = [r["n"] for r in facts]
+        self.radius = np.array([r["radius"] for r in facts], dtype=np.float64)
+
+    def visits(self, asked: DataFrame) -> DataFrame:
+        """(q, cell, bound, nth): the cells in the order in which a query visits them."""
+        numbers, pivots, radius, width = self.numbers, self.pivots[np.maximum(self.numbers, 0)], self.radius, self.width
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows and len(numbers):
+                    best = _bounds(_matrix(batch.column("vector"), width), pivots, radius, numbers == ZERO)
+                    order = np.argsort(-best, axis=1, kind="stable")
+                    q = np.repeat(batch.column("q").to_numpy(), len(numbers))
+                    nth = np.tile(np.arange(1, len(numbers) + 1), batch.num_rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(q), pa.array(numbers[order].ravel(), pa.int32()), pa.array(np.take_along_axis(best, order, 1).ravel()), pa.array(nth, pa.int32())],
+                        names=["q", "cell", "bound", "nth"],
+                    )
+
+        return asked.select("q", "vector").mapInArrow(run, "q long, cell int, bound double, nth int")
+
+    def visited(self, pairs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+        """(q, id, score): the best hits of some queries in some cells. Pairs: ``q``, ``cell`` and ``floor`` (null where unknown).
+
+        A cell's vectors and the queries that visit it come together; a full cell is dealt to several tasks, to each
+        of which its queries are sent, and where very many queries visit a cell its vectors are sent to each share of them.
+        """
+        spark, width = pairs.sparkSession, self.width
+        facts = [(int(c), -(-n // VECTORS_PER_TASK)) for c, n in zip(self.numbers, self.sizes)]
+        # One row per cell.
+        salts = F.broadcast(spark.createDataFrame(facts, "cell int, salts int"))
+        shares = pairs.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERIES_PER_TASK)).cast("int").alias("shares"))
+        counted = F.broadcast(shares.join(salts, "cell"))
+        empty = F.lit(None)
+        queries = pairs.join(counted, "cell").join(asked.select("q", "vector"), "q").select(
+            "cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.pmod(F.xxhash64("q"), F.col("shares")).cast("int").alias("share"),
+            F.lit(0).alias("kind"), "q", "floor", empty.cast(self.vectors.schema["id"].dataType).alias("id"), "vector",
+        )
+        vectors = self.vectors.join(counted, "cell").select(
+            "cell", F.pmod(F.xxhash64("id", "vector"), F.col("salts")).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
+            F.lit(1).alias("kind"), empty.cast("long").alias("q"), empty.cast("double").alias("floor"), "id", "vector",
+        )
+        key = ["cell", "salt", "share"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, names, floors, waiting, best, unit = None, [], [], [], None, None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys = np.column_stack([batch.column(c).to_numpy() for c in (*key, "kind")])
+                cuts = np.append(np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])), len(keys))
+                for a, b in zip(cuts, cuts[1:]):
+                    part, here = batch.slice(a, b - a), tuple(keys[a][:3])
+                    if here != at:
+                        if best is not None:
+                            yield from best.batches(pa.array(names, pa.int64()))
+                        at, names, floors, waiting, best = here, [], [], [], None
+                    matrix = _matrix(part.column("vector"), width)
+                    if not keys[a][3]:
+                        names += part.column("q").to_pylist()
+                        floors.append(part.column("floor").fill_null(-np.inf).to_numpy(zero_copy_only=False))
+                        waiting.append(matrix)
+                        continue
+                    if not names:
+                        continue
+                    if best is None:
+                        best, unit = BestHits(k, len(names)), _unit(np.concatenate(waiting)).T
+                        best.floor = np.concatenate(floors) - SLACK
+                    step = max(1, SCORES_PER_STEP // len(names))
+                    for i in range(0, len(matrix), step):
+                        near = np.round(_unit(matrix[i : i + step]) @ unit, RANK_DIGITS)
+                        best.add(near, np.ones_like(near, dtype=bool), part.column("id").slice(i, step))
+            if best is not None:
+                yield from best.batches(pa.array(names, pa.int64()))
+
+        schema = T.StructType([T.StructField("query_id", T.LongType()), self.vectors.schema["id"], T.StructField("score", T.DoubleType())])
+        dealt = queries.unionByName(vectors).repartition(*key).sortWithinPartitions(*key, "kind")
+        return computed_once(dealt.mapInArrow(run, schema).withColumnRenamed("query_id", "q"))
 
 
 def vector_topk(
@@ -119,23 +215,52 @@ def vector_topk(
     query_id: str,
     query_vector: str,
     k: int = 8,
+    report: Callable[[int, int], None] | None = None,
 ) -> DataFrame:
-    """(query_id, id, score, rank): the ``k`` nearest vectors of every query by cosine.
+    """(query_id, id, score, rank): the ``k`` nearest vectors of every query by cosine, exactly.
 
-    Queries travel to the data in bounded blocks; each task multiplies its rows with a block and
-    keeps the ``k`` best, so only those are shuffled. Scores below zero show as zero. Rows without
-    a vector, with one of another length or with NaN in it are never hits.
+    Vectors are dealt to cells around pivots. From the angle between a query and a pivot, less the cell's widest angle,
+    follows the best cosine the cell may hold. A query visits its most promising cells first; in further rounds only
+    those that may still hold one of its ``k`` best, ties included. Queries are joined to cells and never pass the driver.
+    Scores below zero show as zero. Rows without a vector, with one of another length or with null, NaN or an infinite
+    number in it are never hits. ``report`` hears how many (query, cell) pairs there are and how many were visited.
     """
     require_columns(vectors, [id_column, vector_column])
     require_columns(queries, [query_id, query_vector])
-    held = vectors.select(col(id_column).alias("id"), col(vector_column).alias("vector"))
-    size = F.coalesce(F.size(col(query_vector)), F.lit(0)) * 8
-    parts = [
-        _search_block(held, rows, queries.schema[query_id].dataType, k)
-        for rows in query_blocks(queries, query_id, query_vector, size)
-    ]
-    hits = merge_hits(reduce(DataFrame.unionByName, parts), k)
-    return hits.withColumn("score", half_up(F.greatest("score", F.lit(0.0)), SCORE_DIGITS))
+    spark = vectors.sparkSession
+
+    def whole(name: str) -> Column:
+        x = col(name).cast("array<double>")
+        return F.when(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))), x)
+
+    given = queries.select(col(query_id).alias("query_id"), col(query_vector).cast("array<double>").alias("given"))
+    asked = computed_once(given.where("given is not null").withColumn("vector", whole("given")).withColumn("q", F.monotonically_increasing_id()))
+    widths = asked.agg(F.min(F.size("given")).alias("least"), F.max(F.size("given")).alias("most")).first()
+    kind = vectors.schema[id_column].dataType
+    if not widths["most"]:
+        schema = T.StructType([asked.schema["query_id"], T.StructField("id", kind), T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+        return spark.createDataFrame([], schema)
+    if widths["least"] != widths["most"]:
+        raise InvalidRequest("the query vectors differ in length")
+    asked = asked.where("vector is not null")
+    held = vectors.select(col(id_column).alias("id"), whole(vector_column).alias("vector")).where(F.size("vector") == widths["most"])
+    cells = _Cells(held, widths["most"])
+    visits = computed_once(cells.visits(asked))
+    best, upto = Window.partitionBy("q").orderBy(F.desc("score")), FIRST_CELLS
+    left, hits, seen = visits.withColumn("floor", F.lit(None).cast("double")), None, 0
+    while hits is None or not left.isEmpty():
+        now = left.where(F.col("nth") <= upto)
+        seen += now.count() if report is not None else 0
+        found = cells.visited(now.select("q", "cell", "floor"), asked, k)
+        hits = found if hits is None else hits.unionByName(found)
+        floor = hits.withColumn("at", F.row_number().over(best)).where(F.col("at") == k).select("q", F.col("score").alias("floor"))
+        left = left.where(F.col("nth") > upto).drop("floor").join(floor, "q", "left")
+        left = computed_once(left.where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - SLACK)))
+        upto *= MORE_CELLS
+    if report is not None:
+        report(visits.count(), seen)
+    named = hits.join(asked.select("q", "query_id"), "q").select("query_id", "id", "score")
+    return merge_hits(named, k).withColumn("score", half_up(F.greatest("score", F.lit(0.0)), SCORE_DIGITS))
 
 
 def fuse_ranks(vector_hits: DataFrame, keyword_hits: DataFrame, k: int = 8, alpha: float = VECTOR_SHARE) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.functions.rounding import GUARD_DIGITS
-from tabulon.session import scratch_path  # noqa: F401
+from tabulon.session import scratch_path, spread  # noqa: F401
 
 # The SQL dialect rounds after a multiplication, which may move a half; decimals do not.
 _ROUND = re.compile(r"\bround\(")
@@ -61,5 +61,5 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of texts. How many tasks a scan has is up to ``spark.sql.files.*`` settings."""
-    return table(spark, folder, name)
+    """A table of texts, over all cores where the scan alone would use fewer."""
+    return spread(table(spark, folder, name))

@@ -56,3 +56,13 @@ def computed_once(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder all executors share."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tabulon-{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, for work that costs much more than moving them.
+
+    Files that Spark reads in fewer tasks than there are cores hold at most so many splits, which bounds what is moved;
+    anything larger stays as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tabulon.operators import lexical, topk
+from tabulon.operators import lexical, vectors as vectors_module
 from tabulon.operators.lexical import bm25
 from tabulon.operators.vectors import embed, fuse_ranks, hybrid_search, vector_topk
 
@@ -149,9 +149,14 @@ def test_one_index_serves_any_number_of_queries(spark, monkeypatch, tmp_path):
     assert [(one["id"], one["score"])] == [(i, pytest.approx(x, abs=1.1e-6)) for i, x in slow_bm25([(i, "", t) for i, t in documents], "common w27 x77", 1)]
 
 
-@pytest.mark.parametrize("block", [2000, 2])
-def test_vectors_against_all_pairs(spark, monkeypatch, block):
-    monkeypatch.setattr(topk, "BLOCK_QUERIES", block)
+@pytest.mark.parametrize("full", [200_000, 3])
+def test_vectors_against_all_pairs(spark, monkeypatch, full):
+    """Also where each task gets a few vectors and a few queries of a cell only."""
+    monkeypatch.setattr(vectors_module, "VECTORS_PER_TASK", full)
+    monkeypatch.setattr(vectors_module, "QUERIES_PER_TASK", full)
+    monkeypatch.setattr(vectors_module, "VECTORS_PER_CELL", 1)
+    monkeypatch.setattr(vectors_module, "FIRST_CELLS", 1)
+    monkeypatch.setattr(vectors_module, "MORE_CELLS", 3)
     rng = np.random.default_rng(10)
     held = rng.normal(size=(80, 6)).round(2)
     held[5] = held[6] = held[7]
@@ -172,6 +177,32 @@ def test_vectors_against_all_pairs(spark, monkeypatch, block):
     assert got[4][0] == (5, 1.0)
 
 
+def test_cells_spare_most_vectors_and_lose_no_hit(spark, monkeypatch):
+    """Recall against brute force is 1; a third of all vectors is the same one; broken vectors are no hits."""
+    monkeypatch.setattr(vectors_module, "VECTORS_PER_CELL", 1)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 16))
+    held = np.vstack([centres[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 16)) * 0.05, np.tile(centres[0], (1000, 1)), np.zeros((5, 16))])
+    asked = centres + rng.normal(size=centres.shape) * 0.05
+    odd = [[float("nan")] * 16, [float("inf")] + [0.0] * 15, [None] * 16, [1.0], None]
+    records = [(i, [float(x) for x in v]) for i, v in enumerate(held)] + [(9000 + i, v) for i, v in enumerate(odd)]
+    vectors = spark.createDataFrame(records, "id long, v array<double>").repartition(4)
+    queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(asked)] + [(99, odd[0]), (98, None)], "q long, v array<double>")
+    heard = []
+    got = {}
+    for r in vector_topk(vectors, queries, "id", "v", "q", "v", 10, report=lambda *seen: heard.append(seen)).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["id"]
+    unit = np.divide(held, np.linalg.norm(held, axis=1, keepdims=True), out=np.zeros_like(held), where=held.any(1, keepdims=True))
+    for q, v in enumerate(asked):
+        near = np.round(unit @ (v / np.linalg.norm(v)), 9)
+        assert [got[q][j] for j in range(1, 11)] == sorted(range(len(held)), key=lambda i: (-near[i], i))[:10]
+    assert set(got) == set(range(40))
+    pairs, seen = heard[0]
+    assert seen < 0.3 * pairs
+    assert vector_topk(vectors.limit(0), queries, "id", "v", "q", "v", 3).count() == 0
+    assert vector_topk(vectors, queries.limit(0), "id", "v", "q", "v", 3).count() == 0
+
+
 def test_fusion_of_ranks(spark):
     schema = "query_id long, id string, score double, rank int"
     near = spark.createDataFrame([(1, "a", 0.9, 1), (1, "b", 0.8, 2)], schema)
