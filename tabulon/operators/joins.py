@@ -6,16 +6,19 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabulon.errors import EmptyInput, InvalidRequest
-from tabulon.functions.schema import col, require_columns
+from tabulon.functions.schema import col, data_type, require_columns
 
 # Join kinds, and the marks for names both sides have.
 KINDS = ("inner", "left", "right", "full", "semi", "anti")
 OVERLAP_MARK = "__right"
 FULL_KEY_MARK = "_r"
 COPIES = 16
+#: Rows of one key that one task of an outer join may get from a side, and tasks that rows without a key are dealt to.
+HEAVY_ROWS = 1_000_000
+NULL_SALTS = 1024
 
 
 def _check(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str], how: str):
@@ -57,10 +60,9 @@ def join_tables(
 ) -> DataFrame:
     """Join with left columns first, then right ones; names both sides have get a mark.
 
-    Outer joins are put together from an inner join, the unmatched rows and the rows without a
-    key. Adaptive execution can split a heavy key on either side of an inner join, but only on
-    one side of an outer join and on none of a full one. The parts share the shuffled tables,
-    and rows without a key are not shuffled at all.
+    Adaptive execution can split a heavy key on either side of an inner join, but only on one side of an outer join and
+    on none of a full one. So outer joins count the rows of each key first (``_dealt``); then each side is shuffled
+    once, its heavy keys and its rows without a key dealt to several tasks.
     """
     right_on = list(right_on or left_on)
     left_on = list(left_on)
@@ -87,16 +89,61 @@ def join_tables(
     if how == "inner":
         right_part = [col(renamed[c]) for c in right.columns if c not in right_on]
 
-    keyed_left, keyed_right = left.filter(_has_keys(left_on)), marked.filter(_has_keys(marked_on))
-    same = reduce(and_, [col(l) == col(r) for l, r in zip(left_on, marked_on)])
-    parts = [keyed_left.join(keyed_right, same, "inner").select(*left_part, *right_part)]
-    if how in ("left", "full"):
-        alone = _keep_by_key(keyed_left, keyed_right, left_on, marked_on, "left_anti")
-        parts += [alone.select(*left_part), left.filter(~_has_keys(left_on)).select(*left_part)]
-    if how in ("right", "full"):
-        alone = _keep_by_key(keyed_right, keyed_left, marked_on, left_on, "left_anti")
-        parts += [alone.select(*right_part), marked.filter(~_has_keys(marked_on)).select(*right_part)]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    same = [col(l) == col(r) for l, r in zip(left_on, marked_on)]
+    if how == "inner":
+        return left.join(marked, reduce(and_, same), "inner").select(*left_part, *right_part)
+    one, two = _dealt(left, marked, left_on, marked_on)
+    joined = one.join(two, reduce(and_, [*same, F.col("__salt_left") == F.col("__salt_right")]), how)
+    # A copy that met no row of the other side in its task has partners in another one.
+    lone = F.col("__salt_left").isNull() | F.col("__salt_right").isNull()
+    paired = F.coalesce("__paired_left", "__paired_right", F.lit(False))
+    return joined.where(~(lone & paired)).select(*left_part, *right_part)
+
+
+def _dealt(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a salt to be joined by, and whether a heavy key has rows on both of them.
+
+    Of a key with more than ``HEAVY_ROWS`` rows the longer side is dealt out by salt and the shorter one copied to each
+    salt; without rows on the shorter side nothing is copied. Rows without a key are dealt out, having no partners.
+    """
+    names = [f"__heavy_{i}" for i in range(len(left_on))]
+
+    def counted(df: DataFrame, keys: Sequence[str], side: int) -> DataFrame:
+        present = df.filter(_has_keys(keys)).groupBy(*[col(k).alias(n) for k, n in zip(keys, names)])
+        sides = [F.count(F.lit(1)) if i == side else F.lit(0).cast("long") for i in (0, 1)]
+        return present.agg(sides[0].alias("__l"), sides[1].alias("__r"))
+
+    heavy = None
+    if all(_same_kind(data_type(left, l), data_type(right, r)) for l, r in zip(left_on, right_on)):
+        rows = counted(left, left_on, 0).unionByName(counted(right, right_on, 1)).groupBy(*names).agg(F.sum("__l").alias("__l"), F.sum("__r").alias("__r"))
+        # As many rows as there are times HEAVY_ROWS rows in both tables, at most.
+        heavy = F.broadcast(rows.where(F.col("__l") + F.col("__r") > HEAVY_ROWS).select(
+            *names, ((F.col("__l") > 0) & (F.col("__r") > 0)).alias("__both"), (F.col("__l") >= F.col("__r")).alias("__longer"),
+            F.ceil(F.greatest("__l", "__r") / F.lit(HEAVY_ROWS)).cast("int").alias("__salts"),
+        ))
+
+    def salted(df: DataFrame, keys: Sequence[str], side: str, longer: Column) -> DataFrame:
+        number = F.monotonically_increasing_id()
+        alone = F.array((number % NULL_SALTS).cast("int"))
+        if heavy is None:
+            salts, paired = F.when(_has_keys(keys), F.array(F.lit(0))).otherwise(alone), F.lit(False)
+        else:
+            df = df.join(heavy, reduce(and_, [col(k) == F.col(n) for k, n in zip(keys, names)]), "left")
+            copied = F.col("__both") & ~longer
+            salts = (
+                F.when(~_has_keys(keys), alone).when(F.col("__salts").isNull(), F.array(F.lit(0)))
+                .when(copied, F.sequence(F.lit(0), F.col("__salts") - 1)).otherwise(F.array((number % F.col("__salts")).cast("int")))
+            )
+            paired = F.coalesce("__both", F.lit(False))
+        kept = [col(c) for c in df.columns if c not in (*names, "__both", "__longer", "__salts")]
+        return df.select(*kept, paired.alias(f"__paired_{side}"), F.explode(salts).alias(f"__salt_{side}"))
+
+    return salted(left, left_on, "left", F.col("__longer")), salted(right, right_on, "right", ~F.col("__longer"))
+
+
+def _same_kind(one: T.DataType, two: T.DataType) -> bool:
+    """Whether both types become one in the same way when keys are compared and when they are counted."""
+    return one == two or (isinstance(one, T.NumericType) and isinstance(two, T.NumericType))
 
 
 def join_preview(
