@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -19,7 +19,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_VALUE, MIN_ACCESS = 12, 18
 
 # Weak parts: too common to report alone.
-_WEAK_ID = re.compile(r"(?:client|account|user|app|key|access)[_-]?(?:id|name|key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{4,})", re.I | re.A)
+_WEAK_ID = re.compile(r"(?<!secret)(?<!secret[_-])(?:client|account|user|app|key|access)[_-]?(?:id|name|key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{4,})", re.I | re.A)
 _WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])", re.A)
 _WEAK_ENDPOINT = re.compile(r"(?:https?|wss|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._:@/-]{4,}|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com", re.A)
 
@@ -61,28 +61,32 @@ class _Meeting:
         return before > 0 and self.reach[before - 1] >= max(a - SCOPE_CHARS, first + 1)
 
 
+def _outside(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether a stretch overlaps none of the spans."""
+    spans = sorted(spans)
+    begins, reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+    def free(a: int, b: int) -> bool:
+        before = bisect_left(begins, b)
+        return not before or reach[before - 1] <= a
+
+    return free
+
+
 def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Weak parts near which a part stands that completes them.
 
     An identifier or an endpoint needs a secret near it, a secret needs an identifier or an endpoint. Near means
     anywhere in the text with no blank line and at most ``SCOPE_CHARS`` characters between the two.
     Strong identifiers (``access``) and strong secrets (``assign``, ``hex``) complete weak parts and are not listed
-    again; a weak part that overlaps a base span is left out.
+    again; a weak part that overlaps a base span is left out, and so is a value inside an identifier or an endpoint.
     """
-    taken = sorted((a, b) for a, b, _ in base)
-    begins = [a for a, _ in taken]
-    reach, furthest = [], -1
-    for _, b in taken:
-        furthest = max(furthest, b)
-        reach.append(furthest)
-
-    def free(a: int, b: int) -> bool:
-        before = bisect_left(begins, b)
-        return not before or reach[before - 1] <= a
-
-    weak = [(*m.span(), "linked_id") for m in _WEAK_ID.finditer(text) if free(*m.span())]
-    weak += [(*m.span(), "linked_secret") for m in _WEAK_SECRET.finditer(text) if _looks_random(m[0]) and free(*m.span())]
-    weak += [(*m.span(), "linked_endpoint") for m in _WEAK_ENDPOINT.finditer(text) if free(*m.span())]
+    free = _outside([(a, b) for a, b, _ in base])
+    # Complementary parts are different strings: what lies in an identifier or an endpoint is no secret of its own.
+    named = [(*m.span(), "linked_id") for m in _WEAK_ID.finditer(text)] + [(*m.span(), "linked_endpoint") for m in _WEAK_ENDPOINT.finditer(text)]
+    apart = _outside([(a, b) for a, b, _ in named])
+    weak = [x for x in named if free(x[0], x[1])]
+    weak += [(*m.span(), "linked_secret") for m in _WEAK_SECRET.finditer(text) if _looks_random(m[0]) and free(*m.span()) and apart(*m.span())]
     if not weak:
         return []
     edges = [m.end() for m in _BREAK.finditer(text)]

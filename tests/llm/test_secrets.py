@@ -54,3 +54,16 @@ def test_values_are_found_however_they_are_assigned():
             assert strong not in redacted(text, scan(text)) and key not in redacted(text, scan(text))
             if not form.startswith("AWS"):
                 assert scan(form.format(key)) == []  # alone it proves nothing
+
+
+def test_one_string_is_not_both_parts():
+    url, name = "https://youtu.be/watch/AbCdEf1234567890XyZqrs", "client_id=AbCdEf1234567890XyZqrs"
+    assert scan(url) == [] and scan(name) == [] and scan(f"{url} {name}") == []
+    for part, kind in ((url, "linked_endpoint"), (name, "linked_id")):
+        text = f"{part} and {KEY}"
+        at = text.index(KEY)
+        assert scan(text) == [(0, len(part), kind), (at, at + len(KEY), "linked_secret")]
+        strong = f"{part} password = abcdef123456"
+        assert [k for _, _, k in scan(strong)] == [kind, "assign"]
+    text = f"https://db.example.com/x?sig={KEY}"
+    assert [k for _, _, k in scan(text)] == ["linked_endpoint", "linked_secret"]
