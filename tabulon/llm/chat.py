@@ -3,8 +3,9 @@
 A window holds the system turn (where the conversation begins with one), some turns that came before, and new turns.
 Prefix sums of the turns' tokens choose the new turns: the token line of a conversation is cut into strides of what
 the budget leaves beside system turn and history; turns inside one stride share a window, and a turn that lies across
-a cut has a window of its own. So spans end between turns, every turn is new exactly once, and a window keeps to
-the budget unless a single turn alone exceeds it.
+a cut has a window of its own. So spans end between turns and every turn is new exactly once. A window repeats as much
+of the history as its new turns leave room for, so it keeps to the budget unless the system turn and one new turn
+alone exceed it.
 """
 
 from __future__ import annotations
@@ -80,20 +81,23 @@ def format_windows(
         .withColumn("window", 2 * cell + (cell != last).cast("int"))
     )
     recent = Window.partitionBy("conv_id").orderBy("begin").rangeBetween(-history, -1)
-    t = t.withColumn("before", F.collect_list(F.struct("role", "text", "tokens")).over(recent))
+    t = t.withColumn("before", F.collect_list(F.struct("role", "text", "tokens", "begin")).over(recent))
     new = F.struct("position", "role", "text", "tokens")
     windows = t.groupBy("conv_id", "window").agg(
         F.array_sort(F.collect_list(F.when(~F.col("is_system"), new))).alias("new"),
         F.min_by("before", "position").alias("before"),
         F.first("system").alias("system"),
         F.min("position").alias("first"),
+        F.min("begin").alias("begin"),
     )
+    room = F.lit(budget) - F.coalesce(F.col("system.tokens"), F.lit(0)) - F.aggregate("new", F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
+    windows = windows.withColumn("before", F.filter("before", lambda x: F.col("begin") - x["begin"] <= room))
 
     def part(x: Column, target: Column) -> Column:
         head = F.concat(F.lit(OPEN), escaped(x["role"]), F.lit(AFTER_ROLE))
         return F.struct(head.alias("head"), escaped(x["text"]).alias("body"), x["tokens"].alias("tokens"), target.alias("target"))
 
-    old = F.concat(F.when(F.col("system").isNotNull(), F.array("system")).otherwise(F.array().cast("array<struct<role:string,text:string,tokens:bigint>>")), F.col("before"))
+    old = F.concat(F.when(F.col("system").isNotNull(), F.array("system")).otherwise(F.array().cast("array<struct<role:string,text:string,tokens:bigint>>")), F.transform("before", lambda x: F.struct(x["role"], x["text"], x["tokens"])))
     parts = F.concat(
         F.transform(old, lambda x: part(x, F.lit(False))),
         F.transform("new", lambda x: part(x, x["role"] == TARGET)),

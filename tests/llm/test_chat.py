@@ -48,3 +48,22 @@ def test_empty_table(spark):
 def test_hard_conversation(spark):
     found = {r["conv_id"]: r for r in op2_chat(spark, "/root/testdata/sf0.001").collect()}
     assert found[-7]["n_turns"] == 2 and found[-7]["loss_chars"] == len(HARD_TEXT)
+
+
+def test_the_budget_holds_wherever_system_and_new_turns_fit(spark):
+    """Turns longer than a stride, and system turns that leave almost no stride, shed history."""
+    rng = random.Random(6)
+    rows = [(1, i, "user", "w " * n, "") for i, n in enumerate([60, 60, 80, 900, 5, 100, 1200, 3])]
+    rows += [(2, i, "system" if not i else "user", "w " * n, "") for i, n in enumerate([900, 60, 60, 60, 1, 30, 200])]
+    rows += [(c, i, "system" if not i and c % 2 else "user", "w " * rng.choice([1, 40, 300, 700, 1100]), "") for c in range(3, 30) for i in range(12)]
+    found = format_windows(spark.createDataFrame(rows, SCHEMA), 1024, 256).collect()
+    tokens = {(c, i + 1): len(t.split()) + 4 for c, i, _, t, _ in rows}
+    shed = 0
+    for r in found:
+        begin = 2 if r["n_system"] and r["first"] == 1 else r["first"]
+        new = sum(tokens[r["conv_id"], begin + j] for j in range(r["n_new"]))
+        system = tokens[r["conv_id"], 1] if r["n_system"] else 0
+        assert r["n_tokens"] <= max(1024, system + new), r["conv_id"]
+        shed += r["n_history"] == 0 and r["first"] > 2
+    assert shed and any(r["n_history"] for r in found)
+    assert {(r["conv_id"], r["first"]): r["n_tokens"] for r in found}[1, 4] <= 1024
