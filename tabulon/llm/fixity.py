@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabulon.session import computed_once
+from tabulon.session import computed_once, scratch_path
 
 BITS = 4  # a node has 2 ** BITS children at most
 
@@ -66,28 +66,33 @@ def audit(
     of the original archive, records in order of id; an added record has the offset where it would stand and no
     length), ``sha256`` and ``replica_sha256``. An id with several records is one leaf, its hash made of theirs and
     their numbers. Null ids are one leaf before all others; null parts are empty; other columns are not looked at;
-    equal copies and two empty tables give no rows. Each copy is read once, for its leaves.
+    equal copies and two empty tables give no rows. Each copy is read twice: for the range of its ids and for its leaves.
     """
     kind = original.schema[record_id].dataType
     record = warc_record(F.col(f"`{url}`"), F.col(f"`{payload}`"))
     levels, no_id = key_range(original, replica, record_id=record_id)
     one, two = (tree(copy, record_id, record, levels, no_id) for copy in (original, replica))
-    suspects = None
+    differ = None
     for level in range(levels, -1, -1):
         a = one[level].select("key", F.col("hash").alias("hash_a"), F.col("bytes").alias("bytes_a"))
         b = two[level].select("key", F.col("hash").alias("hash_b"))
-        if suspects is not None:
-            up = F.lit(0).cast("long") if level == levels - 1 else F.shiftright("key", BITS)
-            a, b = (x.withColumn("parent", up).join(suspects, "parent") for x in (a, b))
-            b = b.select("key", "parent", "hash_b", F.col("at").alias("at_b"))
-        both = a.join(b, ["key", "parent"] if suspects is not None else "key", "full")
-        if suspects is None:
-            both = both.withColumn("at", F.lit(0).cast("long"))
+        if level >= levels - 1:
+            # The root, and its two children at most: identifiers below zero and the others.
+            both = a.join(b, "key", "full").withColumn("parent", F.col("key") - F.col("key")).withColumn("base", F.lit(0).cast("long"))
         else:
-            siblings = Window.partitionBy("parent").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-            both = both.withColumn("at", F.coalesce("at", "at_b") + F.coalesce(F.sum("bytes_a").over(siblings), F.lit(0)))
-        differ = both.where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
-        suspects = differ.select(F.col("key").alias("parent"), "at")
+            suspects = differ.select(F.col("key").alias("parent"), F.col("at").alias("base"))
+            a, b = (x.withColumn("parent", F.shiftright("key", BITS)).join(suspects, "parent") for x in (a, b))
+            both = a.drop("base").join(b.select("key", "hash_b"), "key", "full").withColumn("parent", F.shiftright("key", BITS)).join(suspects, "parent")
+        siblings = Window.partitionBy("parent").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+        both = both.withColumn("at", F.col("base") + F.coalesce(F.sum("bytes_a").over(siblings), F.lit(0)))
+        # Written, so that the next level reads these few nodes and neither all that led to them nor what the optimizer
+        # knows about it, which would double with each level.
+        differ = both.where(~F.col("hash_a").eqNullSafe(F.col("hash_b"))).select("key", "hash_a", "hash_b", "bytes_a", "at")
+        path = scratch_path(original.sparkSession, "differing")
+        differ.write.parquet(path)
+        differ = original.sparkSession.read.schema(differ.schema).parquet(path)
+        if differ.isEmpty():
+            break
     status = F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash_a").isNull(), "added").otherwise("changed")
     return differ.select(
         F.when(F.col("key") != no_id, F.col("key")).cast(kind).alias(record_id), status.alias("status"),
