@@ -35,9 +35,9 @@ def line_of(words: list[bytes]) -> str:
     return (b" " + b" ".join(words) + b" ").decode("latin-1")
 
 
-def automaton_of(items: list[tuple[str, str]], window: int) -> ahocorasick.Automaton | None:
+def automaton_of(items: list[tuple[str | None, str]], window: int) -> ahocorasick.Automaton | None:
     """Windows of all items; each leads to its number of words and the items that hold it."""
-    found: dict[str, tuple[int, set[str]]] = {}
+    found: dict[str, tuple[int, set[str | None]]] = {}
     for item, text in items:
         words = words_of(text)
         size = min(window, len(words))
@@ -65,7 +65,7 @@ def _offsets(text: str) -> list[tuple[int, int]]:
     return spans + [(start, len(text))] if start >= 0 else spans
 
 
-def scan(text: str | None, automaton: ahocorasick.Automaton | None) -> tuple[int, int, set[str], list[tuple[int, int]]]:
+def scan(text: str | None, automaton: ahocorasick.Automaton | None) -> tuple[int, int, set[str | None], list[tuple[int, int]]]:
     """Words, hit words, items with hits, and the hit stretches as code points of the original text."""
     words = words_of(text)
     if not words or automaton is None:
@@ -98,13 +98,12 @@ def decontaminate(
     also ``row``, all columns of the input. Words are runs
     of ASCII letters, digits and all other non-ASCII code points, A-Z lower-cased. A window is ``window`` consecutive
     words of an item; an item with fewer words is one window, one without words has none. Null or empty texts have
-    no words; repeated rows are scanned each; no items: nothing is hit. Other columns are not looked at.
+    no words; repeated rows are scanned each; no items: nothing is hit. Items without id hit like others; together they
+    count as one item, which ``item_ids`` does not list. Other columns are not looked at.
     The items' size is measured first, since they are sent to every task; more than ``max_item_bytes`` is an error.
     """
-    chosen = items.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t")).where(
-        F.col("i").isNotNull() & F.col("t").isNotNull()
-    )
-    size = chosen.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
+    chosen = items.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t")).where(F.col("t").isNotNull())
+    size = chosen.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0)).alias("n")).first()["n"]
     if size > max_item_bytes:
         raise InvalidRequest(f"the test items hold {size} bytes, more than {max_item_bytes}; give them in parts")
     wanted = docs.sparkSession.sparkContext.broadcast([(r["i"], r["t"]) for r in chosen.collect()])
@@ -118,7 +117,7 @@ def decontaminate(
                 pa.array([x[0] for x in found], pa.int64()),
                 pa.array([x[1] for x in found], pa.int64()),
                 pa.array([len(x[2]) for x in found], pa.int64()),
-                pa.array([sorted(x[2]) for x in found], pa.list_(pa.string())),
+                pa.array([sorted(i for i in x[2] if i is not None) for x in found], pa.list_(pa.string())),
                 pa.array([[{"start": a, "end": b} for a, b in x[3]] for x in found], pa.list_(span)),
             ]
             yield with_result(batch, arrays, ["n_words", "n_hit", "n_items", "item_ids", "spans"])
