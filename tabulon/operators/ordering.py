@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 from typing import Any
 
 import numpy as np
@@ -289,36 +291,70 @@ def _running_total(df: DataFrame, counts: str, name: str) -> DataFrame:
     return df.mapInArrow(add, schema)
 
 
-def average_ranks(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
-    """Per column a table of value and average rank; equal values share their mean rank.
+def _rank_type(dtype: T.DataType) -> str:
+    if isinstance(dtype, T.IntegralType):
+        return "bigint"
+    return "double" if isinstance(dtype, (T.FloatType, T.DoubleType)) else dtype.simpleString()
+
+
+def _long_values(df: DataFrame, columns: Sequence[str], kept: Sequence[str] = ()) -> tuple[DataFrame, list[str], list[str]]:
+    """One row per cell: ``column`` (its position) and the value, in one of as many value columns as there are kinds of
+    types, so that no value is changed. Also the names of the value columns, and which of them each column uses."""
+    types = [_rank_type(data_type(df, c)) for c in columns]
+    kinds = sorted(set(types))
+    names = [f"v{j}" for j in range(len(kinds))]
+    cells = [
+        F.struct(F.lit(i).alias("column"), *[(col(c) if kinds[j] == types[i] else F.lit(None)).cast(kinds[j]).alias(names[j]) for j in range(len(kinds))])
+        for i, c in enumerate(columns)
+    ]
+    return df.select(*map(col, kept), F.inline(F.array(*cells))), names, [names[kinds.index(t)] for t in types]
+
+
+def _ranked_values(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str], list[str]]:
+    """(column, value, rank) of all columns. Values are counted before they are ranked, so a heavy value is one row,
+    and all columns share one shuffle of the counts and one of their order."""
+    cells, names, used = _long_values(df, columns)
+    counts = computed_once(cells.groupBy("column", *names).agg(F.count(F.lit(1)).alias("n")).where(F.coalesce(*[F.col(v).cast("string") for v in names]).isNotNull()))
+    # One row per column.
+    totals = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.sum("n").alias("n")).collect()}
+    earlier, sums = F.create_map(F.lit(-1), F.lit(0).cast("long")), 0
+    for c in sorted(totals):
+        earlier, sums = F.map_concat(earlier, F.create_map(F.lit(c), F.lit(sums).cast("long"))), sums + totals[c]
+    summed = _running_total(_in_ranges(counts, ["column", *names]), "n", "upto")
+    placed = computed_once(summed.withColumn("bucket", F.spark_partition_id().cast("long")))
+    sizes = placed.groupBy("bucket").agg(F.max("upto").alias("size"))
+    # One row per range.
+    offsets = F.broadcast(_counted_before(sizes, "bucket", "size", "before"))
+    rank = F.col("before") + F.col("upto") - earlier[F.col("column")] - (F.col("n") - 1) / 2
+    return placed.join(offsets, "bucket").select("column", *names, rank.alias("rank")), names, used
 
-    Values are counted before they are ranked, so a heavy value is one row.
-    """
+
+def average_ranks(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
+    """Per column a table of value and average rank; equal values share their mean rank."""
     require_columns(df, columns)
-    ranks = {}
-    for c in columns:
-        counted = (
-            df.filter(col(c).isNotNull()).groupBy(col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        )
-        summed = _running_total(_in_ranges(computed_once(counted), ["value"]), "n", "upto")
-        counts = computed_once(summed.withColumn("bucket", F.spark_partition_id().cast("long")))
-        sizes = counts.groupBy("bucket").agg(F.max("upto").alias("size"))
-        # One row per range.
-        offsets = F.broadcast(_counted_before(sizes, "bucket", "size", "before"))
-        ranks[c] = counts.join(offsets, "bucket").select(
-            "value", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias("rank")
-        )
-    return ranks
+    ranks, _, used = _ranked_values(df, columns)
+    ranks = computed_once(ranks)
+    return {
+        c: ranks.where(F.col("column") == i).select(F.col(used[i]).cast(data_type(df, c)).alias("value"), "rank") for i, c in enumerate(columns)
+    }
 
 
 def with_average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each column replaced by its average rank. The rank tables join on the value, so a small
-    one is broadcast and a heavy value is split by adaptive execution."""
-    out = df.select(*map(col, columns))
-    for i, (c, table) in enumerate(average_ranks(out, columns).items()):
-        looked_up = table.select(F.col("value").alias(f"__v{i}"), F.col("rank").alias(f"__r{i}"))
-        out = out.join(looked_up, col(c) == F.col(f"__v{i}"), "left").drop(f"__v{i}")
-    return out.select(*[F.col(f"__r{i}").alias(c) for i, c in enumerate(columns)])
+    """Each column replaced by its average rank, null where it has none.
+
+    Cells are looked up in the ranks of all columns at once and put back by row, so that there are as many shuffles for
+    many columns as for two. A small table of ranks is broadcast; a heavy value is split by adaptive execution.
+    """
+    require_columns(df, columns)
+    ranks, names, _ = _ranked_values(df, columns)
+    row = fresh_name(df, "row")
+    cells, _, _ = _long_values(df.withColumn(row, F.monotonically_increasing_id()), columns, [row])
+    # The value columns that a cell does not use are null on both sides.
+    looked_up = ranks.select(F.col("column").alias("c"), *[F.col(v).alias(f"r{v}") for v in names], "rank")
+    same = [F.col(v).eqNullSafe(F.col(f"r{v}")) for v in names] if len(names) > 1 else [F.col(names[0]) == F.col(f"r{names[0]}")]
+    found = cells.join(looked_up, reduce(and_, [F.col("column") == F.col("c"), *same]), "left")
+    each = [F.max(F.when(F.col("column") == i, F.col("rank"))).alias(f"rank{i}") for i in range(len(columns))]
+    return found.groupBy(col(row)).agg(*each).select(*[F.col(f"rank{i}").alias(c) for i, c in enumerate(columns)])
 
 
 # --- forward fill -----------------------------------------------------------------------

@@ -1,6 +1,7 @@
 import math
 import random
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from tabulon.errors import InvalidRequest
 from tabulon.operators import ordering
 from tabulon.operators.ordering import (
     Target, average_ranks, forward_fill, medians, order_statistics, quantiles, quartiles, row_numbers,
+    with_average_ranks,
 )
 
 FRACTIONS = (0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 1.0)
@@ -82,6 +84,41 @@ def test_average_ranks(spark, monkeypatch, small):
     assert dict(rows(average_ranks(df, ["v"])["v"])) == expected
 
 
+def test_ranks_of_many_columns_take_as_many_shuffles_as_of_two(spark, monkeypatch):
+    """Values of all kinds, beyond double precision, ties, nulls and NaN, against plain counting."""
+    monkeypatch.setattr(ordering, "SMALL_BUCKET", 40)
+    rng = random.Random(9)
+    records = [
+        (rng.choice([None, 2**60, 2**60 + 1, rng.randrange(50)]), rng.choice([None, math.nan, 0.5, rng.random()]), rng.randrange(3), Decimal(rng.randrange(20)) / 10, rng.choice("abc"))
+        for _ in range(300)
+    ]
+    df = spark.createDataFrame(records, "a long, b double, c int, d decimal(5,1), e string").repartition(3)
+
+    def ranks(values):
+        key = lambda v: (isinstance(v, float) and math.isnan(v), 0.0 if isinstance(v, float) and math.isnan(v) else v)
+        ordered = sorted(key(v) for v in values if v is not None)
+        return [None if v is None else ordered.index(key(v)) + 1 + (ordered.count(key(v)) - 1) / 2 for v in values]
+
+    wanted = sorted(zip(*[ranks([r[i] for r in records]) for i in range(5)]), key=str)
+    assert sorted(map(tuple, with_average_ranks(df, list("abcde")).collect()), key=str) == wanted
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return computed_once(df)
+
+    computed_once = ordering.computed_once
+    monkeypatch.setattr(ordering, "computed_once", kept)
+
+    def shuffles(columns):
+        plans.clear()
+        whole = df.select(*[F.col("c").alias(f"c{i}") for i in range(columns)])
+        plans.append(with_average_ranks(whole, whole.columns)._jdf.queryExecution().executedPlan().toString())
+        return sum(p.count("Exchange") for p in plans)
+
+    assert shuffles(10) == shuffles(2)
+
+
 def fill(records, columns):
     held, out = {}, []
     for record in records:
