@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,7 +14,7 @@ from tabulon.functions.text import normalize, strip, word_count
 from tabulon.operators.chunking import PARAGRAPH_BREAK
 from tabulon.operators.joins import lookup_keys, unique_keys
 
-# Preview widths, the length from which containment counts.
+# Preview widths, and the length from which containment counts.
 PREVIEW_CHARS = 240
 BRIEF_CHARS = 1200
 CONTAINED_FROM = 51
@@ -172,29 +173,74 @@ def _first_repeat(keys: Column) -> Column:
     return F.array_min(later)
 
 
-def _kept_passages(passages: list[str]) -> int:
+_BASE = 0x9E3779B97F4A7C15
+_PASSAGE_CHARS = 1 << 20
+
+
+def _rolling(passages: list[str]) -> list[np.ndarray]:
+    """For each passage a hash of every stretch of ``CONTAINED_FROM`` characters, found for all of them at once: the
+    difference of two prefix sums, shifted to a common power of the base."""
+    n = CONTAINED_FROM
+    points = np.frombuffer("".join(passages).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(p) for p in passages])
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    if len(points) < n:
+        return [np.zeros(0, np.uint64) for _ in passages]
+    up = np.cumprod(np.full(len(points), _BASE, np.uint64))
+    down = np.cumprod(np.full(len(points), pow(_BASE, -1, 1 << 64), np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up)])
+    hashes = (sums[n:] - sums[:-n]) * down[: len(points) - n + 1]
+    return [hashes[a : max(a, b - n + 1)] for a, b in zip(starts.tolist(), ends.tolist())]
+
+
+def _kept_passages(passages: list[str], pieces: list[np.ndarray] | None = None) -> int:
     """How many passages come before the first that repeats an earlier one: equal, or one
     contains the other and that has ``CONTAINED_FROM`` or more characters. A contained passage
     has its opening somewhere in the other one, so an index of openings and of inner pieces
-    finds the candidates without comparing all pairs."""
-    seen: set[str] = set()
-    openings: dict[int, list[str]] = {}
-    inner: dict[int, list[str]] = {}
+    finds the candidates without comparing all pairs; texts decide."""
+    pieces = _rolling(passages) if pieces is None else pieces
+    lengths = [len(p) for p in pieces]
+    inside = np.concatenate([np.zeros(0, np.uint64), *pieces])
+    of = np.repeat(np.arange(len(pieces)), lengths)
+    order = np.argsort(inside, kind="stable")
+    inside, of = inside[order], of[order]
+    opening = [p[0] for p in pieces if len(p)]
+    # Passages whose opening stands in no other one can neither hold nor lie in another: their pieces are looked up at once.
+    several = np.unique(np.array(opening, np.uint64))
+    low, high = np.searchsorted(inside, several, "left"), np.searchsorted(inside, several, "right")
+    shared = {int(h): sorted(set(of[a:b].tolist())) for h, a, b in zip(several, low, high) if b - a > 1}
+    first: dict[str, int] = {}
+    least = len(passages)
     for n, passage in enumerate(passages):
-        if passage in seen:
-            return n
-        pieces = [hash(passage[i : i + CONTAINED_FROM]) for i in range(len(passage) - CONTAINED_FROM + 1)]
-        if pieces:
-            if any(passage in longer for longer in inner.get(pieces[0], ())):
-                return n
-            if any(shorter in passage for piece in pieces for shorter in openings.get(piece, ())):
-                return n
-            openings.setdefault(pieces[0], []).append(passage)
-            for piece in set(pieces):
-                inner.setdefault(piece, []).append(passage)
-        if passage:
-            seen.add(passage)
-    return len(passages)
+        if passage in first:
+            least = min(least, n)
+        elif passage:
+            first[passage] = n
+    for n, piece in enumerate(pieces):
+        if len(piece):
+            for other in shared.get(int(piece[0]), ()):
+                # The shorter one is ``n``; the later of the two repeats the earlier.
+                if other != n and max(n, other) < least and passages[n] in passages[other]:
+                    least = max(n, other)
+    return least
+
+
+def _kept_of_batch(texts: Sequence[Sequence[str]]) -> list[int]:
+    """``_kept_passages`` of many texts, hashed together some million characters at a time."""
+    kept: list[int] = []
+    at = 0
+    while at < len(texts):
+        end, chars = at, 0
+        while end < len(texts) and (end == at or chars < _PASSAGE_CHARS):
+            chars += sum(map(len, texts[end]))
+            end += 1
+        pieces = _rolling([p for text in texts[at:end] for p in text])
+        done = 0
+        for text in texts[at:end]:
+            kept.append(_kept_passages(list(text), pieces[done : done + len(text)]))
+            done += len(text)
+        at = end
+    return kept
 
 
 def cut_repeats(
@@ -207,7 +253,7 @@ def cut_repeats(
     @F.pandas_udf("int")
     def kept(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield part.map(lambda p: _kept_passages(list(p))).astype("int32")
+            yield pd.Series(_kept_of_batch(part.tolist()), index=part.index, dtype="int32")
 
     lines = F.split(col("__body"), r"\r\n|\r|\n")
     repeat = F.when(col("__body").contains("#"), _first_repeat(F.transform(lines, _heading_key)))

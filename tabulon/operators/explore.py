@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabulon.errors import InvalidRequest
 from tabulon.functions.schema import col, data_type, is_numeric, require_columns
 from tabulon.operators.filters import all_filters, apply_filters, plan_predicate
+from tabulon.operators.samples import sortable
 from tabulon.plans.specs import AGGREGATES, AggSpec, Plan, QuerySpec
 
 # Names that mean "all rows", and the size at which a grouping is called large.
@@ -92,16 +93,6 @@ def page(df: DataFrame, offset: int, limit: int, order: Sequence[Column]) -> Dat
     return df.orderBy(*order).offset(max(0, offset)).limit(limit)
 
 
-def head_sample(df: DataFrame, rows: int = 20) -> DataFrame:
-    """A look at a table: any ``rows`` rows of it."""
-    return df.limit(rows)
-
-
-def sortable(df: DataFrame) -> list[str]:
-    """Columns usable as tie-breaks, which maps are not."""
-    return [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-
-
 def result_rows(df: DataFrame, spec: QuerySpec) -> DataFrame:
     """Filters and grouping or column choice, before sort and paging."""
     kept = apply_filters(df, spec.filters)

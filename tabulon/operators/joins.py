@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabulon.errors import EmptyInput, InvalidRequest
 from tabulon.functions.schema import col, data_type, require_columns
+from tabulon.operators.samples import head_sample
 
 # Join kinds, and the marks for names both sides have.
 KINDS = ("inner", "left", "right", "full", "semi", "anti")
@@ -183,8 +184,8 @@ def join_preview(
 
 
 def join_sample(joined: DataFrame, rows: int = 200) -> DataFrame:
-    """A look at the joined rows: any ``rows`` of them."""
-    return joined.limit(rows)
+    """A look at the joined rows, the same ones on each run."""
+    return head_sample(joined, rows)
 
 
 def require_rows(joined: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from tabulon.functions.text import truncate_cell
 from tabulon.operators.charts import histogram, scatter_points
 from tabulon.operators.explore import grouped, sortable
 from tabulon.operators.filters import apply_filters
-from tabulon.operators.ordering import quartiles
+from tabulon.operators.ordering import quartiles, row_numbers
 from tabulon.operators.patterns import patterns
 from tabulon.operators.profile import from_one_row, value_text
 from tabulon.operators.stats import correlation_matrix, statistics, top_anomalies, top_correlations
@@ -193,9 +193,8 @@ def build_report(
 
 
 def long_form(name: str, table: DataFrame, order: Sequence[str] = ()) -> DataFrame:
-    """A report table, which is small, as (section, row, column, value) text."""
-    ordering = [col(c) for c in (order or sortable(table))]
-    numbered = table.withColumn("__row", F.row_number().over(Window.orderBy(*ordering)))
+    """A report table as (section, row, column, value) text; some have as many rows as there are points to show."""
+    numbered = row_numbers(table, list(order or sortable(table)), "__row")
     cells = [
         F.struct(F.lit(c).alias("column"), value_text(table, c).alias("value")) for c in table.columns
     ]

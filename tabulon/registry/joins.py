@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tabulon.operators.joins import join_preview, join_tables
+from tabulon.operators.joins import join_preview, join_sample, join_tables
+from tabulon.operators.samples import head_sample
 from tabulon.registry.base import query, table
 
 
@@ -111,3 +112,29 @@ def join_preview_keys(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_suppkey", "l_quantity")
     events = table(spark, sf, "events").select("user_id", "event_type")
     return join_preview(lines, events, ["l_suppkey"], ["user_id"], "inner")
+
+
+def _sample_sql(table_sql: str, columns: list[str], rows: int) -> str:
+    fields = ", ".join(f"'{c}': {c}" for c in columns)
+    names = ", ".join(columns)
+    return f"SELECT {names} FROM ({table_sql}) t ORDER BY md5(CAST(to_json({{{fields}}}) AS VARCHAR)), {names} LIMIT {rows}"
+
+
+SAMPLED = ["o_orderkey", "o_custkey", "o_orderpriority"]
+
+
+@query("head_sample", _sample_sql("SELECT * FROM orders", SAMPLED, 50))
+def head_sample_(spark, sf):
+    return head_sample(table(spark, sf, "orders").select(*SAMPLED), 50)
+
+
+JOINED = ["o_orderkey", "o_custkey", "c_mktsegment"]
+
+
+@query(
+    "join_sample",
+    _sample_sql("SELECT o_orderkey, o_custkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey", JOINED, 200),
+)
+def join_sample_(spark, sf):
+    orders, customers = table(spark, sf, "orders").select("o_orderkey", "o_custkey"), table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    return join_sample(join_tables(orders, customers, ["o_custkey"], ["c_custkey"]).select(*JOINED), 200)

@@ -109,6 +109,8 @@ def drop_content_duplicates(df: DataFrame, id_column: str, content: str) -> Data
     """Only the first record of each content, and all records without content."""
     require_columns(df, [id_column, content])
     held = df.filter(col(content).isNotNull())
-    firsts = held.groupBy(F.sha2(col(content).cast("string"), 256)).agg(F.min(col(id_column)).alias("__first"))
-    kept = held.join(firsts.select("__first"), col(id_column) == F.col("__first"), "left_semi")
+    hashed = held.withColumn("__hash", F.sha2(col(content).cast("string"), 256))
+    firsts = hashed.groupBy(F.col("__hash").alias("__of")).agg(F.min(col(id_column)).alias("__first"))
+    same = (F.col("__hash") == F.col("__of")) & (col(id_column) == F.col("__first"))
+    kept = hashed.join(firsts, same, "left_semi").drop("__hash")
     return kept.unionAll(df.filter(col(content).isNull()))

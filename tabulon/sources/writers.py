@@ -14,6 +14,7 @@ from tabulon.functions.schema import col, require_columns
 from tabulon.operators.explore import query_counts, run_query
 from tabulon.operators.joins import unique_keys
 from tabulon.operators.report import long_form
+from tabulon.operators.samples import head_sample
 from tabulon.plans.specs import Plan, QuerySpec
 
 
@@ -75,9 +76,9 @@ def write_tables(tables: dict[str, DataFrame], path: str, mode: str = "errorifex
 def log_query(
     result: DataFrame, question: str, plan: Plan, log_path: str, asked_at: datetime, preview_rows: int = 5
 ) -> None:
-    """Append one row about an executed plan: question, plan, row count, columns, first rows."""
+    """Append one row about an executed plan: question, plan, row count, columns, a sample of rows."""
     plan_json = json.dumps(plan, default=vars, ensure_ascii=False)
-    shown = result.limit(preview_rows).agg(F.collect_list(F.to_json(F.struct(*map(col, result.columns)))).alias("s"))
+    shown = head_sample(result, preview_rows).agg(F.collect_list(F.to_json(F.struct(*map(col, result.columns)))).alias("s"))
     result.agg(F.count(F.lit(1)).alias("row_count")).withColumn("sample_rows", shown.scalar()).select(
         F.lit(asked_at).alias("asked_at"), F.lit(question).alias("question"), F.lit(plan_json).alias("plan"),
         "row_count", F.array(*map(F.lit, result.columns)).alias("columns"), "sample_rows",

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 from conftest import rows
 from tabulon.errors import InvalidRequest
 from tabulon.operators.explore import (
-    chart_series, grouped, head_sample, page, query_counts, result_limits, run_plan, run_query, sort_rows,
+    chart_series, grouped, page, query_counts, result_limits, run_plan, run_query, sort_rows,
 )
+from tabulon.operators.samples import head_sample
 from tabulon.plans.specs import EXPLORE_LIMIT, Plan, QuerySpec
 
 
@@ -108,3 +109,11 @@ def test_chart_resolves_aggregates_and_fills_gaps(spark):
 
 def test_head_sample(spark):
     assert [head_sample(spark.range(1000), n).count() for n in (1, 20, 999)] == [1, 20, 999]
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    df = spark.range(2000).select((F.col("id") % 700).alias("a"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("b"))
+    samples = [sorted(map(str, head_sample(df.repartition(n, "b"), 25).collect())) for n in (1, 3, 8)]
+    assert samples[0] == samples[1] == samples[2] and len(samples[0]) == 25
+    same = spark.range(90).select(F.lit(1).alias("a"))
+    assert head_sample(same, 7).count() == 7 and head_sample(df.limit(0), 5).count() == 0

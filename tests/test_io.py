@@ -117,3 +117,10 @@ def test_upsert(spark):
         upsert(target, source, ["nope"])
     with pytest.raises(Exception, match="twice"):
         upsert(target, source.unionAll(source), ["id"]).collect()
+
+
+def test_repeated_ids_keep_only_the_first_of_each_content(spark):
+    """An id that is the first of one content keeps no copy of another one."""
+    df = spark.createDataFrame([(1, "x"), (1, "y"), (0, "y"), (2, "x"), (3, None), (0, "z")], "id long, text string")
+    kept = sorted(map(tuple, drop_content_duplicates(df, "id", "text").collect()), key=str)
+    assert kept == sorted([(1, "x"), (0, "y"), (0, "z"), (3, None)], key=str)
