@@ -15,7 +15,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
 from tabulon.errors import InvalidRequest
 from tabulon.functions.schema import col, data_type, fresh_name, require_columns
@@ -23,7 +23,6 @@ from tabulon.session import computed_once
 
 ACCURACY = 10_000
 BRACKET_ROWS = 1_000_000
-MAX_ROUNDS = 8
 ROWS_PER_BUCKET = 1_000_000
 SMALL_BUCKET = 1_000
 #: A table with a row per range is broadcast up to this size; beyond it the planner joins it as it sees fit.
@@ -73,54 +72,67 @@ def _count_where(condition: Column) -> Column:
     return F.coalesce(F.count_if(condition), F.lit(0))
 
 
-def order_statistics(df: DataFrame, targets: Sequence[Target]) -> list[Any]:
-    """The exact value at each target's rank, None for a column without values.
-
-    One pass of sketches brackets every rank, one pass of counters proves the brackets, and
-    only values inside a bracket are sorted. A bracket with too many rows is narrowed again.
-    """
-    if not targets:
-        return []
-    columns = sorted({t.column for t in targets})
+def _around(targets: Sequence[Target]) -> dict[str, list[float]]:
+    """Per column the fractions between which its targets lie."""
     margin = 2.0 / ACCURACY
-    around: dict[str, list[float]] = {c: [] for c in columns}
+    around: dict[str, list[float]] = {c: [] for c in sorted({t.column for t in targets})}
     for t in targets:
         around[t.column] += [max(0.0, t.fraction - margin), min(1.0, t.fraction + margin)]
-    first = df.agg(
+    return around
+
+
+def sketches(df: DataFrame, targets: Sequence[Target], more: Sequence[Column] = ()) -> Row:
+    """What the search for order statistics reads first, of all columns in one pass, and any other aggregates with it."""
+    return df.agg(
+        *more,
         *[
-            made.alias(f"{stem}{i}")
-            for i, c in enumerate(columns)
+            made.alias(f"__{stem}{i}")
+            for i, (c, fractions) in enumerate(_around(targets).items())
             for stem, made in (
                 ("n", F.count(col(c))),
                 ("min", F.min(col(c))),
                 ("max", F.max(col(c))),
-                ("sketch", F.percentile_approx(col(c), around[c], ACCURACY)),
+                ("sketch", F.percentile_approx(col(c), fractions, ACCURACY)),
             )
-        ]
+        ],
     ).first()
+
+
+def order_statistics(df: DataFrame, targets: Sequence[Target], first: Row | None = None) -> list[Any]:
+    """The exact value at each target's rank, None for a column without values.
+
+    Three passes for any number of columns: sketches bracket every rank, counters prove the brackets, and only values
+    inside a bracket are counted and sorted. A bracket with very many rows is narrowed again, as long as that moves one of
+    its ends; one that stays has heavy ends, which are one row each when its values are counted. ``first`` is the
+    result of ``sketches``, where that pass was made with others.
+    """
+    if not targets:
+        return []
+    first = sketches(df, targets) if first is None else first
+    columns, margin = list(_around(targets)), 2.0 / ACCURACY
     brackets: list[_Bracket | None] = []
     taken = dict.fromkeys(columns, 0)
     for t in targets:
         i = columns.index(t.column)
-        n = first[f"n{i}"]
+        n = first[f"__n{i}"]
         if n == 0:
             brackets.append(None)
             continue
         at = taken[t.column]
-        low, high = first[f"sketch{i}"][at : at + 2]
+        low, high = first[f"__sketch{i}"][at : at + 2]
         taken[t.column] = at + 2
-        low = first[f"min{i}"] if t.fraction <= margin else low
-        high = first[f"max{i}"] if t.fraction >= 1 - margin else high
+        low = first[f"__min{i}"] if t.fraction <= margin else low
+        high = first[f"__max{i}"] if t.fraction >= 1 - margin else high
         brackets.append(_Bracket(t.column, min(max(t.rank(n), 0), n - 1), low, high))
-    limits = {c: (first[f"min{i}"], first[f"max{i}"]) for i, c in enumerate(columns)}
+    limits = {c: (first[f"__min{i}"], first[f"__max{i}"]) for i, c in enumerate(columns)}
     live = [b for b in brackets if b is not None]
     _prove(df, live, limits)
-    for _ in range(MAX_ROUNDS):
-        wide = [b for b in live if not b.settled()]
-        if not wide:
-            break
+    wide = [b for b in live if not b.settled()]
+    while wide:
+        before = [(b.low, b.high) for b in wide]
         _narrow(df, wide)
         _prove(df, wide, limits)
+        wide = [b for b, ends in zip(wide, before) if not b.settled() and (b.low, b.high) != ends]
     found = _pick(df, [b for b in live if b.low != b.high])
     return [None if b is None else b.low if b.low == b.high else found[id(b)] for b in brackets]
 
@@ -211,12 +223,13 @@ def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     return {c: _middle(values[2 * i], values[2 * i + 1]) for i, c in enumerate(columns)}
 
 
-def quartiles(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
+def quartile_targets(columns: Sequence[str]) -> list[Target]:
+    return [t for c in columns for t in (Target.nearest(c, 0.25), *Target.medians(c), Target.nearest(c, 0.75))]
+
+
+def quartiles(df: DataFrame, columns: Sequence[str], first: Row | None = None) -> dict[str, tuple]:
     """(nearest lower quartile, interpolated median, nearest upper quartile) of many columns."""
-    values = order_statistics(
-        df,
-        [t for c in columns for t in (Target.nearest(c, 0.25), *Target.medians(c), Target.nearest(c, 0.75))],
-    )
+    values = order_statistics(df, quartile_targets(columns), first)
     groups = {c: values[4 * i : 4 * i + 4] for i, c in enumerate(columns)}
     return {c: (q1, _middle(low, high), q3) for c, (q1, low, high, q3) in groups.items()}
 

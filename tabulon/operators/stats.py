@@ -13,7 +13,9 @@ from tabulon.functions.rounding import half_up
 from tabulon.functions.schema import (
     col, data_type, is_numeric, numeric_columns, require_columns, require_numeric,
 )
-from tabulon.operators.ordering import Target, order_statistics, quantiles, quartiles, with_average_ranks
+from tabulon.operators.ordering import (
+    Target, order_statistics, quantiles, quartile_targets, quartiles, sketches, with_average_ranks,
+)
 from tabulon.operators.profile import from_one_row, most_common, value_counts
 
 PAIRS_PER_PASS = 300
@@ -35,13 +37,6 @@ def statistics(
     require_columns(df, columns)
     numbers = [c for c in columns if is_numeric(data_type(df, c))]
     others = [c for c in columns if c not in numbers]
-    if quarters is not None or not numbers:
-        quarters = quarters or {}
-    elif exact:
-        quarters = quartiles(df, numbers)
-    else:
-        quarters = quantiles(df, {c: (0.25, 0.5, 0.75) for c in numbers}, exact=False)
-
     aggregates = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
         aggregates.append(F.count(col(c)).alias(f"present{i}"))
@@ -51,6 +46,16 @@ def statistics(
                 F.avg(number).alias(f"mean{i}"), F.stddev_samp(number).alias(f"std{i}"),
                 F.min(number).alias(f"min{i}"), F.max(number).alias(f"max{i}"),
             ]
+    one_row = df.agg(*aggregates)
+    if quarters is not None or not numbers:
+        quarters = quarters or {}
+    elif exact:
+        # The moments are taken in the pass that brackets the quartiles.
+        first = sketches(df, quartile_targets(numbers), aggregates)
+        one_row = df.sparkSession.createDataFrame([tuple(first[c] for c in one_row.columns)], one_row.schema)
+        quarters = quartiles(df, numbers, first)
+    else:
+        quarters = quantiles(df, {c: (0.25, 0.5, 0.75) for c in numbers}, exact=False)
     nothing = F.lit(None).cast("double")
     structs = []
     for i, c in enumerate(columns):
@@ -70,7 +75,7 @@ def statistics(
                 F.lit(None if q75 is None else float(q75)).cast("double").alias("q75"),
             )
         )
-    described = from_one_row(df.agg(*aggregates), structs)
+    described = from_one_row(one_row, structs)
     if not others:
         return described.withColumn("unique", F.lit(None).cast("long")).withColumn(
             "most_common", F.lit(None).cast("array<string>")

@@ -2,6 +2,7 @@ import random
 import statistics as st
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from tabulon.errors import InvalidRequest
@@ -118,3 +119,22 @@ def test_patterns_strongest_first(spark):
     out = patterns(df, "g").collect()
     assert [r["kind"] for r in out] == ["missing", "correlation"]
     assert rows(missing_pattern(df)) == [("missing", "a", 20.0)]
+
+
+def test_statistics_of_many_columns_take_three_passes(spark):
+    """Counted where the rows are made: as many passes for eight columns as for one."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def passes(columns):
+        made = spark.range(2000).select(*[((F.col("id") * (7 + i)) % 1999).cast("double").alias(f"c{i}") for i in range(columns)])
+        seen.value = 0
+        found = statistics(made.mapInArrow(counted, made.schema)).collect()
+        assert len(found) == columns and all(r["median"] is not None and r["mean"] is not None for r in found)
+        return seen.value / 2000
+
+    assert passes(1) == passes(8) == 3
