@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tabulon.functions.text import flat_metadata, keywords
+from tabulon.functions.temporal import as_datetime
+from tabulon.functions.text import flat_metadata, keywords, numbers, truncate_cell
 from tabulon.operators.chunking import (
     chunk_context, chunk_documents, lines_to_documents, rows_to_lines, size_flags,
 )
@@ -283,3 +284,32 @@ def dedupe_paragraphs(spark, sf):
     """Every line is a paragraph here, since the texts have no blank lines."""
     documents = texts(spark, sf, "documents").select("doc_id", "text")
     return cut_repeats(documents, "text", r"\n", "\n").filter("paragraphs > 0")
+
+
+@query("truncated_cells", "SELECT doc_id, CASE WHEN length(text) > 80 THEN substring(text, 1, 79) || '…' ELSE text END AS cell FROM documents")
+def truncated_cells(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", truncate_cell(F.col("text")).alias("cell"))
+
+
+NUMBERED = "'no ' || o_orderkey || '.' || o_custkey || ', customer (' || o_custkey || '); ' || o_orderkey || ',5 of ' || o_orderpriority"
+
+
+@query("text_numbers", f"SELECT o_orderkey, array_to_string(regexp_extract_all({NUMBERED}, '[0-9]+(?:[.,][0-9]+)?'), '|') AS numbers FROM orders")
+def text_numbers(spark, sf):
+    """All numbers of a line, with at most one decimal part each."""
+    key, customer = (F.col(c).cast("string") for c in ("o_orderkey", "o_custkey"))
+    line = F.concat(F.lit("no "), key, F.lit("."), customer, F.lit(", customer ("), customer, F.lit("); "), key, F.lit(",5 of "), "o_orderpriority")
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(numbers(line), "|").alias("numbers"))
+
+
+@query(
+    "dates_given_as_text",
+    """SELECT o_orderkey, strftime(TRY_CAST(CASE o_orderkey % 4 WHEN 0 THEN 'no date' WHEN 1 THEN NULL WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d')
+    ELSE strftime(o_orderdate, '%Y-%m-%d') || ' 13:05:09' END AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS parsed FROM orders""",
+)
+def dates_given_as_text(spark, sf):
+    """Text that is no date becomes null, with or without a time of day."""
+    day, kind = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey") % 4
+    given = F.when(kind == 0, "no date").when(kind == 2, day).when(kind == 3, F.concat(day, F.lit(" 13:05:09")))
+    orders = table(spark, sf, "orders").select("o_orderkey", given.alias("given"))
+    return orders.select("o_orderkey", F.date_format(as_datetime(orders, "given"), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
