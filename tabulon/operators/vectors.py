@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabulon.errors import InvalidRequest
@@ -33,13 +33,12 @@ ZERO = -1  # the cell of zero vectors
 SLACK = 10.0 ** (1 - RANK_DIGITS)  # more than rounding moves a score
 
 
-def hash_vectors(texts: Sequence[Sequence[str]], dimensions: int = HASH_DIMENSIONS) -> np.ndarray:
-    """A signed count of word hashes per text: the same words always give the same vector."""
-    out = np.zeros((len(texts), dimensions), dtype=np.float32)
-    for row, words in enumerate(texts):
-        for word in words:
-            code = zlib.crc32(word.encode())
-            out[row, code % dimensions] += 1.0 if code & 0x80000000 else -1.0
+def hash_vectors(codes: pa.ListArray, dimensions: int = HASH_DIMENSIONS) -> np.ndarray:
+    """A signed count of word hashes per text, given the CRC-32 of its words: the same words always give the same vector."""
+    out = np.zeros((len(codes), dimensions), dtype=np.float32)
+    code = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = pc.list_parent_indices(codes).to_numpy()
+    np.add.at(out, (row, code % dimensions), np.where(code & 0x80000000, 1.0, -1.0).astype(np.float32))
     return out
 
 
@@ -63,12 +62,12 @@ def embed(
                 vectors.extend(np.asarray(encode(texts[at : at + batch]), dtype=np.float32))
             yield pd.Series(vectors)
 
-    @F.pandas_udf("array<float>")
-    def by_words(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield pd.Series(list(hash_vectors(part.tolist())))
+    @F.arrow_udf("array<float>")
+    def by_words(codes: pa.Array) -> pa.Array:
+        made = hash_vectors(codes)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * HASH_DIMENSIONS, pa.int32()), pa.array(made.ravel(), pa.float32()))
 
-    made = by_words(tokens(col(text_column))) if encode is None else by_caller(col(text_column))
+    made = by_words(F.transform(tokens(col(text_column)), F.crc32)) if encode is None else by_caller(col(text_column))
     return df.withColumn(name, made)
 
 

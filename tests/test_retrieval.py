@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -220,6 +221,17 @@ def test_hybrid_with_own_vectors(spark):
     assert out.orderBy("rank").first()["id"] == 2 and out.count() == 2
 
 
+def test_hash_vectors_count_words(spark):
+    texts = ["one two two", "", None, "Ünï two é", "x " * 50 + "yy zz"]
+    got = {r["id"]: r["embedding"] for r in embed(spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1), "text").collect()}
+    for i, text in enumerate(texts):
+        want = [0.0] * 64
+        for w in words(text or ""):
+            code = zlib.crc32(w.encode())
+            want[code % 64] += 1.0 if code & 0x80000000 else -1.0
+        assert got[i] == want
+
+
 def test_caller_encodes_in_batches(spark):
     def lengths(texts):
         assert len(texts) <= 4
