@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tabulon.errors import InvalidRequest
 from tabulon.functions.schema import col, require_columns
+from tabulon.sources.records import read_records
 
 # File kinds that can be read.
 SUFFIXES = (".csv", ".tsv", ".json", ".parquet")
@@ -22,25 +23,54 @@ def read_csv(
 ) -> DataFrame:
     """A table with a header line, or without where a schema is given. A cell that does not fit its column becomes null.
 
-    A quote inside a quoted cell is doubled, and a quoted cell may hold line breaks. Then a file is
-    one task; ``multi_line=False`` is for files without such cells, which are split.
+    A quote inside a quoted cell is doubled, and a quoted cell may hold line breaks: each file is read in many splits,
+    whose records are told apart in two passes (``records``), and line breaks stay as they are written. ``multi_line=False`` is for files without such cells.
+    Rows come in no given order.
 
     Without a schema the types are inferred, which reads the file once more; dates stay text
     unless asked for, and every date operator accepts both.
     """
-    reader = (
-        spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
-        .option("multiLine", multi_line).option("quote", '"').option("escape", '"').option("preferDate", not dates_as_strings)
-    )
-    if schema is not None:
-        return reader.schema(schema).csv(path)
-    if not dates_as_strings:
-        return reader.option("inferSchema", True).csv(path)
-    # A format no text has keeps inference from turning text into instants.
-    never = "'no'yyyyMMdd'date'"
-    return reader.option("inferSchema", True).option("timestampFormat", never).option(
-        "timestampNTZFormat", never
-    ).csv(path)
+    options = {
+        "sep": sep, "mode": "PERMISSIVE", "multiLine": multi_line, "quote": '"', "escape": '"', "preferDate": not dates_as_strings,
+    }
+    if dates_as_strings and schema is None:
+        # A format no text has keeps inference from turning text into instants.
+        never = "'no'yyyyMMdd'date'"
+        options |= {"timestampFormat": never, "timestampNTZFormat": never}
+    reader = spark.read.options(**options)
+    if not multi_line:
+        reader = reader.option("header", header)
+        return (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
+    records = read_records(spark, path, sep)
+    rows = records.filter(~F.col("first")) if header else records
+    if schema is None:
+        # The first record alone gives the names.
+        names = reader.option("header", header).csv(path).columns
+        schema = _inferred(spark, rows, names, options)
+    parsed = F.from_csv("record", _ddl(_fields(spark, schema)), _texts(options))
+    return rows.select(parsed.alias("row")).select("row.*")
+
+
+def _fields(spark: SparkSession, schema: T.StructType | str) -> T.StructType:
+    return spark.createDataFrame([], schema).schema
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
+
+
+def _texts(options: dict) -> dict[str, str]:
+    return {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}
+
+
+def _inferred(spark: SparkSession, rows: DataFrame, names: list[str], options: dict) -> T.StructType:
+    """Types of all columns, inferred by Spark from records that have a cell for each name."""
+    cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    kept = _texts(options | {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False})
+    lines = rows.select(F.to_csv(F.from_csv("record", _ddl(cells), _texts(options)), kept).alias("line"))
+    found = spark.read.options(**options).option("inferSchema", True).csv(lines.rdd.map(lambda r: r["line"]))
+    types = [f.dataType for f in found.schema] or [T.StringType()] * len(names)
+    return T.StructType([T.StructField(n, t) for n, t in zip(names, types)])
 
 
 def read_tsv(spark: SparkSession, path: str, **options) -> DataFrame:
