@@ -5,10 +5,7 @@ import random
 import re
 import zlib
 
-import pytest
-
-from tabulon.errors import InvalidRequest
-from tabulon.llm.decontamination import decontaminate
+from tabulon.llm.decontamination import Windows, decontaminate
 from tabulon.llm.fingerprints import edit_distance, edited, fingerprint, fingerprint_documents, likeness
 from tabulon.llm.fixity import audit
 from tabulon.llm.op9 import op9_toxicity
@@ -57,8 +54,35 @@ def test_decontamination(spark):
         assert sum(len(WORD.findall(lower(r["text"][s["start"] : s["end"]]))) for s in r["spans"]) == r["n_hit"]
     assert decontaminate(docs, tests.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate(docs.limit(0), tests).count() == 0
-    with pytest.raises(InvalidRequest):
-        decontaminate(docs, tests, max_item_bytes=10)
+
+
+def test_decontamination_in_parts(spark):
+    """Items beyond the bounds of one automaton, long ones in pieces, give the same rows."""
+    rng = random.Random(9)
+    vocabulary = ["one", "Two", "été", "x9", "日本", "c", "d", "e"]
+    items = [(i % 20, " ".join(rng.choices(vocabulary, k=rng.choice([1, 2, 9, 10, 11, 60])))) for i in range(25)] + [(None, " ".join(vocabulary)), (7, None), (7, ""), (8, "一" * 3 + " 二" * 300)]
+    rows = []
+    for i in range(60):
+        words = rng.choices(vocabulary + ["rare"], k=rng.randint(0, 40))
+        words[5:5] = (rng.choice(items)[1] or "").split()[rng.randint(0, 40):]
+        rows.append((i % 50, " ".join(words), 1))
+    rows += [(None, None, 2), (1, "", 2), rows[3], rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hit int")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted([(d, *contamination(t, [x for x in items if x[1] is not None])) for d, t, _ in rows], key=str)
+    whole = sorted(map(str, decontaminate(docs, tests, whole_rows=True).collect()))
+    found = decontaminate(docs, tests, max_nodes=6000).collect()
+    assert sorted([(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["item_ids"]) for r in found], key=str) == want
+    assert sorted(map(str, decontaminate(docs, tests, whole_rows=True, max_item_bytes=2500).collect())) == whole
+
+
+def test_an_automaton_is_small():
+    """At most two nodes for each word of a window."""
+    rng = random.Random(10)
+    words = [b"%06x" % rng.getrandbits(24) for _ in range(5000)]
+    windows = Windows([("a", b" ".join(words).decode())], 10)
+    assert windows.automaton.get_stats()["nodes_count"] <= 2 * 10 * len(words)
+    assert windows.scan(words[40:60]) == ([(0, 20)], ["a"]) and windows.scan(words[40:49]) == ([], [])
 
 
 def test_base_secrets_follow_the_patterns():
