@@ -146,17 +146,17 @@ _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 _RESULTS = "n_words long, n_hit long, n_items long, item_ids array<string>, spans array<struct<start: long, end: long>>"
 
 
-def _described(batch: pa.RecordBatch, found: list[tuple[str | None, list[tuple[int, int]], list[str | None]]]) -> pa.RecordBatch:
-    """The result columns, from each text with its stretches of hit words and its items."""
+def _described(batch: pa.RecordBatch, found: list[tuple[str | None, int, list[tuple[int, int]], list[str | None]]]) -> pa.RecordBatch:
+    """The result columns, from each text with its number of words, its stretches of hit words and its items."""
     spans = []
-    for text, stretches, _ in found:
+    for text, _, stretches, _ in found:
         places = _offsets(text) if stretches else []
         spans.append([{"start": places[a][0], "end": places[b - 1][1]} for a, b in stretches])
     arrays = [
-        pa.array([len(words_of(text)) for text, _, _ in found], pa.int64()),
-        pa.array([sum(b - a for a, b in stretches) for _, stretches, _ in found], pa.int64()),
-        pa.array([len(items) for _, _, items in found], pa.int64()),
-        pa.array([sorted(i for i in items if i is not None) for _, _, items in found], pa.list_(pa.string())),
+        pa.array([n for _, n, _, _ in found], pa.int64()),
+        pa.array([sum(b - a for a, b in stretches) for _, _, stretches, _ in found], pa.int64()),
+        pa.array([len(items) for _, _, _, items in found], pa.int64()),
+        pa.array([sorted(i for i in items if i is not None) for _, _, _, items in found], pa.list_(pa.string())),
         pa.array(spans, pa.list_(_SPAN)),
     ]
     return with_result(batch, arrays, ["n_words", "n_hit", "n_items", "item_ids", "spans"])
@@ -192,7 +192,7 @@ def _by_parts(docs: DataFrame, dealt: DataFrame, parts: list[int], window: int,
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("t", "hit", "items")))
-            yield _described(batch, [(t, merged((x["start"], x["end"]) for x in hit or []), items or []) for t, hit, items in rows])
+            yield _described(batch, [(t, len(words_of(t)), merged((x["start"], x["end"]) for x in hit or []), items or []) for t, hit, items in rows])
 
     kinds = met.schema
     shape = ", ".join(f"{name} {kinds[c].dataType.simpleString()}" for c, name in (("d", "doc_id"), ("row", "row")) if c in met.columns)
@@ -228,6 +228,7 @@ def decontaminate(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(wanted.value, window)
         for batch in batches:
-            yield _described(batch, [(t, *windows.scan(words_of(t))) for t in batch.column("t").to_pylist()])
+            split = ((t, words_of(t)) for t in batch.column("t").to_pylist())
+            yield _described(batch, [(t, len(words), *windows.scan(words)) for t, words in split])
 
     return over_texts(docs, run, _RESULTS, doc_id, text, whole_rows)
