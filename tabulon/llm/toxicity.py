@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -24,7 +26,7 @@ MIN_EVIDENCE = 12.0  # log-likelihood ratio an entry must have
 MIN_CLEAN = 5  # clean rows that make a word an exception to a shorter entry
 STEMS = (4, 5, 6, 7, 8)  # lengths of word beginnings that may become entries
 
-# Code points that look like Latin letters, and marks that stand for letters inside a word.
+# Code points that look like Latin letters, and marks that stand for letters in a word.
 HOMOGLYPHS = str.maketrans({
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e", "һ": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m",
     "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k",
@@ -33,16 +35,22 @@ HOMOGLYPHS = str.maketrans({
 DIGITS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"})
 
 _LOOKALIKE = re.compile("[Ͱ-ԯａ-ｚ]")
-_INSIDE = re.compile(r"(?<=[^\W\d_])[0134578@$!]{1,3}(?=[^\W\d_])")
+_MARKED = re.compile(r"(?<![\w@$!])[^\W0134578]*+[0134578@$!][\w@$!]*+")  # a word with a mark, found in one go
 _GAP = re.compile(r"[\W_]+")
 
 
+def _undone(word: re.Match) -> str:
+    """A word that holds a letter, its marks taken for letters wherever they stand; ``!`` at its end is punctuation."""
+    core = word[0].rstrip("!")
+    return core.translate(DIGITS) if any(c.isalpha() for c in core) else word[0]
+
+
 def folded(text: str | None) -> str:
     """The words in lower case with look-alikes and substitutions undone, a blank on either side of each."""
     text = (text or "").lower()
     if _LOOKALIKE.search(text):
         text = text.translate(HOMOGLYPHS)
-    return " " + _GAP.sub(" ", _INSIDE.sub(lambda m: m[0].translate(DIGITS), text)).strip() + " "
+    return " " + _GAP.sub(" ", _MARKED.sub(_undone, text)).strip() + " "
 
 
 def features(line: str) -> set[str]:
@@ -84,7 +92,9 @@ class Scorer:
         for end, entry in self.automaton.iter(line):
             (spared if entry in self.lexicon.exceptions else seen).append((end - len(entry) + 1, end, entry))
         if spared:
-            seen = [(a, b, e) for a, b, e in seen if not any(x <= a and b <= y for x, y, _ in spared)]
+            spared.sort()
+            starts, reach = [x for x, _, _ in spared], list(accumulate((y for _, y, _ in spared), max))
+            seen = [(a, b, e) for a, b, e in seen if not (k := bisect_right(starts, a)) or reach[k - 1] < b]
         if not seen:
             return 0.0
         total = math.fsum(self.lexicon.weights[e] for e in {e for _, _, e in seen})
@@ -116,7 +126,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def learn(
     docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = (), doc_id: str = "doc_id", text: str = "text",
-    label: str = "toxic", training_rows: int = TRAINING_ROWS,
+    label: str = "toxic", training_rows: int = TRAINING_ROWS, entries: int = ENTRIES,
 ) -> Lexicon:
     """A lexicon from labelled rows that are not held out.
 
@@ -124,13 +134,16 @@ def learn(
     become entries, weighted by their log odds. A word that only clean rows use, though a shorter entry matches it,
     becomes an exception, as do the phrases given. Rows without id, label or text teach nothing. No toxic rows or
     no clean rows: an empty lexicon that gives every text the same score.
-    The sample is bounded by ``training_rows`` ids, so it may be sent to all tasks and its sums to the driver.
+    The sample is bounded by ``training_rows`` ids (those with the smallest hashes) with one row each, so its ids may be
+    sent to all tasks and its sums to the driver: of repeated ids the smallest text counts, and it is toxic if any label
+    says so. The lexicon keeps at most ``entries`` entries, those with most evidence, and as many learned exceptions.
     """
     known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("toxic"))
     known = known.where(F.col("id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("id"))
-    chosen = known.orderBy(F.xxhash64("id"), "id", "toxic").limit(training_rows)
+    chosen = known.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(training_rows)
     given = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull())
-    sample = computed_once(given.join(F.broadcast(chosen), "id").select("text", (F.col("toxic") > 0).alias("toxic")))
+    labelled = given.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = computed_once(labelled.select("text", (F.col("toxic") > 0).alias("toxic")))
     n = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0)).alias("toxic")).first()
     toxic, clean = n["toxic"], n["n"] - n["toxic"]
     if not toxic or not clean:
@@ -162,7 +175,7 @@ def learn(
     kept = (
         counts.where((F.col("toxic") >= MIN_TOXIC) & (F.col("toxic") > both * rate))
         .withColumn("gain", gain).withColumn("weight", weight).where(F.col("gain") > MIN_EVIDENCE)
-        .orderBy(F.desc("gain"), "entry").limit(ENTRIES)
+        .orderBy(F.desc("gain"), "entry").limit(entries)
     )
     weights = {r["entry"]: r["weight"] for r in kept.select("entry", "weight").collect()}
     stems = docs.sparkSession.createDataFrame([(e,) for e in sorted(weights) if not e.endswith(" ")], "stem string")
@@ -170,7 +183,7 @@ def learn(
     spared = (
         words.withColumn("stem", F.explode(F.array(*[F.substring("entry", 1, k + 1) for k in STEMS])))
         .join(F.broadcast(stems), "stem", "left_semi").groupBy("entry").agg(F.max("clean").alias("clean"))
-        .orderBy(F.desc("clean"), "entry").limit(ENTRIES)
+        .orderBy(F.desc("clean"), "entry").limit(entries)
     )
     phrases = {r["entry"] for r in spared.collect()} | {folded(x) for x in exceptions}
     draft = Lexicon(weights, frozenset(phrases - weights.keys()))

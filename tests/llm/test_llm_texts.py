@@ -163,6 +163,8 @@ def test_likeness_falls_with_edits():
 
 def test_folding_undoes_look_alikes_and_digits():
     assert folded("An id10t, IDIОT and id!ot; 4 of 10 st0p") == " an idiot idiot and idiot 4 of 10 stop "
+    assert folded("$tupid 5tupid a$$ a$$! stop!! st000pid !diot 4 of 10! @ $5") == " stupid stupid ass ass stop stooopid idiot 4 of 10 5 "
+    assert folded("x" * 50_000 + "1" * 50_000) == " " + "x" * 50_000 + "i" * 50_000 + " "
     assert folded(None) == folded("") == "  "
 
 
@@ -172,6 +174,9 @@ def test_exceptions_spare_entries():
     assert score("") == score(None) == score("a trash can") < 0.5 < score("you trash") < score("you stupid trash")
     assert score("trash can trash") > 0.5
     assert score("you trash " + "fine " * 900) < 0.5
+    assert score("trash can " * 100_000) == score("")
+    nested = Lexicon({" b ": 1.0, " d ": 1.0}, frozenset({" a b c ", " b c d e f ", " e "}), 1.0, 0.0)
+    assert Scorer(nested).evidence("a b c d e f") == 0 < Scorer(nested).evidence("a b d e") < Scorer(nested).evidence("b d")
 
 
 def test_toxicity_on_rows_that_were_held_out(spark):
@@ -192,6 +197,15 @@ def test_toxicity_without_labels_nulls_and_clashing_names(spark):
     assert score_documents(docs.limit(0), learn(docs.limit(0), labels.limit(0))).count() == 0
 
 
+def test_toxicity_counts_a_repeated_id_once(spark):
+    texts = {i: "awful trash" if i % 2 else "fine words" for i in range(40)}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items() for _ in range(1 + 50 * (i == 2))] + [(3, "zzz")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in texts for _ in range(1 + 3 * (i == 5))], "doc_id long, toxic int")
+    once = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert learn(docs, labels) == learn(once, labels.distinct())
+    assert len(learn(once, labels, entries=1).weights) == 1
+
+
 PAGES = "page_id long, url string, html string, key int"
 
 
