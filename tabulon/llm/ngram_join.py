@@ -91,16 +91,17 @@ def _need(n: Column, percent: int) -> Column:
 
 
 def _described(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, name`` of every row."""
+    """``doc_id, digest, n, name`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             grams, edges = gram_sets(part.column("text"), width)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(edges)), signed(set_names(grams, edges))], names=["doc_id", "n", "name"]
+                [part.column("doc_id"), part.column("digest"), pa.array(np.diff(edges)), signed(set_names(grams, edges))],
+                names=["doc_id", "digest", "n", "name"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, name long")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest long, n long, name long")
 
 
 def _frequent(docs: DataFrame, width: int) -> np.ndarray:
@@ -365,6 +366,7 @@ def similar_documents(
     4. Links that join everything linked are kept (not one for every pair), and components are found in Spark rounds.
     """
     given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    given = given.withColumn("digest", F.xxhash64("text"))
     described = computed_once(_described(given, width))
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(given, width))
 
@@ -395,22 +397,27 @@ def similar_documents(
         .repartition("key").sortWithinPartitions("key", "name").mapInArrow(_stars, "a long, b long")
     )
     groups = components(stars)
-    classes = described.groupBy("name").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
-    wanted = computed_once(groups.join(classes, F.col("node") == F.col("name")).select("name", "component", "first", "n"))
+    # The row that stands for a class is found by id and text: ids alone may be null or repeated, and texts copied.
+    classes = described.groupBy("name").agg(
+        F.min("doc_id").alias("first"), F.max("n").alias("n"), F.min(F.struct("digest", "doc_id")).alias("picked")
+    )
+    wanted = computed_once(groups.join(classes, F.col("node") == F.col("name")).select("name", "component", "picked", "n"))
     blocks = wanted.groupBy("component").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("blocks"))
     wanted = wanted.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             grams, edges = gram_sets(part.column("text"), width)
-            same = np.flatnonzero(set_names(grams, edges) == unsigned(part.column("name")))
+            names = set_names(grams, edges)
+            same = np.flatnonzero(names == unsigned(part.column("name")))
+            same = same[np.sort(np.unique(names[same], return_index=True)[1])]  # equal rows of a class once
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c).take(pa.array(same)) for c in ("name", "component", "block", "blocks")), pa.array([grams[edges[i] : edges[i + 1]].tobytes() for i in same], pa.binary())],
                 names=["name", "component", "block", "blocks", "grams"],
             )
 
     met = (
-        given.join(wanted, given["doc_id"].eqNullSafe(wanted["first"])).select("text", "name", "component", "block", "blocks")
+        given.join(wanted, (given["digest"] == wanted["picked.digest"]) & given["doc_id"].eqNullSafe(wanted["picked.doc_id"])).select("text", "name", "component", "block", "blocks")
         .mapInArrow(sets, "name long, component long, block int, blocks int, grams binary")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))

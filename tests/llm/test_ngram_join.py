@@ -125,3 +125,18 @@ def test_components_of_a_star_a_chain_and_a_pair(spark):
         groups.setdefault(r["component"], set()).add(r["node"])
     assert sorted(map(sorted, groups.values())) == [list(range(40)), list(range(100, 161)), [900, 901]]
     assert all(name in members for name, members in groups.items())
+
+
+def test_many_rows_without_id(spark):
+    """Rows without id stand for classes of their own: each is told apart by its text."""
+    rng = random.Random(21)
+    rows, want = [], []
+    for i in range(1200):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        rows += [(None, " ".join(words)), (i, " ".join(words[:-1] + ["end"]))]
+        want += [(None, i), (i, i)]
+    rows += [(None, rows[0][1])] * 300
+    want += [(None, 0)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r["doc_id"], r["component_id"]) for r in similar_documents(docs).collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
