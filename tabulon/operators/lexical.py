@@ -25,9 +25,11 @@ SCORE_DIGITS = 6
 #: Documents of a block, and blocks of a query that are read before any is ruled out.
 BLOCK_DOCUMENTS = 4096
 FIRST_BLOCKS = 8
-MORE_BLOCKS = 8  # times as many in each further round
+MORE_BLOCKS = 64  # times as many in each further round, which moves the postings of the blocks it reads
 BLOCKS_PER_SALT = 256
-#: Candidates are broadcast up to this size; beyond it the planner joins them as it sees fit.
+#: Queries of a block that one task scores.
+QUERIES_PER_TASK = 512
+#: Tables that are computed anyway are broadcast up to this size; beyond it the planner joins them as it sees fit.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -173,14 +175,12 @@ def _phrase_hits(index: DataFrame, asked: DataFrame, frequency: DataFrame) -> Da
         sides = sides.groupBy("q").agg(F.min_by("side", "df").alias("side"), F.count(F.lit(1)).alias("sides"))
         whole = sides.join(short.select("q", n.alias("n")), "q").where(F.col("sides") == F.col("n")).select("q", "side")
         wanted = wanted.unionByName(found.join(whole, ["q", "side"]).select("q", "token"))
-    near = postings.select("token", "block", "docs").join(wanted, "token")
-    candidates = near.select("q", "block", F.explode("docs").alias("doc")).distinct()
-    candidates = computed_once(candidates.join(asked.select("q", F.array_join("tokens", " ").alias("phrase")), "q"))
-    size = candidates.agg(F.coalesce(F.sum(F.octet_length("phrase") + 32), F.lit(0)).alias("n")).first()["n"]
-    side = F.broadcast(candidates) if size <= BROADCAST_BYTES else candidates
+    near = postings.select("token", "block", "docs").join(_side(computed_once(wanted)), "token")
+    candidates = computed_once(near.select("q", "block", F.explode("docs").alias("doc")).distinct())
+    phrase = asked.select("q", F.array_join("tokens", " ").alias("phrase"))
     texts = index.where("token is null").select("block", "doc", "searchable", "title")
     bonus = F.lit(PHRASE_BONUS) + F.when(F.contains("title", "phrase"), TITLE_BONUS).otherwise(0.0)
-    return texts.join(side, ["block", "doc"]).where(F.contains("searchable", "phrase")).select("q", "block", "doc", bonus.alias("bonus"))
+    return texts.join(_side(candidates), ["block", "doc"]).join(_side(computed_once(phrase)), "q").where(F.contains("searchable", "phrase")).select("q", "block", "doc", bonus.alias("bonus"))
 
 
 # --- the search -------------------------------------------------------------------------
@@ -189,63 +189,112 @@ def _phrase_hits(index: DataFrame, asked: DataFrame, frequency: DataFrame) -> Da
 def _block_hits(rows: DataFrame, mean_length: float, k: int) -> DataFrame:
     """(q, block, doc, score): the ``k`` best documents of every pair of query and block.
 
-    Rows hold a posting (``docs, tf, lengths, idf``) or the documents with one bonus (``docs, bonus``). The rows of a pair come to one task, where
-    whole batches are summed at once.
+    The rows of a block come to one task, each posting once however many queries hold its token: first the tokens of the queries
+    (``q, token, idf``), then the documents with a bonus (``q, docs, bonus``), then the postings (``token, docs, tf, lengths``). Held are a
+    batch and the scores of one block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def best(table: pa.Table) -> pa.RecordBatch:
-            q, block = (table[c].to_numpy() for c in ("q", "block"))
-            begins = np.concatenate([[True], (q[1:] != q[:-1]) | (block[1:] != block[:-1])])
-            sizes = pc.list_value_length(table["docs"]).to_numpy()
-            pair = np.repeat(np.cumsum(begins) - 1, sizes)
-
-            def flat(name: str) -> np.ndarray:
-                return pc.list_flatten(table[name]).to_numpy().astype(np.float64)
-
-            tf = flat("tf")
-            idf = np.repeat(table["idf"].to_numpy(), sizes)
-            weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * flat("lengths") / mean_length)) + np.repeat(table["bonus"].to_numpy(), sizes)
-            cell, same = np.unique(pair * (1 << 32) + pc.list_flatten(table["docs"]).to_numpy(), return_inverse=True)
-            score = half_up_array(np.bincount(same, weight, len(cell)), SCORE_DIGITS)
-            cell, score = cell[score > 0], score[score > 0]
-            pair, doc = cell >> 32, cell & ((1 << 32) - 1)
-            order = np.lexsort((doc, -score, pair))
-            pair = pair[order]
-            order = order[np.arange(len(pair)) - np.searchsorted(pair, pair, "left") < k]
-            of = np.flatnonzero(begins)[cell[order] >> 32]
+        at, asked, queries, wanted, scores = None, [], None, {}, None
+
+        def ready() -> None:
+            """Scores of nothing yet, one row per query, once all its tokens are known."""
+            nonlocal queries, wanted, scores
+            q, token, idf = (np.concatenate(x) for x in zip(*asked))
+            queries, row = np.unique(q, return_inverse=True)
+            order = np.argsort(token, kind="stable")
+            token, row, idf = token[order], row[order], idf[order]
+            names, starts = np.unique(token, return_index=True)
+            ends = np.append(starts[1:], len(token))
+            wanted = {t: (row[a:b].tolist(), idf[a:b].tolist()) for t, a, b in zip(names.tolist(), starts.tolist(), ends.tolist())}
+            scores = np.zeros((len(queries), BLOCK_DOCUMENTS))
+
+        def add(row: int, docs: np.ndarray, weight: np.ndarray | float) -> None:
+            nonlocal scores
+            if docs[-1] >= scores.shape[1]:
+                scores = np.pad(scores, ((0, 0), (0, int(docs[-1]) + 1 - scores.shape[1])))
+            scores[row, docs] += weight
+
+        def best() -> pa.RecordBatch:
+            found = []
+            for row, all_ in enumerate(half_up_array(scores, SCORE_DIGITS)):
+                docs = np.flatnonzero(all_ > 0)
+                if len(docs) > k:
+                    docs = docs[all_[docs] >= np.partition(all_[docs], len(docs) - k)[len(docs) - k]]
+                    docs = docs[np.argsort(-all_[docs], kind="stable")[:k]]
+                found.append((np.full(len(docs), queries[row]), docs, all_[docs]))
+            q, doc, score = (np.concatenate(x) for x in zip(*found))
             return pa.RecordBatch.from_arrays(
-                [pa.array(q[of]), pa.array(block[of]), pa.array(doc[order], pa.int32()), pa.array(score[order])], names=["q", "block", "doc", "score"]
+                [pa.array(q, pa.int64()), pa.array(np.full(len(q), at[0]), pa.int64()), pa.array(doc, pa.int32()), pa.array(score)], names=["q", "block", "doc", "score"]
             )
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            q, block = (table[c].to_numpy() for c in ("q", "block"))
-            last = int(np.flatnonzero((q == q[-1]) & (block == block[-1]))[0])
-            # Rows of the last pair may go on in the next batch; all before it are whole.
-            if last:
-                yield best(table.slice(0, last).combine_chunks())
-            held = table.slice(last)
-        if held is not None:
-            yield best(held.combine_chunks())
-
-    dealt = rows.repartition("q", "block").sortWithinPartitions("q", "block")
+            keys = np.column_stack([batch.column(c).to_numpy() for c in ("block", "share", "kind")])
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])), len(keys))
+            for a, b in zip(cuts, cuts[1:]):
+                part, here, kind = batch.slice(a, b - a), tuple(keys[a][:2].tolist()), keys[a][2]
+                if here != at:
+                    if scores is not None:
+                        yield best()
+                    at, asked, scores = here, [], None
+                if kind == 0:
+                    asked.append(tuple(part.column(c).to_numpy(zero_copy_only=False) for c in ("q", "token", "idf")))
+                    continue
+                if not asked:
+                    continue
+                if scores is None:
+                    ready()
+                lists = part.column("docs")
+                docs = lists.flatten().to_numpy()
+                ends = np.cumsum(pc.list_value_length(lists).to_numpy()).tolist()
+                starts = [0, *ends]
+                if kind == 1:
+                    for row, bonus, x, y in zip(np.searchsorted(queries, part.column("q").to_numpy(zero_copy_only=False)).tolist(), part.column("bonus").to_pylist(), starts, ends):
+                        add(row, docs[x:y], bonus)
+                    continue
+                tf = part.column("tf").flatten().to_numpy().astype(np.float64)
+                base = tf + K1 * (1 - B + B * part.column("lengths").flatten().to_numpy() / mean_length)
+                for token, x, y in zip(part.column("token").to_pylist(), starts, ends):
+                    for row, idf in zip(*wanted.get(token, ((), ()))):
+                        add(row, docs[x:y], idf * tf[x:y] * (K1 + 1) / base[x:y])
+        if scores is not None:
+            yield best()
+
+    key = ["block", "share"]
+    dealt = rows.repartition(*key).sortWithinPartitions(*key, "kind", "token")
     return dealt.mapInArrow(run, "q long, block long, doc int, score double")
 
 
-def _scored(pairs: DataFrame, weights: DataFrame, index: DataFrame, phrases: DataFrame, mean_length: float, k: int) -> DataFrame:
-    postings = index.where("token is not null").select("token", "block", "docs", "tf", "lengths")
-    held = pairs.select("q", "block").join(weights.select("q", "token", "idf"), "q").join(postings, ["token", "block"])
-    held = held.select("q", "block", "docs", "tf", "lengths", "idf", F.lit(0.0).alias("bonus"))
-    ones = F.transform("docs", lambda d: F.lit(1))
-    marked = phrases.join(pairs.select("q", "block"), ["q", "block"]).groupBy("q", "block", "bonus").agg(F.collect_list("doc").alias("docs"))
-    marked = marked.select("q", "block", "docs", ones.alias("tf"), ones.alias("lengths"), F.lit(0.0).alias("idf"), "bonus")
-    return computed_once(_block_hits(held.unionByName(marked), mean_length, k))
+def _side(df: DataFrame) -> DataFrame:
+    """A computed table for a join: sent to all tasks where it was measured to be small."""
+    width = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) if isinstance(f.dataType, T.StringType) else F.lit(0)) + 16 for f in df.schema.fields)
+    size = df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def _scored(pairs: DataFrame, weights: DataFrame, postings: DataFrame, phrases: DataFrame, mean_length: float, k: int) -> DataFrame:
+    """The hits of some pairs of query and block. Where very many queries read a block, its postings are sent to each share of them."""
+    # One row per block.
+    shares = F.broadcast(pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERIES_PER_TASK)).cast("int").alias("shares")))
+    shared = pairs.select("q", "block").join(shares, "block").select("q", "block", F.pmod(F.xxhash64("q"), F.col("shares")).cast("int").alias("share"))
+    long, double, ints = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("array<int>")
+    asked = shared.join(weights.select("q", "number", "idf"), "q").select(
+        "block", "share", F.lit(0).alias("kind"), F.col("number").alias("token"), "q", "idf", double.alias("bonus"), ints.alias("docs"), ints.alias("tf"), ints.alias("lengths")
+    )
+    # A query whose tokens no document holds has no number of any; its phrase may lie inside a longer word.
+    alone = shared.join(phrases.select("q").distinct(), "q", "left_semi").select(
+        "block", "share", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("token"), "q", F.lit(0.0).alias("idf"), double.alias("bonus"), ints.alias("docs"), ints.alias("tf"), ints.alias("lengths")
+    )
+    marked = phrases.join(shared, ["q", "block"]).groupBy("q", "block", "share", "bonus").agg(F.sort_array(F.collect_list("doc")).alias("docs")).select(
+        "block", "share", F.lit(1).alias("kind"), long.alias("token"), "q", double.alias("idf"), "bonus", "docs", ints.alias("tf"), ints.alias("lengths")
+    )
+    held = postings.join(shares, "block").select(
+        "block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(2).alias("kind"), F.col("number").alias("token"), long.alias("q"),
+        double.alias("idf"), double.alias("bonus"), "docs", "tf", "lengths",
+    )
+    return computed_once(_block_hits(asked.unionByName(alone).unionByName(marked).unionByName(held), mean_length, k))
 
 
 def search_index(
@@ -271,11 +320,11 @@ def search_index(
     each = asked.select("q", F.explode(F.array_distinct("tokens")).alias("token"))
     part = F.zip_with("top_tf", "top_lengths", lambda t, n: t * (K1 + 1) / (t + K1 * (1 - B + B * n / mean_length)))
     light = index.where("token is not null").select("token", "block", "n", F.array_max(part).alias("most"))
-    light = computed_once(light.join(each.select("token").distinct(), "token", "left_semi"))
+    light = computed_once(light.join(_side(computed_once(each.select("token").distinct())), "token", "left_semi"))
     df = F.sum(F.col("n").cast("long"))
     frequency = light.groupBy("token").agg(df.alias("df"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCKS_PER_SALT)).cast("int").alias("salts"))
     idf = F.log(1 + (F.lit(float(size["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    frequency = computed_once(frequency.withColumn("idf", idf))
+    frequency = computed_once(frequency.withColumn("idf", idf).withColumn("number", F.monotonically_increasing_id()))
     weights = computed_once(each.join(frequency, "token"))
     # A token in many blocks is dealt out by block, and the queries that hold it are sent to each part.
     salted = light.join(frequency.select("token", "salts"), "token").withColumn("salt", F.pmod(F.xxhash64("block"), F.col("salts")).cast("int"))
@@ -287,7 +336,8 @@ def search_index(
     promising = Window.partitionBy("q").orderBy(F.desc("bound"), "block")
     pairs = computed_once(pairs.withColumn("nth", F.row_number().over(promising)))
     best, upto = Window.partitionBy("q").orderBy(F.desc("score")), FIRST_BLOCKS
-    hits = _scored(pairs.where(F.col("nth") <= upto), weights, index, phrases, mean_length, k)
+    postings = index.where("token is not null").select("token", "block", "docs", "tf", "lengths").join(_side(frequency.select("token", "number")), "token")
+    hits = _scored(pairs.where(F.col("nth") <= upto), weights, postings, phrases, mean_length, k)
     seen, left = [pairs.where(F.col("nth") <= upto)], pairs.where(F.col("nth") > upto)
     while True:
         floor = hits.withColumn("at", F.row_number().over(best)).where(F.col("at") == k).select("q", F.col("score").alias("floor"))
@@ -297,11 +347,12 @@ def search_index(
             break
         upto *= MORE_BLOCKS
         seen.append(left.where(F.col("nth") <= upto))
-        hits = hits.unionByName(_scored(seen[-1], weights, index, phrases, mean_length, k))
+        hits = hits.unionByName(_scored(seen[-1], weights, postings, phrases, mean_length, k))
         left = left.where(F.col("nth") > upto)
     if report is not None:
         report(pairs.count(), sum(s.count() for s in seen))
-    named = hits.join(documents.select("block", "doc", "id"), ["block", "doc"]).join(asked.select("q", "query_id"), "q")
+    hits = computed_once(hits.withColumn("at", F.rank().over(best)).where(F.col("at") <= k).drop("at"))  # ties are settled by id
+    named = documents.select("block", "doc", "id").join(_side(hits), ["block", "doc"]).join(asked.select("q", "query_id"), "q")
     return merge_hits(named.select("query_id", "id", "score"), k)
 
 
@@ -318,8 +369,8 @@ def bm25(
 ) -> DataFrame:
     """``search_index`` over documents that are not indexed yet: the index is written once, below the checkpoint folder."""
     path = scratch_path(documents.sparkSession, "index")
-    index = index_documents(documents, id_column, text_column, titles, extra).withColumn("posting", F.col("token").isNotNull())
-    index.write.partitionBy("posting").parquet(path)
+    index = index_documents(documents, id_column, text_column, titles, extra)
+    index.write.parquet(path)
     return search_index(documents.sparkSession.read.schema(index.schema).parquet(path), queries, query_id, query_text, k)
 
 

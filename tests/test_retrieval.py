@@ -150,6 +150,24 @@ def test_one_index_serves_any_number_of_queries(spark, monkeypatch, tmp_path):
     assert [(one["id"], one["score"])] == [(i, pytest.approx(x, abs=1.1e-6)) for i, x in slow_bm25([(i, "", t) for i, t in documents], "common w27 x77", 1)]
 
 
+def test_a_posting_is_sent_once_for_all_queries(spark, monkeypatch):
+    """Not once for each query that holds its token; and a task scores a share of the queries of a block."""
+    sent, block_hits = [], lexical._block_hits
+
+    def kept(rows, *rest):
+        sent.append({r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()})
+        return block_hits(rows, *rest)
+
+    monkeypatch.setattr(lexical, "_block_hits", kept)
+    items = spark.createDataFrame([(i, f"apple pear w{i}") for i in range(40)], "id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(q, f"pear plum apple w{q}") for q in range(30)], "q long, text string")
+    whole = bm25(items, asked, "id", "text", "q", "text", 3)
+    assert {r["query_id"]: r["id"] for r in whole.where("rank = 1").collect()} == {q: q for q in range(30)}
+    assert sent[0][0] == 90 and sent[0][2] == 32
+    monkeypatch.setattr(lexical, "QUERIES_PER_TASK", 7)
+    assert rows(bm25(items, asked, "id", "text", "q", "text", 3)) == rows(whole)
+
+
 @pytest.mark.parametrize("full", [200_000, 3])
 def test_vectors_against_all_pairs(spark, monkeypatch, full):
     """Also where each task gets a few vectors and a few queries of a cell only."""
