@@ -36,11 +36,16 @@ def _windows(paragraph: Column, size: int, overlap: int) -> Column:
     step = size - overlap
     count = F.ceil(F.greatest(F.length(paragraph) - size, F.lit(0)) / step).cast("int")
     pieces = F.regexp_extract_all(paragraph, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
-    whole = pieces
-    for further in range(1, -(-size // step)):
-        rest = F.slice(pieces, F.lit(further + 1), F.greatest(F.size(pieces), F.lit(1)))
-        whole = F.zip_with(whole, rest, lambda head, tail: F.concat_ws("", head, tail))
-    cut = F.transform(F.slice(whole, F.lit(1), count + 1), lambda piece: strip(F.substring(piece, 1, size)))
+
+    def joined(found: Column) -> Column:
+        whole = found
+        for further in range(1, -(-size // step)):
+            rest = F.slice(found, F.lit(further + 1), F.greatest(F.size(found), F.lit(1)))
+            whole = F.zip_with(whole, rest, lambda head, tail: F.concat_ws("", head, tail))
+        return F.transform(F.slice(whole, F.lit(1), count + 1), lambda piece: strip(F.substring(piece, 1, size)))
+
+    # An entry of an array, so that the paragraph is cut up once and not for each use of its pieces.
+    cut = F.transform(F.array(pieces), joined)[0]
     return F.filter(cut, lambda piece: piece != "")
 
 

@@ -395,11 +395,21 @@ def chunk_scores(
     rest = [joined_fields(chunks, [e]) for e in extra]
     haystack = F.concat_ws(" ", text, title, section, *rest)
     needle = F.lit(wanted)
-    score = 2 * occurrences(haystack, needle)
-    score = score + 3 * occurrences(title, needle) + 2 * occurrences(section, needle)
-    for word in (w for w in re.findall(r"\w+", wanted) if len(w) > 1):
-        score = score + haystack.contains(word).cast("long")
-    return chunks.withColumn("score", score.cast("long")).filter(F.col("score") > 0)
+
+    def points(x: Column) -> Column:
+        score = 2 * occurrences(x["haystack"], needle)
+        score = score + 3 * occurrences(x["title"], needle) + 2 * occurrences(x["section"], needle)
+        for word in (w for w in re.findall(r"\w+", wanted) if len(w) > 1):
+            score = score + x["haystack"].contains(word).cast("long")
+        return score
+
+    # An exploded entry is computed once a row; a plain column the planner would write out again for the filter, and the
+    # lowered text for each of its uses.
+    fields = F.struct(haystack.alias("haystack"), title.alias("title"), section.alias("section"))
+    score = F.transform(F.array(fields), lambda x: points(x).cast("long"))
+    names = ["score" if c.lower() == "score" else c for c in chunks.columns]
+    scored = chunks.select(*[col(c) for c in names if c != "score"], F.explode(score).alias("score"))
+    return scored.select(*map(col, dict.fromkeys([*names, "score"]))).filter(F.col("score") > 0)
 
 
 def list_chunks(

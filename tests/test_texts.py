@@ -9,13 +9,13 @@ from conftest import rows
 from tabulon.errors import InvalidRequest
 from tabulon.functions import text as tx
 from tabulon.operators.chunking import (
-    cap_chunks, chunk_context, chunk_documents, lines_to_documents, rows_to_lines, size_flags,
+    cap_chunks, chunk_bodies, chunk_context, chunk_documents, lines_to_documents, rows_to_lines, size_flags,
 )
 from tabulon.operators.chunkstore import (
     _kept_passages, brief_context, chunk_stats, cut_repeats, delete_rows, hit_sources, linked_documents, merge_metadata, reconcile,
     replace_documents, retrieved_context, update_chunks,
 )
-from tabulon.operators.lexical import list_chunks
+from tabulon.operators.lexical import chunk_scores, list_chunks
 
 
 def expected_chunks(text, size, overlap):
@@ -221,3 +221,19 @@ def test_repeated_sections_are_cut(spark):
     assert out[1][0] == "# 1. Summary\n\nSales grew.\n\n## Details\n\nMore text."
     assert out[2] == ("one\n\ntwo", 4, 2)
     assert out[3] == ("plain", 1, 1) and out[4] == ("", 0, 0)
+
+
+def test_scores_lower_a_text_once(spark):
+    """The filter on the score does not write the lowered text out for each of its uses, and columns keep their places."""
+    chunks = spark.range(3).selectExpr("id AS chunk_id", "concat('The of ', id, ' the') AS text")
+    found = chunk_scores(chunks, "The of")
+    assert found._jdf.queryExecution().executedPlan().toString().count("lower(") == 1
+    assert [tuple(r) for r in found.orderBy("chunk_id").collect()] == [(i, f"The of {i} the", 4) for i in range(3)]
+    assert chunk_scores(chunks.selectExpr("chunk_id", "7 AS score", "text"), "The of").columns == ["chunk_id", "score", "text"]
+
+
+def test_windows_cut_a_paragraph_up_once(spark):
+    texts = spark.range(2).selectExpr("repeat(concat('a', id), 1000) AS text")
+    cut = texts.select(chunk_bodies(F.col("text")).alias("bodies"))
+    assert cut._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all(") == 1
+    assert [len(x) for x in cut.first()["bodies"]] == [900, 900, 440]
