@@ -231,6 +231,8 @@ def _compared(least: int, text_bytes: int, group_bytes: int):
                 if group_bytes_now > group_bytes:
                     yield told(group, True)
                     group, group_bytes_now, cut = [], 0, True
+                if group and r[5] and group[-1][5] and r[2] == group[-1][2]:
+                    continue  # one copy of a settled block is enough to find its strings elsewhere
                 group.append(r)
                 group_bytes_now += len(r[4])
         if cut and group:

@@ -2,8 +2,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tabulon.llm import suffixes
 from tabulon.llm.suffixes import remove_repeated_strings, told_apart
 
 SCHEMA = "doc_id long, text string, owner int, key string"
@@ -60,3 +62,16 @@ def test_agrees_with_brute_force(spark, letters, least, anchor, sizes):
 
 def test_empty_table(spark):
     assert remove_repeated_strings(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_copies_of_a_settled_block_are_compared_once(monkeypatch):
+    """Strings of an open block are found in a settled one, of which one copy is looked at."""
+    seen, repeated = [], suffixes.repeated_strings
+    monkeypatch.setattr(suffixes, "repeated_strings", lambda blocks, least: seen.append(len(blocks)) or repeated(blocks, least))
+    settled, open_ = bytes(range(60, 75)), bytes(range(62, 77))
+    rows = [(1, who, 5, 6, settled, True) for who in range(50)] + [(1, 99, 6, 6, open_, False)]
+    names = ["anchor", "owner", "name", "count", "bytes", "whole"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+    (told,) = suffixes._compared(10, 1 << 17, 4 << 20)(iter([batch]))
+    assert seen == [2]
+    assert [(r["owner"], r["key"] >> 32, r["key"] & 0xFFFFFFFF) for r in told.to_pylist()] == [(99, 0, 4)]
