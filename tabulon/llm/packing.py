@@ -7,6 +7,7 @@ to which sequences, and every piece looks its place up by its rank among the pie
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from array import array
@@ -22,7 +23,7 @@ from tabulon.session import computed_once
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 CACHED_CHARS = 100
 
 
@@ -38,12 +39,14 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in printed else next(free)) for b in range(256)}
 
 
+@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Callable[[str], bytes]:
     """Ids of a whole text as little-endian 32-bit numbers.
 
     The tokenizer drops white space and never joins text across a blank or line feed, so each stretch between them
     is encoded by itself and remembered. A new stretch of Latin letters and marks is split as the tokenizer does and
-    its pieces go to the tokenizer's model; any other one goes to the tokenizer whole.
+    its pieces go to the tokenizer's model; any other one goes to the tokenizer whole. A worker loads a tokenizer once
+    for all its tasks, and what it remembers is bounded.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer

@@ -97,3 +97,8 @@ def test_pieces_and_places(spark):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_a_worker_loads_a_tokenizer_once():
+    path = PATH
+    assert encoder(path) is encoder(path)
