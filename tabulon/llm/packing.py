@@ -15,16 +15,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
+from tokenizers import Tokenizer
 
 from tabulon.session import computed_once
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 100_000
+CACHED_PIECES = 100_000
 CACHED_CHARS = 100
+BATCH_BYTES = 1 << 20
 
 
 # How the tokenizer splits a word, and the characters for which its normal form is plain lower case.
@@ -39,76 +42,97 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in printed else next(free)) for b in range(256)}
 
 
-@functools.lru_cache(maxsize=1)
-def encoder(path: str) -> Callable[[str], bytes]:
-    """Ids of a whole text as little-endian 32-bit numbers.
+def batch_encoder(tokenizer: Tokenizer) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Ids of whole texts, one text after the other, and where each text begins and the last one ends.
 
-    The tokenizer drops white space and never joins text across a blank or line feed, so each stretch between them
-    is encoded by itself and remembered. A new stretch of Latin letters and marks is split as the tokenizer does and
-    its pieces go to the tokenizer's model; any other one goes to the tokenizer whole. A worker loads a tokenizer once
-    for all its tasks, and what it remembers is bounded.
+    The tokenizer drops white space and never joins text across it, so the stretches between ASCII white space are
+    encoded by themselves, each different one of a batch once. A stretch of Latin letters and marks is split as the
+    tokenizer does; its pieces go to the tokenizer's model, and those used last are remembered. Any other stretch goes
+    to the tokenizer whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
     model = tokenizer.model
     letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-    known: dict[str, bytes] = {}
-    pieces: dict[str, bytes] = {}
+
+    def new_piece(part: str) -> bytes:
+        text = part if part.isascii() else part.encode().decode("latin-1").translate(letters)
+        return array("I", [token.id for token in model.tokenize(text)]).tobytes()
+
+    known_piece = functools.lru_cache(maxsize=CACHED_PIECES)(new_piece)
 
     def piece(part: str) -> bytes:
-        found = pieces.get(part)
-        if found is None:
-            text = part if part.isascii() else part.encode().decode("latin-1").translate(letters)
-            found = array("I", [token.id for token in model.tokenize(text)]).tobytes()
-            if len(part) <= CACHED_CHARS:
-                pieces[part] = found
-        return found
+        return (known_piece if len(part) <= CACHED_CHARS else new_piece)(part)
 
     def stretch(part: str) -> bytes:
         plain = part.isascii() or _PLAIN.fullmatch(part)
         if plain and part.isalpha():
             return piece(part.lower())
-        if plain and part[-1] in ".,:;!?" and part[:-1].isalpha():
+        if plain and part[-1:] in ".,:;!?" and part[:-1].isalpha():
             return piece(part[:-1].lower()) + piece(part[-1])
         if "<|" in part or not _PLAIN.fullmatch(part):
             return array("I", tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
         return b"".join([piece(x) for x in _SPLIT.findall(part.lower())])
 
-    def encode(text: str) -> bytes:
-        for memory in (known, pieces):
-            if len(memory) > CACHED_WORDS:
-                memory.clear()
-        parts = [p for p in text.replace("\n", " ").split(" ") if p]
-        new = {p: stretch(p) for p in set(parts) if p not in known}
-        known.update(new)
-        out = b"".join(map(known.__getitem__, parts))
-        for part in new:
-            if len(part) > CACHED_CHARS:
-                del known[part]
-        return out
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        ids = list(map(stretch, coded.dictionary.to_numpy(zero_copy_only=False)))
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(length) - length
+        index = coded.indices.to_numpy()
+        each = length[index]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(each)])
+        at = np.repeat(first[index] - ends[:-1], each)
+        at += np.arange(len(at))
+        offsets = split.offsets.to_numpy()
+        return np.frombuffer(b"".join(ids), "<u4")[at], ends[offsets - offsets[0]]
 
     return encode
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Callable[[str], bytes]:
+    """Ids of one whole text as little-endian 32-bit numbers."""
+    encode = batch_encoder(Tokenizer.from_file(path))
+    return lambda text: encode(pa.array([text], pa.string()))[0].tobytes()
+
+
+def _parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Consecutive rows of about ``BATCH_BYTES`` of text, or one that is longer, and the number of the first of them."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        limit = BATCH_BYTES + (int(ends[at - 1]) if at else 0)
+        to = max(at + 1, int(np.searchsorted(ends, limit, "right")))
+        yield at, texts.slice(at, to - at)
+        at = to
+
+
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, doc_id: str, text: str) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: whole documents, and cuts of those that are too long."""
     end = np.array([END_ID], dtype="<u4").tobytes()
+    # A worker reads a broadcast value once for all its tasks, and keeps the encoder and what it remembers beside it.
+    shared = docs.sparkSession.sparkContext.broadcast({"tokenizer": Tokenizer.from_file(tokenizer_path)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
+        held = shared.value
+        if "encode" not in held:
+            held["encode"] = batch_encoder(held["tokenizer"])
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column("t")):
-                ids = encode(text.as_py() or "") + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    row.append(i)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+            for before, texts in _parts(batch.column("t").fill_null("")):
+                ids, bounds = held["encode"](texts)
+                bounds = bounds.tolist()
+                for i, (first, last) in enumerate(zip(bounds, bounds[1:]), before):
+                    n = last - first + 1  # with the end id
+                    for k, at in enumerate(range(0, n, capacity)):
+                        here = min(capacity, n - at)
+                        value = zlib.crc32(ids[first + at : min(first + at + here, last)])
+                        row.append(i)
+                        piece.append(k)
+                        start.append(at)
+                        length.append(here)
+                        crc.append(value if at + here < n else zlib.crc32(end, value))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("d").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],

@@ -1,11 +1,18 @@
 import random
+import subprocess
+import sys
 import zlib
+from collections import Counter
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from tabulon.llm.packing import encoder, pack, plan
+from tabulon.llm import packing
+from tabulon.llm.packing import batch_encoder, encoder, pack, plan
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, length int, part string"
@@ -102,3 +109,54 @@ def test_empty_table(spark):
 def test_a_worker_loads_a_tokenizer_once():
     path = PATH
     assert encoder(path) is encoder(path)
+
+
+def test_batches_of_texts_agree_with_the_tokenizer(monkeypatch):
+    monkeypatch.setattr(packing, "BATCH_BYTES", 60)
+    tokenizer, rng = Tokenizer.from_file(PATH), random.Random(5)
+    encode = batch_encoder(tokenizer)
+    parts = ["word", "Word,", "it's", "x\ty", " ", "\n\n", "\u00c9t\u00e9.", "$$$", "\u4e2d\u6587", "<|endoftext|>", "a" * 150]
+    texts = ["", *["".join(rng.choice(parts) + rng.choice([" ", "\r\n", ""]) for _ in range(rng.randint(0, 12))) for _ in range(300)], " "]
+    found = []
+    for first, batch in packing._parts(pa.array(texts)):
+        assert first == len(found)
+        ids, bounds = encode(batch)
+        found += [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    assert found == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_frequent_word_is_tokenized_once_however_many_rare_ones_come(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_PIECES", 50)
+    model, calls = Tokenizer.from_file(PATH).model, Counter()
+
+    def tokenize(text):
+        calls[text] += 1
+        return model.tokenize(text)
+
+    encode = batch_encoder(SimpleNamespace(model=SimpleNamespace(tokenize=tokenize)))
+    for k in range(100):
+        rare = ["".join(chr(97 + int(d)) for d in f"{k * 20 + i:05}") for i in range(20)]
+        encode(pa.array([" ".join(["Common,", *rare, "common"])]))
+    assert calls["common"] == calls[","] == 1 and len(calls) == 2002
+
+
+SCRIPT = """
+import sys
+sys.path.insert(0, {root!r})
+import public_tokenizers
+from pyspark.sql import SparkSession
+from tabulon.llm.packing import pack
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+rows = [(i, "some words, again") for i in range(20)]
+docs = spark.createDataFrame(rows, "doc_id long, text string")
+assert pack(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 20
+print("all ran")
+"""
+
+
+def test_workers_pack_without_a_copy_of_the_package(tmp_path):
+    root = str(Path(__file__).parent.parent.parent)
+    done = subprocess.run(
+        [sys.executable, "-c", SCRIPT.format(root=root)], cwd=tmp_path, capture_output=True, text=True, timeout=300
+    )
+    assert "all ran" in done.stdout, done.stderr[-2000:]
