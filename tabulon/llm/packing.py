@@ -25,9 +25,9 @@ from tabulon.session import computed_once
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_PIECES = 100_000
+CACHED_PIECES = 200_000
 CACHED_CHARS = 100
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 21
 
 
 # How the tokenizer splits a word, and the characters for which its normal form is plain lower case.
